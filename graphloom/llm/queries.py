@@ -63,11 +63,11 @@ tgt AS (
   FROM lev2 LEFT JOIN best ON true),
 line AS (
   SELECT s.*, t.source_size, t.target, round(t.target)::BIGINT AS want,
-         coalesce(sum(s.size) OVER (PARTITION BY s.src, s.none ORDER BY s.h, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at
+         coalesce(sum(s.size) OVER (PARTITION BY s.src, s.none ORDER BY s.h, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
   FROM sized s JOIN tgt t ON s.src = t.src AND s.none = t.none)
 SELECT doc_id, size, source_size, target,
        CASE WHEN size = 0 THEN 0::BIGINT
-            ELSE ((want // source_size) * size + greatest(0, least(at + size, want % source_size) - at))::BIGINT END AS taken
+            ELSE ((want // source_size) * size + greatest(0, least(pos + size, want % source_size) - pos))::BIGINT END AS taken
 FROM line
 """
 
