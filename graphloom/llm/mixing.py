@@ -8,7 +8,7 @@ repeats up to ``cap`` times.  A source's last block is cut so that it meets its
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, spread_bits, spread_rank
@@ -18,6 +18,11 @@ GOLDEN = 0.6180339887498949
 CELLS = 4096
 
 
+def row_key(id_col: str, text_col: str, source_col: str) -> Column:
+    """Equal for rows equal in id, source and text."""
+    return F.xxhash64(F.col(id_col), F.col(source_col), F.xxhash64(F.col(text_col)))
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
     """Adds ``target`` to one row per source (__src, __none, source_size).
 
@@ -74,7 +79,7 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3,
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("__src"),
         F.col(source_col).isNull().alias("__none"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.col(text_col)).alias("__t"),
+        row_key(id_col, text_col, source_col).alias("__row"),
     ).withColumn("__h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     sized = materialize(sized, "mix-rows")
     sources = materialize(targets(sized.groupBy("__src", "__none").agg(F.sum("size").alias("source_size")), weights, cap), "mix-sources")
@@ -82,7 +87,7 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3,
     n = sized.count()
     digits = max(1, spread_bits(n) // 4)
     sized = sized.withColumn("__b", F.substring("__h", 1, digits))
-    line = spread_rank(sized, ["__src", "__none"], "__b", [F.col("__h"), F.col("doc_id"), F.col("size"), F.col("__t")], "size", "__r", "__at")
+    line = spread_rank(sized, ["__src", "__none"], "__b", [F.col("__h"), F.col("doc_id"), F.col("size"), F.col("__row")], "size", "__r", "__at")
     line = line.join(sources, ["__src", "__none"]).withColumn("__want", F.round("target").cast("long"))
     # places on the repeated line, clipped at the target, then cut at block borders
     turns = line.withColumn("__turn", F.explode_outer(F.when((F.col("size") > 0) & (F.col("__at") < F.col("__want")), F.sequence(F.lit(0), F.least(F.lit(cap - 1), F.expr("(__want - __at - 1) div source_size").cast("int"))))))
@@ -94,14 +99,14 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3,
     out = cut.join(plan, ["__src", "__none", "rank"], "left")
     # a block the sequence did not reach by its end follows after the last slot
     late = F.when(F.col("rank").isNotNull(), F.coalesce(F.col("slot"), F.lit(slots) + F.col("rank")))
-    return out.select("doc_id", "size", "source_size", "target", F.struct("__src", "__none", "__r").alias("__key"), F.col("__t"), late.alias("slot"), "words")
+    return out.select("doc_id", "size", "source_size", "target", F.struct("__src", "__none", "__r").alias("__key"), F.col("__row"), late.alias("slot"), "words")
 
 
 def mix_taken(docs: DataFrame, **options) -> DataFrame:
-    """Words taken per document: doc_id, size, source_size, target, taken, plus __t (text hash)."""
+    """Words taken per document: doc_id, size, source_size, target, taken, plus __row (row_key)."""
     return (
         mix(docs, **options)
         .groupBy("__key")
-        .agg(F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("words").alias("taken"), F.first("__t").alias("__t"))
+        .agg(F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("words").alias("taken"), F.first("__row").alias("__row"))
         .drop("__key")
     )

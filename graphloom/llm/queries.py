@@ -7,21 +7,37 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, sharding
+from . import chat, mixing, quality, sharding, simhash, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_winnow_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = winnow.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
+    return marked.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_taken(_table(spark, sf_dir, "documents")).drop("__t")
+    return mixing.mix_taken(_table(spark, sf_dir, "documents")).drop("__row")
 
 
 def op3_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
 
+def op5_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    forest = quality.train(docs, _table(spark, sf_dir, "labels"))
+    return quality.score(docs, forest).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 def op8_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     talk = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
@@ -91,8 +107,11 @@ FROM e GROUP BY conv_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_winnow_decontaminate": op1_winnow_decontaminate,
         "op2_mix_sources": op2_mix_sources,
         "op3_hypergeometric_shards": op3_hypergeometric_shards,
+        "op5_quality_trees": op5_quality_trees,
+        "op7_simhash_groups": op7_simhash_groups,
         "op8_chat_parts": op8_chat_parts,
     }
 
