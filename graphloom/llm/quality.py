@@ -188,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, id_col: s
     joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(picked), F.col("id") == F.col("__id")).select("id", "t", "y")
     kind = docs.schema[id_col].dataType.simpleString()
     got = joined.mapInArrow(run, f"id {kind}, y double, x array<double>").orderBy("id", "x").limit(2 * sample).collect()
-    x = np.array([r["x"] for r in got]).reshape(len(got), -1)
+    x = np.array([r["x"] for r in got]) if got else np.zeros((0, 1))
     return fit(x, np.array([r["y"] for r in got]))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, quality, sharding, simhash, winnow
+from . import chat, licenses, mixing, quality, sharding, simhash, vectors, warc, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, forest).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op6_vector_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -54,6 +58,14 @@ def op8_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 OP2_SQL = r"""
 WITH sized AS (
   SELECT doc_id, coalesce(source, '') AS src, source IS NULL AS none,
@@ -105,16 +117,67 @@ FROM e GROUP BY conv_id
 """
 
 
+OP6_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL),
+links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y
+  ON x.label = y.label AND x.vec_id <> y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.98),
+reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT e.vec_id, (SELECT count(*) FROM links WHERE links.a = e.vec_id)::BIGINT AS n_links,
+       (SELECT min(b) FROM reach WHERE reach.a = e.vec_id) AS component_id,
+       (SELECT min(b) FROM reach WHERE reach.a = e.vec_id) = e.vec_id AS kept
+FROM embeddings e
+"""
+
+OP10_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT body, max(page_id) AS top FROM p GROUP BY body)
+SELECT page_id, strlen(p.body)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 +
+         (((strpos('0123456789abcdef', substr(h, (1 + (5 * i) // 4)::BIGINT, 1)) - 1) * 16
+           + strpos('0123456789abcdef', substr(h, (2 + (5 * i) // 4)::BIGINT, 1)) - 1) // (2 ** (3 - (5 * i) % 4))::BIGINT) % 32)::BIGINT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to
+FROM p JOIN m ON p.body = m.body
+"""
+
+OP1_SQL = r"""
+WITH b AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (
+  SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[i + 1 : i + least(13, len(w))], ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(len(w) - least(13, len(w)) + 1)) AS i FROM b WHERE len(w) > 0)),
+d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+dg AS (
+  SELECT doc_id, n, i, array_to_string(w[i + 1 : i + n], ' ') AS g
+  FROM (SELECT doc_id, w, n, unnest(range(len(w) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
+m AS (SELECT doc_id, item_id, i, dg.n FROM dg JOIN bw ON dg.g = bw.g AND dg.n = bw.n),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM m) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN it ON d.doc_id = it.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_winnow_decontaminate": op1_winnow_decontaminate,
         "op2_mix_sources": op2_mix_sources,
         "op3_hypergeometric_shards": op3_hypergeometric_shards,
         "op5_quality_trees": op5_quality_trees,
+        "op6_vector_tiles": op6_vector_tiles,
         "op7_simhash_groups": op7_simhash_groups,
         "op8_chat_parts": op8_chat_parts,
+        "op9_license_rules": op9_license_rules,
+        "op10_warc_bundles": op10_warc_bundles,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": OP2_SQL, "op8_chat_parts": OP8_SQL}
+    return {"op1_winnow_decontaminate": OP1_SQL, "op2_mix_sources": OP2_SQL, "op6_vector_tiles": OP6_SQL, "op8_chat_parts": OP8_SQL, "op10_warc_bundles": OP10_SQL}
