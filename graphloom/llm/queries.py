@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, mixing, quality, sharding, simhash, vectors, warc, winnow
+from . import chat, licenses, mixing, quality, sharding, simhash, suffixes, vectors, warc, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op3_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.dedup_substrings(_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     forest = quality.train(docs, _table(spark, sf_dir, "labels"))
@@ -170,6 +175,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_winnow_decontaminate": op1_winnow_decontaminate,
         "op2_mix_sources": op2_mix_sources,
         "op3_hypergeometric_shards": op3_hypergeometric_shards,
+        "op4_suffix_runs": op4_suffix_runs,
         "op5_quality_trees": op5_quality_trees,
         "op6_vector_tiles": op6_vector_tiles,
         "op7_simhash_groups": op7_simhash_groups,
