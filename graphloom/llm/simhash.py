@@ -173,8 +173,9 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     from pyspark.sql import Window
 
     groups = near_duplicates(docs, id_col=id_col, text_col=text_col)
-    stay = groups.select(F.col("first_key").alias("__key"), F.col("component_id").alias("__id")).distinct()
-    keyed = docs.withColumn("__key", F.xxhash64(id_col, text_col))
-    once = Window.partitionBy("__key").orderBy(id_col)
-    met = keyed.join(stay, (keyed["__key"] == stay["__key"]) & keyed[id_col].eqNullSafe(stay["__id"])).drop(stay["__key"])
+    stay = groups.select(F.col("first_key").alias("__key"), F.xxhash64(F.lit("id"), "component_id").alias("__id")).distinct()
+    # join and window share their keys, so whole texts are exchanged once
+    keyed = docs.withColumn("__key", F.xxhash64(id_col, text_col)).withColumn("__id", F.xxhash64(F.lit("id"), id_col))
+    once = Window.partitionBy("__key", "__id").orderBy("__key")
+    met = keyed.join(stay, ["__key", "__id"])
     return met.withColumn("__n", F.row_number().over(once)).where("__n = 1").select(*docs.columns)
