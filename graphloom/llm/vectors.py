@@ -113,9 +113,10 @@ def near_vectors(vectors: DataFrame, *, threshold: float = THRESHOLD, tile: int
             yield pa.RecordBatch.from_arrays([b.column("class"), b.column("label"), b.column("dim"), b.column("n"), b.column("v"), pa.array([z.tolist() for z in out], pa.list_(pa.float64())), pa.array([float(z[0]) for z in out])], ["class", "label", "dim", "n", "v", "z", "z0"])
 
     turned = materialize(classes.select("class", "label", "dim", "n", "v").mapInArrow(rotate, "class bigint, label string, dim int, n bigint, v array<double>, z array<double>, z0 double"), "vectors-turned")
-    # place along the first axis within (label, dim), in buckets of equal width, then tiles of equal count
+    # place along the first axis within (label, dim): buckets of equal width, by hash inside
+    # (vectors may crowd in one bucket), then tiles of equal count
     width = 2.0 / (1 << spread_bits(turned.count(), 12))
-    placed = turned.select("class", "label", "dim", "z0").withColumn("__b", F.floor((F.col("z0") + 1) / width)).withColumn("one", F.lit(1))
+    placed = turned.select("class", "label", "dim", "z0").withColumn("__b", F.floor((F.col("z0") + 1) / width) * 64 + F.pmod(F.xxhash64("class"), F.lit(64))).withColumn("one", F.lit(1))
     placed = spread_rank(placed, ["label", "dim"], "__b", [F.col("z0"), F.col("class")], "one", "place", "before")
     placed = materialize(placed.select("class", "label", "dim", "z0", F.floor(F.col("place") / tile).alias("tile")), "vectors-placed")
     tiles = placed.groupBy("label", "dim", "tile").agg(F.min("z0").alias("lo"), F.max("z0").alias("hi"))
