@@ -44,6 +44,9 @@ FILENAME_LANGUAGES = {
     "pom.xml": "Maven",
 }
 
+SECRET_NAMES = [".env", ".env.local", ".env.production", ".env.development", ".env.test", ".env.example", "id_rsa", "id_dsa", "id_ecdsa", "id_ed25519"]
+SECRET_SUFFIXES = [".pem", ".key", ".pfx", ".p12"]
+
 # -- layers and roles --------------------------------------------------------------------
 #: path keywords of layers; the first layer with a keyword inside the lower-case path holds
 LAYER_KEYWORDS = [

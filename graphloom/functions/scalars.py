@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -176,12 +177,12 @@ def language(path: Column) -> Column:
 def skip_reason(path: Column, size: Column) -> Column:
     """null for a file to keep; reasons in order."""
     name, ext = basename(path), F.lower(extension(path))
-    secret = name.rlike(r"(?i)^\.env(\..+)?$|\.(pem|key|p12|pfx)$|^id_(rsa|dsa|ecdsa|ed25519)$") & ~name.isin(".env.example")
+    secret = name.isin(V.SECRET_NAMES) | name.startswith(".env") | name.rlike("(?:" + "|".join(re.escape(x) for x in V.SECRET_SUFFIXES) + ")$")
     notebook = ext == ".ipynb"
     return (
         F.when(name.isin(V.IGNORED_FILES), "ignored_filename")
         .when(secret, "secret_file")
-        .when(ext.isin(V.IGNORED_EXTENSIONS) | name.rlike(r"\.min\.(js|css)$"), "ignored_extension")
+        .when(ext.isin(V.IGNORED_EXTENSIONS), "ignored_extension")
         .when(name.startswith(".") & lookup(V.FILENAME_LANGUAGES, name).isNull(), "hidden_file")
         .when(~notebook & (size > V.MAX_FILE_BYTES), F.lit(f"exceeds_max_size_{V.MAX_FILE_BYTES // 1024}KB"))
         .when(notebook & (size > V.MAX_NOTEBOOK_BYTES), F.lit(f"exceeds_max_size_{V.MAX_NOTEBOOK_BYTES // 1024}KB"))
@@ -191,7 +192,7 @@ def skip_reason(path: Column, size: Column) -> Column:
 def pruned_dir(path: Column) -> Column:
     """some folder of the path is hidden or ignored."""
     folders = F.slice(F.split(path, "/"), 1, F.greatest(depth(path), F.lit(0)))
-    return F.exists(folders, lambda d: d.startswith(".") | d.isin([x for x in V.IGNORED_DIRS if "*" not in x]) | d.endswith(".egg-info"))
+    return F.exists(folders, lambda d: d.startswith(".") | d.isin(V.IGNORED_DIRS))
 
 
 def compact_number(n: Column) -> Column:
