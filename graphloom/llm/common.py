@@ -13,6 +13,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,30 @@ def work_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_scratch: ContextVar[list[str] | None] = ContextVar("graphloom_scratch", default=None)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
+    if (made := _scratch.get()) is not None:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession, keep: str) -> Iterator[None]:
+    """Deletes the intermediate tables made inside, once what is to stay is written to ``keep``.
+
+    Operators return lazy results over such tables, so write the result before leaving.
+    """
+    token = _scratch.set([])
+    try:
+        yield
+    finally:
+        for path in _scratch.get() or []:
+            if path != keep:
+                delete_path(spark, path)
+        _scratch.reset(token)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
