@@ -114,6 +114,7 @@ FRAMEWORK_PATTERNS = {
     "jax": r"\bimport\s+jax\b|\bfrom\s+jax\b|\bimport\s+flax\b|\bfrom\s+flax\b",
     "sklearn": r"\bimport\s+sklearn\b|\bfrom\s+sklearn\b",
 }
+FRAMEWORK_WORDS = {"pytorch": ["torch"], "tensorflow": ["tensorflow"], "keras": ["keras"], "jax": ["jax", "flax"], "sklearn": ["sklearn"]}
 MODEL_PATTERN = r"class\s+\w+\s*\(\s*(?:nn\.Module|keras\.Model|tf\.keras\.Model)\s*\)|(?:nn\.Sequential|keras\.Sequential|tf\.keras\.Sequential)\s*\(|(?:nn\.(?:Conv|Linear|LSTM|GRU|BatchNorm|Dropout|Embedding|Transformer)|layers\.(?:Dense|Conv))"
 TRAINING_PATTERN = r"(?:\.backward\(\)|optimizer\.(?:step|zero_grad)|model\.fit\(|model\.train\(\))"
 PIPELINE_PATTERN = r"(?:DataLoader|Dataset|transforms\.(?:Compose|Normalize)|tf\.data)"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,27 +13,34 @@ from ..functions import scalars as S
 
 def content_signals(content: Column) -> Column:
     """X16 as a struct of flags over the first 4 KB."""
+    return F.struct(*[c.alias(name) for name, c in signal_columns(content).items()])
+
+
+def signal_columns(content: Column) -> dict[str, Column]:
+    """X16 by name: a query that needs a few signals computes only those."""
     c = F.substring(F.coalesce(content, F.lit("")), 1, 4096)
-    trimmed = F.transform(F.split(c, "\n"), lambda x: F.trim(x))
-    code = F.filter(trimmed, lambda x: (x != "") & ~x.startswith("#") & ~x.startswith("//"))
-    n = F.size(code)
-    exports = F.size(F.filter(code, lambda x: x.rlike(r"^(from |export |module\.exports|__all__)")))
-    constants = F.size(F.filter(code, lambda x: x.rlike(r"^[A-Z][A-Z_0-9]+\s*=")))
+    # counts of line starts in one scan each; a code line is not blank and no comment
+    lines = lambda p: F.regexp_count(c, F.lit(r"(?m)^[ \t\r\f]*+" + p))
+    n = lines(r"(?!#|//)\S")
+    exports = lines(r"(?:from |export |module\.exports|__all__)")
+    constants = lines(r"[A-Z][A-Z_0-9]+\s*=")
     routes = sum((F.regexp_count(c, F.lit(p)) for p in V.ROUTE_PATTERNS), F.lit(0))
-    frameworks = F.filter(F.array(*[F.when(c.rlike(p), F.lit(name)) for name, p in V.FRAMEWORK_PATTERNS.items()]), lambda x: x.isNotNull())
-    return F.struct(
-        (c.contains("if __name__") & c.contains("__main__")).alias("has_main_guard"),
-        c.rlike(r"def\s+main\s*\(|func\s+main\s*\(|public\s+static\s+void\s+main").alias("has_main_function"),
-        (c.rlike(r"app\.listen\s*\(|createServer\s*\(|uvicorn\.run") | (c.rlike(r"\.run\s*\(") & c.rlike("Flask|FastAPI|uvicorn|Django"))).alias("starts_server"),
-        (F.regexp_count(c, F.lit(r"(?:class|interface|struct|enum)\s+\w+")) >= 2).alias("has_class_defs"),
-        (routes >= 2).alias("has_route_defs"),
-        ((n > 0) & (exports > 0.7 * n)).alias("exports_only"),
-        ((n > 3) & (constants > 0.4 * n)).alias("mostly_constants"),
-        frameworks.alias("ml_frameworks"),
-        c.rlike(V.MODEL_PATTERN).alias("has_ml_model_def"),
-        c.rlike(V.TRAINING_PATTERN).alias("has_ml_training"),
-        c.rlike(V.PIPELINE_PATTERN).alias("has_ml_pipeline"),
-    )
+    # a plain substring that every match needs is cheaper than the pattern, and mostly absent
+    has = lambda *words: reduce(lambda a, b: a | b, [c.contains(w) for w in words])
+    frameworks = F.filter(F.array(*[F.when(has(*V.FRAMEWORK_WORDS[name]) & c.rlike(p), F.lit(name)) for name, p in V.FRAMEWORK_PATTERNS.items()]), lambda x: x.isNotNull())
+    return {
+        "has_main_guard": (c.contains("if __name__") & c.contains("__main__")),
+        "has_main_function": (has("main") & c.rlike(r"def\s+main\s*\(|func\s+main\s*\(|public\s+static\s+void\s+main")),
+        "starts_server": ((has("app.listen", "createServer", "uvicorn.run") & c.rlike(r"app\.listen\s*\(|createServer\s*\(|uvicorn\.run")) | (has("Flask", "FastAPI", "uvicorn", "Django") & c.rlike(r"\.run\s*\("))),
+        "has_class_defs": (has("class", "interface", "struct", "enum") & (F.regexp_count(c, F.lit(r"(?:class|interface|struct|enum)\s+\w+")) >= 2)),
+        "has_route_defs": (routes >= 2),
+        "exports_only": ((n > 0) & (exports > 0.7 * n)),
+        "mostly_constants": ((n > 3) & (constants > 0.4 * n)),
+        "ml_frameworks": frameworks,
+        "has_ml_model_def": (has("nn.", "keras", "layers.") & c.rlike(V.MODEL_PATTERN)),
+        "has_ml_training": (has(".backward()", "optimizer.", "model.") & c.rlike(V.TRAINING_PATTERN)),
+        "has_ml_pipeline": (has("Data", "transforms", "tf.data") & c.rlike(V.PIPELINE_PATTERN)),
+    }
 
 
 def graph_role_candidates(i: Column, o: Column, avg_in: Column, avg_out: Column, max_in: Column, max_out: Column) -> Column:

@@ -324,8 +324,8 @@ def content_hashes(spark, d):
   len(regexp_extract_all(c, '(?:class|interface|struct|enum)\s+\w+')) >= 2 AS has_class_defs, regexp_matches(c, '(?:\.backward\(\)|optimizer\.(?:step|zero_grad)|model\.fit\(|model\.train\(\))') AS has_ml_training
 FROM (SELECT doc_id, substr(text, 1, 4096) AS c FROM documents)""")
 def content_signals(spark, d):
-    s = A.table(spark, d, "documents").select("doc_id", L.content_signals(F.col("text")).alias("s"))
-    return s.select("doc_id", "s.has_main_guard", "s.has_main_function", "s.has_class_defs", "s.has_ml_training")
+    s = L.signal_columns(F.col("text"))
+    return A.table(spark, d, "documents").select("doc_id", *[s[n].alias(n) for n in ("has_main_guard", "has_main_function", "has_class_defs", "has_ml_training")])
 
 
 VEC = "[" + ", ".join(f"{x}::DOUBLE" for x in QUERY_VECTOR) + "]"
