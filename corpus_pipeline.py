@@ -1,32 +1,42 @@
 """A corpus pipeline: quality, near duplicates, decontamination, mixing, sharding.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows of its predecessor; its
-decisions take effect.  All but the last return the columns of the documents.
+decisions take effect.  All but the last return the columns of the documents, unchanged
+whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import mixing, quality, sharding, simhash, winnow
 from graphloom.llm.common import delete_path, new_path, scratch
 
 
+def _aside(docs: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with all columns but the used ones renamed, so that none clashes with an operator's, and the way back."""
+    names = {c: c if c in used else f"__own_{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), [F.col(n).alias(c) for c, n in names.items()]
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects (score below its threshold) go."""
+    docs, back = _aside(docs, "doc_id", "text")
     forest = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, forest).where("predicted = 1").select(*docs.columns)
+    return quality.score(docs, forest).where("predicted = 1").select(*back)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays, that of the smallest id."""
-    return simhash.keep_one(docs)
+    docs, back = _aside(docs, "doc_id", "text")
+    return simhash.keep_one(docs).select(*back)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
-    return winnow.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("not contaminated").select(*docs.columns)
+    docs, back = _aside(docs, "doc_id", "text")
+    return winnow.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("not contaminated").select(*back)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,12 +45,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document without words weighs nothing and stays once.  Rows equal in id, source and
     text share their copies evenly.
     """
+    docs, back = _aside(docs, "doc_id", "text", "source")
     taken = mixing.mix_taken(docs, source_col="source").withColumn("__copies", F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size"))))
     copies = taken.groupBy("__row").agg(F.sum("__copies").cast("int").alias("__all"), F.count(F.lit(1)).cast("int").alias("__same"))
     joined = docs.withColumn("__row", mixing.row_key("doc_id", "text", "source")).join(copies, "__row")
     turn = F.row_number().over(Window.partitionBy("__row").orderBy("doc_id"))
     own = F.floor(F.col("__all") / F.col("__same")) + F.when(turn <= F.col("__all") % F.col("__same"), 1).otherwise(0)
-    return joined.withColumn("__own", own.cast("int")).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__own")))).select(*docs.columns)
+    return joined.withColumn("__own", own.cast("int")).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__own")))).select(*back)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -77,3 +77,16 @@ def test_stages_survive_odd_rows(spark, tmp_path):
             assert got.where(F.lit(True)).count() >= 0
             if n == "none":
                 assert got.count() == 0
+
+
+def test_stages_leave_clashing_columns_alone(spark, tmp_path):
+    clash = ["score", "predicted", "n_words", "contaminated", "__spans", "__key", "__n", "__row", "__own", "component_id", "fp", "a.b"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = docs.select("*", *(F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")).alias(c) for c in clash))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, SF).write.parquet(str(tmp_path / name))
+        got = spark.read.parquet(str(tmp_path / name))
+        assert got.columns == docs.columns and got.count() > 0
+        wrong = " or ".join(f"`{c}` is null or `{c}` <> concat('{c}:', doc_id)" for c in clash)
+        assert got.where(wrong).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
