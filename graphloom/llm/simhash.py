@@ -4,7 +4,13 @@ Method: 64-bit fingerprints are cut into three segments.  Fingerprints at distan
 less agree up to one bit in the first or second segment or exactly in the third (were all
 three exceeded, the distance would be 2 + 2 + 1 = 5).  Each distinct fingerprint enters one
 table per segment and probes it with the segment's small Hamming ball; fetched matches are
-verified on their complete distance.  A task reduces its links to a spanning forest before
+verified on their complete distance.
+
+A segment value should hold few fingerprints by chance.  Beyond ``MANY`` distinct ones 21
+bits are too few for that, and two segments of 32 bits serve, with radius 1 and radius 2
+(2 + 3 = 5 again).  Radius 2 is met half-way: table entries and probes take balls of radius
+1 each, 66 keys where one side alone would need 530.  Both layouts find the same links.
+  A task reduces its links to a spanning forest before
 it emits them, so that a large group of near copies gives a line per member, not per pair.
 """
 
@@ -23,8 +29,11 @@ from .common import components, materialize
 SHINGLE = 4
 SEED = 42
 DISTANCE = 4
-#: (lowest bit, bits, radius) of the segments
-SEGMENTS = [(0, 21, 1), (21, 21, 1), (42, 22, 0)]
+#: (lowest bit, bits, radius of probes, radius of table entries) of the segments
+SEGMENTS = [(0, 21, 1, 0), (21, 21, 1, 0), (42, 22, 0, 0)]
+WIDE_SEGMENTS = [(0, 32, 1, 0), (32, 32, 1, 1)]
+#: distinct fingerprints from which chance matches cost more than the wide layout's keys
+MANY = 500_000_000
 #: table entries of one segment value beyond which its probes are dealt over several tasks
 HOT = 20_000
 CANDIDATES = 2_000_000
@@ -129,14 +138,15 @@ def link_forest(distinct: DataFrame) -> DataFrame:
     ``distinct`` has one row per distinct fingerprint in column fp.
     """
     spark = distinct.sparkSession
-    segments = []
-    for s, (low, bits, radius) in enumerate(SEGMENTS):
-        value = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << bits) - 1))
-        tag = F.lit(s << 32)
-        ball = [value.bitwiseOR(tag)] + ([value.bitwiseXOR(F.lit(1 << i)).bitwiseOR(tag) for i in range(bits)] if radius else [])
-        segments.append((value.bitwiseOR(tag), ball))
-    table = distinct.select("fp", F.explode(F.array(*[v for v, _ in segments])).alias("key"), F.lit(False).alias("probe"))
-    probes = distinct.select("fp", F.explode(F.array(*[x for _, ball in segments for x in ball])).alias("key"), F.lit(True).alias("probe"))
+    n = distinct.count()
+    tables, balls = [], []
+    for s, (low, bits, reach, spread) in enumerate(SEGMENTS if n < MANY else WIDE_SEGMENTS):
+        value = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << bits) - 1)).bitwiseOR(F.lit(s << 32))
+        ball = [value, *(value.bitwiseXOR(F.lit(1 << i)) for i in range(bits))]
+        tables += ball if spread else ball[:1]
+        balls += ball if reach else ball[:1]
+    table = distinct.select("fp", F.explode(F.array(*tables)).alias("key"), F.lit(False).alias("probe"))
+    probes = distinct.select("fp", F.explode(F.array(*balls)).alias("key"), F.lit(True).alias("probe"))
     hot = materialize(table.groupBy("key").count().where(F.col("count") > HOT).select("key", F.ceil(F.col("count") / HOT).cast("int").alias("parts")), "simhash-hot")
     if hot.isEmpty():
         both = table.unionByName(probes).withColumn("salt", F.lit(0))
@@ -145,7 +155,7 @@ def link_forest(distinct: DataFrame) -> DataFrame:
         table = table.join(hot, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), many - 1))).drop("parts")
         probes = probes.join(hot, "key", "left").withColumn("salt", F.pmod(F.xxhash64("fp"), many).cast("int")).drop("parts")
         both = table.unionByName(probes)
-    rows = 48 * distinct.count()
+    rows = (len(tables) + len(balls)) * n
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // 1_000_000))
     dealt = both.repartition(parts, F.xxhash64("key", "salt")).select(F.xxhash64("key", "salt").alias("key"), "fp", "probe")
     return dealt.mapInArrow(_forest, "a bigint, b bigint")

@@ -110,8 +110,10 @@ def test_simhash_equals_brute_force(spark):
     assert rows == brute_groups([(i, brute_fp(t)) for i, t in docs])
 
 
-def test_simhash_links_on_random_fingerprints(spark, monkeypatch):
+@pytest.mark.parametrize("many", [simhash.MANY, 1])
+def test_simhash_links_on_random_fingerprints(spark, monkeypatch, many):
     monkeypatch.setattr(simhash, "HOT", 7)
+    monkeypatch.setattr(simhash, "MANY", many)
     rng = random.Random(3)
     fps = []
     for _ in range(40):
