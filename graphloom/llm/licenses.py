@@ -1,10 +1,10 @@
 """Operator 9: license scans by ordered signature rules.
 
 Method: hundreds of regular expressions over the normalised words of a text (lower case,
-one blank between words).  A rule names a keyword; a set intersection of the text's words
-with all keywords tells which rules are tried at all.  Overlapping detections are resolved
-in order: an interval inside another of at least its priority is suppressed.  Base phrases
-are reported besides and never suppressed.
+one blank between words).  A rule names the words of which each of its matches holds at
+least one; a set intersection of the text's words with all of these tells which rules are
+tried at all.  Overlapping detections are resolved in order: an interval inside another of
+at least its priority is suppressed.  Base phrases are reported besides and never suppressed.
 """
 
 from __future__ import annotations
@@ -23,33 +23,33 @@ from . import textnp
 #: fixed values of the contract: phrases and their labels
 BASE = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
 
-# One line per license: SPDX id; keyword; name as a regex over normalised words; a URL or ''.
+# One line per license: SPDX id; keywords, one of which is a whole word of every match; name as a regex over normalised words; a URL or ''.
 _L = r"licen[cs]e"
 _FAMILIES = [
     ("mit", "mit", r"mit(?: x11)?", "opensource org licenses mit"),
     ("mit-0", "mit", r"mit (?:0|no attribution)", "opensource org license mit 0"),
-    ("apache-2.0", "apache", rf"apache(?: software)?(?: {_L})?(?: version| v)? ?2(?: 0)?", "apache org licenses license 2 0"),
-    ("apache-1.1", "apache", rf"apache(?: software)?(?: {_L})?(?: version| v)? ?1 1", "apache org licenses license 1 1"),
-    ("gpl-2.0-only", "gpl", r"(?:gnu )?gpl ?v?2(?: 0)?(?: only)?", "gnu org licenses gpl 2 0"),
-    ("gpl-3.0-only", "gpl", r"(?:gnu )?gpl ?v?3(?: 0)?(?: only)?", "gnu org licenses gpl 3 0"),
-    ("gpl-2.0-or-later", "gpl", r"(?:gnu )?gpl ?v?2(?: 0)? (?:or|and) (?:any )?later", ""),
-    ("gpl-3.0-or-later", "gpl", r"(?:gnu )?gpl ?v?3(?: 0)? (?:or|and) (?:any )?later", ""),
-    ("lgpl-2.1-only", "lgpl", r"(?:gnu )?lgpl ?v?2 1(?: only)?", "gnu org licenses lgpl 2 1"),
-    ("lgpl-3.0-only", "lgpl", r"(?:gnu )?lgpl ?v?3(?: 0)?(?: only)?", "gnu org licenses lgpl 3 0"),
-    ("agpl-3.0-only", "agpl", r"(?:gnu )?agpl ?v?3(?: 0)?(?: only)?", "gnu org licenses agpl 3 0"),
-    ("gfdl-1.3", "gfdl", r"(?:gnu )?(?:gfdl|fdl) ?v?1 3", "gnu org licenses fdl 1 3"),
-    ("bsd-2-clause", "bsd", r"(?:simplified |freebsd )?bsd(?: 2| two)? ?(?:2 )?clause", "opensource org licenses bsd 2 clause"),
+    ("apache-2.0", "apache apache2", rf"apache(?: software)?(?: {_L})?(?: version| v)? ?2(?: 0)?", "apache org licenses license 2 0"),
+    ("apache-1.1", "apache apache1", rf"apache(?: software)?(?: {_L})?(?: version| v)? ?1 1", "apache org licenses license 1 1"),
+    ("gpl-2.0-only", "gpl gpl2 gplv2", r"(?:gnu )?gpl ?v?2(?: 0)?(?: only)?", "gnu org licenses gpl 2 0"),
+    ("gpl-3.0-only", "gpl gpl3 gplv3", r"(?:gnu )?gpl ?v?3(?: 0)?(?: only)?", "gnu org licenses gpl 3 0"),
+    ("gpl-2.0-or-later", "gpl gpl2 gplv2", r"(?:gnu )?gpl ?v?2(?: 0)? (?:or|and) (?:any )?later", ""),
+    ("gpl-3.0-or-later", "gpl gpl3 gplv3", r"(?:gnu )?gpl ?v?3(?: 0)? (?:or|and) (?:any )?later", ""),
+    ("lgpl-2.1-only", "lgpl lgpl2 lgplv2", r"(?:gnu )?lgpl ?v?2 1(?: only)?", "gnu org licenses lgpl 2 1"),
+    ("lgpl-3.0-only", "lgpl lgpl3 lgplv3", r"(?:gnu )?lgpl ?v?3(?: 0)?(?: only)?", "gnu org licenses lgpl 3 0"),
+    ("agpl-3.0-only", "agpl agpl3 agplv3", r"(?:gnu )?agpl ?v?3(?: 0)?(?: only)?", "gnu org licenses agpl 3 0"),
+    ("gfdl-1.3", "gfdl gfdl1 gfdlv1 fdl fdl1 fdlv1", r"(?:gnu )?(?:gfdl|fdl) ?v?1 3", "gnu org licenses fdl 1 3"),
+    ("bsd-2-clause", "bsd bsd2 bsdclause", r"(?:simplified |freebsd )?bsd(?: 2| two)? ?(?:2 )?clause", "opensource org licenses bsd 2 clause"),
     ("bsd-3-clause", "bsd", r"(?:new |modified |revised )?bsd (?:3|three) clause", "opensource org licenses bsd 3 clause"),
     ("bsd-4-clause", "bsd", r"(?:original )?bsd (?:4|four) clause", ""),
-    ("0bsd", "0bsd", r"(?:zero clause bsd|0bsd)", "opensource org licenses 0bsd"),
+    ("0bsd", "0bsd bsd", r"(?:zero clause bsd|0bsd)", "opensource org licenses 0bsd"),
     ("isc", "isc", r"isc", "opensource org licenses isc"),
     ("mpl-1.1", "mozilla", rf"mozilla public {_L}(?: version| v)? ?1 1", "mozilla org mpl 1 1"),
     ("mpl-2.0", "mozilla", rf"mozilla public {_L}(?: version| v)? ?2(?: 0)?", "mozilla org mpl 2 0"),
-    ("mpl-2.0", "mpl", r"mpl ?v?2(?: 0)?", ""),
+    ("mpl-2.0", "mpl mpl2 mplv2", r"mpl ?v?2(?: 0)?", ""),
     ("epl-1.0", "eclipse", rf"eclipse public {_L}(?: version| v)? ?1 0", "eclipse org legal epl v10"),
     ("epl-2.0", "eclipse", rf"eclipse public {_L}(?: version| v)? ?2 0", "eclipse org legal epl 2 0"),
-    ("cddl-1.0", "cddl", r"cddl ?v?1 0", "opensource org licenses cddl 1 0"),
-    ("cddl-1.1", "cddl", r"cddl ?v?1 1", ""),
+    ("cddl-1.0", "cddl cddl1 cddlv1", r"cddl ?v?1 0", "opensource org licenses cddl 1 0"),
+    ("cddl-1.1", "cddl cddl1 cddlv1", r"cddl ?v?1 1", ""),
     ("cddl-1.0", "distribution", rf"common development and distribution {_L}", ""),
     ("cpl-1.0", "common", rf"common public {_L}", "opensource org licenses cpl1 0"),
     ("bsl-1.0", "boost", rf"boost software {_L}(?: version)? ?1 0", "boost org license 1 0"),
@@ -70,11 +70,11 @@ _FAMILIES = [
     ("ncsa", "ncsa", r"(?:university of illinois )?ncsa", "opensource org licenses ncsa"),
     ("w3c", "w3c", r"w3c(?: software)?(?: notice and)?", "w3 org consortium legal 2015 copyright software"),
     ("ofl-1.1", "sil", rf"sil open font {_L}", "scripts sil org ofl"),
-    ("eupl-1.1", "eupl", r"eupl ?v?1 1", ""),
-    ("eupl-1.2", "eupl", r"eupl ?v?1 2", "joinup ec europa eu collection eupl"),
+    ("eupl-1.1", "eupl eupl1 euplv1", r"eupl ?v?1 1", ""),
+    ("eupl-1.2", "eupl eupl1 euplv1", r"eupl ?v?1 2", "joinup ec europa eu collection eupl"),
     ("eupl-1.2", "european", rf"european union public {_L}", ""),
     ("cecill-2.1", "cecill", r"cecill(?: 2 1)?", "cecill info licences"),
-    ("osl-3.0", "osl", r"osl ?v?3 0", "opensource org licenses osl 3 0"),
+    ("osl-3.0", "osl osl3 oslv3", r"osl ?v?3 0", "opensource org licenses osl 3 0"),
     ("afl-3.0", "academic", rf"academic free {_L}(?: version| v)? ?3 0", "opensource org licenses afl 3 0"),
     ("ms-pl", "microsoft", rf"microsoft public {_L}", "opensource org licenses ms pl"),
     ("ms-rl", "microsoft", rf"microsoft reciprocal {_L}", "opensource org licenses ms rl"),
@@ -84,10 +84,10 @@ _FAMILIES = [
     ("pddl-1.0", "pddl", r"pddl(?: 1 0)?", "opendatacommons org licenses pddl"),
     ("sspl-1.0", "sspl", r"sspl(?: v?1)?", "mongodb com licensing server side public license"),
     ("elastic-2.0", "elastic", rf"elastic {_L}(?: 2 0)?", "elastic co licensing elastic license"),
-    ("upl-1.0", "upl", r"upl ?v?1 0", "opensource org licenses upl"),
+    ("upl-1.0", "upl upl1 uplv1", r"upl ?v?1 0", "opensource org licenses upl"),
     ("vim", "vim", r"vim", ""),
     ("x11", "x11", r"x11", ""),
-    ("beerware", "beerware", r"beer ?ware", ""),
+    ("beerware", "beerware beer", r"beer ?ware", ""),
     ("json", "json", r"json", "json org license"),
     ("blueoak-1.0.0", "blue", r"blue oak model", "blueoakcouncil org license 1 0 0"),
     ("mulan-psl-2.0", "mulan", r"mulan (?:psl|permissive software)(?: v2)?", "license coscl org cn mulanpsl2"),
@@ -102,7 +102,7 @@ _FAMILIES = [
     ("cc-by-nc-nd-4.0", "cc", r"cc by nc nd 4 0", "creativecommons org licenses by nc nd 4 0"),
 ]
 
-# Texts and notices with a signature of their own: label; priority; keyword; regex.
+# Texts and notices with a signature of their own: label; priority; keywords; regex.
 _NOTICES = [
     ("mit", 80, "granted", r"permission is hereby granted free of charge to any person obtaining a copy(?: of this software)?"),
     ("mit", 70, "noninfringement", r"warranties of merchantability fitness for a particular purpose and noninfringement"),
@@ -162,22 +162,22 @@ _TAG, _URL, _GRANT, _NAME = 95, 90, 85, 50
 class Rule:
     label: str
     priority: int
-    keyword: bytes
+    keywords: frozenset[bytes]
     pattern: re.Pattern
 
 
-def _rule(label: str, priority: int, keyword: str, pattern: str) -> Rule:
-    return Rule(label, priority, keyword.encode(), re.compile(rb"(?<= )(?:" + pattern.encode() + rb")(?= )", re.S))
+def _rule(label: str, priority: int, keywords: str, pattern: str) -> Rule:
+    return Rule(label, priority, frozenset(keywords.encode().split()), re.compile(rb"(?<= )(?:" + pattern.encode() + rb")(?= )", re.S))
 
 
 def rules() -> list[Rule]:
     """All signatures in order: highest priority first, then as listed."""
     out = []
-    for label, keyword, name, url in _FAMILIES:
+    for label, keywords, name, url in _FAMILIES:
         spdx = re.sub(r"[^0-9a-z]+", " ", label)
         out.append(_rule(label, _TAG, "identifier", rf"spdx {_L} identifier {spdx}(?: only)?"))
-        out.append(_rule(label, _GRANT, keyword, rf"(?:licensed|released|distributed|available|provided|published) under (?:the )?(?:terms of )?(?:the )?{name}(?: {_L})?"))
-        out.append(_rule(label, _NAME, keyword, rf"(?:the )?{name} {_L}"))
+        out.append(_rule(label, _GRANT, keywords, rf"(?:licensed|released|distributed|available|provided|published) under (?:the )?(?:terms of )?(?:the )?{name}(?: {_L})?"))
+        out.append(_rule(label, _NAME, keywords, rf"(?:the )?{name} {_L}"))
         if url:
             out.append(_rule(label, _URL, url.split()[0], url))
     out += [_rule(*x) for x in _NOTICES]
@@ -188,7 +188,8 @@ class Scanner:
     def __init__(self) -> None:
         self.by_keyword: dict[bytes, list[Rule]] = {}
         for r in rules():
-            self.by_keyword.setdefault(r.keyword, []).append(r)
+            for k in r.keywords:
+                self.by_keyword.setdefault(k, []).append(r)
         self.base = [(re.compile(rb"(?<= )" + p.encode() + rb"(?= )"), p.split()[0].encode(), label) for p, label in BASE]
         self.keywords = frozenset([*self.by_keyword, *(k for _, k, _ in self.base)])
 
@@ -206,7 +207,8 @@ class Scanner:
                 places += found
                 if found:
                     base.add(label)
-        hits = [(m.start(), m.end(), r.priority, r.label) for k in met for r in self.by_keyword.get(k, ()) for m in r.pattern.finditer(norm)]
+        tried = {id(r): r for k in met for r in self.by_keyword.get(k, ())}
+        hits = [(m.start(), m.end(), r.priority, r.label) for r in tried.values() for m in r.pattern.finditer(norm)]
         kept = suppress(hits)
         first = norm.count(b" ", 0, min(places)) - 1 if places else None
         last = norm.count(b" ", 0, max(places)) - 1 if places else None

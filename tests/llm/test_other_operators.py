@@ -203,6 +203,49 @@ def test_license_rules():
     assert labels("nothing to see here") == []
 
 
+def spelled(items):
+    """Every text of a parsed pattern: an open repeat counts with its least length, a class with its first member."""
+    out = [""]
+    for op, arg in items:
+        name = str(op)
+        if name == "LITERAL":
+            ways = [chr(arg)]
+        elif name == "ANY":
+            ways = ["x"]
+        elif name == "IN":
+            ways = ["1"] if str(arg[0][0]) == "CATEGORY" else [chr(x) for _, x in arg]
+        elif name == "BRANCH":
+            ways = [w for part in arg[1] for w in spelled(part)]
+        elif name == "SUBPATTERN":
+            ways = spelled(arg[-1])
+        elif name in ("ASSERT", "ASSERT_NOT"):
+            ways = [""]
+        else:
+            least, most, part = arg
+            ways = [w * n for w in spelled(part) for n in range(least, most + 1 if most == 1 else least + 1)]
+        out = [a + w for a in out for w in ways]
+    return out
+
+
+def test_license_prefilter_tries_every_rule_that_matches():
+    scanner, every = licenses.Scanner(), licenses.Scanner()
+    every.keywords = frozenset([*scanner.keywords, b"all"])
+    every.by_keyword = {b"all": licenses.rules()}
+    texts = set()
+    for r in licenses.rules():
+        body = r.pattern.pattern.decode().removeprefix("(?<= )").removesuffix("(?= )")
+        mine = spelled(re._parser.parse(body))
+        assert all(r.pattern.search(f" {x} ".encode()) for x in mine)
+        texts |= set(mine)
+    assert len(texts) > 2000
+    for x in sorted(texts):
+        assert scanner.scan(f"all {x}".encode()) == every.scan(f"all {x}".encode()), x
+    assert labels("released under the GPLv3") == ["gpl-3.0-only"]
+    assert labels("Licensed under Apache2") == ["apache-2.0"]
+    assert labels("available under the Zero Clause BSD") == ["0bsd"]
+    assert labels("Beer-Ware License") == ["beerware"]
+
+
 def test_license_suppression():
     hits = [(0, 10, 50, "outer"), (2, 5, 50, "inner"), (3, 8, 80, "strong"), (0, 10, 50, "outer"), (8, 14, 10, "over")]
     assert licenses.suppress(hits) == [(0, 10, 50, "outer"), (3, 8, 80, "strong"), (8, 14, 10, "over")]
