@@ -36,3 +36,33 @@ def test_components_equal_union_find(spark, tables):
         up[b] = a
     got = {r["node"]: r["component"] for r in catalogue.QUERIES["components"](spark, tables(edges)).collect()}
     assert got == {n: root(n) for n in up}
+
+
+def fifo(edges):
+    """Kahn's order with a sorted queue, and longest-path levels."""
+    near, left = {}, {n: 0 for e in edges for n in e}
+    for a, b in set(edges):
+        near.setdefault(a, []).append(b)
+        left[b] += 1
+    queue = sorted(n for n in left if not left[n])
+    level, order = dict.fromkeys(left, 0), []
+    while queue:
+        n = queue.pop(0)
+        order.append(n)
+        for m in sorted(near.get(n, [])):
+            level[m] = max(level[m], level[n] + 1)
+            left[m] -= 1
+            if not left[m]:
+                queue.append(m)
+    return order, level
+
+
+def test_dag_queries_equal_brute_force(spark, tables):
+    rng = random.Random(5)
+    edges = [(rng.randrange(1, 600), rng.randrange(1, 600)) for _ in range(300)] + [(50, 700), (700, 701), (701, 702)]
+    d = tables([e for e in edges if e[0] != e[1]])
+    order, level = fifo([e for e in edges if e[0] < e[1]])
+    assert {r["node"]: r["tier"] for r in catalogue.QUERIES["dag_tiers"](spark, d).collect()} == level
+    assert {r["node"]: r["level"] for r in catalogue.QUERIES["kahn_levels"](spark, d).collect()} == level
+    got = catalogue.QUERIES["kahn_order"](spark, d).collect()
+    assert [r["node"] for r in sorted(got, key=lambda r: r["rank"])] == order and [*range(1, len(order) + 1)] == sorted(r["rank"] for r in got)
