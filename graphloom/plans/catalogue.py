@@ -610,7 +610,7 @@ def containers(spark, d):
 
 @query("communities")
 def communities(spark, d):
-    f = A.files(spark, d).where("id < 400").select(F.col("language").alias("layer"), F.col("id").cast("string").alias("path"))
+    f = A.files(spark, d).select(F.col("language").alias("layer"), F.col("id").cast("string").alias("path"))
     e = A.edges(spark, d).select(F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target"))
     return G.label_propagation(f, e)
 

@@ -66,3 +66,10 @@ def test_dag_queries_equal_brute_force(spark, tables):
     assert {r["node"]: r["level"] for r in catalogue.QUERIES["kahn_levels"](spark, d).collect()} == level
     got = catalogue.QUERIES["kahn_order"](spark, d).collect()
     assert [r["node"] for r in sorted(got, key=lambda r: r["rank"])] == order and [*range(1, len(order) + 1)] == sorted(r["rank"] for r in got)
+
+
+def test_communities_cover_every_file(spark, tables):
+    edges = [(a, b) for k in (1, 400, 900) for a, b in [(k, k + 1), (k + 1, k + 2), (k, k + 2)]] + [(1500, 1)]
+    got = {int(r["node"]): (r["layer"], r["community"]) for r in catalogue.QUERIES["communities"](spark, tables(edges, lambda n: "x" if n < 1000 else "y")).collect()}
+    want = {n: ("x", str(k + 1)) for k in (1, 400, 900) for n in range(k, k + 3)} | {1500: ("y", "1500")}
+    assert got == want
