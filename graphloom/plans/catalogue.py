@@ -535,7 +535,7 @@ def bfs_depth3(spark, d):
 @query("trace_up", _reach_sql("(SELECT max(target) FROM pairs)", "target", "source", 4))
 def trace_up(spark, d):
     e = A.edges(spark, d)
-    return G.reach(e, e.agg(F.max("target").alias("node")), 4, reverse=True)
+    return G.reach(e, e.agg(F.max("target").alias("node")), None, reverse=True)
 
 
 @query("components", f"""WITH RECURSIVE {EDGES},

@@ -73,3 +73,8 @@ def test_communities_cover_every_file(spark, tables):
     got = {int(r["node"]): (r["layer"], r["community"]) for r in catalogue.QUERIES["communities"](spark, tables(edges, lambda n: "x" if n < 1000 else "y")).collect()}
     want = {n: ("x", str(k + 1)) for k in (1, 400, 900) for n in range(k, k + 3)} | {1500: ("y", "1500")}
     assert got == want
+
+
+def test_trace_up_has_no_depth_limit(spark, tables):
+    d = tables([(i, i + 1) for i in range(1, 12)] + [(12, 4), (3, 12)])
+    assert {r["node"]: r["depth"] for r in catalogue.QUERIES["trace_up"](spark, d).collect()} == {12: 0, 11: 1, 3: 1, 10: 2, 2: 2, 9: 3, 1: 3, 8: 4, 7: 5, 6: 6, 5: 7, 4: 8}
