@@ -204,8 +204,9 @@ flagged AS (SELECT scored.*, in_degree = 0 AND NOT (out_degree > 0 AND in_degree
 
 
 def flagged(spark, d) -> DataFrame:
-    s = scored(spark, d).withColumn("is_entry", (F.col("out_degree") > 0) & (F.col("in_degree") == 0)).withColumn("in_cycle", F.lit(False))
-    return R.flags(s)
+    s = scored(spark, d).withColumn("is_entry", (F.col("out_degree") > 0) & (F.col("in_degree") == 0))
+    c = G.on_cycles(A.edges(spark, d)).select(F.col("node").alias("id"), F.lit(True).alias("in_cycle"))
+    return R.flags(s.join(c, "id", "left").na.fill(False, ["in_cycle"]))
 
 
 @query("hub_flags", f"""WITH {FLAGS}
@@ -255,7 +256,7 @@ def important_ids(spark, d):
 @query("recall_tour", f"""WITH {FLAGS}
 SELECT id, row_number() OVER (ORDER BY importance DESC, id) AS place FROM (SELECT id, importance FROM scored ORDER BY importance DESC, id LIMIT 15)""")
 def recall_tour(spark, d):
-    top = flagged(spark, d).orderBy(F.desc("importance"), "id").limit(V.TOUR_TOP)
+    top = scored(spark, d).orderBy(F.desc("importance"), "id").limit(V.TOUR_TOP)
     return R.recall_order(top.withColumn("flags", F.array())).select("id", F.col("order").cast("long").alias("place"))
 
 

@@ -78,3 +78,26 @@ def test_communities_cover_every_file(spark, tables):
 def test_trace_up_has_no_depth_limit(spark, tables):
     d = tables([(i, i + 1) for i in range(1, 12)] + [(12, 4), (3, 12)])
     assert {r["node"]: r["depth"] for r in catalogue.QUERIES["trace_up"](spark, d).collect()} == {12: 0, 11: 1, 3: 1, 10: 2, 2: 2, 9: 3, 1: 3, 8: 4, 7: 5, 6: 6, 5: 7, 4: 8}
+
+
+def test_flags_have_every_file_on_a_cycle(spark, tables):
+    rng = random.Random(7)
+    edges = [(rng.randrange(1, 60), rng.randrange(1, 60)) for _ in range(70)] + [(200 + i, 200 + (i + 1) % 6) for i in range(6)] + [(205, 300), (300, 301), (301, 300), (1, 200), (400, 401)]
+    edges = [e for e in edges if e[0] != e[1]]
+
+    def reached(n):
+        seen, todo = set(), [n]
+        while todo:
+            x = todo.pop()
+            for a, b in edges:
+                if a == x and b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        return seen
+
+    want = {n for e in edges for n in e if n in reached(n)}
+    d = tables(edges)
+    flags = {r["id"]: r["flags"].split(",") for r in catalogue.QUERIES["hub_flags"](spark, d).collect()}
+    assert {n for n, f in flags.items() if "in_cycle" in f} == want and {*range(200, 206), 300, 301} <= want
+    assert {r["flag"]: r["files"] for r in catalogue.QUERIES["flag_counts"](spark, d).collect()}["in_cycle"] == len(want)
+    assert want <= {r["id"] for r in catalogue.QUERIES["important_ids"](spark, d).collect()}
