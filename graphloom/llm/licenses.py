@@ -110,7 +110,7 @@ _NOTICES = [
     ("apache-2.0", 85, "apache", rf"licensed under the apache {_L} version 2 0"),
     ("apache-2.0", 80, "compliance", rf"you may not use this file except in compliance with the {_L}"),
     ("bsd-2-clause", 60, "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted"),
-    ("bsd-3-clause", 75, "endorse", r"neither the name of .{1,80}? may be used to endorse or promote products"),
+    ("bsd-3-clause", 75, "endorse", r"neither the name of (?:(?!neither the name of |this software is provided )[^ ]+ )+?may be used to endorse or promote products"),
     ("bsd-4-clause", 75, "advertising", r"all advertising materials mentioning features or use of this software"),
     ("gpl", 70, "redistribute", r"you can redistribute it and or modify it under the terms of the gnu (?:affero |lesser |library )?general public"),
     ("gpl-2.0-or-later", 85, "version", rf"general public {_L} as published by the free software foundation (?:either )?version 2 (?:of the {_L} )?or (?:at your option )?any later"),

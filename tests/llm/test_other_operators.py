@@ -210,7 +210,7 @@ def spelled(items):
         name = str(op)
         if name == "LITERAL":
             ways = [chr(arg)]
-        elif name == "ANY":
+        elif name in ("ANY", "NOT_LITERAL"):
             ways = ["x"]
         elif name == "IN":
             ways = ["1"] if str(arg[0][0]) == "CATEGORY" else [chr(x) for _, x in arg]
@@ -246,6 +246,14 @@ def test_license_prefilter_tries_every_rule_that_matches():
     assert labels("Beer-Ware License") == ["beerware"]
 
 
+def test_license_endorsement_takes_any_list_of_names():
+    rest = "nor the names of its contributors may be used to endorse or promote products derived from this software"
+    for names in ("X", "the Regents of the University of Somewhere and the Laboratory for Applied Things", "one, " * 200):
+        assert labels(f"Neither the name of {names} {rest}") == ["bsd-3-clause"]
+    assert labels("Neither the name of X is known. This software is provided as is. It may be used to endorse or promote products") == []
+    assert labels("Neither the name of X nor " * 3000 + rest) == ["bsd-3-clause"]
+
+
 def test_license_suppression():
     hits = [(0, 10, 50, "outer"), (2, 5, 50, "inner"), (3, 8, 80, "strong"), (0, 10, 50, "outer"), (8, 14, 10, "over")]
     assert licenses.suppress(hits) == [(0, 10, 50, "outer"), (3, 8, 80, "strong"), (8, 14, 10, "over")]
