@@ -199,8 +199,9 @@ def role_graph_rules(spark, d):
 
 FLAGS = IMPORTANCE + """,
 hub AS (SELECT greatest(1, least(10, coalesce((SELECT in_degree FROM profiles WHERE in_degree > 0 ORDER BY in_degree DESC LIMIT 1 OFFSET (SELECT greatest(1, ceil(count(*) * 0.05::DOUBLE))::BIGINT - 1 FROM profiles WHERE in_degree > 0)), 0))) AS h),
+cyc AS (SELECT source AS a, target AS b FROM pairs UNION SELECT a, target FROM cyc JOIN pairs ON b = source),
 god AS (SELECT greatest(1, least(40000, coalesce((SELECT size FROM profiles WHERE size > 0 ORDER BY size DESC LIMIT 1 OFFSET (SELECT greatest(1, ceil(count(*) * 0.02::DOUBLE))::BIGINT - 1 FROM profiles WHERE size > 0)), 0))) AS g),
-flagged AS (SELECT scored.*, in_degree = 0 AND NOT (out_degree > 0 AND in_degree = 0) AS orphan, in_degree >= h AS hub, out_degree > 0 AND in_degree = 0 AS entry_point, size >= g AS god_file FROM scored, hub, god)"""
+flagged AS (SELECT scored.*, in_degree = 0 AND NOT (out_degree > 0 AND in_degree = 0) AS orphan, id IN (SELECT a FROM cyc WHERE a = b) AS in_cycle, in_degree >= h AS hub, out_degree > 0 AND in_degree = 0 AS entry_point, size >= g AS god_file FROM scored, hub, god)"""
 
 
 def flagged(spark, d) -> DataFrame:
@@ -209,14 +210,14 @@ def flagged(spark, d) -> DataFrame:
     return R.flags(s.join(c, "id", "left").na.fill(False, ["in_cycle"]))
 
 
-@query("hub_flags", f"""WITH {FLAGS}
-SELECT id, concat_ws(',', CASE WHEN orphan THEN 'orphan' END, CASE WHEN hub THEN 'hub' END, CASE WHEN entry_point THEN 'entry_point' END, CASE WHEN god_file THEN 'god_file' END) AS flags FROM flagged""")
+@query("hub_flags", f"""WITH RECURSIVE {FLAGS}
+SELECT id, concat_ws(',', CASE WHEN orphan THEN 'orphan' END, CASE WHEN in_cycle THEN 'in_cycle' END, CASE WHEN hub THEN 'hub' END, CASE WHEN entry_point THEN 'entry_point' END, CASE WHEN god_file THEN 'god_file' END) AS flags FROM flagged""")
 def hub_flags(spark, d):
     return flagged(spark, d).select("id", F.array_join("flags", ",").alias("flags"))
 
 
-@query("flag_counts", f"""WITH {FLAGS}
-SELECT flag, n AS files FROM (SELECT 'orphan' AS flag, count(*) FILTER (WHERE orphan)::BIGINT AS n FROM flagged UNION ALL SELECT 'hub', count(*) FILTER (WHERE hub)::BIGINT FROM flagged
+@query("flag_counts", f"""WITH RECURSIVE {FLAGS}
+SELECT flag, n AS files FROM (SELECT 'orphan' AS flag, count(*) FILTER (WHERE orphan)::BIGINT AS n FROM flagged UNION ALL SELECT 'in_cycle', count(*) FILTER (WHERE in_cycle)::BIGINT FROM flagged UNION ALL SELECT 'hub', count(*) FILTER (WHERE hub)::BIGINT FROM flagged
 UNION ALL SELECT 'entry_point', count(*) FILTER (WHERE entry_point)::BIGINT FROM flagged UNION ALL SELECT 'god_file', count(*) FILTER (WHERE god_file)::BIGINT FROM flagged) WHERE n > 0""")
 def flag_counts(spark, d):
     return R.flag_counts(flagged(spark, d))
@@ -245,15 +246,15 @@ def first_edges(spark, d):
 
 
 IMPORTANT = FLAGS + """,
-important AS (SELECT id FROM (SELECT id FROM scored ORDER BY importance DESC, id LIMIT 15) UNION SELECT id FROM flagged WHERE orphan OR hub OR entry_point OR god_file)"""
+important AS (SELECT id FROM (SELECT id FROM scored ORDER BY importance DESC, id LIMIT 15) UNION SELECT id FROM flagged WHERE orphan OR in_cycle OR hub OR entry_point OR god_file)"""
 
 
-@query("important_ids", f"WITH {IMPORTANT} SELECT id FROM important")
+@query("important_ids", f"WITH RECURSIVE {IMPORTANT} SELECT id FROM important")
 def important_ids(spark, d):
     return R.important_ids(flagged(spark, d))
 
 
-@query("recall_tour", f"""WITH {FLAGS}
+@query("recall_tour", f"""WITH RECURSIVE {FLAGS}
 SELECT id, row_number() OVER (ORDER BY importance DESC, id) AS place FROM (SELECT id, importance FROM scored ORDER BY importance DESC, id LIMIT 15)""")
 def recall_tour(spark, d):
     top = scored(spark, d).orderBy(F.desc("importance"), "id").limit(V.TOUR_TOP)
@@ -524,7 +525,8 @@ def selection_scores(spark, d):
 def _reach_sql(start: str, a: str, b: str, depth: int | None) -> str:
     limit = f" AND depth < {depth}" if depth else ""
     return f"""WITH RECURSIVE {DEG},
-r AS (SELECT {start} AS node, 0 AS depth UNION SELECT {b}, depth + 1 FROM r JOIN pairs ON node = {a} WHERE true{limit}) SELECT node, min(depth) AS depth FROM r GROUP BY node"""
+r(node, depth) USING KEY (node) AS (SELECT {start}, 0 UNION (SELECT DISTINCT {b}, depth + 1 FROM r JOIN pairs ON node = {a} WHERE {b} NOT IN (SELECT node FROM recurring.r){limit}))
+SELECT node, depth FROM r"""
 
 
 @query("bfs_depth3", _reach_sql("(SELECT min(source) FROM pairs)", "source", "target", 3))
@@ -533,36 +535,45 @@ def bfs_depth3(spark, d):
     return G.reach(e, e.agg(F.min("source").alias("node")), 3)
 
 
-@query("trace_up", _reach_sql("(SELECT max(target) FROM pairs)", "target", "source", 4))
+@query("trace_up", _reach_sql("(SELECT max(target) FROM pairs)", "target", "source", None))
 def trace_up(spark, d):
     e = A.edges(spark, d)
     return G.reach(e, e.agg(F.max("target").alias("node")), None, reverse=True)
 
 
 @query("components", f"""WITH RECURSIVE {EDGES},
-thin AS MATERIALIZED (SELECT source, target FROM pairs WHERE (source * 31 + target * 17) % 20 = 0),
-ways AS (SELECT source AS a, target AS b FROM thin UNION SELECT target, source FROM thin),
-r AS (SELECT a AS node, a AS b FROM ways UNION SELECT node, ways.b FROM r JOIN ways ON r.b = ways.a)
-SELECT node, min(b) AS component FROM r GROUP BY node""")
+ways AS MATERIALIZED (SELECT source AS a, target AS b FROM pairs UNION SELECT target, source FROM pairs),
+r(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM ways
+  UNION (SELECT o.node, min(r.component) FROM recurring.r AS o JOIN ways ON o.node = ways.a JOIN r ON r.node = ways.b GROUP BY o.node, o.component HAVING min(r.component) < o.component))
+SELECT node, component FROM r""")
 def components(spark, d):
     return G.components(A.edges(spark, d))
 
 
-DAG = f"""WITH RECURSIVE {EDGES}, dag AS MATERIALIZED (SELECT source, target FROM pairs WHERE source < target AND source < 100 AND target < 300),
-r AS (SELECT source AS node, 0 AS level FROM dag WHERE source NOT IN (SELECT target FROM dag) UNION SELECT target, level + 1 FROM r JOIN dag ON node = source)"""
+DAG = f"""WITH RECURSIVE {EDGES}, dag AS MATERIALIZED (SELECT source, target FROM pairs WHERE source < target),
+levels(node, level) USING KEY (node) AS (SELECT node, 0 FROM (SELECT source AS node FROM dag UNION SELECT target FROM dag)
+  UNION (SELECT o.node, max(f.level) + 1 FROM levels AS f JOIN dag ON f.node = source JOIN recurring.levels AS o ON o.node = target GROUP BY o.node, o.level HAVING max(f.level) + 1 > o.level))"""
 
 
-@query("dag_tiers", DAG + " SELECT node, max(level) AS tier FROM r GROUP BY node")
+@query("dag_tiers", DAG + " SELECT node, level AS tier FROM levels")
 def dag_tiers(spark, d):
     return G.dag_tiers(A.dag(spark, d))
 
 
-@query("kahn_levels", DAG + " SELECT node, max(level) AS level FROM r GROUP BY node")
+@query("kahn_levels", DAG + " SELECT node, level FROM levels")
 def kahn_levels(spark, d):
     return G.kahn_levels(A.dag(spark, d))
 
 
-@query("kahn_order")
+# the last predecessor in order lies one level up, so a level needs the ranks of the one before only
+KAHN = DAG + """,
+base AS (SELECT level, sum(n) OVER (ORDER BY level) - n AS before FROM (SELECT level, count(*) AS n FROM levels GROUP BY level)),
+ranks AS (SELECT node, 0 AS level, row_number() OVER (ORDER BY node) AS rank FROM levels WHERE level = 0
+  UNION ALL SELECT node, level, (before + row_number() OVER (ORDER BY last, node))::BIGINT FROM (
+    SELECT l.node, l.level, before, max(ranks.rank) AS last FROM ranks JOIN dag ON ranks.node = source JOIN levels l ON l.node = target AND l.level = ranks.level + 1 JOIN base ON base.level = l.level GROUP BY ALL))"""
+
+
+@query("kahn_order", KAHN + " SELECT node, rank FROM ranks")
 def kahn_order(spark, d):
     return G.kahn_order(A.dag(spark, d))
 
