@@ -4,6 +4,7 @@
   ``spark.checkpoint.dir``; they cut lineage and survive lost executors.
 * ``spread_rank``: row numbers and running sums inside arbitrarily large
   groups, in two levels, so that no group is ever gathered into one task.
+* ``materialize_bucketed``: a written table that later joins need not move.
 * ``components``: connected components by alternating star contraction.
 * ``text_slices``: bounded numpy views of Arrow string columns.
 """
@@ -25,9 +26,15 @@ SLICE_BYTES = 2 << 20
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a fresh temporary one only where none is set (tests)."""
+    """The cluster's shared folder; a temporary one only where none is set and all runs in one process.
+
+    Executors on other machines cannot see a temporary folder, so without a shared one they
+    get an error instead.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = getattr(spark, "_graphloom_dir", None)
         if not base:
             base = tempfile.mkdtemp(prefix="graphloom-")
@@ -69,6 +76,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Like ``materialize``, in ``buckets`` files by the hash of ``key``: joins on it then move only the other side.
+
+    Spark reads buckets only through its catalog, so the table is registered, resolved and
+    taken out of the catalog again; the returned plan holds its files.
+    """
+    spark = df.sparkSession
+    table = f"graphloom_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("path", new_path(spark, name)).saveAsTable(table)
+    out = spark.table(table)
+    out.schema  # noqa: B018  resolved before the name goes
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -80,23 +102,32 @@ def spread_bits(rows: int, most: int = 16) -> int:
     return min(most, max(2, (max(rows, 1).bit_length() + 1) // 2))
 
 
-def spread_rank(df: DataFrame, group: list[str], bucket: str, order: list[Column], value: str, rank: str, before: str) -> DataFrame:
-    """Adds ``rank`` (0-based) and ``before`` (sum of ``value`` over earlier rows) per group.
+def spread_rank(df: DataFrame, group: list[str], bucket: str, order: list[Column], rank: str, **before: str) -> DataFrame:
+    """Adds ``rank`` (0-based) and, for each ``new=column``, the sum of column over earlier rows, per group.
 
     Rows are ordered by ``bucket`` and then by ``order``.  Per-bucket totals are summed
     first (map-side combined); one window runs over those totals and another inside each
     (group, bucket), so the largest task holds one bucket instead of one group.
-    Group columns must not hold nulls.
+    Group columns must not hold nulls; without any, the whole table is one group.
     """
     keys = [*group, bucket]
-    totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.sum(value).alias("__v"))
+    sums = {"__n0": F.lit(1), **{f"__s_{new}": F.col(c) for new, c in before.items()}}
+    totals = df.groupBy(*keys).agg(*(F.sum(c).alias(k) for k, c in sums.items()))
     w = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*keys, F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__n0"), F.coalesce(F.sum("__v").over(w), F.lit(0)).alias("__v0"))
+    totals = totals.select(*keys, *(F.coalesce(F.sum(k).over(w), F.lit(0)).alias(k) for k in sums))
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = df.join(totals, keys)
-    out = out.withColumn(rank, F.col("__n0") + F.count(F.lit(1)).over(inside))
-    out = out.withColumn(before, F.col("__v0") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return out.drop("__n0", "__v0")
+    out = df.join(totals, keys).withColumn(rank, F.col("__n0") + F.count(F.lit(1)).over(inside))
+    for new, c in before.items():
+        out = out.withColumn(new, F.col(f"__s_{new}") + F.coalesce(F.sum(c).over(inside), F.lit(0)))
+    return out.drop(*sums)
+
+
+def range_parts(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds ``__p``, the number of the row's range in the given order, for ``spread_rank`` without a hash to bucket by.
+
+    Written to the shared folder, so that a lost executor cannot deal the ranges anew.
+    """
+    return materialize(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), name)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:

@@ -89,18 +89,27 @@ lev2 AS (
   SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, none, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
             / sum(w) OVER (ORDER BY cap / w, none, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl
   FROM lev),
-best AS (SELECT arg_min(lvl, cap / w) AS lam FROM lev2 WHERE cap > lvl * w),
+best AS (SELECT first(lvl ORDER BY cap / w, none, src) AS lam FROM lev2 WHERE cap > lvl * w),
 tgt AS (
   SELECT src, none, source_size,
          CASE WHEN lam IS NULL OR cap <= lam * w THEN cap ELSE lam * w END AS target
   FROM lev2 LEFT JOIN best ON true),
+share AS (
+  SELECT src, none, sum(round(target)::BIGINT) OVER (ORDER BY none, src) AS hi, sum(round(target)::BIGINT) OVER (ORDER BY none, src) - round(target)::BIGINT AS lo,
+         sum(round(target)::BIGINT) OVER () AS total
+  FROM tgt),
+plan AS (SELECT max(total)::BIGINT AS total, greatest(1, least(4096, max(total) // 65536))::BIGINT AS block FROM share),
+slots AS (
+  SELECT ((i >> 20) * 0.607787409740351::DOUBLE % 1 + (i & 1048575) * 0.6180339887498949::DOUBLE % 1) % 1 * total::DOUBLE AS x
+  FROM (SELECT total, unnest(range(((total + block - 1) // block)::BIGINT)) AS i FROM plan)),
+drawn AS (SELECT src, none, count(*) AS n FROM share JOIN slots ON x >= lo AND x < hi GROUP BY src, none),
 line AS (
-  SELECT s.*, t.source_size, t.target, round(t.target)::BIGINT AS want,
+  SELECT s.*, t.source_size, t.target, least(coalesce(d.n, 0) * block, 3 * t.source_size)::BIGINT AS stop,
          coalesce(sum(s.size) OVER (PARTITION BY s.src, s.none ORDER BY s.h, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
-  FROM sized s JOIN tgt t ON s.src = t.src AND s.none = t.none)
+  FROM sized s JOIN tgt t ON s.src = t.src AND s.none = t.none LEFT JOIN drawn d ON s.src = d.src AND s.none = d.none, plan)
 SELECT doc_id, size, source_size, target,
        CASE WHEN size = 0 THEN 0::BIGINT
-            ELSE ((want // source_size) * size + greatest(0, least(pos + size, want % source_size) - pos))::BIGINT END AS taken
+            ELSE ((stop // source_size) * size + greatest(0, least(pos + size, stop % source_size) - pos))::BIGINT END AS taken
 FROM line
 """
 
