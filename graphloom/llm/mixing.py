@@ -105,7 +105,8 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3,
     block = block or max(1, min(BLOCK, total // SLOTS))
     plan = materialize(schedule(sources, -(-total // block)), "mix-plan")
     drawn = plan.groupBy("__src", "__none").agg((F.count(F.lit(1)) * block).alias("__drawn"))
-    sources = sources.join(drawn, ["__src", "__none"], "left").withColumn("__end", F.least(F.coalesce("__drawn", F.lit(0)), F.col("source_size") * cap)).drop("__drawn", "__p")
+    ends = sources.join(drawn, ["__src", "__none"], "left").withColumn("__end", F.least(F.coalesce("__drawn", F.lit(0)), F.col("source_size") * cap)).drop("__drawn", "__p")
+    sources = materialize(ends, "mix-ends")  # written, so that a hot source is a skewed join, which is split
     digits = max(1, spread_bits(sized.count()) // 4)
     sized = sized.withColumn("__b", F.substring("__h", 1, digits))
     line = spread_rank(sized, ["__src", "__none"], "__b", [F.col("__h"), F.col("doc_id"), F.col("size"), F.col("__row")], "__r", __at="size").join(sources, ["__src", "__none"])
