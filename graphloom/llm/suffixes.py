@@ -4,44 +4,53 @@ Method: a byte goes if a ``length``-byte string covering it also starts earlier.
 strings have equal minimizers (the least-hashed gram among those they hold, leftmost on
 ties), so suffixes need sorting only from minimizers on, about one byte in thirty:
 
-1. texts are packed into blocks (a table in the shared folder); every block sends the
-   hashes of its minimizer grams and gets back which of them occur again anywhere;
+1. texts are packed into blocks, a table in the shared folder bucketed by block, so that
+   they never move again; every block sends the distinct hashes of its minimizer grams and
+   gets back which of them occur again anywhere;
 2. starts whose minimizer occurs once drop out; the others of one minimizer form one suffix
-   (from the minimizer on) with the bytes left of it.  A block sorts its suffixes,
-   front-codes them (common prefix with the one before, then the rest) and sends one run
-   per partition of the gram hash;
+   (from the minimizer on) with the bytes left of it.  A block sorts its suffixes by
+   partition and bytes, front-codes them (common prefix with the one before, then the rest)
+   and sends one run per partition of the gram hash;
 3. a partition merges its runs with a loser tree that carries common-prefix lengths and
    compares bytes only beyond them; neighbours in the merged order share long prefixes, and
-   strings equal on both sides of the minimizer are told apart by order of place;
+   strings equal on both sides of the minimizer are told apart by order of place.  More than
+   ``fan`` blocks are merged in two levels: batches of blocks by groups of partitions first;
 4. blocks get back the starts to cover and cut the bytes.
 
-Equal suffixes of a block are sent once.  Grams that occur very often are dealt over
-several partitions by the distance between start and minimizer.
+Equal suffixes of a block are sent once.  A gram that occurs very often is dealt over the
+partitions by the bytes around it that all strings of a range of distances share, so a
+partition gets only what is equal far beyond the gram, once per block.
 """
 
 from __future__ import annotations
 
-import hashlib
 import pickle
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textnp
-from .common import materialize, text_slices
+from .common import materialize_bucketed, text_slices
 
 LENGTH = 100
 GRAM = 40
-BLOCK_BYTES = 4 << 20
+#: text of a block (a task holds some ten times as much) and, of all blocks, for a partition
+BLOCK_BYTES, PART_BYTES = 16 << 20, 64 << 20
 SLICE = 512 << 10
-#: occurrences of a gram from which its starts are dealt by distance, and distances per deal
+#: occurrences of a gram from which its starts are dealt by their context, and distances per deal
 HOT, STEP = 4096, 8
-PLACE_BITS = np.uint64(30)
+#: runs merged at a time, and Spark partitions at most (each takes its parts one after another)
+FAN, PARTITIONS = 4096, 20_000
+#: lengths are stored in 16 bits, and a run's strings begin with their partition's number
+LONGEST, NUMBER = 30_000, 4
 
 
 def _pack(*parts) -> bytes:
@@ -56,82 +65,131 @@ def _table(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
 
-def minimizers(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Minimizers of all strings inside rows: (place, gram hash, first start, last start)."""
-    n = len(data) - length + 1
-    if n <= 0:
-        return (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    s, q = textnp.prefix_hash(data)
-    m = len(data) - gram + 1
-    g = textnp.mix((s[gram:] - s[:m]) * q[:m])
-    width = length - gram + 1
-    low = (g >> PLACE_BITS) << PLACE_BITS
-    low |= np.arange(m, dtype=np.uint64)
-    span = 1
-    while span * 2 <= width:
-        low = np.minimum(low[:-span], low[span:])
-        span *= 2
-    if span < width:
-        low = np.minimum(low[: n], low[width - span : width - span + n])
-    place = (low[:n] & ((np.uint64(1) << PLACE_BITS) - np.uint64(1))).astype(np.int64)
-    valid = np.ones(n, bool)
-    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        valid[max(a, b - length + 1) : b] = False
-    starts = np.flatnonzero(valid)
-    if not len(starts):
-        return minimizers(data[:0], offsets, length, gram)
-    place = place[starts]
-    edge = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    last = np.append(edge[1:], len(starts)) - 1
-    at = place[edge]
-    return at, g[at], starts[edge], starts[last]
-
-
-def block_minimizers(text: np.ndarray, lens: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """``minimizers`` over a block in cache-sized slices of whole rows."""
+def _binary(data: np.ndarray, lens: np.ndarray) -> pa.Array:
+    """Byte strings of the given lengths, one after another in ``data``."""
+    offsets = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lens), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def _bytes_of(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, lengths) of a binary column."""
+    offsets = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1]
+    data = strings.buffers()[2]
+    return (np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)), np.diff(offsets).astype(np.int64)
+
+
+def _runs_of_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """Consecutive rows of equal key, of rows sorted by it: only one key's rows are held."""
+    now, held = None, []
+    for b in batches:
+        k = b.column(key).to_numpy()
+        cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)] if len(k) else []
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            if held and k[i] != now:
+                yield int(now), held
+                held = []
+            now = k[i]
+            held.append(b.slice(i, j - i))
+    if held:
+        yield int(now), held
+
+
+def minimizers(text: np.ndarray, lens: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Minimizers of all strings inside rows: (place, gram hash, first start, last start).
+
+    Runs over slices of starts, long rows included; a minimizer whose starts lie in two
+    slices comes twice, with a part of them each.
+    """
     ends = np.cumsum(lens)
-    parts, i, base = [], 0, 0
-    while i < len(lens):
-        j = max(i + 1, int(np.searchsorted(ends, base + SLICE, "right")))
-        off = np.concatenate([[0], ends[i:j] - base])
-        at, h, a, b = minimizers(text[base : int(ends[j - 1])], off, length, gram)
-        parts.append((at + base, h, a + base, b + base))
-        base, i = int(ends[j - 1]), j
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else minimizers(text[:0], np.zeros(1, np.int64), length, gram)
+    parts, total = [], int(ends[-1]) if len(ends) else 0
+    width, mask = length - gram + 1, np.uint64((1 << 30) - 1)
+    for base in range(0, total - length + 1, SLICE):
+        n = min(SLICE, total - length + 1 - base)
+        data = text[base : base + n + length - 1]
+        s, q = textnp.prefix_hash(data)
+        m = len(data) - gram + 1
+        g = textnp.mix((s[gram:] - s[:m]) * q[:m])
+        low = (g & ~mask) | np.arange(m, dtype=np.uint64)
+        span = 1
+        while span * 2 <= width:
+            low = np.minimum(low[:-span], low[span:])
+            span *= 2
+        if span < width:
+            low = np.minimum(low[:n], low[width - span : width - span + n])
+        place = (low[:n] & mask).astype(np.int64)
+        # starts whose string ends in their own row
+        i, j = np.searchsorted(ends, [base, base + n - 1], "right")
+        borders = np.minimum(ends[i : j + 1], base + n)
+        row_end = np.repeat(ends[i : j + 1], np.diff(np.concatenate([[base], borders])))
+        starts = np.flatnonzero(row_end - np.arange(base, base + n) >= length)
+        if not len(starts):
+            continue
+        place = place[starts]
+        edge = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)]))
+        last = np.append(edge[1:], len(starts)) - 1
+        at = place[edge]
+        parts.append((at + base, g[at], starts[edge] + base, starts[last] + base))
+    none = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else none
 
 
 class Block:
     def __init__(self, raw: bytes, lens: list[int], length: int, gram: int) -> None:
         self.bytes = zstandard.ZstdDecompressor().decompress(raw)
-        self.text = np.frombuffer(self.bytes, np.uint8)
         self.lens = np.array(lens, np.int64)
-        self.length, self.gram = length, gram
+        self.at, self.hash, self.first, self.last = minimizers(np.frombuffer(self.bytes, np.uint8), self.lens, length, gram)
+        #: distinct grams by 48 bits of their hash (more are compared in vain, at worst)
+        self.grams, self.gram_of, self.counts = np.unique(self.hash >> np.uint64(16), return_inverse=True, return_counts=True)
 
-    def grams(self) -> tuple[np.ndarray, ...]:
-        return block_minimizers(self.text, self.lens, self.length, self.gram)
+    def deal(self, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """(order of the distinct grams by partition, their partitions)."""
+        p = (self.grams % np.uint64(parts)).astype(np.int64)
+        return np.argsort(p, kind="stable"), p
 
 
-def pack_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
-    """(block, ids, lens, raw): whole texts in input order, about ``block_bytes`` together."""
+def bucket_of(values: np.ndarray, buckets: int) -> np.ndarray:
+    """Spark's bucket of longs: Murmur3 (32 bits, seed 42) of their two halves, modulo."""
+    turn = lambda x, r: (x << np.uint32(r)) | (x >> np.uint32(32 - r))
+    h = np.full(len(values), 42, np.uint32)
+    for half in (values & 0xFFFFFFFF, values >> 32):
+        h ^= turn(half.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+        h = turn(h, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(8)
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return (h ^ (h >> np.uint32(16))).view(np.int32).astype(np.int64) % buckets
+
+
+def block_names(part: int, buckets: int) -> Iterator[int]:
+    """Ascending names for a task's blocks that fall into one bucket, so that the task writes one file."""
+    for base in range(0, 1 << 31, 65_536):
+        names = (part << 32) | np.arange(base, base + 65_536, dtype=np.int64)
+        yield from names[bucket_of(names, buckets) == part % buckets].tolist()
+
+
+def pack_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, buckets: int) -> DataFrame:
+    """(block, ids, lens, raw, size): whole texts in input order, about ``block_bytes`` together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, serial = TaskContext.get().partitionId(), 0
+        names = block_names(TaskContext.get().partitionId(), buckets)
         ids: list = []
         lens: list[int] = []
         held: list[bytes] = []
         size = 0
 
         def block() -> pa.RecordBatch:
-            nonlocal ids, lens, held, size, serial
+            nonlocal ids, lens, held, size
             raw = zstandard.ZstdCompressor(level=3).compress(b"".join(held))
-            out = _table([((part << 32) | serial, ids, lens, raw, size)], ["block", "ids", "lens", "raw", "size"], [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.int64()])
-            ids, lens, held, size, serial = [], [], [], 0, serial + 1
+            out = _table([(next(names), ids, lens, raw, size)], ["block", "ids", "lens", "raw", "size"], [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.int64()])
+            ids, lens, held, size = [], [], [], 0
             return out
 
         for batch in batches:
             for rows, data, offsets in text_slices(batch, "t", block_bytes):
+                if ids and size + len(data) > block_bytes:
+                    yield block()
                 ids += rows.column("id").to_pylist()
                 lens += np.diff(offsets).tolist()
                 held.append(data.tobytes())
@@ -144,21 +202,21 @@ def pack_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "block bigint, ids array<bigint>, lens array<bigint>, raw binary, size bigint")
 
 
-def front_code(suffixes: list[bytes]) -> tuple[bytes, bytes, bytes]:
-    """Sorted byte strings of up to 255 bytes as (common prefixes, rest lengths, rests)."""
-    same, rest, out, prev = bytearray(), bytearray(), [], b""
-    for s in suffixes:
+def front_code(strings: list[bytes]) -> tuple[bytes, bytes, bytes]:
+    """Sorted byte strings of 16-bit length as (common prefixes, rest lengths, rests)."""
+    same, rest, out, prev = array("H"), array("H"), [], b""
+    for s in strings:
         h = common(prev, s, 0)
         same.append(h)
         rest.append(len(s) - h)
         out.append(s[h:])
         prev = s
-    return bytes(same), bytes(rest), b"".join(out)
+    return same.tobytes(), rest.tobytes(), b"".join(out)
 
 
 def decode(same: bytes, rest: bytes, data: bytes) -> Iterator[tuple[bytes, int]]:
     prev, at = b"", 0
-    for h, r in zip(same, rest, strict=True):
+    for h, r in zip(array("H", same), array("H", rest), strict=True):
         prev = prev[:h] + data[at : at + r]
         at += r
         yield prev, h
@@ -228,127 +286,190 @@ def merge(runs: list[Iterator[tuple[bytes, int]]]) -> Iterator[tuple[int, bytes,
 
 def _send_grams(parts: int, length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per block and partition: 48 bits of each distinct gram's hash, and 16 of its count."""
         for b in batches:
-            for block, lens, raw in zip(b.column("block").to_pylist(), b.column("lens").to_pylist(), b.column("raw").to_pylist(), strict=True):
-                _, h, _, _ = Block(raw, lens, length, gram).grams()
-                if not len(h):
+            for name, lens, raw in zip(b.column("block").to_pylist(), b.column("lens").to_pylist(), b.column("raw"), strict=True):
+                block = Block(raw.as_py(), lens, length, gram)
+                order, p = block.deal(parts)
+                if not len(order):
                     continue
-                p = (h % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(p, kind="stable")
-                cuts = np.searchsorted(p[order], np.arange(parts + 1))
-                sent = h[order]
-                rows = [(i, block, sent[cuts[i] : cuts[i + 1]].tobytes()) for i in range(parts) if cuts[i + 1] > cuts[i]]
-                yield _table(rows, ["part", "block", "hashes"], [pa.int32(), pa.int64(), pa.binary()])
+                sent = ((block.grams << np.uint64(16)) | np.minimum(block.counts, 0xFFFF).astype(np.uint64))[order]
+                to, many = np.unique(p, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(np.full(len(to), name), pa.int64()), _binary(sent, many * 8)], ["part", "block", "hashes"])
 
     return run
 
 
 def _count_grams(hot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per block and part, a byte for each gram: 0 once, 1 again, 2 very often."""
-        rows = [r for b in batches for r in zip(b.column("part").to_pylist(), b.column("block").to_pylist(), b.column("hashes").to_pylist(), strict=True)]
-        if not rows:
-            return
-        whole = np.sort(np.frombuffer(b"".join(r[2] for r in rows), np.uint64))
-        edge = np.flatnonzero(np.concatenate([[True], whole[1:] != whole[:-1]]))
-        count = np.diff(np.append(edge, len(whole)))
-        again = whole[edge[count > 1]]
-        level = np.where(count[count > 1] >= hot, 2, 1).astype(np.uint8)
-        del whole
-        out = []
-        for part, block, hashes in rows:
-            h = np.frombuffer(hashes, np.uint64)
-            at = np.minimum(np.searchsorted(again, h), max(len(again) - 1, 0))
-            flags = np.where(again[at] == h, level[at], 0).astype(np.uint8) if len(again) else np.zeros(len(h), np.uint8)
-            out.append((part, block, zstandard.ZstdCompressor(level=1).compress(flags.tobytes())))
-        yield _table(out, ["part", "block", "flags"], [pa.int32(), pa.int64(), pa.binary()])
+        """Per block and partition, a byte for each gram: 0 once, 1 again, 2 very often."""
+        for _, rows in _runs_of_key(batches, "part"):
+            sent = [_bytes_of(b.column("hashes")) for b in rows]
+            whole = np.concatenate([x.view(np.uint64) for x, _ in sent])
+            k, n = whole >> np.uint64(16), (whole & np.uint64(0xFFFF)).astype(np.int64)
+            grams, of = np.unique(k, return_inverse=True)
+            total = np.bincount(of, weights=n)
+            flags = np.where(total >= hot, 2, np.where(total > 1, 1, 0)).astype(np.uint8)[of]
+            at = 0
+            for b, (x, lens) in zip(rows, sent, strict=True):
+                yield pa.RecordBatch.from_arrays([b.column("part"), b.column("block"), _binary(flags[at : at + len(x) // 8], lens // 8)], ["part", "block", "flags"])
+                at += len(x) // 8
 
     return run
 
 
-def _send_runs(parts: int, length: int, gram: int):
-    def runs_of(block: int, ids: list, lens: list[int], raw: bytes, replies: list) -> list[tuple]:
+def _run(keys: list[bytes], lefts: list[bytes], ids: list[int], blocks: list[int], places: list[int], gone: list[tuple[int, int, int]]) -> bytes:
+    """Sorted strings with what is left of them and where they are; gone: (block, start, starts to cover)."""
+    return _pack(front_code(keys), array("H", map(len, lefts)).tobytes(), b"".join(lefts), np.array(ids, np.int64), np.array(blocks if blocks.count(blocks[0]) < len(blocks) else blocks[:1], np.int64), np.array(places, np.int32), np.array(gone, np.int64).reshape(-1, 3))
+
+
+class Runs:
+    """Runs opened for a merge: what they say is gone, and (string, prefix) and side streams."""
+
+    def __init__(self, packed: list[bytes]) -> None:
+        self.gone: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.strings, self.sides = [], []
+        for data in packed:
+            coded, lens, lefts, ids, blocks, places, gone = _unpack(data)
+            for block, start, n in gone.tolist():
+                self.gone[block].append((start, n))
+            self.strings.append(decode(*coded))
+            self.sides.append(self._side(array("H", lens), lefts, ids, blocks, places))
+
+    @staticmethod
+    def _side(lens: array, lefts: bytes, ids: np.ndarray, blocks: np.ndarray, places: np.ndarray) -> Iterator[tuple[bytes, int, int, int]]:
+        at, one = 0, len(blocks) == 1
+        for n, (size, i, place) in enumerate(zip(lens, ids, places, strict=True)):
+            yield lefts[at : at + size], int(i), int(blocks[0 if one else n]), int(place)
+            at += size
+
+    def merged(self) -> Iterator[tuple[bytes, int, bytes, int, int, int]]:
+        """(string, prefix with the one before, left, id, block, place) in order of strings."""
+        for r, string, same in merge(self.strings):
+            yield string, same, *next(self.sides[r])
+
+
+def _send_runs(parts: int, group: int, length: int, gram: int):
+    def runs_of(name: int, ids: list, lens: list[int], raw: bytes, replies: pa.Scalar) -> list[tuple]:
         b = Block(raw, lens, length, gram)
-        at, h, first, last = b.grams()
-        if not len(at):
-            return []
-        flags = np.zeros(len(at), np.uint8)
-        p = (h % np.uint64(parts)).astype(np.int64)
-        for r in replies:
-            flags[p == r["part"]] = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["flags"]), np.uint8)
-        some = flags > 0
-        at, h, first, last, flags = at[some], h[some], first[some], last[some], flags[some]
-        if not len(at):
+        if not len(b.at):
             return []
-        row = np.searchsorted(np.cumsum(b.lens), at, "right")
+        got = replies.values
+        order, _ = b.deal(parts)
+        flags = np.zeros(len(b.grams), np.uint8)
+        flags[order] = _bytes_of(got.field("flags").take(pa.array(np.argsort(got.field("part").to_numpy(), kind="stable"))))[0]
+        flags = flags[b.gram_of]
+        some = np.flatnonzero(flags)
+        row = np.searchsorted(np.cumsum(b.lens), b.at[some], "right")
         low = -(1 << 63)
         names = [low if i is None else i for i in ids]
         text = b.bytes
-        # (part, suffix, left) -> earliest (id, place); the others of a block are sure to go
-        seen: list[dict[tuple[bytes, bytes], tuple[int, int]]] = [{} for _ in range(parts)]
-        sure: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for a, x, s0, s1, f, r in zip(at.tolist(), h.tolist(), first.tolist(), last.tolist(), flags.tolist(), row.tolist(), strict=True):
-            pieces = [(s0, s1, x % parts)]
+        # (partition's number and suffix, left) -> earliest (id, place); the others of a block are sure to go
+        seen: dict[tuple[bytes, bytes], tuple[int, int]] = {}
+        gone: list[tuple[int, int, int]] = []
+        part = (b.grams[b.gram_of[some]] % np.uint64(parts)).astype(np.int64)
+        for a, p, s0, s1, f, r in zip(b.at[some].tolist(), part.tolist(), b.first[some].tolist(), b.last[some].tolist(), flags[some].tolist(), row.tolist(), strict=True):
+            pieces = [(s0, s1, p)]
             if f == 2:
                 pieces = []
                 for step in range((a - s1) // STEP, (a - s0) // STEP + 1):
-                    pieces.append((max(s0, a - step * STEP - STEP + 1), min(s1, a - step * STEP), (x + step * 0x9E3779B1) % parts))
-            for u, v, part in pieces:
-                key = (text[a : v + length], text[u:a])
-                mine, kept = (names[r], a), seen[part].get(key)
+                    near, far = step * STEP, min(step * STEP + STEP - 1, length - gram)
+                    shared = xxhash.xxh64_intdigest(text[a - near : a - far + length], step)
+                    pieces.append((max(s0, a - far), min(s1, a - near), shared % parts))
+            for u, v, p in pieces:
+                key = (p.to_bytes(NUMBER, "big") + text[a : v + length], text[u:a])
+                mine, kept = (names[r], a), seen.get(key)
                 if kept is None:
-                    seen[part][key] = mine
+                    seen[key] = mine
                     continue
                 if mine < kept:
-                    seen[part][key], mine = mine, kept
-                sure[part].append((mine[1] - len(key[1]), v - u + 1))
-        out = []
-        for part, own in enumerate(seen):
-            if own:
-                keys = sorted(own)
-                places = [own[k] for k in keys]
-                lefts = [k[1] for k in keys]
-                gone = np.array(sure.get(part, []), np.int64).reshape(-1, 2)
-                out.append((part, block, _pack(front_code([k[0] for k in keys]), bytes(map(len, lefts)), b"".join(lefts), np.array([x[0] for x in places], np.int64), np.array([x[1] for x in places], np.int32), gone)))
+                    seen[key], mine = mine, kept
+                gone.append((name, mine[1] - len(key[1]), v - u + 1))
+        del b
+        out, keys, i = [], sorted(seen), 0
+        to = [int.from_bytes(k[0][:NUMBER], "big") // group for k in keys]
+        while i < len(keys):
+            j = i
+            while j < len(keys) and to[j] == to[i]:
+                j += 1
+            places = [seen[k] for k in keys[i:j]]
+            out.append((to[i], name, _run([k[0] for k in keys[i:j]], [k[1] for k in keys[i:j]], [x[0] for x in places], [name], [x[1] for x in places], gone)))
+            gone, i = [], j
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for x in b.to_pylist():
-                rows = runs_of(x["block"], x["ids"], x["lens"], x["raw"], x["replies"] or [])
-                if rows:
-                    yield _table(rows, ["part", "block", "run"], [pa.int32(), pa.int64(), pa.binary()])
+            for name, ids, lens, raw, replies in zip(b.column("block").to_pylist(), b.column("ids").to_pylist(), b.column("lens").to_pylist(), b.column("raw"), b.column("replies"), strict=True):
+                if replies.is_valid:
+                    rows = runs_of(name, ids, lens, raw.as_py(), replies)
+                    for i in range(0, len(rows), 256):
+                        yield _table(rows[i : i + 256], ["part", "block", "run"], [pa.int32(), pa.int64(), pa.binary()])
+
+    return run
+
+
+def _merge_batches(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """First level: the runs of a batch of blocks for a group of partitions become one for each partition."""
+        for _, rows in _runs_of_key(batches, "key"):
+            runs = Runs([r.as_py() for b in rows for r in b.column("run")])
+            gone = [(block, *x) for block, v in runs.gone.items() for x in v]
+            keys, lefts, ids, blocks, places = [], [], [], [], []
+
+            def close() -> pa.RecordBatch:
+                nonlocal keys, lefts, ids, blocks, places, gone
+                row = (int.from_bytes(keys[0][:NUMBER], "big"), _run(keys, lefts, ids, blocks, places, gone))
+                keys, lefts, ids, blocks, places, gone = [], [], [], [], [], []
+                return _table([row], ["part", "run"], [pa.int32(), pa.binary()])
+
+            equal: dict[bytes, int] = {}  # left of the strings equal to the last one -> entry
+            for string, same, left, i, block, place in runs.merged():
+                if keys and keys[-1][:NUMBER] != string[:NUMBER]:
+                    yield close()
+                if not keys or same < len(string) or len(keys[-1]) > len(string):
+                    equal = {}
+                n = equal.get(left)
+                if n is None:
+                    equal[left] = len(keys)
+                    for held, x in zip((keys, lefts, ids, blocks, places), (string, left, i, block, place), strict=True):
+                        held.append(x)
+                    continue
+                if (i, block, place) < (ids[n], blocks[n], places[n]):
+                    block, place, ids[n], blocks[n], places[n] = blocks[n], places[n], i, block, place
+                gone.append((block, place - len(left), len(string) - NUMBER + len(left) - length + 1))
+            if keys:
+                yield close()
 
     return run
 
 
 def _merge_runs(length: int, gram: int):
     def settle(bucket: list[tuple], gone: dict[int, list[tuple[int, int]]]) -> None:
-        """bucket: (suffix, prefix with the one before, left, id, block, place), one gram, sorted."""
+        """bucket: (string, prefix with the one before, left, id, block, place), one gram, sorted."""
         # equal on both sides: the earliest stays for comparison, the others go
         best: dict[tuple[bytes, bytes], int] = {}
-        for n, (suffix, _, left, *order) in enumerate(bucket):
-            kept = best.setdefault((suffix, left), n)
+        for n, (string, _, left, *order) in enumerate(bucket):
+            kept = best.setdefault((string, left), n)
             if kept != n:
                 lose = n
                 if order < list(bucket[kept][3:]):
-                    best[(suffix, left)], lose = n, kept
+                    best[(string, left)], lose = n, kept
                 e = bucket[lose]
-                gone[e[4]].append((e[5] - len(left), len(suffix) + len(left) - length + 1))
+                gone[e[4]].append((e[5] - len(left), len(string) - NUMBER + len(left) - length + 1))
         if len(best) < 2:
             return
         # prefixes between the remaining neighbours: minima over what lies between
         chosen = sorted(best.values())
-        prefixes, h, k = [], 255, 0
+        prefixes, h, k = [], 1 << 30, 0
         for n, e in enumerate(bucket):
             h = min(h, e[1])
             if k < len(chosen) and n == chosen[k]:
                 prefixes.append(h)
-                h, k = 255, k + 1
+                h, k = 1 << 30, k + 1
         rows = [bucket[n] for n in chosen]
         lost = [0] * len(rows)
-        for o in range(min(length - len(e[0]) for e in rows), max(len(e[2]) for e in rows) + 1):
-            need, cls, held = length - o, 0, {}
+        for o in range(min(length + NUMBER - len(e[0]) for e in rows), max(len(e[2]) for e in rows) + 1):
+            need, cls, held = length - o + NUMBER, 0, {}
             for n, e in enumerate(rows):
                 if prefixes[n] < need:
                     cls += 1
@@ -370,32 +491,20 @@ def _merge_runs(length: int, gram: int):
                 bits &= (1 << run) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_part: dict[int, list[tuple[int, bytes]]] = defaultdict(list)
-        for b in batches:
-            for part, block, data in zip(b.column("part").to_pylist(), b.column("block").to_pylist(), b.column("run").to_pylist(), strict=True):
-                by_part[part].append((block, data))
-        for part in sorted(by_part):
-            gone: dict[int, list] = defaultdict(list)
-            runs, sides = [], []
-            for block, data in sorted(by_part.pop(part)):
-                coded, ll, lefts, ids, places, sure = _unpack(data)
-                if len(sure):
-                    gone[block] += map(tuple, sure.tolist())
-                cut = np.concatenate([[0], np.cumsum(np.frombuffer(ll, np.uint8), dtype=np.int64)]).tolist()
-                runs.append(decode(*coded))
-                sides.append(iter([(lefts[a:b], i, block, p) for a, b, i, p in zip(cut, cut[1:], ids.tolist(), places.tolist(), strict=False)]))
+        for _, rows in _runs_of_key(batches, "part"):
+            runs = Runs([r.as_py() for b in rows for r in b.column("run")])
             bucket: list[tuple] = []
-            for r, suffix, same in merge(runs):
-                if bucket and same < gram:
+            for e in runs.merged():
+                if bucket and e[1] < gram + NUMBER:
                     if len(bucket) > 1:
-                        settle(bucket, gone)
+                        settle(bucket, runs.gone)
                     bucket = []
-                bucket.append((suffix, same if bucket else 0, *next(sides[r])))
+                bucket.append(e if bucket else (e[0], 0, *e[2:]))
             if len(bucket) > 1:
-                settle(bucket, gone)
-            rows = [(block, _pack(np.array(x, np.int32))) for block, x in gone.items() if x]
-            if rows:
-                yield _table(rows, ["block", "gone"], [pa.int64(), pa.binary()])
+                settle(bucket, runs.gone)
+            found = [(block, np.array(x, np.int32).tobytes()) for block, x in runs.gone.items() if x]
+            if found:
+                yield _table(found, ["block", "gone"], [pa.int64(), pa.binary()])
 
     return run
 
@@ -403,48 +512,64 @@ def _merge_runs(length: int, gram: int):
 def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for x in b.to_pylist():
-                text = zstandard.ZstdDecompressor().decompress(x["raw"])
-                edge = np.zeros(len(text) + 1, np.int32)
-                for g in x["replies"] or []:
-                    (gone,) = _unpack(g)
-                    np.add.at(edge, gone[:, 0], 1)
-                    np.add.at(edge, gone[:, 0] + gone[:, 1] + length - 1, -1)
-                cover = np.cumsum(edge[:-1]) > 0
+            for ids, lens, raw, replies in zip(b.column("ids").to_pylist(), b.column("lens").to_pylist(), b.column("raw"), b.column("replies").to_pylist(), strict=True):
+                text = zstandard.ZstdDecompressor().decompress(raw.as_py())
+                gone = np.frombuffer(b"".join(replies or []), np.int32).reshape(-1, 2).astype(np.int64)
+                gone = gone[np.argsort(gone[:, 0], kind="stable")]
+                ends = np.cumsum(np.array(lens, np.int64))
+                start, end = gone[:, 0], gone[:, 0] + gone[:, 1] + length - 1
+                row = np.searchsorted(ends, start, "right")
+                far = np.maximum.accumulate(end) if len(end) else end
+                fresh = np.flatnonzero(np.concatenate([[True], (start[1:] > far[:-1]) | (row[1:] != row[:-1])])) if len(start) else np.zeros(0, np.int64)
+                starts, stops = start[fresh], far[np.append(fresh[1:], len(start)) - 1] if len(start) else far
+                first = np.searchsorted(row[fresh], np.arange(len(ids) + 1)).tolist()
                 rows, at = [], 0
-                view = np.frombuffer(text, np.uint8)
-                for i, n in zip(x["ids"], x["lens"], strict=True):
-                    c = cover[at : at + n]
-                    removed = int(c.sum())
-                    spans = int(c[0]) + int((c[1:] & ~c[:-1]).sum()) if removed else 0
-                    kept = view[at : at + n][~c].tobytes() if removed else text[at : at + n]
-                    rows.append((i, n, removed, spans, kept))
-                    at += n
+                for n, (i, size) in enumerate(zip(ids, lens, strict=True)):
+                    spans = list(zip(starts[first[n] : first[n + 1]].tolist(), stops[first[n] : first[n + 1]].tolist(), strict=True))
+                    borders = [at, *(x for s in spans for x in s), at + size]
+                    kept = b"".join(text[u:v] for u, v in zip(borders[::2], borders[1::2], strict=True))
+                    rows.append((i, size, size - len(kept), len(spans), kept))
+                    at += size
                 yield _table(rows, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()])
 
     return run
 
 
-def dedup_substrings(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_substrings(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES, fan: int = FAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (remaining bytes).
 
     Earlier means a smaller doc_id (a null id comes first), rows repeating an id in order of
-    input, and an earlier start inside a document.  Null and empty texts have no bytes;
-    texts shorter than ``length`` stay whole.  Other columns are ignored; an empty table
+    input, and an earlier start inside a document.  Ids must be integers, ``length`` from
+    ``gram`` to 30,000; anything else raises.  Null and empty texts have no bytes; texts
+    shorter than ``length`` stay whole; one over ``block_bytes`` is a block of its own, which
+    a task holds whole.  Other columns are ignored, whatever their names; an empty table
     gives an empty result.  Kept bytes may split a character.
     """
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must be of an integer type")
+    if not 1 <= gram <= length <= LONGEST or length - gram >= 1 << 16:
+        raise ValueError(f"length must lie between gram and {LONGEST}")
     spark = docs.sparkSession
-    blocks = materialize(pack_blocks(docs, id_col, text_col, block_bytes), "suffix-blocks")
-    total = blocks.agg(F.sum("size")).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (16 << 20)))
-    sent = blocks.select("block", "lens", "raw").mapInArrow(_send_grams(parts, length, gram), "part int, block bigint, hashes binary")
-    flags = materialize(sent.repartition(parts, "part").mapInArrow(_count_grams(hot), "part int, block bigint, flags binary"), "suffix-flags")
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = materialize_bucketed(pack_blocks(docs, id_col, text_col, block_bytes, shuffle), "suffix-blocks", "block", shuffle)
+    count, total = blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    parts = max(shuffle, -(-total // part_bytes))
+    tasks = max(shuffle, min(parts, PARTITIONS))
 
-    def with_replies(replies: DataFrame) -> DataFrame:
-        return blocks.drop("size").join(replies, "block", "left")
+    def dealt(rows: DataFrame, key: str = "part") -> DataFrame:
+        return rows.repartition(tasks, key).sortWithinPartitions(key)
 
-    replies = flags.groupBy("block").agg(F.collect_list(F.struct("part", "flags")).alias("replies"))
-    runs = with_replies(replies).mapInArrow(_send_runs(parts, length, gram), "part int, block bigint, run binary")
-    gone = materialize(runs.repartition(parts, "part").mapInArrow(_merge_runs(length, gram), "block bigint, gone binary"), "suffix-gone")
-    replies = gone.groupBy("block").agg(F.collect_list("gone").alias("replies"))
-    return with_replies(replies).mapInArrow(_cut(length), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    def with_replies(reply: str, replies: DataFrame) -> DataFrame:
+        return blocks.drop("size").join(replies.groupBy("block").agg(F.collect_list(reply if reply == "gone" else F.struct("part", reply)).alias("replies")), "block", "left")
+
+    sent = blocks.select("block", "lens", "raw").mapInArrow(_send_grams(parts, length, gram), "part int, block bigint, hashes binary")
+    flags = dealt(sent).mapInArrow(_count_grams(hot), "part int, block bigint, flags binary")
+    deep = count > fan
+    group = -(-parts // fan) if deep else 1
+    runs = with_replies("flags", flags).mapInArrow(_send_runs(parts, group, length, gram), "part int, block bigint, run binary")
+    if deep:
+        many = -(-count // fan)
+        runs = runs.withColumn("key", F.col("part") * F.lit(many).cast("long") + F.pmod(F.xxhash64("block"), F.lit(many)))
+        runs = dealt(runs, "key").mapInArrow(_merge_batches(length), "part int, run binary")
+    gone = dealt(runs.select("part", "run")).mapInArrow(_merge_runs(length, gram), "block bigint, gone binary")
+    return with_replies("gone", gone).mapInArrow(_cut(length), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")

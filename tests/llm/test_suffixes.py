@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+import numpy as np
+import pytest
 from graphloom.llm import queries as Q
 from graphloom.llm import suffixes
 
@@ -44,15 +46,50 @@ def mixture(seed, n=120):
 
 
 def test_equals_brute_force(spark):
-    for seed, hot, block in ((1, 4096, 4 << 20), (2, 3, 4 << 20), (3, 5, 3000)):
+    for seed, hot, block, fan in ((1, 4096, 4 << 20, 4096), (2, 3, 4 << 20, 4096), (3, 5, 3000, 4096), (4, 4, 2000, 3)):
         docs = mixture(seed)
         shuffled = docs[:]
         random.Random(seed).shuffle(shuffled)
         df = spark.createDataFrame(shuffled, "doc_id long, text string").repartition(5)
-        got = sorted(digest(suffixes.dedup_substrings(df, hot=hot, block_bytes=block).collect()), key=lambda r: (r[0] is not None, r[0] or 0))
+        got = sorted(digest(suffixes.dedup_substrings(df, hot=hot, block_bytes=block, fan=fan).collect()), key=lambda r: (r[0] is not None, r[0] or 0))
         assert got == [(i, *x) for (i, _), x in zip(docs, brute(docs, 100), strict=True)]
 
 
+def test_long_strings_and_texts_over_several_slices(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "SLICE", 777)
+    docs = mixture(5, 40)
+    long = " ".join(t or "" for _, t in docs)
+    docs += [(900, long[:9000]), (901, "x" + long[100:4000] + "y" * 700), (902, "y" * 1500)]
+    for length, gram in ((300, 40), (61, 60), (100, 100)):
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+        got = sorted(digest(suffixes.dedup_substrings(df, length=length, gram=gram, block_bytes=5000).collect()), key=lambda r: (r[0] is not None, r[0] or 0))
+        assert got == [(i, *x) for (i, _), x in zip(docs, brute(docs, length), strict=True)]
+
+
+def test_what_cannot_be_right_raises(spark):
+    docs = spark.createDataFrame([("a", "x")], "doc_id string, text string")
+    with pytest.raises(TypeError):
+        suffixes.dedup_substrings(docs)
+    for length in (39, 30_001):
+        with pytest.raises(ValueError, match="length"):
+            suffixes.dedup_substrings(spark.range(1).selectExpr("id doc_id", "'x' text"), length=length)
+
+
+def test_buckets_are_those_of_spark(spark):
+    rng = random.Random(1)
+    names = [0, 1, -1, 1 << 40] + [rng.getrandbits(62) for _ in range(200)]
+    want = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n long").selectExpr("pmod(hash(n), 37)").collect()]
+    assert suffixes.bucket_of(np.array(names), 37).tolist() == want
+    got = [x for x, _ in zip(suffixes.block_names(5, 37), range(20), strict=False)]
+    assert got == sorted(got) and set(suffixes.bucket_of(np.array(got), 37).tolist()) == {5}
+
+
+def test_blocks_do_not_move(spark):
+    docs = spark.createDataFrame(mixture(6), "doc_id long, text string").repartition(5)
+    plan = suffixes.dedup_substrings(docs, block_bytes=4000)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "Bucketed: true" in plan and plan.count("\n") and not [x for x in plan.split("Exchange")[1:] if "raw" in x.split("\n\n")[0]]
+
+
 def test_repeated_rows_and_empty_tables(spark):
     same = "q" * 30 + "".join(chr(97 + i % 23) + str(i) for i in range(100))
     rows = suffixes.dedup_substrings(spark.createDataFrame([(1, same), (1, same)], "doc_id long, text string")).collect()
