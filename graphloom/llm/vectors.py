@@ -1,29 +1,37 @@
 """Operator 6: embedding near-duplicates by PCA-ordered tiled comparison.
 
 Method: unit vectors are rotated onto their principal axes, so that leading dimensions
-carry most of a product.  Within a label they are ordered by the first axis and cut into
-tiles; two tiles meet only if their ranges on that axis come within the largest distance
-that the threshold allows.  A pair of tiles is compared by blocks of dimensions: after each
-block, products are bounded by the partial product plus the product of suffix norms, and
-pairs that cannot reach the threshold go.  What is left is judged on the original vectors
-in double precision.  Equal vectors are one class with a count throughout.
+carry most of a product.  Within a label they are cut along the first axis into blocks of
+bounded rows; two blocks meet only if their ranges on that axis come within the largest
+distance that the threshold allows.  The task of a pair of blocks orders both by the first
+axis and compares tiles of them by blocks of dimensions: after each block, products are
+bounded by the partial product plus the product of suffix norms, and pairs that cannot
+reach the threshold go.  What is left is judged on the original vectors in double
+precision.  Equal vectors are one class with a count throughout.
+
+Vectors travel in their own type and are rotated where they meet.  A block is sent once to
+each partner, so what moves grows with the rows times the blocks of their label.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import components, materialize, spread_bits, spread_rank
+from .common import components, materialize, spread_bits
 
 THRESHOLD = 0.98
-TILE = 1024
-BLOCKS = (8, 24)
+#: rows of a block (a task holds two) and of a tile
+BLOCK, TILE = 16_384, 1024
+LEAD, STEP = 8, 24
 #: vectors per dimension from which the axes are estimated; axes only steer the cost
 AXES_SAMPLE = 4096
 SLACK = 1e-9
+#: pairs judged at a time
+PAIRS = 32_768
 
 
 def axes(sample: np.ndarray) -> np.ndarray:
@@ -32,121 +40,160 @@ def axes(sample: np.ndarray) -> np.ndarray:
     return vec[:, ::-1].copy()
 
 
-def compare(x: np.ndarray, z: np.ndarray, split: int | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i, j) with cosine of at least the threshold.
+def unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
-    x: original vectors; z: rotated unit vectors; split: pairs between rows before and
-    after it, or None for all pairs i < j.
+
+class Side:
+    """Vectors of one block in order of the first axis, with what the bounds need."""
+
+    def __init__(self, x: np.ndarray, rotation: np.ndarray | None) -> None:
+        z = unit(x)
+        z = z if rotation is None else z @ rotation
+        self.order = np.argsort(z[:, 0], kind="stable")
+        self.x, self.z = x[self.order], z[self.order]
+        self.norm = np.sqrt(np.einsum("nd,nd->n", self.x, self.x))
+        tail = np.sqrt(np.maximum(np.cumsum((self.z * self.z)[:, ::-1], axis=1)[:, ::-1], 0))
+        self.suffix = np.concatenate([tail, np.zeros((len(x), 1))], axis=1)
+
+
+def compare(a: Side, b: Side, i0: int, i1: int, j0: int, j1: int, threshold: float):
+    """Yields index pairs (i, j) of a[i0:i1] and b[j0:j1] with cosine of at least the threshold.
+
+    Where both sides are one, pairs with i < j only.
     """
-    a = np.arange(len(z)) if split is None else np.arange(split)
-    b = np.arange(len(z)) if split is None else np.arange(split, len(z))
-    suffix = np.sqrt(np.maximum(np.cumsum((z * z)[:, ::-1], axis=1)[:, ::-1], 0))
-    lead = min(BLOCKS[0], z.shape[1])
-    part = z[a, :lead] @ z[b, :lead].T
-    tail = suffix[:, lead] if lead < z.shape[1] else np.zeros(len(z))
-    may = part + tail[a][:, None] * tail[b][None, :] >= threshold - SLACK
-    if split is None:
-        may &= a[:, None] < b[None, :]
-    i, j = np.nonzero(may)
-    dot = part[i, j]
-    i, j = a[i], b[j]
-    done = lead
-    while done < z.shape[1] and len(i):
-        upto = min(z.shape[1], done + BLOCKS[1])
-        dot = dot + np.einsum("nd,nd->n", z[i, done:upto], z[j, done:upto])
-        tail = suffix[:, upto] if upto < z.shape[1] else np.zeros(len(z))
-        ok = dot + tail[i] * tail[j] >= threshold - SLACK
-        i, j, dot, done = i[ok], j[ok], dot[ok], upto
-    norm = np.sqrt(np.einsum("nd,nd->n", x, x))
-    ok = np.einsum("nd,nd->n", x[i], x[j]) / (norm[i] * norm[j]) >= threshold
-    return i[ok], j[ok]
-
-
-def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Smallest index of each node's component."""
-    label = np.arange(n)
+    width = a.z.shape[1]
+    lead = min(LEAD, width)
+    part = a.z[i0:i1, :lead] @ b.z[j0:j1, :lead].T
+    may = part + a.suffix[i0:i1, lead][:, None] * b.suffix[j0:j1, lead][None, :] >= threshold - SLACK
+    if a is b:
+        may &= np.arange(i0, i1)[:, None] < np.arange(j0, j1)[None, :]
+    every_i, every_j = np.nonzero(may)
+    for at in range(0, len(every_i), PAIRS):
+        i, j = every_i[at : at + PAIRS], every_j[at : at + PAIRS]
+        dot, done = part[i, j], lead
+        i, j = i + i0, j + j0
+        while done < width and len(i):
+            upto = min(width, done + STEP)
+            dot = dot + np.einsum("nd,nd->n", a.z[i, done:upto], b.z[j, done:upto])
+            ok = dot + a.suffix[i, upto] * b.suffix[j, upto] >= threshold - SLACK
+            i, j, dot, done = i[ok], j[ok], dot[ok], upto
+        ok = np.einsum("nd,nd->n", a.x[i], b.x[j]) / (a.norm[i] * b.norm[j]) >= threshold
+        if ok.any():
+            yield i[ok], j[ok]
+
+
+def merge_roots(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest index of each node's component, after more links."""
     while True:
-        a, b = label[i], label[j]
+        a, b = root[i], root[j]
         if (a == b).all():
-            return label
-        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-        while not ((nxt := label[label]) == label).all():
-            label = nxt
+            return root
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not ((nxt := root[root]) == root).all():
+            root = nxt
+
 
+def link_blocks(x: np.ndarray, split: int, rotation: np.ndarray | None, n: np.ndarray, threshold: float, tile: int) -> tuple[np.ndarray, np.ndarray]:
+    """(links counted with the partners' copies, root) of each row.
 
-def near_vectors(vectors: DataFrame, *, threshold: float = THRESHOLD, tile: int = TILE, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
+    Pairs between rows before and after ``split``, or all pairs where it is the end.  Only
+    one tile's pairs are held at a time, so a crowd of near copies costs time, not memory.
+    """
+    a = Side(x[:split], rotation)
+    b = a if split == len(x) else Side(x[split:], rotation)
+    shift = 0 if b is a else split
+    links, root = np.zeros(len(x)), np.arange(len(x))
+    reach = np.sqrt(2 - 2 * threshold) + 1e-6
+    for i0 in range(0, len(a.z), tile):
+        i1 = min(i0 + tile, len(a.z))
+        for j0 in range(i0 if b is a else 0, len(b.z), tile):
+            j1 = min(j0 + tile, len(b.z))
+            if b.z[j0, 0] - a.z[i1 - 1, 0] > reach:
+                break
+            if a.z[i0, 0] - b.z[j1 - 1, 0] > reach:
+                continue
+            for i, j in compare(a, b, i0, i1, j0, j1, threshold):
+                i, j = a.order[i], b.order[j] + shift
+                links += np.bincount(i, weights=n[j], minlength=len(x)) + np.bincount(j, weights=n[i], minlength=len(x))
+                root = merge_roots(root, i, j)
+    return links, root
+
+
+def near_vectors(vectors: DataFrame, *, threshold: float = THRESHOLD, block: int = BLOCK, tile: int = TILE, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Vectors are compared within equal, non-null labels and equal dimension.  Null, empty
     and zero vectors and those with null or non-finite components link with nothing.
     n_links counts other rows linked directly; component_id is the smallest id reachable;
     kept marks rows whose id that is (also a lone null id).  Repeated rows link with each
-    other.  An empty table gives an empty result; other columns are ignored.
+    other, and so do rows that share an id.  An empty table gives an empty result; other
+    columns are ignored, whatever their names.  ``components`` raises beyond 60 rounds, some
+    2**30 links in a row.
     """
     spark = vectors.sparkSession
-    wide = F.transform(F.col(vec_col), lambda e: e.cast("double") + F.lit(0.0))
+    kind = vectors.schema[vec_col].dataType
+    small = "float" if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else "double"
+    plain = F.transform(F.col(vec_col), lambda e: (e.cast(small) + F.lit(0.0).cast(small)).cast(small))
     finite = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
-    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).cast("string").alias("label"), wide.alias("v"))
-    good = F.col("label").isNotNull() & F.col("v").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists("v", lambda e: e != 0)
-    rows = rows.withColumn("class", F.when(F.coalesce(good, F.lit(False)), F.xxhash64("label", "v")))
-    classes = rows.where("class is not null").groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least"), F.first("label").alias("label"), F.first("v").alias("v"))
-    classes = materialize(classes, "vectors-classes").withColumn("dim", F.size("v"))
+    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).cast("string").alias("label"), plain.alias("v"))
+    good = F.coalesce(F.col("label").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda e: e != 0), F.lit(False))
+    # 128 bits tell classes apart; a long names them
+    rows = rows.withColumn("k1", F.when(good, F.xxhash64("label", "v"))).withColumn("k2", F.when(good, F.xxhash64(F.lit(1), "v", "label")))
+    classes = rows.where("k1 is not null").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least"), F.first("label").alias("label"), F.first("v").alias("v"))
+    classes = materialize(classes.withColumn("class", F.monotonically_increasing_id()).withColumn("dim", F.size("v")), "vectors-classes")
     sample: dict[int, list] = {}
-    for r in classes.select("dim", "v").orderBy("class").limit(AXES_SAMPLE).collect():
+    for r in classes.select("dim", "v").orderBy("k1", "k2").limit(AXES_SAMPLE).collect():
         sample.setdefault(r["dim"], []).append(r["v"])
-    turn = {}
-    for dim, x in sample.items():
-        x = np.array(x)
-        x = x / np.abs(x).max(axis=1, keepdims=True)
-        turn[dim] = axes(x / np.linalg.norm(x, axis=1, keepdims=True))
-    shared = spark.sparkContext.broadcast(turn)
-
-    def rotate(batches):
+    turn = spark.sparkContext.broadcast({dim: axes(unit(np.array(x))) for dim, x in sample.items()})
+
+    def project(batches):
         for b in batches:
-            out = []
+            first = []
             for v in b.column("v").to_pylist():
-                x = np.array(v)
-                x = x / np.abs(x).max()
-                x /= np.linalg.norm(x)
-                r = shared.value.get(len(x))
-                out.append(x if r is None else x @ r)
-            yield pa.RecordBatch.from_arrays([b.column("class"), b.column("label"), b.column("dim"), b.column("n"), b.column("v"), pa.array([z.tolist() for z in out], pa.list_(pa.float64())), pa.array([float(z[0]) for z in out])], ["class", "label", "dim", "n", "v", "z", "z0"])
-
-    turned = materialize(classes.select("class", "label", "dim", "n", "v").mapInArrow(rotate, "class bigint, label string, dim int, n bigint, v array<double>, z array<double>, z0 double"), "vectors-turned")
-    # place along the first axis within (label, dim): buckets of equal width, by hash inside
-    # (vectors may crowd in one bucket), then tiles of equal count
-    width = 2.0 / (1 << spread_bits(turned.count(), 12))
-    placed = turned.select("class", "label", "dim", "z0").withColumn("__b", F.floor((F.col("z0") + 1) / width) * 64 + F.pmod(F.xxhash64("class"), F.lit(64))).withColumn("one", F.lit(1))
-    placed = spread_rank(placed, ["label", "dim"], "__b", [F.col("z0"), F.col("class")], "one", "place", "before")
-    placed = materialize(placed.select("class", "label", "dim", "z0", F.floor(F.col("place") / tile).alias("tile")), "vectors-placed")
-    tiles = placed.groupBy("label", "dim", "tile").agg(F.min("z0").alias("lo"), F.max("z0").alias("hi"))
+                z, r = unit(np.array([v])), turn.value.get(len(v))
+                first.append(float((z if r is None else z @ r[:, :1])[0, 0]))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(first, pa.float64())], [*b.schema.names, "z0"])
+
+    turned = classes.select("class", "label", "dim", "n", "v").mapInArrow(project, f"class bigint, label string, dim int, n bigint, v array<{small}>, z0 double")
+    # cells of equal width on the first axis, by hash inside (vectors may crowd in one cell),
+    # and blocks of about equal rows made of whole cells
+    width = 2.0 / (1 << spread_bits(classes.count(), 12))
+    cell = F.floor((F.col("z0") + 1) / width) * 64 + F.pmod(F.xxhash64("class"), F.lit(64))
+    turned = materialize(turned.withColumn("cell", cell), "vectors-turned")
+    name = ["label", "dim"]
+    cells = turned.groupBy(*name, "cell").agg(F.count(F.lit(1)).alias("rows"), F.min("z0").alias("lo"), F.max("z0").alias("hi"))
+    before = F.sum("rows").over(Window.partitionBy(*name).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
+    cells = materialize(cells.withColumn("block", F.floor(F.coalesce(before, F.lit(0)) / block)), "vectors-cells")
+    blocks = materialize(cells.groupBy(*name, "block").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "vectors-blocks")
+    last = blocks.groupBy(*name).agg(F.max("block").alias("last"))
     reach = float(np.sqrt(2 - 2 * threshold)) + 1e-6
-    left, right = tiles.alias("l"), tiles.alias("r")
-    # range join of tile summaries (one row per tile) on equal labels
-    met = left.join(right, (F.col("l.label") == F.col("r.label")) & (F.col("l.dim") == F.col("r.dim")) & (F.col("l.tile") <= F.col("r.tile")) & (F.col("r.lo") - F.col("l.hi") <= reach))
-    met = met.select(F.col("l.label").alias("label"), F.col("l.dim").alias("dim"), F.col("l.tile").alias("a"), F.col("r.tile").alias("b"))
-    met = materialize(met, "vectors-met")
-    roles = met.select("label", "dim", "a", "b", F.col("a").alias("tile"), F.lit(0).alias("side")).unionByName(met.where("a <> b").select("label", "dim", "a", "b", F.col("b").alias("tile"), F.lit(1).alias("side")))
-    sent = turned.drop("label", "dim", "z0").join(placed.drop("z0"), "class").join(roles, ["label", "dim", "tile"]).select("label", "dim", "a", "b", "side", "class", "n", "v", "z")
+    # one row per block and later block, spread by the later one, then the range condition
+    ahead = blocks.join(last, name).select(*name, F.col("block").alias("a"), "hi", F.explode(F.sequence("block", "last")).alias("b"))
+    met = ahead.join(blocks.select(*name, F.col("block").alias("b"), "lo"), [*name, "b"]).where(F.col("lo") - F.col("hi") <= reach)
+    met = materialize(met.select(*name, "a", "b"), "vectors-met")
+    roles = met.select(*name, "a", "b", F.col("a").alias("block"), F.lit(0).alias("side")).unionByName(met.where("a <> b").select(*name, "a", "b", F.col("b").alias("block"), F.lit(1).alias("side")))
+    sent = turned.join(cells.select(*name, "cell", "block"), [*name, "cell"]).join(roles, [*name, "block"]).select(*name, "a", "b", "side", "class", "n", "v")
 
     def linked(group: pa.Table) -> pa.Table:
         group = group.sort_by("side")
-        side, n, cls = group.column("side").to_numpy(), group.column("n").to_numpy(), group.column("class").to_numpy()
-        x = group.column("v").combine_chunks().flatten().to_numpy().reshape(len(n), -1)
-        z = group.column("z").combine_chunks().flatten().to_numpy().reshape(len(n), -1)
-        split = int(np.searchsorted(side, 1))
-        i, j = compare(x, z, None if split == len(n) else split, threshold)
-        links = np.bincount(i, weights=n[j], minlength=len(n)) + np.bincount(j, weights=n[i], minlength=len(n))
-        root = roots(len(n), i, j)
+        n, cls = group.column("n").to_numpy(), group.column("class").to_numpy()
+        x = group.column("v").combine_chunks().flatten().to_numpy().reshape(len(n), -1).astype(np.float64)
+        split = int(np.searchsorted(group.column("side").to_numpy(), 1))
+        links, root = link_blocks(x, split, turn.value.get(x.shape[1]), n, threshold, tile)
         some = np.flatnonzero(links > 0)
         return pa.table({"class": cls[some], "links": links[some].astype(np.int64), "root": cls[root[some]]})
 
-    found = materialize(sent.groupBy("label", "dim", "a", "b").applyInArrow(linked, "class bigint, links bigint, root bigint"), "vectors-links")
+    found = materialize(sent.groupBy(*name, "a", "b").applyInArrow(linked, "class bigint, links bigint, root bigint"), "vectors-links")
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("class").alias("a"), F.col("root").alias("b")))
-    of = classes.select("class", "n", "least").join(links, "class", "left").join(joined, F.col("class") == F.col("node"), "left").select("class", "n", "least", "links", F.coalesce("component", "class").alias("component"))
-    least = of.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = of.join(least, "component").select("class", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
-    out = rows.select("vec_id", "class").join(of, "class", "left")
-    component = F.when(F.col("class").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    thin = classes.select("class", "k1", "k2", "n", "least")
+    linked_of = materialize(joined.join(thin.select(F.col("class").alias("node"), "least"), "node"), "vectors-linked")
+    least = materialize(linked_of.groupBy("component").agg(F.min("least").alias("component_id")), "vectors-least")
+    named = linked_of.join(least, "component").select(F.col("node").alias("class"), "component_id", F.lit(True).alias("met"))
+    of = thin.join(links, "class", "left").join(named, "class", "left")
+    of = of.select("k1", "k2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.when(F.col("met"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
+    out = rows.select("vec_id", "k1", "k2").join(materialize(of, "vectors-of"), ["k1", "k2"], "left")
+    component = F.when(F.col("k1").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
