@@ -1,22 +1,23 @@
 """Operator 7: SimHash near-duplicates by multi-index hashing.
 
-Method: 64-bit fingerprints are cut into three segments.  Fingerprints at distance of 4 or
-less agree up to one bit in the first or second segment or exactly in the third (were all
-three exceeded, the distance would be 2 + 2 + 1 = 5).  Each distinct fingerprint enters one
-table per segment and probes it with the segment's small Hamming ball; fetched matches are
-verified on their complete distance.
-
-A segment value should hold few fingerprints by chance.  Beyond ``MANY`` distinct ones 21
-bits are too few for that, and two segments of 32 bits serve, with radius 1 and radius 2
-(2 + 3 = 5 again).  Radius 2 is met half-way: table entries and probes take balls of radius
-1 each, 66 keys where one side alone would need 530.  Both layouts find the same links.
-  A task reduces its links to a spanning forest before
-it emits them, so that a large group of near copies gives a line per member, not per pair.
+Method: 64-bit fingerprints are cut into segments, each with a radius; radii plus one add up
+to more than the distance, so two fingerprints within the distance come within the radius in
+some segment.  For distance 4 and three segments the radii are 1, 1 and 0 (were all three
+exceeded, the distance would be 2 + 2 + 1 = 5).  Each distinct fingerprint enters one table
+per segment and probes it with the segment's small Hamming ball (a radius over 1 is met
+half-way by both); fetched matches are verified on their complete distance.
+
+A segment value that very many fingerprints share is indexed again by pieces of the other
+bits, one piece more than the distance, of which some must agree; what is still crowded is
+dealt over a grid of entries by probes, so no task holds more than a bounded part.  A task
+reduces its links to a spanning forest before it emits them, so that a large group of near
+copies gives a line per member, not per pair.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -29,30 +30,40 @@ from .common import components, materialize
 SHINGLE = 4
 SEED = 42
 DISTANCE = 4
-#: (lowest bit, bits, radius of probes, radius of table entries) of the segments
-SEGMENTS = [(0, 21, 1, 0), (21, 21, 1, 0), (42, 22, 0, 0)]
-WIDE_SEGMENTS = [(0, 32, 1, 0), (32, 32, 1, 1)]
-#: distinct fingerprints from which chance matches cost more than the wide layout's keys
-MANY = 500_000_000
-#: table entries of one segment value beyond which its probes are dealt over several tasks
-HOT = 20_000
+#: segments of a fingerprint.  Three suit up to some 10**9 distinct fingerprints; beyond, two
+#: longer ones meet fewer by chance, for 130 keys each instead of 48
+SEGMENTS = 3
+#: table entries of one value beyond which it is indexed again, and then dealt over a grid
+HOT = 4096
 CANDIDATES = 2_000_000
 
 
-def fingerprint(text: bytes) -> int:
-    """SimHash of a text's 4-word shingles, as a signed 64-bit integer; 0 without words."""
+def segments(distance: int, count: int) -> list[tuple[int, int, int]]:
+    """(lowest bit, bits, radius) of each segment; one that needs no look has radius -1."""
+    borders = [64 * i // count for i in range(count + 1)]
+    share, extra = divmod(distance + 1, count)
+    return [(a, b - a, share - (i >= extra)) for i, (a, b) in enumerate(zip(borders, borders[1:], strict=False))]
+
+
+def ball(bits: int, radius: int) -> list[int]:
+    """Masks of at most ``radius`` of the lowest ``bits`` bits."""
+    return [sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(bits), r)]
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """SimHash of a text's shingles, as a signed 64-bit integer; 0 without words."""
     ws = text.lower().split()
     n = len(ws)
     if n == 0:
         return 0
     h = xxhash.xxh64_intdigest
     joined = b" ".join(ws)
-    if n <= SHINGLE:
+    if n <= shingle:
         hashes = np.array([h(joined, SEED)], np.uint64)
     else:
         ends = np.cumsum(np.fromiter(map(len, ws), np.int64, n) + 1)
-        starts = [0, *ends[: n - SHINGLE].tolist()]
-        hashes = np.fromiter((h(joined[s:e], SEED) for s, e in zip(starts, (ends[SHINGLE - 1 :] - 1).tolist(), strict=True)), np.uint64, n - SHINGLE + 1)
+        starts = [0, *ends[: n - shingle].tolist()]
+        hashes = np.fromiter((h(joined[s:e], SEED) for s, e in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)), np.uint64, n - shingle + 1)
     votes = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 65536):
         part = hashes[i : i + 65536].astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -61,19 +72,19 @@ def fingerprint(text: bytes) -> int:
     return int(bits.view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, *, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, key) per row; key is a hash of id and text for joining back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(t.as_buffer().to_pybytes()) if t.is_valid else 0 for t in b.column("t").cast(pa.binary())]
+            fps = [fingerprint(t.as_buffer().to_pybytes(), shingle) if t.is_valid else 0 for t in b.column("t").cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64()), b.column("key")], ["doc_id", "fp", "key"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"), F.xxhash64(id_col, text_col).alias("key")).mapInArrow(run, f"doc_id {kind}, fp bigint, key bigint")
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _forest(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
     """Verified links among one partition's table entries and probes, as a spanning forest."""
     parts = [(b.column("key").to_numpy(), b.column("fp").to_numpy(), b.column("probe").to_numpy(zero_copy_only=False)) for b in batches]
     if not parts:
@@ -99,7 +110,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = count[i:j]
         left = np.repeat(pf[i:j], c)
         right = tf[np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c) + np.repeat(lo[i:j], c)]
-        ok = (left < right) & (np.bitwise_count((left ^ right).view(np.uint64)) <= DISTANCE)
+        ok = (left < right) & (np.bitwise_count((left ^ right).view(np.uint64)) <= distance)
         i = j
         if not ok.any():
             continue
@@ -132,57 +143,80 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes[out]), pa.array(nodes[label[out]])], ["a", "b"])
 
 
-def link_forest(distinct: DataFrame) -> DataFrame:
+def link_forest(distinct: DataFrame, distance: int = DISTANCE, count: int = SEGMENTS) -> DataFrame:
     """(a, b) edges connecting exactly the fingerprints that links connect.
 
     ``distinct`` has one row per distinct fingerprint in column fp.
     """
     spark = distinct.sparkSession
-    n = distinct.count()
-    tables, balls = [], []
-    for s, (low, bits, reach, spread) in enumerate(SEGMENTS if n < MANY else WIDE_SEGMENTS):
+    tables, balls, rest = [], [], F.lit(None).cast("long")
+    for s, (low, bits, radius) in enumerate(segments(distance, count)):
+        if radius < 0:
+            continue
         value = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << bits) - 1)).bitwiseOR(F.lit(s << 32))
-        ball = [value, *(value.bitwiseXOR(F.lit(1 << i)) for i in range(bits))]
-        tables += ball if spread else ball[:1]
-        balls += ball if reach else ball[:1]
+        tables += [value.bitwiseXOR(F.lit(m)) for m in ball(bits, radius // 2)]
+        balls += [value.bitwiseXOR(F.lit(m)) for m in ball(bits, radius - radius // 2)]
+        # the other bits, turned to the lowest places
+        turned = F.shiftrightunsigned("fp", low + bits).bitwiseOR(F.shiftleft("fp", 64 - low - bits)) if low + bits < 64 else F.col("fp")
+        rest = F.when(F.shiftright("key", 32) == s, turned.bitwiseAND(F.lit((1 << (64 - bits)) - 1))).otherwise(rest)
     table = distinct.select("fp", F.explode(F.array(*tables)).alias("key"), F.lit(False).alias("probe"))
     probes = distinct.select("fp", F.explode(F.array(*balls)).alias("key"), F.lit(True).alias("probe"))
-    hot = materialize(table.groupBy("key").count().where(F.col("count") > HOT).select("key", F.ceil(F.col("count") / HOT).cast("int").alias("parts")), "simhash-hot")
-    if hot.isEmpty():
-        both = table.unionByName(probes).withColumn("salt", F.lit(0))
-    else:
-        many = F.coalesce(F.col("parts"), F.lit(1))
-        table = table.join(hot, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), many - 1))).drop("parts")
-        probes = probes.join(hot, "key", "left").withColumn("salt", F.pmod(F.xxhash64("fp"), many).cast("int")).drop("parts")
-        both = table.unionByName(probes)
-    rows = (len(tables) + len(balls)) * n
+    both = table.unionByName(probes)
+
+    def crowded(entries: DataFrame, name: str) -> DataFrame:
+        return materialize(entries.groupBy("key").count().where(F.col("count") > HOT).select("key", F.ceil(F.col("count") / HOT).cast("int").alias("parts")), name)
+
+    hot = crowded(table, "simhash-hot")
+    if not hot.isEmpty():
+        known = both.join(hot, "key", "left")
+        piece = -(-(64 - 64 // count) // (distance + 1))  # all of them cover the rest of any segment
+        again = [F.xxhash64("key", F.lit(i), F.shiftrightunsigned("rest", i * piece).bitwiseAND(F.lit((1 << piece) - 1))) for i in range(distance + 1)]
+        fine = known.where("parts is not null").withColumn("rest", rest).select("fp", F.explode(F.array(*again)).alias("key"), "probe")
+        fine = materialize(fine, "simhash-fine")
+        dense = crowded(fine.where("not probe"), "simhash-dense")
+        grid = fine.join(dense, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        own, other = F.pmod(F.xxhash64("fp"), F.col("parts")), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+        grid = grid.withColumn("own", own.cast("int")).withColumn("other", other)
+        cell = F.xxhash64("key", F.when(F.col("probe"), F.col("other")).otherwise(F.col("own")), F.when(F.col("probe"), F.col("own")).otherwise(F.col("other")))
+        both = known.where("parts is null").select("fp", "key", "probe").unionByName(grid.select("fp", cell.alias("key"), "probe"))
+    rows = (len(tables) + len(balls)) * distinct.count()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // 1_000_000))
-    dealt = both.repartition(parts, F.xxhash64("key", "salt")).select(F.xxhash64("key", "salt").alias("key"), "fp", "probe")
-    return dealt.mapInArrow(_forest, "a bigint, b bigint")
+    return both.repartition(parts, "key").select("key", "fp", "probe").mapInArrow(lambda batches: _forest(batches, distance), "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, distance: int = DISTANCE, segments: int = SEGMENTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, fp, key, fingerprint, component_id, first_key.
 
     component_id is the smallest id reachable over links (a null id only where a group has
     no other); first_key is the key of that document's row.  Null, empty and blank texts
-    have fingerprint 0 and link like any other.  Repeated rows are kept.  An empty table
-    gives an empty result; other columns are ignored.
+    have fingerprint 0 and link like any other.  A text of any length is hashed whole, in
+    one task with some 100 bytes a word.  Repeated rows are kept, and ties in the id go to
+    the smaller key.  An empty table gives an empty result; other columns are ignored,
+    whatever their names.  ``components`` raises beyond 60 rounds, some 2**30 links in a row.
     """
-    prints = materialize(fingerprints(docs, id_col=id_col, text_col=text_col), "simhash-prints")
+    prints = materialize(fingerprints(docs, shingle=shingle, id_col=id_col, text_col=text_col), "simhash-prints")
     classes = materialize(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")), "simhash-classes")
-    joined = components(link_forest(classes.select("fp")))
-    of = classes.join(joined, classes["fp"] == joined["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    first = of.groupBy("component").agg(F.min("first").alias("least"))
-    of = materialize(of.join(first, "component").select("fp", F.col("least.doc_id").alias("component_id"), F.col("least.key").alias("first_key")), "simhash-components")
+    joined = components(link_forest(classes.select("fp"), distance, segments))
+    # only linked fingerprints meet their component, and both sides are written before they
+    # do: a group of any size is then a skewed join, which is split
+    linked = materialize(joined.join(classes, F.col("node") == F.col("fp")).select("fp", "component", "first"), "simhash-linked")
+    least = materialize(linked.groupBy("component").agg(F.min("first").alias("least")), "simhash-least")
+    named = linked.join(least, "component").select("fp", "least")
+    of = classes.join(named, "fp", "left").withColumn("least", F.coalesce("least", "first"))
+    of = materialize(of.select("fp", F.col("least.doc_id").alias("component_id"), F.col("least.key").alias("first_key")), "simhash-components")
     return prints.join(of, "fp").select("doc_id", "fp", "key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "first_key")
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: one document, that of the smallest id, of each group."""
+def keep_one(docs: DataFrame, *, shingle: int = SHINGLE, distance: int = DISTANCE, segments: int = SEGMENTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: one document, that of the smallest id, of each group.
+
+    A group without any id keeps one row; of rows equal in id and text one stays, whichever.
+    Null and empty texts are one group, all with fingerprint 0.  All columns are returned;
+    names with two leading underscores are the operator's.  An empty table stays empty.
+    """
     from pyspark.sql import Window
 
-    groups = near_duplicates(docs, id_col=id_col, text_col=text_col)
+    groups = near_duplicates(docs, shingle=shingle, distance=distance, segments=segments, id_col=id_col, text_col=text_col)
     stay = groups.select(F.col("first_key").alias("__key"), F.xxhash64(F.lit("id"), "component_id").alias("__id")).distinct()
     # join and window share their keys, so whole texts are exchanged once
     keyed = docs.withColumn("__key", F.xxhash64(id_col, text_col)).withColumn("__id", F.xxhash64(F.lit("id"), id_col))
