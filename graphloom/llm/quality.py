@@ -1,8 +1,8 @@
 """Operator 5: quality classifier.
 
 Method: histogram gradient-boosted trees over document statistics.  Statistics come from
-whole texts, vectorised over Arrow slices.  Training uses at most ``SAMPLE`` labelled rows,
-those of the smallest id hashes outside the held-out fold.  The trees are perfect binary
+whole texts, vectorised over Arrow slices.  Training uses at most ``SAMPLE`` labelled
+documents, those of the smallest id hashes outside the held-out fold.  The trees are perfect binary
 trees flattened into arrays, and all of them are walked at once in numpy.
 """
 
@@ -118,12 +118,17 @@ class Forest:
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> Forest:
-    """Boosts log-loss trees on feature histograms.  No rows or one class give a constant."""
+    """Boosts log-loss trees on feature histograms.
+
+    A split needs ``MIN_ROWS`` rows on either side; without any that gains, a tree is one
+    leaf, so one class, or fewer rows than two such sides, give a constant near the mean.
+    No rows give 0.5.
+    """
     inner, leaves = 2**DEPTH - 1, 2**DEPTH
     none = np.zeros((0, inner))
     rate = (y.sum() + 1) / (len(y) + 2)
     base = float(np.log(rate / (1 - rate)))
-    if len(y) < 2 * MIN_ROWS or y.min() == y.max():
+    if not len(y):
         return Forest(base, none.astype(np.int64), none, np.zeros((0, leaves)))
     n, m = x.shape
     cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(m)]
@@ -169,7 +174,14 @@ def held_out(c):
 
 
 def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Forest:
-    """Fits on at most ``sample`` labelled documents.  Repeated labels of an id are averaged."""
+    """Fits on at most ``sample`` labelled documents, the one bound on what is learnt from.
+
+    Rows with a null id or label, and those held out, teach nothing; repeated labels of an
+    id are averaged; rows that repeat a labelled id are documents of their own, and the bound
+    holds for them all.  Null and empty texts teach with empty statistics.  Ties in the hash
+    go by id and statistics, so reruns agree.  Empty tables give the constant 0.5.  Columns
+    that clash are not looked at.
+    """
     picked = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
         .groupBy(F.col(id_col).alias("__id"))
@@ -187,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, id_col: s
     # at most ``sample`` ids and labels are broadcast
     joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(picked), F.col("id") == F.col("__id")).select("id", "t", "y")
     kind = docs.schema[id_col].dataType.simpleString()
-    got = joined.mapInArrow(run, f"id {kind}, y double, x array<double>").orderBy("id", "x").limit(2 * sample).collect()
+    got = joined.mapInArrow(run, f"id {kind}, y double, x array<double>").orderBy(F.xxhash64("id"), "id", "x").limit(sample).collect()
     x = np.array([r["x"] for r in got]) if got else np.zeros((0, 1))
     return fit(x, np.array([r["y"] for r in got]))
 
@@ -195,7 +207,9 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, id_col: s
 def score(docs: DataFrame, forest: Forest, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """All columns of ``docs`` plus score and predicted; clashing columns are replaced.
 
-    Null and empty texts are scored on empty statistics.  Repeated rows are kept.
+    Null and empty texts are scored on empty statistics, a text of any length on the whole
+    of it, with some 100 bytes of memory a byte.  Rows with null or repeated ids and repeated
+    rows are kept; equal texts score alike.  An empty table stays empty.
     """
     docs = docs.drop("score", "predicted")
     columns = docs.columns
