@@ -183,35 +183,70 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
             todo += new
         least = min(rows[k][0] for k in seen)
         want.append((rows[i][0], len(links[i]), least, least == rows[i][0]))
-    for tile in (1024, 16):
-        got = [tuple(r) for r in vectors.near_vectors(df, tile=tile).collect()]
+    for block, tile in ((16_384, 1024), (40, 16), (7, 3)):
+        got = [tuple(r) for r in vectors.near_vectors(df, block=block, tile=tile).collect()]
         assert sorted(got) == sorted(want)
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_floats_and_long_ones(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(30, 5000)).astype(np.float32)
+    rows = [(i, base[i % 30].tolist(), "x") for i in range(60)] + [(100 + i, (base[i] + rng.normal(size=5000).astype(np.float32) * 0.05).tolist(), "x") for i in range(30)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")).collect()}
+    assert got == {i: (2, (i % 30 if i < 60 else i - 100)) for i, _, _ in rows}
+
+
+def test_link_blocks_hold_a_tile_of_pairs_only():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1, 16)) + rng.normal(size=(700, 16)) * 0.01
+    links, root = vectors.link_blocks(x, 700, None, np.ones(700), 0.98, 100)
+    assert (links == 699).all() and (root == 0).all()
+    links, root = vectors.link_blocks(x, 300, None, np.ones(700), 0.98, 64)
+    assert (links[:300] == 400).all() and (links[300:] == 300).all() and (root == 0).all()
+
+
 def test_chat_parts_and_round_trip(spark):
     part = lambda kind, text=None, ref=None, units=None: (kind, text, ref, units)
     rows = [
         (1, 0, "user", [part("text", "see <|image:0|> & "), part("image", ref="a.png", units=2), part("audio", ref="b.wav", units=10), part("text", "[x]|")]),
         (1, 1, "assistant", [part("text", "<|end|> &lt; fine")]),
         (1, 2, None, None),
-        (2, None, "assistant", [part("text", None), part("document", ref="c.pdf"), part("odd|>", ref="z")]),
+        (1, 3, "user", [part("image", ref="c.png", units=1), part("text", ""), part(None, "no kind")]),
+        (2, None, "assistant", [part("text", None), part("document", ref="c.pdf"), part("odd|>", ref="z"), part("text", "after")]),
         (None, 0, "assistant", []),
         (3, 5, "a|>b", [part("text", "é😀")]),
         (3, 5, "a|>b", [part("text", "é😀")]),
     ]
-    df = spark.createDataFrame(rows, f"conv_id long, turn int, role string, parts array<{chat.PART}>").withColumn("formatted", F.lit(0))
+    df = spark.createDataFrame(rows, f"conv_id long, turn int, role string, parts array<{chat.PART}>").withColumn("formatted", F.lit(0)).withColumn("n", F.lit("clash"))
     got = {r["conv_id"]: r for r in chat.read_back(chat.format_chat(df)).collect()}
-    assert [(t["role"], t["content"]) for t in got[1]["turns"]] == [("user", "see <|image:0|> & <|image:0|><|audio:1|>[x]|"), ("assistant", "<|end|> &lt; fine"), ("", "")]
-    assert got[1]["formatted"].count("<|image:0|>") == 1
-    assert [(a["n"], a["kind"], a["ref"], a["tokens"]) for a in got[1]["attachments"]] == [(0, "image", "a.png", 512), (1, "audio", "b.wav", 250)]
-    assert got[1]["expanded_tokens"] == 762 and got[1]["loss_text"] == "<|end|> &lt; fine"
-    assert got[2]["expanded_tokens"] == 512 and got[2]["loss_text"] == "<|document:0|><|odd|>:1|>"
-    assert got[None]["loss_text"] == "" and len(got[None]["turns"]) == 1
-    assert [(t["role"], t["content"]) for t in got[3]["turns"]] == [("a|>b", "é😀")] * 2
+    back = lambda conv: [(t["role"], [tuple(p) for p in t["parts"]]) for t in got[conv]["turns"]]
+    assert back(1) == [(rows[0][2], rows[0][3]), (rows[1][2], rows[1][3]), ("", []), ("user", [rows[3][3][0], part("text", "no kind")])]
+    assert back(2) == [("assistant", [*rows[4][3][1:3], part("text", "after")])]
+    assert back(None) == [("assistant", [])] and got[None]["loss_text"] == "" and got[None]["loss_spans"] == []
+    assert back(3) == [("a|>b", [part("text", "é😀")])] * 2
+    # a placeholder in a text is escaped, the real ones have a number each over all turns
+    assert [got[1]["formatted"].count(x) for x in ("<|image:0|>", "<|audio:1|>", "<|image:2|>")] == [1, 1, 1]
+    assert [(a["n"], a["turn"], a["part"], a["kind"], a["ref"], a["tokens"]) for a in got[1]["attachments"]] == [(0, 0, 1, "image", "a.png", 512), (1, 0, 2, "audio", "b.wav", 250), (2, 3, 0, "image", "c.png", 256)]
+    assert got[1]["expanded_tokens"] == 512 + 250 + 256 + sum(len(re.findall(r"[^\W_]+|[^\w\s]|_", p[1] or "")) for r in rows[:4] for p in r[3] or [])
+    assert got[1]["loss_text"] == "<|end|> &lt; fine" and got[2]["loss_text"] == "after"
+    for r in got.values():
+        cut = "".join(r["formatted"][s["start"] : s["start"] + s["length"]] for s in r["loss_spans"])
+        assert cut == r["loss_text"].replace("&", "&amp;").replace("<", "&lt;").replace("[", "&#91;").replace("|", "&#124;")
     assert chat.format_chat(df.limit(0)).count() == 0
 
 
+def test_chat_of_many_turns_is_linear(spark):
+    import time
+
+    turns = spark.range(60_000).selectExpr("1L conv_id", "id turn", "if(id % 2 = 0, 'user', 'assistant') role", "concat('t ', id) text")
+    parts = F.array(chat.part(F.lit("text"), F.col("text")), chat.part(F.lit("image"), None, F.col("text"), F.lit(1)))
+    began = time.time()
+    r = chat.read_back(chat.format_chat(turns.withColumn("parts", parts))).selectExpr("size(turns) n", "loss_text", "turns[59999].parts[1].ref ref", "size(attachments) a").first()
+    assert (r["n"], r["a"], r["ref"]) == (60_000, 60_000, "t 59999") and r["loss_text"] == "".join(f"t {i}" for i in range(1, 60_000, 2))
+    assert time.time() - began < 60
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 

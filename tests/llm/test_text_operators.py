@@ -9,6 +9,7 @@ import pytest
 import xxhash
 from graphloom.llm import quality, simhash, winnow
 from graphloom.llm import queries as Q
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -45,6 +46,9 @@ def planted():
         a = rng.randrange(len(src))
         docs.append((10 + i, text(rng.randrange(30)) + "-" + ".".join(src[a : a + rng.randrange(1, 30)]) + "\n" + text(rng.randrange(200))))
     docs.append((99, text(30_000)))
+    # repetitive texts: runs of one word and of two in turn, longer and shorter than the items'
+    items += [(8, "aa " * 60), (9, "b c " * 20 + "b b d"), (10, "d " + "aa " * 15 + "d")]
+    docs += [(100, "aa " * 400), (101, "b c " * 200 + "b b d " + "c b " * 30), (102, "d " + "aa " * 15 + "d " + "aa " * 14 + "x " + "aa " * 13), (103, "aa " * 12)]
     return docs, items
 
 
@@ -58,6 +62,17 @@ def test_winnowing_equals_brute_force(spark, block_bytes):
     assert rows == want
 
 
+def test_winnowing_of_repeated_words_tries_few_pairs():
+    import time
+
+    index = winnow.Index([(1, "a " * 2000)], 13)
+    data = np.frombuffer(b"a " * 20_000, np.uint8)
+    began = time.process_time()
+    counts, found = index.scan(data, np.array([0, len(data)]))
+    assert counts.tolist() == [20_000] and winnow._union(found[0][0]) == 20_000 and found[0][1] == {0}
+    assert time.process_time() - began < 6  # 40 million pairs of places take a minute
+
+
 def test_winnowing_on_tables(spark):
     got = {r["doc_id"]: tuple(r)[1:] for r in Q.op1_winnow_decontaminate(spark, SF).collect()}
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
@@ -110,35 +125,53 @@ def test_simhash_equals_brute_force(spark):
     assert rows == brute_groups([(i, brute_fp(t)) for i, t in docs])
 
 
-@pytest.mark.parametrize("many", [simhash.MANY, 1])
-def test_simhash_links_on_random_fingerprints(spark, monkeypatch, many):
-    monkeypatch.setattr(simhash, "HOT", 7)
-    monkeypatch.setattr(simhash, "MANY", many)
+@pytest.mark.parametrize(("distance", "count", "hot"), [(4, 3, 4096), (4, 3, 7), (4, 2, 7), (4, 2, 4096), (7, 4, 4096), (7, 4, 3), (1, 2, 2)])
+def test_simhash_links_on_random_fingerprints(spark, monkeypatch, distance, count, hot):
+    monkeypatch.setattr(simhash, "HOT", hot)
     rng = random.Random(3)
-    fps = []
+    fps = [0, (1 << 64) - 1]
     for _ in range(40):
         f = rng.getrandbits(64)
         for _ in range(12):
             fps.append(f)
-            for _ in range(rng.randrange(1, 6)):
+            for _ in range(rng.randrange(1, distance + 2)):
                 f ^= 1 << rng.randrange(64)
+    # a crowd that shares two segments, with links in and beyond reach
+    crowd = rng.getrandbits(64)
+    fps += [crowd ^ rng.getrandbits(14) for _ in range(60)]
     fps = sorted(set(fps))
     signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
-    edges = simhash.link_forest(spark.createDataFrame(signed, "fp long")).collect()
-    up = {f: f for (f,) in signed}
+    edges = simhash.link_forest(spark.createDataFrame(signed, "fp long"), distance, count).collect()
 
-    def root(f):
-        while up[f] != f:
-            f = up[f]
-        return f
+    def closed(pairs):
+        up = {f: f for f in fps}
 
-    for a, b in edges:
-        up[root(a)] = root(b)
-    got = {f % (1 << 64): root(f) for (f,) in signed}
-    want = dict(zip(fps, [x[2] for x in sorted(brute_groups(list(enumerate(fps))), key=lambda r: int(r[0]))], strict=True))
-    for i, a in enumerate(fps):
-        for b in fps[:i]:
-            assert (got[a] == got[b]) == (want[a] == want[b])
+        def root(f):
+            while up[f] != f:
+                f = up[f]
+            return f
+
+        for a, b in pairs:
+            a, b = sorted((root(a), root(b)))
+            up[b] = a
+        return [root(f) for f in fps]
+
+    got = [(a % (1 << 64), b % (1 << 64)) for a, b in edges]
+    assert closed(got) == closed([(a, b) for i, a in enumerate(fps) for b in fps[:i] if (a ^ b).bit_count() <= distance])
+
+
+def test_simhash_segments_cover_the_distance():
+    for distance in range(12):
+        for count in range(2, 7):
+            cut = simhash.segments(distance, count)
+            assert sum(b for _, b, _ in cut) == 64 and sum(r + 1 for _, _, r in cut) == distance + 1
+
+
+def test_simhash_of_a_very_long_text(spark):
+    long = " ".join(f"w{i % 977}" for i in range(120_000))
+    got = simhash.near_duplicates(spark.createDataFrame([(1, long), (2, long.upper()), (3, "w")], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (2, 1), (3, 3)]
+    assert next(r["fingerprint"] for r in got if r["doc_id"] == 1) == f"{simhash.fingerprint(long.encode()) % (1 << 64):016x}"
 
 
 def test_keep_one_keeps_one_row_of_each_group(spark):
@@ -165,6 +198,87 @@ def test_classifier_edges(spark):
     assert quality.score(docs.limit(0), quality.train(docs.limit(0), none)).count() == 0
 
 
+def plain_features(text):
+    """The statistics of one document, by loops over its bytes, words and lines."""
+    raw = text.encode()
+    kinds = [0] * 13
+    of = {}
+    for b in range(256):
+        c = chr(b)
+        if b >= 0xC0:
+            of[b] = 11
+        elif b >= 0x80:
+            of[b] = 12
+        elif c in "()[]{}<>'\"-":
+            of[b] = 9
+        elif c == "|":
+            of[b] = 8
+        elif c in "!?":
+            of[b] = 7
+        elif c in ".,;:":
+            of[b] = 6
+        elif c == "\n":
+            of[b] = 5
+        elif c in " \t\r":
+            of[b] = 4
+        elif c.isdigit():
+            of[b] = 3
+        elif c.isupper():
+            of[b] = 2
+        elif c.islower():
+            of[b] = 1
+        else:
+            of[b] = 10 if 0x21 <= b < 0x7F else 0
+    for b in raw:
+        kinds[of[b]] += 1
+    chars = max(len(raw) - kinds[12], 1)
+    ws = re.findall(rb"[^\x20\x09-\x0D\x00]+", raw)
+    ls = [x for x in raw.split(b"\n") if x]
+    n, m = max(len(ws), 1), max(len(ls), 1)
+    most = lambda v: max((v.count(x) for x in set(v)), default=0)
+    same = lambda v: sum(a == b for a, b in zip(v, v[1:], strict=False))
+    mean = sum(map(len, ws)) / n
+    spread = max(sum(len(w) ** 2 for w in ws) / n - mean * mean, 0) ** 0.5
+    shout = sum(sum(of[b] == 2 for b in w) >= max(0.5 * len(w), 2) for w in ws)
+    odd = sum(of[w[-1]] in (7, 10) for w in ws)
+    share = [kinds[k] / chars for k in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11)]
+    return [np.log1p(len(raw)), np.log1p(len(ws)), *share, mean, spread, len(set(ws)) / n, most(ws) / n, same(ws) / n, shout / n, odd / n, sum(len(w) == 1 for w in ws) / n, sum(of[w[0]] == 2 for w in ws) / n, len(ws) / m, len(set(ls)) / m, most(ls) / m, same(ls) / m]
+
+
+def test_statistics_equal_loops(spark):
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    texts += ["", "  \n\n ", "A", "a a a\na a a\n\nb?", "ÄÖ ü 日本語!", "x|y (z) [1] 'q' -", "THE END! THE END!"]
+    raw = [t.encode() for t in texts]
+    got = quality.features(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+    assert np.allclose(got, np.array([plain_features(t) for t in texts]), rtol=1e-9, atol=1e-9)
+
+
+def test_flat_trees_equal_a_walk_from_node_to_node():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(600, 6))
+    f = quality.fit(x, (x[:, 0] * x[:, 2] + x[:, 4] > 0).astype(float))
+    assert len(f.feature) == quality.TREES
+    for row, score in zip(x[:80], f.score(x[:80]), strict=True):
+        raw = f.base
+        for feature, cut, value in zip(f.feature, f.cut, f.value, strict=True):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if row[feature[node]] > cut[node] else 1)
+            raw += value[node - len(feature)]
+        assert abs(score - 1 / (1 + np.exp(-raw))) < 1e-12
+
+
+def test_one_bound_holds_for_all_that_is_learnt(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 50, f"text {i}") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, quality int")
+    seen = []
+    fit = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.append(len(y)) or fit(x, y))
+    quality.train(docs, labels, sample=30)
+    quality.train(docs, labels)
+    assert seen[0] == 30 and seen[1] == 8 * docs.select("doc_id").distinct().where(~quality.held_out(F.col("doc_id"))).count()
+
+
 def test_trees_learn_a_simple_rule():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 5))
