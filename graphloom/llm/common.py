@@ -5,7 +5,7 @@
 * ``spread_rank``: row numbers and running sums inside arbitrarily large
   groups, in two levels, so that no group is ever gathered into one task.
 * ``materialize_bucketed``: a written table that later joins need not move.
-* ``components``: connected components by alternating star contraction.
+* ``components``: connected components by the graph engine's star contraction.
 * ``text_slices``: bounded numpy views of Arrow string columns.
 """
 
@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import graph
+
 SLICE_BYTES = 2 << 20
 
 
@@ -130,45 +132,9 @@ def range_parts(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return materialize(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), name)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """Connected components of an undirected edge table of longs.
-
-    Returns (node, component) with component = smallest node reachable, for every node
-    that has an edge.  Alternates large-star and small-star contraction; minima are
-    map-side combined aggregates and come back by plain equi-joins, whose skewed
-    partitions adaptive execution can split.  Each round is written to the shared
-    folder, and the round before it is deleted.
-    """
-    spark = edges.sparkSession
-    pairs = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u <> v").distinct()
-
-    def signature(df: DataFrame) -> tuple:
-        r = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        return (r[0], r[1])
-
-    path = new_path(spark, "edges")
-    pairs.write.parquet(path)
-    now = spark.read.schema(pairs.schema).parquet(path)
-    seen = signature(now)
-    for _ in range(max_rounds):
-        if not seen[0]:
-            break
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        nxt = new_path(spark, "edges")
-        small.write.parquet(nxt)
-        delete_path(spark, path)
-        path, now = nxt, spark.read.schema(pairs.schema).parquet(nxt)
-        was, seen = seen, signature(now)
-        if was == seen:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component = smallest node reachable) of an undirected edge table of longs, for every node with an edge."""
+    return graph.components(edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")), "a", "b")
 
 
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
