@@ -5,6 +5,7 @@ MAX_FILE_BYTES = 512 * 1024
 MAX_NOTEBOOK_BYTES = 50 * 1024 * 1024
 MAX_REPO_FILES = 2000
 MAX_REPO_BYTES = 100 * 1024 * 1024
+PRELOAD_FILE, PRELOAD_ALL = 100 * 1024, 10 * 1024 * 1024
 IGNORED_DIRS = [
     ".git", ".svn", ".hg", "__pycache__", "node_modules", "venv", ".venv", "env", ".env", ".tox", ".mypy_cache", ".pytest_cache",
     ".ruff_cache", "dist", "build", ".next", ".nuxt", ".output", "coverage", ".coverage", ".nyc_output", ".idea", ".vscode",
@@ -157,6 +158,7 @@ STANDALONE_FROM = 3
 USER_QUOTA_TOKENS, GLOBAL_QUOTA_USD = 200_000, 5.0
 BREAKER_FAILURES, BREAKER_SECONDS = 5, 60
 KEEPALIVE_SECONDS = 15
+RETRY_WAITS = [5, 15, 30]
 STAGE_BUCKETS = [0.05, 0.1, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0, 120.0]
 LATENCY_BUCKETS = [0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0]
 CHUNK_CHARS, CHUNK_OVERLAP = 1500, 200
@@ -197,3 +199,66 @@ COMPLEXITY = {
     "complex": 5, "advanced": 5, "hard": 5, "sophisticated": 5, "high": 5, "very complex": 7, "highly complex": 7,
     "extremely complex": 9,
 }
+
+# -- views ------------------------------------------------------------------------------
+FLOW_NODES, FLOW_EDGES = 15, 25
+FLOW_DATA = ["http", "db", "event", "file", "internal"]
+OLD_KINDS = {"start": "io", "end": "io", "action": "process", "decision": "transform", "transform": "transform", "data_store": "data_store"}
+LANE_ORDER = ["routes", "services", "models", "database", "utils", "config", "tests", "frontend", "module", "other"]
+CARD_CHROME, CARD_ROW = 56, 16
+BOX_PADDING, BOX_HEADER = 16, 40
+FOLDER_KINDS = {
+    "routes": "route|api|endpoint|handler", "models": "model|schema|entity", "services": "service|provider",
+    "database": "db|database|migration", "utils": "util|helper|lib|common", "config": "config|setting|env", "tests": "test|spec",
+    "component": "component|widget|ui|view|page",
+}
+#: source files but notebooks
+EXPLAINED_EXTENSIONS = [e for e in SOURCE_EXTENSIONS if e != ".ipynb"]
+SELECTED_CHARS, PROMPT_ITEMS, TILES = 12_000, 10, 80
+CLONE_HOURS, SAME_FILE_HITS = 24, 3
+NN_FRAMEWORKS = [
+    "torch", "torchvision", "tensorflow", "tf", "keras", "jax", "flax", "transformers", "timm", "lightning", "pytorch_lightning",
+    "fastai", "diffusers", "sentence_transformers",
+]
+NN_ROLES = ["ml_model", "ml_training", "ml_pipeline"]
+
+# -- networks -----------------------------------------------------------------------------
+NN_CONV = ["Conv1d", "Conv2d", "Conv3d", "ConvTranspose1d", "ConvTranspose2d", "ConvTranspose3d", "Conv1D", "Conv2D", "Conv3D"]
+NN_POOL = [
+    "MaxPool1d", "MaxPool2d", "MaxPool3d", "AvgPool1d", "AvgPool2d", "AvgPool3d", "MaxPooling1D", "MaxPooling2D", "MaxPooling3D",
+    "AveragePooling1D", "AveragePooling2D", "AveragePooling3D",
+]
+NN_GLOBAL_POOL = [
+    "AdaptiveAvgPool1d", "AdaptiveAvgPool2d", "AdaptiveMaxPool2d", "GlobalAveragePooling1D", "GlobalAveragePooling2D",
+    "GlobalMaxPooling1D", "GlobalMaxPooling2D",
+]
+NN_FLAT = ["Flatten", "Linear", "LazyLinear", "Dense"]
+NN_KEEP_WIDTH = [
+    "ReLU", "LeakyReLU", "GELU", "SiLU", "ELU", "Tanh", "Sigmoid", "Softmax", "Dropout", "Dropout1d", "Dropout2d", "Dropout3d",
+    "BatchNorm1d", "BatchNorm2d", "BatchNorm3d", "LayerNorm", "GroupNorm", "MaxPool1d", "MaxPool2d", "MaxPool3d", "AvgPool1d",
+    "AvgPool2d", "AvgPool3d", "AdaptiveAvgPool1d", "AdaptiveAvgPool2d", "AdaptiveMaxPool2d", "Activation", "Flatten", "Identity",
+]
+NN_GROUPS = {
+    "convolution": NN_CONV,
+    "pooling": [*NN_POOL, *NN_GLOBAL_POOL],
+    "dense": ["Linear", "Dense", "LazyLinear"],
+    "normalization": ["BatchNorm1d", "BatchNorm2d", "BatchNorm3d", "LayerNorm", "GroupNorm", "InstanceNorm1d", "InstanceNorm2d", "BatchNormalization"],
+    "activation": ["ReLU", "LeakyReLU", "PReLU", "GELU", "ELU", "Sigmoid", "Tanh", "Softmax", "LogSoftmax", "SiLU", "Mish", "Hardswish", "Activation"],
+    "dropout": ["Dropout", "Dropout2d", "Dropout3d", "AlphaDropout", "SpatialDropout1D", "SpatialDropout2D"],
+    "recurrent": ["LSTM", "GRU", "RNN", "LSTMCell", "GRUCell", "SimpleRNN", "Bidirectional"],
+    "attention": ["MultiheadAttention", "TransformerEncoder", "TransformerDecoder", "TransformerEncoderLayer", "TransformerDecoderLayer", "Transformer"],
+    "embedding": ["Embedding", "EmbeddingBag"],
+    "other": ["Flatten", "Unflatten", "Reshape", "Lambda", "Input", "Concatenate", "Add"],
+}
+NN_CATEGORIES = {kind: group for group, kinds in NN_GROUPS.items() for kind in kinds}
+NN_BASES = ["nn.Module", "torch.nn.Module", "keras.Model", "tf.keras.Model", "keras.models.Model", "tensorflow.keras.Model", "tensorflow.keras.models.Model", "flax.linen.Module", "flax.nnx.Module"]
+NN_PREFIXES = ["nn.", "torch.nn.", "layers.", "keras.layers.", "tf.keras.layers.", "tensorflow.keras.layers.", "flax.linen.", "flax.nnx."]
+NN_CONTAINERS = ["ModuleList", "Sequential", "ModuleDict"]
+NN_WRAPPERS = ["Bidirectional", "TimeDistributed"]
+NN_PRETRAINED = ["torchvision.models.", "keras.applications.", "tf.keras.applications.", "tensorflow.keras.applications."]
+NN_NOT_MODELS = ["tokenizer", "tokenizerfast", "processor", "featureextractor", "imageprocessor", "extractor", "config"]
+NN_LOOSE, NN_MOST_REPEATS = 2, 64
+NN_LEAST_EXTENT = 1 / 64
+#: height from and to, thickness from and to; height where nothing is known; a head's share of the height; depth
+NN_BLOCK = (26.0, 110.0, 6.0, 46.0)
+NN_UNKNOWN_HEIGHT, NN_HEAD, NN_DEPTH = 40.0, 0.12, 14.0

@@ -1,7 +1,7 @@
 """Import extraction per language, complexity and structure signatures (table functions).
 
-Languages whose rules are regular stay on the JVM; Python and JavaScript need a parser or a
-tokenizer and run as Arrow-batched pandas maps.
+Extraction needs parsers, tokenizers and places of matches, so it is one Arrow-batched pandas
+map over the files; resolution and reasons are joins and expressions.
 """
 
 from __future__ import annotations
@@ -126,8 +126,6 @@ def go_imports(source: str) -> list[tuple[str, int, str]]:
     return out
 
 
-_PARSED = {"Python": python_imports, "JavaScript": js_imports, "TypeScript": js_imports, "Go": go_imports, "Jupyter Notebook": notebook_imports, "Vue": lambda s: js_imports(script_blocks(s)), "Svelte": lambda s: js_imports(script_blocks(s))}
-
 #: fixed values: regular import forms, (pattern, type) per language; group 1 is the raw import
 _REGULAR = {
     "Java": [(r"(?m)^\s*import\s+(?:static\s+)?([\w.]+(?:\.\*)?)\s*;", "import")],
@@ -140,22 +138,53 @@ _REGULAR = {
 }
 
 
+def _regular(language: str):
+    rules = [(re.compile(p), kind) for p, kind in _REGULAR[language]]
+
+    def find(source: str) -> list[tuple[str, int, str]]:
+        return [(m[1], source.count("\n", 0, m.start(1)) + 1, kind) for p, kind in rules for m in p.finditer(source)]
+
+    return find
+
+
+#: Extractor of each language
+EXTRACTORS = {"Python": python_imports, "JavaScript": js_imports, "TypeScript": js_imports, "Go": go_imports, "Jupyter Notebook": notebook_imports, "Vue": lambda s: js_imports(script_blocks(s)), "Svelte": lambda s: js_imports(script_blocks(s)), **{x: _regular(x) for x in _REGULAR}}
+
+
 def imports(files: DataFrame) -> DataFrame:
-    """L4: import rows of all files (path, language, content): path, raw, line, type."""
+    """L4: import rows of all files (path, language, content): path, raw, line, type.
+
+    One pass over the files whose language has an extractor; repeated imports have a row
+    and a line each.  Files without content give none.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            rows = [(p, *r) for p, lang, c in zip(pdf["path"], pdf["language"], pdf["content"], strict=True) if isinstance(c, str) for r in _PARSED[lang](c)]
+            rows = [(p, *r) for p, lang, c in zip(pdf["path"], pdf["language"], pdf["content"], strict=True) if isinstance(c, str) for r in EXTRACTORS[lang](c)]
             yield pd.DataFrame(rows, columns=["path", "raw", "line", "type"])
 
-    f = files.select("path", "language", "content")
-    out = f.where(F.col("language").isin(list(_PARSED))).mapInPandas(run, ROWS)
-    for lang, rules in _REGULAR.items():
-        for pattern, kind in rules:
-            found = f.where(F.col("language") == lang).select("path", F.col("content"), F.explode(F.regexp_extract_all("content", F.lit(pattern), F.lit(1))).alias("raw"))
-            line = F.size(F.split(F.call_function("substring_index", F.col("content"), F.col("raw"), F.lit(1)), "\n"))
-            out = out.unionByName(found.select("path", "raw", line.cast("int").alias("line"), F.lit(kind).alias("type")))
-    return out
+    known = files.where(F.col("language").isin(list(EXTRACTORS)) & F.col("content").isNotNull())
+    return known.select("path", "language", "content").mapInPandas(run, ROWS)
+
+
+def resolve_relative(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Adds resolved for includes of a path that exists, by type of import row.
+
+    Quoted C and PHP includes and relative Ruby requires (as they are, then with .rb) start at
+    the file's folder; a Java or Kotlin class is a path from the root.  Other rows stay null.
+    """
+    here = F.concat_ws("/", F.regexp_replace("path", r"/?[^/]*$", ""), "raw")
+    klass = F.translate("raw", ".", "/")
+    options = (
+        F.when(F.col("type") == "include", F.array(here))
+        .when(F.col("type") == "require_relative", F.array(here, F.concat(here, F.lit(".rb"))))
+        .when((F.col("type") == "import") & F.col("path").endswith(".java"), F.array(F.concat(klass, F.lit(".java"))))
+        .when((F.col("type") == "import") & F.col("path").endswith(".kt"), F.array(F.concat(klass, F.lit(".kt")), F.concat(klass, F.lit(".java"))))
+    )
+    r = rows.withColumn("__id", F.xxhash64("path", "raw", "line", "type"))
+    cand = r.select("__id", F.posexplode(options).alias("__n", "__c")).withColumn("__c", normal_path(F.col("__c")))
+    hit = cand.join(known.select(F.col("path").alias("__c")).distinct(), "__c").groupBy("__id").agg(F.min_by("__c", "__n").alias("resolved"))
+    return r.join(hit, "__id", "left").select(*rows.columns, "resolved")
 
 
 def resolve_python(rows: DataFrame, known: DataFrame) -> DataFrame:

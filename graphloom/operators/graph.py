@@ -1,6 +1,6 @@
 """Iterative graph algorithms as bounded loops of joins over shared-folder tables.
 
-Frontiers are written to the folder named by ``spark.checkpoint.dir``, so lineage stays
+Steps are written once to the folder named by ``spark.checkpoint.dir``, so lineage stays
 short and lost executors cost one step.
 """
 
@@ -19,72 +19,135 @@ from .. import fixed_values as V
 def _shared(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = getattr(spark, "_graphloom_tmp", None) or tempfile.mkdtemp(prefix="graphloom-")
         spark._graphloom_tmp = base
     return base.rstrip("/")
 
 
+def new_folder(spark: SparkSession) -> str:
+    return f"{_shared(spark)}/graphloom-steps/{uuid.uuid4().hex}"
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Writes a step's table and reads it back."""
-    path = f"{_shared(df.sparkSession)}/graphloom-steps/{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Undirected components, (node, component = smallest node), by hooking and jumping.
+class Steps:
+    """Rows that a loop finds step by step: each step is written once, all are read together."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.base, self.schema, self.paths = spark, new_folder(spark), None, []
+
+    def add(self, df: DataFrame) -> DataFrame:
+        self.schema = self.schema or df.schema
+        self.paths.append(f"{self.base}/{len(self.paths)}")
+        df.write.parquet(self.paths[-1])
+        return self.step(len(self.paths) - 1)
+
+    def step(self, n: int) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.paths[n])
 
-    Each round takes the smallest label among a node and its neighbours and then follows
-    the label's own label, which halves distances.
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*self.paths)
+
+
+def in_order(df: DataFrame, order: list[Column | str], **sums: str) -> DataFrame:
+    """Adds ``place`` (from 1) in a global order and, for each ``new=column``, the sum of column up to the row.
+
+    Rows go to ranges of the order; totals per range, a row each, are all that one task
+    sees of the whole, and windows run inside ranges.
+    """
+    placed = settle(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
+    totals = {"__n": F.count(F.lit(1)), **{f"__{new}": F.sum(c) for new, c in sums.items()}}
+    w = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    base = placed.groupBy("__p").agg(*(c.alias(k) for k, c in totals.items())).select("__p", *(F.coalesce(F.sum(k).over(w), F.lit(0)).alias(k) for k in totals))
+    inside = Window.partitionBy("__p").orderBy(*order)
+    out = placed.join(F.broadcast(base), "__p").withColumn("place", F.col("__n") + F.row_number().over(inside))  # a row per shuffle partition
+    for new, c in sums.items():
+        out = out.withColumn(new, F.col(f"__{new}") + F.sum(c).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    return out.drop("__p", *totals)
+
+
+def components(edges: DataFrame, a: str = "source", b: str = "target", rounds: int = 60) -> DataFrame:
+    """Undirected components, (node, component = smallest node), by alternating star contraction.
+
+    For every node that has an edge.  Minima are map-side combined and come back by plain
+    equi-joins, whose skewed partitions adaptive execution can split.  Raises beyond
+    ``rounds`` rounds; a chain of n links takes about log2(n).
     """
-    both = settle(edges.select(F.col("source").alias("a"), F.col("target").alias("b")).unionByName(edges.select(F.col("target").alias("a"), F.col("source").alias("b"))).where("a <> b").distinct())
-    label = settle(both.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("component")))
-    for _ in range(rounds):
-        near = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("component").alias("near"))
-        hooked = label.join(near, label["node"] == near["a"]).select("node", F.least("component", "near").alias("component"), F.col("component").alias("was"))
-        root = hooked.select(F.col("node").alias("r"), F.col("component").alias("rc"))
-        new = settle(hooked.join(root, hooked["component"] == root["r"], "left").select("node", F.least(F.col("component"), F.coalesce("rc", "component")).alias("component"), "was"))
-        label = new.select("node", "component")
-        if new.where("component <> was").isEmpty():
-            return label
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    spark = edges.sparkSession
+    pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
+
+    def step(df: DataFrame) -> tuple[str, DataFrame, tuple]:
+        path = new_folder(spark)
+        df.write.parquet(path)
+        kept = spark.read.schema(pairs.schema).parquet(path)
+        return path, kept, tuple(kept.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    path, now, seen = step(pairs)
+    for _ in range(rounds if seen[0] else 0):
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        was, old = seen, path
+        path, now, seen = step(small)
+        delete_folder(spark, old)
+        if was == seen:
+            break
+    else:
+        if seen[0]:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
+    roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
 def reach(edges: DataFrame, starts: DataFrame, depth: int | None = None, reverse: bool = False) -> DataFrame:
     """Nodes reachable from ``starts`` (column node) with their distance; starts have 0.
 
-    Breadth first by frontier joins; a node enters once.
+    Breadth first by frontier joins; a node enters once, and each level is written once.
     """
     s, t = ("target", "source") if reverse else ("source", "target")
-    seen = settle(starts.select("node").distinct().withColumn("depth", F.lit(0)))
-    front, d = seen, 0
+    ways = settle(edges.select(F.col(s).alias("node"), F.col(t).alias("to")).distinct())
+    steps = Steps(edges.sparkSession)
+    front, d = steps.add(starts.select("node").distinct().withColumn("depth", F.lit(0))), 0
     while depth is None or d < depth:
         d += 1
-        nxt = front.select("node").join(edges, F.col("node") == F.col(s)).select(F.col(t).alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
-        nxt = settle(nxt.withColumn("depth", F.lit(d)))
-        if nxt.isEmpty():
+        nxt = front.select("node").join(ways, "node").select(F.col("to").alias("node")).distinct().join(steps.all().select("node"), "node", "left_anti")
+        front = steps.add(nxt.withColumn("depth", F.lit(d)))
+        if front.isEmpty():
             break
-        seen, front = settle(seen.unionByName(nxt)), nxt
-    return seen
+    return steps.all()
 
 
 def bfs_flow(edges: DataFrame, starts: list, depth: int = V.BFS_DEPTH, most: int = V.BFS_NODES) -> list[tuple]:
     """Capped breadth-first visit in queue order from the first starts; edges of every visited node.
 
-    The cap of 50 nodes makes this a driver-side report over at most that many look-ups.
+    The cap of 50 nodes makes this a driver-side report: only nodes that are visited are looked up.
     """
     queue = [(s, 0) for s in starts[: V.BFS_STARTS]]
     seen, out = set(), []
     while queue and len(seen) < most:
-        level = [q for q in queue]
+        level = {}
+        for n, d in queue:
+            if n not in seen and len(seen) + len(level) < most:
+                level.setdefault(n, d)
         queue = []
-        nodes = [n for n, _ in level]
         near: dict = {}
-        for r in edges.where(F.col("source").isin(nodes)).select("source", "target").distinct().collect():
+        for r in edges.where(F.col("source").isin(list(level))).select("source", "target").distinct().collect():
             near.setdefault(r["source"], []).append(r["target"])
-        for n, d in level:
-            if n in seen or len(seen) >= most:
-                continue
+        for n, d in level.items():
             seen.add(n)
             for m in sorted(near.get(n, [])):
                 out.append((n, m))
@@ -93,58 +156,55 @@ def bfs_flow(edges: DataFrame, starts: list, depth: int = V.BFS_DEPTH, most: int
     return out
 
 
-def dag_tiers(edges: DataFrame, rounds: int = 1000) -> DataFrame:
-    """G8 on acyclic graphs: (node, tier), tier = longest path from a node nothing points to."""
-    pairs = settle(edges.select("source", "target").distinct())
-    nodes = pairs.select(F.explode(F.array("source", "target")).alias("node")).distinct()
-    tier = settle(nodes.withColumn("tier", F.lit(0)))
-    front = tier
-    for k in range(1, rounds + 1):
-        hit = settle(front.join(pairs, F.col("node") == F.col("source")).select(F.col("target").alias("node")).distinct().withColumn("tier", F.lit(k)))
-        if hit.isEmpty():
-            return tier
-        raised = hit.select("node", F.col("tier").alias("t"))
-        tier = settle(tier.join(raised, "node", "left").select("node", F.coalesce("t", "tier").alias("tier")))
-        front = hit
-    raise RuntimeError("the graph has a cycle or a path beyond the round limit")
+def dag_tiers(edges: DataFrame) -> DataFrame:
+    """G8 on acyclic graphs: (node, tier), tier = longest path from a node nothing points to.
+
+    Peeling gives each node its longest path; nodes that it never frees prove a cycle, and raise.
+    """
+    nodes = settle(edges.select(F.explode(F.array("source", "target")).alias("node")).distinct())
+    tiers = kahn_levels(edges).withColumnRenamed("level", "tier")
+    if not nodes.join(tiers, "node", "left_anti").isEmpty():
+        raise RuntimeError("the graph has a cycle")
+    return tiers
 
 
 def kahn_levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """G10 levels: peel nodes without remaining incoming edges; nodes on or behind cycles are left out."""
-    pairs = edges.select("source", "target").distinct()
-    all_nodes = nodes if nodes is not None else pairs.select(F.explode(F.array("source", "target")).alias("node")).distinct()
-    left = settle(pairs)
-    alive = settle(all_nodes.select("node").distinct())
-    out, level = None, 0
-    while True:
-        free = settle(alive.join(left.select(F.col("target").alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(level)))
-        if free.isEmpty():
-            return out if out is not None else free
-        out = free if out is None else settle(out.unionByName(free))
-        alive = settle(alive.join(free.select("node"), "node", "left_anti"))
-        left = settle(left.join(free.select(F.col("node").alias("source")), "source", "left_anti"))
+    """G10 levels: peel nodes without remaining incoming edges; nodes on or behind cycles are left out.
+
+    Only nodes behind the level just freed can come free, so each round looks at their
+    edges alone, and writes nothing but the next level.
+    """
+    pairs = settle(edges.select("source", "target").distinct())
+    all_nodes = settle((nodes if nodes is not None else pairs.select(F.explode(F.array("source", "target")).alias("node"))).select("node").distinct())
+    steps, level = Steps(edges.sparkSession), 0
+    free = steps.add(all_nodes.join(pairs.select(F.col("target").alias("node")), "node", "left_anti").withColumn("level", F.lit(0)))
+    while not free.isEmpty():
         level += 1
+        next_to = free.select(F.col("node").alias("source")).join(pairs, "source").select(F.col("target").alias("node")).distinct().join(all_nodes, "node", "left_semi")
+        waits = pairs.join(next_to.select(F.col("node").alias("target")), "target", "left_semi").join(steps.all().select(F.col("node").alias("source")), "source", "left_anti").select(F.col("target").alias("node"))
+        free = steps.add(next_to.join(waits, "node", "left_anti").withColumn("level", F.lit(level)))
+    return steps.all()
 
 
 def kahn_order(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """Exact rank of the sorted FIFO order: by level, then by the last predecessor's rank, then name.
 
-    One window per level over that level's nodes only.
+    The last predecessor in order lies one level up, so a level needs the ranks of the one
+    before only.
     """
-    levels = settle(kahn_levels(edges, nodes))
-    top = levels.agg(F.max("level")).first()[0]
-    pairs = edges.select("source", "target").distinct()
-    ranked, base = None, 0
-    for k in range((top if top is not None else -1) + 1):
+    levels = kahn_levels(edges, nodes)
+    counts = {r["level"]: r["n"] for r in levels.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per level
+    pairs = settle(edges.select("source", "target").distinct())
+    steps, base, last = Steps(edges.sparkSession), 0, None
+    for k in sorted(counts):
         now = levels.where(F.col("level") == k).select("node")
-        if ranked is None:
+        if last is None:
             now = now.withColumn("last", F.lit(0).cast("long"))
         else:
-            now = now.join(pairs, F.col("node") == F.col("target")).join(ranked.select(F.col("node").alias("source"), "rank"), "source").groupBy("node").agg(F.max("rank").alias("last"))
-        now = now.select("node", (F.lit(base) + F.row_number().over(Window.orderBy("last", "node"))).cast("long").alias("rank"))
-        ranked = settle(now if ranked is None else ranked.unionByName(now))
-        base = ranked.count()
-    return ranked if ranked is not None else levels.select("node", F.col("level").cast("long").alias("rank"))
+            now = last.select(F.col("node").alias("source"), "rank").join(pairs, "source").groupBy(F.col("target").alias("node")).agg(F.max("rank").alias("last")).join(now, "node", "left_semi")
+        last = steps.add(in_order(now, ["last", "node"]).select("node", (F.lit(base) + F.col("place")).cast("long").alias("rank")))
+        base += counts[k]
+    return steps.all() if counts else levels.select("node", F.col("level").cast("long").alias("rank"))
 
 
 def has_cycle(edges: DataFrame) -> bool:
@@ -267,9 +327,12 @@ def tiers_sequential(nodes: list, edges: list[tuple]) -> dict:
 def label_propagation(files: DataFrame, edges: DataFrame, group: str = "layer", sweeps: int = V.LABEL_SWEEPS) -> DataFrame:
     """Communities per group by in-place sweeps over sorted nodes of the undirected induced graph.
 
-    The sweeps are sequential within a group, so each group is one grouped pandas call.
-    Returns group, node, community.
+    A node takes the commonest label around it, the smallest among equals, and sees what
+    nodes before it took in the same sweep: sequential within a group by definition, so each
+    group is one grouped call over index arrays (some 20 bytes an edge).  Returns group,
+    node, community.
     """
+    import numpy as np
     import pandas as pd
 
     inside = edges.select("source", "target").distinct()
@@ -278,52 +341,50 @@ def label_propagation(files: DataFrame, edges: DataFrame, group: str = "layer",
     rows = side.select("g", F.col("p").alias("a"), F.lit(None).cast("string").alias("b")).unionByName(e.select("g", F.col("source").alias("a"), F.col("target").alias("b")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict = {n: set() for n in pdf["a"]}
-        for a, b in pdf[["a", "b"]].dropna().itertuples(index=False):
-            near[a].add(b)
-            near[b].add(a)
-        label = {n: n for n in near}
+        names = np.unique(pdf["a"].to_numpy(dtype=object).astype(str))
+        links = pdf.dropna(subset=["b"])
+        ends = [np.searchsorted(names, links[c].to_numpy(dtype=object).astype(str)) for c in ("a", "b")]
+        both = np.unique(np.stack([np.concatenate(ends), np.concatenate(ends[::-1])]), axis=1) if len(links) else np.zeros((2, 0), np.int64)
+        borders = np.searchsorted(both[0], np.arange(len(names) + 1))
+        linked = np.flatnonzero(np.diff(borders))
+        label = np.arange(len(names))
         for _ in range(sweeps):
-            moved = False
-            for n in sorted(near):
-                if not near[n]:
-                    continue
-                count: dict = {}
-                for m in near[n]:
-                    count[label[m]] = count.get(label[m], 0) + 1
-                best = min(count, key=lambda x: (-count[x], x))
-                if best != label[n]:
-                    label[n], moved = best, True
-            if not moved:
+            before = label.copy()
+            for n in linked.tolist():
+                met, times = np.unique(label[both[1, borders[n] : borders[n + 1]]], return_counts=True)
+                label[n] = met[times.argmax()]
+            if (label == before).all():
                 break
-        return pd.DataFrame([(pdf["g"].iloc[0], n, label[n]) for n in sorted(label)], columns=["g", "node", "community"])
+        return pd.DataFrame({"g": pdf["g"].iloc[0], "node": names, "community": names[label]})
 
     return rows.groupBy("g").applyInPandas(run, "g string, node string, community string").withColumnRenamed("g", group)
 
 
-def shortest_path(edges: DataFrame, starts: list, exits: list, rounds: int = 30) -> list | None:
-    """Breadth-first path from the first start that reaches any exit."""
-    goal = set(exits)
+def shortest_path(edges: DataFrame, starts: list, exits: list) -> list | None:
+    """Breadth-first path from the first start that reaches any exit; null if none does.
+
+    Levels hold each new node with its parent and its place in the queue; a level is a join,
+    and only the one path is read back.
+    """
+    spark, goals = edges.sparkSession, set(exits)
+    kind = edges.schema["source"].dataType.simpleString()
+    ways = settle(edges.select(F.col("source").alias("node"), F.col("target").alias("to")).distinct())
+    goal = spark.createDataFrame([(x,) for x in goals], f"node {kind}")
     for s in starts:
-        if s in goal:
+        if s in goals:
             return [s]
-        came, front = {s: None}, [s]
-        for _ in range(rounds):
-            rows = edges.where(F.col("source").isin(front)).select("source", "target").distinct().orderBy("source", "target").collect()
-            order = {n: i for i, n in enumerate(front)}
-            front = []
-            for r in sorted(rows, key=lambda r: (order[r["source"]], r["target"])):
-                if r["target"] not in came:
-                    came[r["target"]] = r["source"]
-                    front.append(r["target"])
-            met = [n for n in front if n in goal]
+        steps = Steps(spark)
+        front = steps.add(spark.createDataFrame([(s, None, 1)], f"node {kind}, parent {kind}, place long"))
+        while not front.isEmpty():
+            nxt = front.select("node", "place").join(ways, "node").groupBy(F.col("to").alias("node")).agg(F.min(F.struct("place", "node")).alias("from")).join(steps.all().select("node"), "node", "left_anti")
+            nxt = nxt.select("node", F.col("from.node").alias("parent"), F.col("from.place").alias("turn"))
+            front = steps.add(in_order(nxt, ["turn", "node"]).select("node", "parent", "place"))
+            met = front.join(goal, "node", "left_semi").orderBy("place").limit(1).collect()
             if met:
-                path = [met[0]]
-                while came[path[-1]] is not None:
-                    path.append(came[path[-1]])
+                path = [met[0]["node"], met[0]["parent"]]
+                for k in range(len(steps.paths) - 2, 0, -1):
+                    path.append(steps.step(k).where(F.col("node") == path[-1]).first()["parent"])
                 return path[::-1]
-            if not front:
-                break
     return None
 
 
@@ -332,6 +393,11 @@ def neighbours(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("source").alias("node"), F.col("target").alias("other")).unionByName(edges.select(F.col("target").alias("node"), F.col("source").alias("other"))).distinct()
 
 
+def universe(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """O1: every id that is an end of an edge or a file."""
+    return edges.select(F.explode(F.array("source", "target")).alias("id")).unionByName(files.select("id")).distinct()
+
+
 def induced(edges: DataFrame, keep: DataFrame) -> DataFrame:
     """Edges with both ends among ``keep`` (column node)."""
     k = keep.select("node").distinct()

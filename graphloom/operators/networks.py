@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import fixed_values as V
 from ..functions.scalars import lookup
 
 #: fixed values: names of positional arguments per layer type
@@ -147,3 +148,14 @@ def dedupe_models(layers: DataFrame) -> DataFrame:
     sig = layers.groupBy("path", "model").agg(F.md5(F.to_json(F.array_sort(F.collect_list(F.struct("pos", "type", F.array_sort(F.map_entries("params")).alias("p")))))).alias("signature"))
     first = sig.groupBy("model", "signature").agg(F.min("path").alias("path"))
     return layers.join(first.select("path", "model"), ["path", "model"], "left_semi")
+
+
+def candidates(files: DataFrame, imports: DataFrame, key: str = "path") -> DataFrame:
+    """Python files and notebooks whose role or any import's first part is of machine learning.
+
+    ``files``: key, path, role; ``imports``: key, raw.
+    """
+    root = F.split_part(F.regexp_replace("raw", r"^\.+", ""), F.lit("."), F.lit(1))
+    ml = imports.where(root.isin(V.NN_FRAMEWORKS)).select(key).distinct().withColumn("__ml", F.lit(True))
+    kept = files.where(F.col("path").endswith(".py") | F.col("path").endswith(".ipynb")).join(ml, key, "left")
+    return kept.where(F.col("role").isin(V.NN_ROLES) | F.col("__ml")).select(*files.columns)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions import scalars as S
-from .graph import settle
+from .graph import in_order, settle
 
 
 def first_edges(edges: DataFrame, order: list[str]) -> DataFrame:
@@ -24,12 +24,9 @@ def collapsed_graph(nodes: DataFrame, edges: DataFrame, limit: int = V.GRAPH_NOD
     rerouted, without sentinel self-loops, and deduped again.  Only ``limit`` kept ids are
     broadcast.
     """
-    many = nodes.count() > limit
-    if not many:
-        kept = nodes.select(F.col("id").cast("string").alias("id"), "in_degree", "out_degree")
-        return kept, edges.select(F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target")).distinct()
-    top = nodes.orderBy(F.desc("importance"), "id").limit(limit - 1)
-    kept = F.broadcast(top.select("id"))
+    # at most one row more than the limit is ranked and broadcast
+    best = nodes.orderBy(F.desc("importance"), "id").limit(limit + 1).select("id", F.row_number().over(Window.orderBy(F.desc("importance"), "id")).alias("n"), F.count(F.lit(1)).over(Window.partitionBy()).alias("all"))
+    kept = F.broadcast(best.where((F.col("n") < limit) | (F.col("all") <= limit)).select("id"))
     name = F.when(F.col("k.id").isNotNull(), F.col("n.id").cast("string")).otherwise("__collapsed__")
     out = nodes.alias("n").join(kept.alias("k"), F.col("n.id") == F.col("k.id"), "left").select(name.alias("id"), "n.in_degree", "n.out_degree")
     out = out.groupBy("id").agg(F.sum("in_degree").alias("in_degree"), F.sum("out_degree").alias("out_degree"))
@@ -44,13 +41,12 @@ def collapsed_graph(nodes: DataFrame, edges: DataFrame, limit: int = V.GRAPH_NOD
 def percentile_floor(values: DataFrame, column: str, share: float) -> DataFrame:
     """Element ceil(n * share) of the positive values in descending order; 0 without any.
 
-    One row.  The value is found on the histogram of distinct values, not on all rows.
+    One row.  The value is found on the histogram of distinct values, summed by ranges.
     """
     counts = values.where(F.col(column) > 0).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("__all"))
-    w = Window.orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.crossJoin(F.broadcast(total)).withColumn("upto", F.sum("n").over(w))
-    return ranked.where(F.col("upto") >= F.greatest(F.lit(1), F.ceil(F.col("__all") * share))).agg(F.coalesce(F.max("v"), F.lit(0)).alias("floor"))
+    ranked = in_order(counts, [F.desc("v")], upto="n")
+    total = ranked.agg(F.sum("n").alias("__all"))
+    return ranked.crossJoin(F.broadcast(total)).where(F.col("upto") >= F.greatest(F.lit(1), F.ceil(F.col("__all") * share))).agg(F.coalesce(F.max("v"), F.lit(0)).alias("floor"))  # one row
 
 
 def flags(files: DataFrame) -> DataFrame:
@@ -77,12 +73,14 @@ def important_ids(files: DataFrame, top: int = V.TOUR_TOP) -> DataFrame:
 
 
 def recall_order(files: DataFrame) -> DataFrame:
-    """Importance, then flagged first, then id. Adds ``order`` over the important files.
+    """Importance, then flagged first, then id. Adds ``order`` over the important files."""
+    marked = files.withColumn("__flagged", F.size("flags") > 0)
+    return in_order(marked, [F.desc("importance"), F.desc("__flagged"), F.col("id")]).drop("__flagged").withColumnRenamed("place", "order")
 
-    Run it on ``important_ids`` only: the order is global by definition.
-    """
-    w = Window.orderBy(F.desc("importance"), F.desc(F.size("flags") > 0), "id")
-    return files.withColumn("order", F.row_number().over(w))
+
+def profile_order(files: DataFrame, scan: str) -> DataFrame:
+    """Place by importance, equals in order of the scan."""
+    return in_order(files, [F.desc("importance"), F.col(scan)])
 
 
 def best_hits(hits: DataFrame, key: list[str], limit: int | None = None) -> DataFrame:
@@ -93,15 +91,20 @@ def best_hits(hits: DataFrame, key: list[str], limit: int | None = None) -> Data
     return out if limit is None else out.limit(limit)
 
 
-def islands(rows: DataFrame, partition: list[str], order: list[str], signature: str) -> DataFrame:
-    """Consecutive rows of equal signature folded to one with its length and first place."""
+def with_island(rows: DataFrame, partition: list[str], order: list[str], signature: str) -> DataFrame:
+    """Adds the number of the run of equal signatures that a row belongs to."""
     w = Window.partitionBy(*partition).orderBy(*order)
     starts = F.when(F.lag(signature).over(w).eqNullSafe(F.col(signature)) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    r = rows.withColumn("__start", starts).withColumn("island", F.sum("__start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.withColumn("__start", starts).withColumn("island", F.sum("__start").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__start")
+
+
+def islands(rows: DataFrame, partition: list[str], order: list[str], signature: str) -> DataFrame:
+    """Consecutive rows of equal signature folded to one with its length."""
+    r = with_island(rows, partition, order, signature)
     return r.groupBy(*partition, "island").agg(F.first(signature).alias(signature), F.count(F.lit(1)).alias("repeat"))
 
 
-def disambiguate(labels: DataFrame, rounds: int = 64) -> DataFrame:
+def disambiguate(labels: DataFrame) -> DataFrame:
     """Shortest path suffix, grown a part per round only while labels clash.
 
     ``labels``: id (path).  A label's clash count is a window over equal labels; each round
@@ -110,7 +113,7 @@ def disambiguate(labels: DataFrame, rounds: int = 64) -> DataFrame:
     parts = F.split("id", "/")
     tail = lambda k: F.array_join(F.slice(parts, F.greatest(F.col("n") - k + 1, F.lit(1)), F.least(k, F.col("n"))), "/")
     now = labels.select("id", F.size(parts).alias("n"), F.lit(1).alias("k"))
-    for _ in range(rounds):
+    while True:
         w = Window.partitionBy("label")
         clash = (F.min("id").over(w) != F.max("id").over(w)) & (F.col("k") < F.col("n"))
         now = settle(now.withColumn("label", tail(F.col("k"))).withColumn("grow", clash).select("id", "n", (F.col("k") + F.col("grow").cast("int")).alias("k"), "grow"))
@@ -120,7 +123,7 @@ def disambiguate(labels: DataFrame, rounds: int = 64) -> DataFrame:
     return now.select("id", tail(F.col("k")).alias("label"))
 
 
-def folder_labels(folders: DataFrame, rounds: int = 12) -> DataFrame:
+def folder_labels(folders: DataFrame) -> DataFrame:
     """Folders of equal last part get trailing parts from two up until distinct within the group."""
     parts = F.split("id", "/")
     base = folders.select("id", F.size(parts).alias("n"), S.basename(F.col("id")).alias("g"))
@@ -134,37 +137,44 @@ def folder_labels(folders: DataFrame, rounds: int = 12) -> DataFrame:
     return levels.join(best, "g").where("k = best").select("id", "label")
 
 
+def periodic_runs(signature: list, least: int = 2) -> list[tuple[int, int, int]]:
+    """(start, period, count) of the repeats that a sequence is told by, without overlap.
+
+    A run of period p is a longest stretch where every item equals that p places before;
+    it counts if it holds ``least`` whole periods and no smaller period covers its block.
+    Of all runs the widest is taken first, then the smaller period, then the earlier one.
+    """
+    import numpy as np
+
+    codes = np.unique(np.array(signature, dtype=object).astype(str), return_inverse=True)[1]
+    n, runs = len(codes), []
+    for period in range(1, n // least + 1):
+        same = np.concatenate([[False], codes[period:] == codes[:-period], [False]])
+        turn = np.flatnonzero(same[1:] != same[:-1]).reshape(-1, 2)  # equal stretches, end exclusive
+        for start, end in turn.tolist():
+            count = (end - start) // period + 1
+            block = codes[start : start + period]
+            smaller = any(period % d == 0 and (block == np.tile(block[:d], period // d)).all() for d in range(1, period))
+            if count >= least and not smaller:
+                runs.append((start, period, count))
+    free, taken = np.ones(n, bool), []
+    for start, period, count in sorted(runs, key=lambda r: (-r[1] * r[2], r[1], r[0])):
+        if free[start : start + period * count].all():
+            free[start : start + period * count] = False
+            taken.append((start, period, count))
+    return sorted(taken)
+
+
 def label_repeats(models: DataFrame, least: int = 2) -> DataFrame:
-    """Maximal periodic runs of layer signatures, greedily taken without overlap.
+    """W16 per model: ``models`` has model, pos, signature.
 
-    ``models``: model, pos, signature.  Wider coverage first, then smaller period, then
-    earlier start.  A run counts only in its primitive period.  The greedy choice is
-    sequential within a model, so each model is one grouped pandas call.
+    The choice is sequential within a model, so each model, a list of layers, is one grouped
+    pandas call.
     """
     import pandas as pd
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        sig, n = pdf["signature"].tolist(), len(pdf)
-        runs = []
-        for p in range(1, n // least + 1):
-            i = 0
-            while i + p < n:
-                j = i
-                while j + p < n and sig[j] == sig[j + p]:
-                    j += 1
-                count = (j - i + p) // p
-                block = sig[i : i + p]
-                primitive = all(block != block[:d] * (p // d) for d in range(1, p) if p % d == 0)
-                if count >= least and primitive:
-                    runs.append((-count * p, p, i, count))
-                i = max(j, i) + 1
-        taken, out = set(), []
-        for cover, p, i, count in sorted(runs):
-            span = range(i, i - cover)
-            if not taken.intersection(span):
-                taken.update(span)
-                out.append((pdf["model"].iloc[0], i, p, count))
-        return pd.DataFrame(sorted(out, key=lambda r: r[1]), columns=["model", "start", "length", "count"])
+        found = periodic_runs(pdf.sort_values("pos")["signature"].tolist(), least)
+        return pd.DataFrame([(pdf["model"].iloc[0], *r) for r in found], columns=["model", "start", "length", "count"])
 
     return models.groupBy("model").applyInPandas(find, "model string, start long, length long, count long")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions import scalars as S
+from .folds import fold
 
 
 def content_signals(content: Column) -> Column:
@@ -142,25 +143,22 @@ def selection_score(role: Column, central: Column, entry: Column, in_degree: Col
 def budget_select(files: DataFrame, group: str, max_files: int = V.SELECT_FILES, max_tokens: int = V.SELECT_TOKENS) -> DataFrame:
     """Per group, take by score while the token budget lasts, skipping what overflows.
 
-    The first file alone may overflow: it is taken truncated and selection ends.  The fold
-    is sequential by nature; it runs as one aggregate over the group's files in order.
+    The first file alone may overflow: it is taken truncated and selection ends.  A fold
+    over the group's files in order that holds only what it took.
     ``files``: group, path, score, size, pos.  Returns group, path, tokens, truncated, rank.
     """
-    item = F.struct((-F.col("score")).alias("s"), "pos", "path", S.token_estimate(F.col("size")).alias("tokens"))
-    g = files.groupBy(group).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    empty = F.struct(F.lit(0).cast("long").alias("used"), F.lit(False).alias("over"), F.array().cast("array<struct<path:string,tokens:bigint,truncated:boolean>>").alias("out"))
-
-    def step(acc, x):
-        keep = lambda tokens, cut: F.concat(acc["out"], F.array(F.struct(x["path"].cast("string").alias("path"), tokens.cast("long").alias("tokens"), F.lit(cut).alias("truncated"))))
-        full = acc["over"] | (F.size(acc["out"]) >= max_files)
-        fits = acc["used"] + x["tokens"] <= max_tokens
-        first = F.size(acc["out"]) == 0
-        return (
-            F.when(full, acc)
-            .when(fits, F.struct((acc["used"] + x["tokens"]).alias("used"), acc["over"].alias("over"), keep(x["tokens"], False).alias("out")))
-            .when(first, F.struct(F.lit(max_tokens).cast("long").alias("used"), F.lit(True).alias("over"), keep(F.lit(max_tokens), True).alias("out")))
-            .otherwise(acc)
-        )
-
-    done = g.select(group, F.aggregate("items", empty, step)["out"].alias("out"))
-    return done.select(group, F.posexplode("out").alias("rank", "x")).select(group, "x.path", "x.tokens", "x.truncated", "rank")
+
+    def step(state: dict, row: tuple) -> None:
+        path, tokens = row
+        took = state["took"]
+        if state["over"] or len(took) >= max_files:
+            return
+        if state["used"] + tokens <= max_tokens:
+            state["used"] += tokens
+            took.append((path, tokens, False, len(took)))
+        elif not took:
+            state["over"] = True
+            took.append((path, max_tokens, True, 0))
+
+    rows = files.select(group, F.col("path").cast("string").alias("path"), "score", "pos", S.token_estimate(F.col("size")).alias("tokens"))
+    return fold(rows, group, [F.desc("score"), F.col("pos")], ["path", "tokens"], lambda: {"used": 0, "over": False, "took": []}, step, lambda s: s["took"], "path string, tokens long, truncated boolean, rank int")

@@ -88,15 +88,17 @@ def folder_buckets(files: DataFrame, group: str = "layer") -> DataFrame:
     Files at that folder itself go to a bucket named after it, or ``root``; '-files' is
     appended while the name clashes with a folder's.
     """
-    w = Window.partitionBy(group)
-    rooted = files.withColumn("__flat", F.max(F.when(F.col("path").contains("/"), 0).otherwise(1)).over(w))
-    pre = rooted.join(common_dir(files, group), group, "left").withColumn("pre", F.when(F.col("__flat") == 1, "").otherwise(F.coalesce("common_dir", F.lit(""))))
+    flat = files.groupBy(group).agg(F.max(~F.col("path").contains("/")).alias("__flat"))
+    pre = files.join(flat.join(common_dir(files, group), group, "left").select(group, F.when(F.col("__flat"), "").otherwise(F.coalesce("common_dir", F.lit(""))).alias("pre")), group)
     rest = F.when(F.col("pre") == "", F.col("path")).otherwise(F.substring(F.col("path"), F.length("pre") + 2, F.length("path")))
     b = pre.withColumn("__rest", rest).withColumn("__folder", F.when(F.col("__rest").contains("/"), F.split_part("__rest", F.lit("/"), F.lit(1))))
-    names = F.collect_set("__folder").over(w)
     home = F.when(F.col("pre") == "", "root").otherwise(S.basename(F.col("pre")))
+    # of a group's folders only those that the home's name could clash with are gathered
+    alike = b.where(F.col("__folder").startswith(home) & F.replace(F.substring(F.col("__folder"), F.length(home) + 1, F.length("__folder")), F.lit("-files"), F.lit("")).eqNullSafe(F.lit("")))
+    names = alike.groupBy(group).agg(F.collect_set("__folder").alias("__names"))
+    b = b.join(names, group, "left").withColumn("__names", F.coalesce("__names", F.array().cast("array<string>")))
     options = F.transform(F.sequence(F.lit(0), F.size("__names")), lambda i: F.concat(home, F.array_join(F.array_repeat(F.lit("-files"), i), "")))
-    b = b.withColumn("__names", names).withColumn("__home", F.element_at(F.array_except(options, F.col("__names")), 1))
+    b = b.withColumn("__home", F.element_at(F.array_except(options, F.col("__names")), 1))
     return b.select(*files.columns, F.coalesce("__folder", "__home").alias("bucket"))
 
 
@@ -113,9 +115,19 @@ def merge_singles(buckets: DataFrame, group: str = "layer") -> DataFrame:
     return buckets.withColumn("bucket", F.when(one & enough, "standalone").otherwise(F.col("bucket")))
 
 
+def container_id(group: str) -> Column:
+    """layer__slug."""
+    return F.concat(F.col(group), F.lit("__"), S.slug(F.col("bucket")))
+
+
 def containers(buckets: DataFrame, group: str = "layer") -> DataFrame:
-    """Containers with id layer__slug and sorted files."""
-    return buckets.groupBy(group, "bucket").agg(F.array_sort(F.collect_list("path")).alias("files")).select(F.concat(F.col(group), F.lit("__"), S.slug(F.col("bucket"))).alias("id"), group, F.col("bucket").alias("name"), "files").orderBy("id")
+    """Containers with id layer__slug and number of files, by id."""
+    return buckets.groupBy(group, "bucket").agg(F.count(F.lit(1)).alias("files")).select(container_id(group).alias("id"), group, F.col("bucket").alias("name"), "files").orderBy("id")
+
+
+def container_files(buckets: DataFrame, group: str = "layer") -> DataFrame:
+    """The files of each container, a row each."""
+    return buckets.select(container_id(group).alias("id"), "path")
 
 
 def stages(profiles: DataFrame) -> DataFrame:

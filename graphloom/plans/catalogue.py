@@ -207,7 +207,7 @@ flagged AS (SELECT scored.*, in_degree = 0 AND NOT (out_degree > 0 AND in_degree
 def flagged(spark, d) -> DataFrame:
     s = scored(spark, d).withColumn("is_entry", (F.col("out_degree") > 0) & (F.col("in_degree") == 0))
     c = G.on_cycles(A.edges(spark, d)).select(F.col("node").alias("id"), F.lit(True).alias("in_cycle"))
-    return R.flags(s.join(c, "id", "left").na.fill(False, ["in_cycle"]))
+    return R.flags(G.settle(s.join(c, "id", "left").na.fill(False, ["in_cycle"])))
 
 
 @query("hub_flags", f"""WITH RECURSIVE {FLAGS}
@@ -254,11 +254,11 @@ def important_ids(spark, d):
     return R.important_ids(flagged(spark, d))
 
 
-@query("recall_tour", f"""WITH RECURSIVE {FLAGS}
-SELECT id, row_number() OVER (ORDER BY importance DESC, id) AS place FROM (SELECT id, importance FROM scored ORDER BY importance DESC, id LIMIT 15)""")
+@query("recall_tour", f"""WITH RECURSIVE {IMPORTANT}
+SELECT id, row_number() OVER (ORDER BY importance DESC, (orphan OR in_cycle OR hub OR entry_point OR god_file) DESC, id) AS place FROM flagged WHERE id IN (SELECT id FROM important)""")
 def recall_tour(spark, d):
-    top = scored(spark, d).orderBy(F.desc("importance"), "id").limit(V.TOUR_TOP)
-    return R.recall_order(top.withColumn("flags", F.array())).select("id", F.col("order").cast("long").alias("place"))
+    f = flagged(spark, d)
+    return R.recall_order(f.join(R.important_ids(f), "id", "left_semi")).select("id", F.col("order").cast("long").alias("place"))
 
 
 CHANGES = """old AS (SELECT doc_id AS path, md5(text) AS c, md5(lang) AS i, md5(source) AS e, CASE WHEN doc_id % 21 = 0 THEN md5(right(text, 9)) ELSE md5(lang) END AS s, doc_id % 17 = 0 AS p FROM documents WHERE doc_id % 13 <> 0),
@@ -415,9 +415,12 @@ def keepalive_gaps(spark, d):
     return M.keepalive_gaps(A.table(spark, d, "events"), "user_id")
 
 
-@query("seq_complete", "SELECT user_id, count(*)::INTEGER AS total_events, true AS complete FROM events GROUP BY user_id")
+@query("seq_complete", """WITH s AS (SELECT conv_id, turn + 1 AS seq FROM conversations WHERE (conv_id + turn) % 7 <> 3 UNION ALL SELECT conv_id, turn + 1 FROM conversations WHERE (conv_id + turn) % 11 = 4 AND (conv_id + turn) % 7 <> 3)
+SELECT conv_id, max(seq)::BIGINT AS total_events, list_sort(list(seq)) = range(1, max(seq) + 1) AS complete, (max(seq) - count(DISTINCT seq))::BIGINT AS missing, (count(*) - count(DISTINCT seq))::BIGINT AS repeated FROM s GROUP BY conv_id""")
 def seq_complete(spark, d):
-    return M.sequence_complete(A.table(spark, d, "events"), "user_id", ["ts", "event_id"])
+    kept = A.table(spark, d, "conversations").where("(conv_id + turn) % 7 <> 3").select("conv_id", (F.col("turn") + 1).alias("seq"))
+    twice = A.table(spark, d, "conversations").where("(conv_id + turn) % 11 = 4 and (conv_id + turn) % 7 <> 3").select("conv_id", (F.col("turn") + 1).alias("seq"))
+    return M.sequence_complete(kept.unionByName(twice), "conv_id", "seq")
 
 
 @query("offered_load", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW)::BIGINT AS load FROM events")
@@ -617,7 +620,7 @@ def folder_buckets(spark, d):
 """)
 def containers(spark, d):
     b = U.folder_buckets(A.files(spark, d).select(F.col("folder").alias("layer"), "path"))
-    return U.containers(b).select("id", "layer", "name", F.size("files").cast("long").alias("files"))
+    return U.containers(b)
 
 
 @query("communities")

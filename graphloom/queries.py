@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import catalogue
+from .plans import catalogue, code, service, views  # noqa: F401  each adds its queries to the catalogue
 
 
 def queries() -> dict:

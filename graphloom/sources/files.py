@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions import scalars as S
+from ..operators.graph import in_order, new_folder
 
 VERSION = 1
 
@@ -14,7 +15,8 @@ VERSION = 1
 def scan(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
     """Path, name, extension, language, size, depth, mtime, reason, content of all files below root.
 
-    Ignored and hidden folders are pruned; ``reason`` is null for files to keep.  Content is
+    Ignored folders are pruned, and Spark's file index leaves out names that begin with a dot or
+    an underscore; ``reason`` is null for files to keep.  Content is
     decoded only where kept, so a query that does not select it never reads file bytes.
     """
     base = root.rstrip("/")
@@ -27,6 +29,30 @@ def scan(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
     return out.withColumn("content", F.when(F.col("reason").isNull(), F.try_validate_utf8(F.col("content").cast("string")))) if content else out
 
 
+def write_tree(files: DataFrame, root: str) -> None:
+    """Writes each row's ``content`` as a file at ``root``/``path``: a fixture of few files, made by the driver."""
+    spark = files.sparkSession
+    fs = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for r in files.toLocalIterator():
+        out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{r['path']}"))
+        out.write(bytearray(r["content"], "utf-8"))
+        out.close()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh folder that all executors see."""
+    return new_folder(spark)
+
+
+def preload(files: DataFrame, scan: str, largest: int = V.PRELOAD_FILE, most: int = V.PRELOAD_ALL) -> DataFrame:
+    """In order of the scan, files under ``largest`` bytes while their sum stays within ``most``.
+
+    The sum counts every file that is small enough; it runs over ranges of the scan.
+    """
+    small = files.withColumn("__counted", F.when(F.col("size") < largest, F.col("size")).otherwise(0))
+    return in_order(small, [scan], upto="__counted").where((F.col("size") < largest) & (F.col("upto") <= most)).drop("__counted", "upto", "place")
+
+
 def within_limits(files: DataFrame) -> DataFrame:
     """S1 guard: one row: files, bytes and whether a repository of that size is accepted."""
     t = files.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
