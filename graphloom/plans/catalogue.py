@@ -428,12 +428,21 @@ def offered_load(spark, d):
     return M.offered_load(A.table(spark, d, "events"), "user_id", 3600).select("event_id", "load")
 
 
-@query("rate_limiter")
+@query("rate_limiter", """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts)) AS rn FROM events),
+r AS (SELECT user_id, rn, [t] AS held, 1 AS ok, 0 AS no FROM e WHERE rn = 1 UNION ALL
+  SELECT user_id, rn, CASE WHEN len(live) < 2 THEN list_append(live, t) ELSE live END, ok + CASE WHEN len(live) < 2 THEN 1 ELSE 0 END, no + CASE WHEN len(live) < 2 THEN 0 ELSE 1 END
+  FROM (SELECT e.user_id, e.rn, t, ok, no, list_filter(held, lambda x: x > t - 21600000000) AS live FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1))
+SELECT user_id, max(ok)::BIGINT AS accepted, max(no)::BIGINT AS rejected FROM r GROUP BY user_id""")
 def rate_limiter(spark, d):
     return M.rate_limiter(A.table(spark, d, "events"), "user_id", 2, 6 * 3600)
 
 
-@query("breaker_states")
+@query("breaker_states", """WITH RECURSIVE e AS (SELECT user_id AS provider, epoch_us(ts) AS t, event_type = 'purchase' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_type = 'purchase') AS rn FROM events),
+r AS (SELECT provider, 0::BIGINT AS rn, 'closed' AS state, 0 AS run, 0::BIGINT AS since, 0::BIGINT AS opened FROM (SELECT DISTINCT provider FROM e) UNION ALL
+  SELECT provider, rn, CASE WHEN now = 'open' THEN 'open' WHEN ok THEN 'closed' WHEN now = 'half_open' OR run + 1 >= 5 THEN 'open' ELSE now END, CASE WHEN now = 'open' THEN run WHEN ok THEN 0 ELSE run + 1 END,
+    CASE WHEN now <> 'open' AND NOT ok AND (now = 'half_open' OR run + 1 >= 5) THEN t ELSE since END, opened + CASE WHEN now <> 'open' AND NOT ok AND (now = 'half_open' OR run + 1 >= 5) THEN 1 ELSE 0 END
+  FROM (SELECT e.provider, e.rn, t, ok, run, since, opened, CASE WHEN state = 'open' AND t - since >= 60000000 THEN 'half_open' ELSE state END AS now FROM r JOIN e ON e.provider = r.provider AND e.rn = r.rn + 1))
+SELECT provider, state, opened FROM r QUALIFY row_number() OVER (PARTITION BY provider ORDER BY rn DESC) = 1""")
 def breaker_states(spark, d):
     return M.breaker_states(A.table(spark, d, "events").select("ts", F.col("user_id").alias("provider"), (F.col("event_type") == "purchase").alias("ok")))
 
@@ -513,7 +522,12 @@ def bidirectional_response(spark, d):
     return U.mark_responses(s).select("source", "target", "direction")
 
 
-@query("budget_selection")
+@query("budget_selection", f"""WITH RECURSIVE {PROFILES},
+s AS (SELECT folder, id::VARCHAR AS path, greatest(size // 4, 1)::BIGINT AS tokens, row_number() OVER (PARTITION BY folder ORDER BY round(greatest(0, 1.0::DOUBLE + CASE WHEN in_degree >= 5 THEN 5 ELSE 0 END + least(1.5::DOUBLE * in_degree, 7)), 2) DESC, id) AS rn FROM profiles),
+r AS (SELECT folder, 0::BIGINT AS rn, 0::BIGINT AS used, 0 AS took, false AS over, false AS kept, NULL::VARCHAR AS path, 0::BIGINT AS tokens FROM (SELECT DISTINCT folder FROM s) UNION ALL
+  SELECT s.folder, s.rn, CASE WHEN over OR took >= 30 THEN used WHEN used + s.tokens <= 80000 THEN used + s.tokens WHEN took = 0 THEN 80000 ELSE used END, took + CASE WHEN NOT over AND took < 30 AND (used + s.tokens <= 80000 OR took = 0) THEN 1 ELSE 0 END,
+    over OR (took = 0 AND s.tokens > 80000), NOT over AND took < 30 AND (used + s.tokens <= 80000 OR took = 0), s.path, least(s.tokens, 80000) FROM r JOIN s ON r.folder = s.folder AND s.rn = r.rn + 1)
+SELECT folder, path, tokens, over AND took = 1 AS truncated, took - 1 AS rank FROM r WHERE kept""")
 def budget_selection(spark, d):
     p = A.profiles(spark, d).withColumn("score", L.selection_score(F.lit(None).cast("string"), F.col("in_degree") >= 5, F.lit(False), F.col("in_degree"), F.col("path")))
     return L.budget_select(p.select(F.col("folder"), F.col("id").alias("path"), "score", "size", F.col("id").alias("pos")), "folder")
@@ -590,12 +604,20 @@ def cycles_len2_3(spark, d):
     return c.select("length", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"))
 
 
-@query("label_disambiguation")
+@query("label_disambiguation", r"""WITH RECURSIVE u AS (SELECT DISTINCT regexp_replace(url, '^https?://|[?#].*$|/$', '', 'g') AS id FROM pages),
+r AS (SELECT 0 AS round, id, string_split(id, '/') AS parts, 1 AS k, true AS grow FROM u UNION ALL
+  SELECT round + 1, id, parts, k + CASE WHEN clash AND k < len(parts) THEN 1 ELSE 0 END, clash AND k < len(parts) FROM (
+    SELECT *, min(id) OVER (PARTITION BY array_to_string(parts[-k:], '/')) <> max(id) OVER (PARTITION BY array_to_string(parts[-k:], '/')) AS clash, bool_or(grow) OVER () AS more FROM r) WHERE more)
+SELECT id, array_to_string(parts[-k:], '/') AS label FROM r WHERE round = (SELECT max(round) FROM r)""")
 def label_disambiguation(spark, d):
     return R.disambiguate(A.table(spark, d, "pages").select(F.regexp_replace("url", "^https?://|[?#].*$|/$", "").alias("id")).distinct())
 
 
-@query("folder_labels")
+@query("folder_labels", f"""WITH {FILES}, u AS (SELECT DISTINCT folder || '/' || language AS id FROM files), b AS (SELECT id, string_split(id, '/') AS parts, string_split(id, '/')[-1] AS g FROM u),
+m AS (SELECT *, count(*) OVER (PARTITION BY g) AS members, max(len(parts)) OVER (PARTITION BY g) AS deepest FROM b),
+l AS (SELECT id, g, k, deepest, array_to_string(parts[-k:], '/') AS label FROM (SELECT *, unnest(range(CASE WHEN members > 1 THEN 2 ELSE 1 END, greatest(deepest, 2) + 1)) AS k FROM m)),
+ok AS (SELECT g, k, count(DISTINCT label) = count(DISTINCT id) AS ok, max(deepest) AS deepest FROM l GROUP BY g, k), best AS (SELECT g, coalesce(min(k) FILTER (WHERE ok), max(deepest)) AS best FROM ok GROUP BY g)
+SELECT id, label FROM l JOIN best ON l.g = best.g AND k = best""")
 def folder_labels(spark, d):
     return R.folder_labels(A.files(spark, d).select(S.dirname(F.col("path")).alias("id")).distinct())
 
