@@ -17,15 +17,17 @@ copies gives a line per member, not per pair.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from . import textnp
+from .common import components, materialize, text_slices
 
 SHINGLE = 4
 SEED = 42
@@ -73,15 +75,15 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, *, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, key) per row; key is a hash of id and text for joining back."""
+    """(doc_id, fp, key, text_key) per row; key is a hash of id and text for joining back, text_key of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = [fingerprint(t.as_buffer().to_pybytes(), shingle) if t.is_valid else 0 for t in b.column("t").cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64()), b.column("key")], ["doc_id", "fp", "key"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64()), b.column("key"), b.column("text_key")], ["doc_id", "fp", "key", "text_key"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"), F.xxhash64(id_col, text_col).alias("key")).mapInArrow(run, f"doc_id {kind}, fp bigint, key bigint")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"), F.xxhash64(id_col, text_col).alias("key"), F.xxhash64(text_col).alias("text_key")).mapInArrow(run, f"doc_id {kind}, fp bigint, key bigint, text_key bigint")
 
 
 def _forest(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
@@ -185,7 +187,7 @@ def link_forest(distinct: DataFrame, distance: int = DISTANCE, count: int = SEGM
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, distance: int = DISTANCE, segments: int = SEGMENTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, fp, key, fingerprint, component_id, first_key.
+    """One row per input row: doc_id, fp, key, text_key, fingerprint, component_id, first_key.
 
     component_id is the smallest id reachable over links (a null id only where a group has
     no other); first_key is the key of that document's row.  Null, empty and blank texts
@@ -204,22 +206,65 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, distance: int =
     named = linked.join(least, "component").select("fp", "least")
     of = classes.join(named, "fp", "left").withColumn("least", F.coalesce("least", "first"))
     of = materialize(of.select("fp", F.col("least.doc_id").alias("component_id"), F.col("least.key").alias("first_key")), "simhash-components")
-    return prints.join(of, "fp").select("doc_id", "fp", "key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "first_key")
+    return prints.join(of, "fp").select("doc_id", "fp", "key", "text_key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "first_key")
 
 
-def keep_one(docs: DataFrame, *, shingle: int = SHINGLE, distance: int = DISTANCE, segments: int = SEGMENTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: one document, that of the smallest id, of each group.
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """(key, set) of rows (key, t): distinct 64-bit hashes of the text's ``words``-word shingles, lower-cased in A-Z.
 
-    A group without any id keeps one row; of rows equal in id and text one stays, whichever.
-    Null and empty texts are one group, all with fingerprint 0.  All columns are returned;
-    names with two leading underscores are the operator's.  An empty table stays empty.
+    Fewer words are one shingle; a text without any has the empty set.
     """
-    from pyspark.sql import Window
+    table = textnp.byte_table(True, textnp.BLANKS)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offsets in text_slices(batch, "t"):
+                mapped, s, e, first = textnp.words(data, offsets, table)
+                h = textnp.span_hash(*textnp.prefix_hash(mapped), s, e) if len(s) else np.zeros(0, np.uint64)
+                sets = []
+                for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                    sets.append(np.unique(textnp.grams(h[a:b], min(words, b - a)) if b > a else h[a:b]).view(np.int64))
+                yield pa.RecordBatch.from_arrays([rows.column("key"), pa.array(sets, pa.list_(pa.int64()))], ["key", "set"])
+
+    return docs.select("key", "t").mapInArrow(run, "key bigint, set array<bigint>")
+
+
+def keep_one(docs: DataFrame, *, shingle: int = 2, distance: int = 7, segments: int = 4, words: int = 5, similar: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: of documents alike, the one of the smallest id.
+
+    Fingerprints of short shingles, within a wide distance, group what may be alike.  In a
+    group the smallest id stays, and with it go the texts whose ``words``-word shingles are
+    ``similar`` to its own (Jaccard); the smallest id of those left stays next, and so on
+    until none is left: whatever goes is similar to one that stays, and no two that stay in
+    a group are.  Equal texts count once, so a group of copies costs one comparison.
+
+    Null ids come after all others, and a group without any id keeps one row; of rows equal
+    in id and text one stays, whichever.  Null and empty texts are alike.  A text of any
+    length is read whole.  All columns are returned; names with two leading underscores are
+    the operator's.  An empty table stays empty.
+    """
     groups = near_duplicates(docs, shingle=shingle, distance=distance, segments=segments, id_col=id_col, text_col=text_col)
-    stay = groups.select(F.col("first_key").alias("__key"), F.xxhash64(F.lit("id"), "component_id").alias("__id")).distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    texts = groups.groupBy(F.xxhash64("first_key", "component_id").alias("group"), "fp", "text_key").agg(first)
+    texts = materialize(texts.select("group", "first", F.col("first.key").alias("key")), "simhash-texts")
+    many = texts.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group")
+    stay = [texts.join(many, "group", "left_anti").select("first")]
+    left = materialize(texts.join(many, "group", "left_semi"), "simhash-many")
+    read = docs.select(F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("t")).join(left.select("key"), "key", "left_semi")
+    sets = shingle_sets(read, words).dropDuplicates(["key"])
+    left = materialize(left.join(sets, "key"), "simhash-sets")
+    met, both = F.size(F.array_intersect("set", "one")), F.size("set") + F.size("one")
+    # both sides are written, so a group of any size is a skewed join, which is split
+    while not left.isEmpty():
+        least = left.groupBy("group").agg(F.min("first").alias("first"))
+        ones = materialize(left.join(least, ["group", "first"]).select("group", "first", F.col("set").alias("one")), "simhash-ones")
+        stay.append(ones.select("first"))
+        # the one itself, as a whole, goes from what is left
+        unlike = (both > 0) & (met < similar * (both - met)) & (F.col("key") != F.col("first_key"))
+        left = materialize(left.join(ones.select("group", "one", F.col("first.key").alias("first_key")), "group").where(unlike).select("group", "first", "key", "set"), "simhash-left")
+    stay = reduce(DataFrame.unionByName, stay).select(F.col("first.key").alias("__key"), F.xxhash64(F.lit("id"), "first.doc_id").alias("__id"))
     # join and window share their keys, so whole texts are exchanged once
     keyed = docs.withColumn("__key", F.xxhash64(id_col, text_col)).withColumn("__id", F.xxhash64(F.lit("id"), id_col))
     once = Window.partitionBy("__key", "__id").orderBy("__key")
-    met = keyed.join(stay, ["__key", "__id"])
-    return met.withColumn("__n", F.row_number().over(once)).where("__n = 1").select(*docs.columns)
+    kept = keyed.join(stay.distinct(), ["__key", "__id"])
+    return kept.withColumn("__n", F.row_number().over(once)).where("__n = 1").select(*docs.columns)

@@ -89,9 +89,9 @@ def test_winnowing_empty_tables(spark):
     assert (one["n_words"], one["n_hit"], one["contaminated"]) == (2, 0, False)
 
 
-def brute_fp(text):
+def brute_fp(text, k=4):
     ws = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
-    sh = [" ".join(ws[i : i + 4]) for i in range(max(1, len(ws) - 3))] if ws else []
+    sh = [" ".join(ws[i : i + k]) for i in range(max(1, len(ws) - k + 1))] if ws else []
     hs = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sh]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
@@ -117,6 +117,58 @@ def brute_groups(rows):
     return sorted((str(i), f"{f:016x}", str(least.get(root(f)))) for i, f in rows)
 
 
+def brute_kept(rows):
+    """Ids that stay of (id, text): groups of two-word fingerprints within seven bits, the smallest id first."""
+    ids = {}
+    for i, t in rows:
+        ids.setdefault(t or "", []).append((i is None, i or 0, i))
+    texts = sorted(ids)
+    fps, up = [brute_fp(t, 2) for t in texts], list(range(len(texts)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if (fps[a] ^ fps[b]).bit_count() <= 7:
+                up[root(a)] = root(b)
+
+    def sets(t):
+        ws = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) if w]
+        return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
+
+    alike = lambda a, b: not a and not b or (a | b) and len(a & b) >= 0.8 * len(a | b)
+    groups = {}
+    for n, t in enumerate(texts):
+        groups.setdefault(root(n), []).append((min(ids[t]), sets(t)))
+    out = []
+    for members in groups.values():
+        members.sort(key=lambda m: m[0])
+        while members:
+            (_, _, i), own = members[0]
+            out.append(i)
+            members = [m for m in members[1:] if not alike(m[1], own)]
+    return sorted(map(str, out))
+
+
+def test_keep_one_equals_brute_force(spark):
+    rng = random.Random(8)
+    word = lambda: rng.choice(["alpha", "beta", "Gamma", "delta", "eps", "zeta", "Eta", "theta", "iota", "kappa"]) + str(rng.randrange(30))
+    docs = [(None, None), (0, ""), (7, " "), (5000, "one two")]
+    for k in range(25):
+        base = [word() for _ in range(rng.randrange(3, 160))]
+        for _ in range(rng.randrange(1, 9)):
+            ws = base[:]
+            for _ in range(rng.choice([0, 0, 1, 1, 2, 4, 9])):
+                ws[rng.randrange(len(ws))] = word()
+            docs.append((rng.randrange(10_000), " ".join(ws)))
+        docs.append(docs[-1])
+    got = simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string").repartition(4))
+    assert sorted(str(r["doc_id"]) for r in got.collect()) == brute_kept(docs)
+
+
 def test_simhash_equals_brute_force(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     docs += [(None, None), (7, ""), (1000, "  \n"), (1001, "one two"), (1001, "One  TWO"), (None, "a b c d e")]
