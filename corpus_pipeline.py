@@ -21,20 +21,37 @@ def _aside(docs: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects (score below its threshold) go."""
+    """Documents that the classifier rejects (score below its threshold) go.
+
+    Null and empty texts are scored on empty statistics, so they go or stay together; rows
+    with null or repeated ids are judged by their own text, and equal texts alike.  A text
+    of any length is judged whole.  Without labels every score is 0.5 and all stay.  An empty
+    table stays empty; other columns, whatever their names, stay as they are.
+    """
     docs, back = _aside(docs, "doc_id", "text")
     forest = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score(docs, forest).where("predicted = 1").select(*back)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays, that of the smallest id."""
+    """Of documents alike the one of the smallest id stays; a null id comes after all others.
+
+    Whatever goes has 0.8 of its five-word shingles (Jaccard) in common with one that stays
+    in its SimHash group, and no two that stay in a group do.  Null, empty and blank texts
+    are alike.  Of rows equal in id and text one stays, whichever.  A text of any length is
+    read whole.  An empty table stays empty; other columns stay as they are.
+    """
     docs, back = _aside(docs, "doc_id", "text")
     return simhash.keep_one(docs).select(*back)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
+    """Contaminated documents go: a twentieth of their words or more lies in benchmark windows.
+
+    Null and blank texts have no words and stay; equal texts, repeated rows and null ids are
+    judged alike, by the text.  A text of any length is scanned whole.  Without items nothing
+    goes.  An empty table stays empty; other columns stay as they are.
+    """
     docs, back = _aside(docs, "doc_id", "text")
     return winnow.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("not contaminated").select(*back)
 
@@ -42,8 +59,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document is repeated as often as the mix takes it, rounded to whole documents.
 
-    A document without words weighs nothing and stays once.  Rows equal in id, source and
-    text share their copies evenly.
+    A document without words (null, empty, blank) weighs nothing and stays once.  Rows equal
+    in id, source and text share their copies evenly, ties in any order.  A null source is a
+    source of its own.  A very long text is one document, taken or not as a whole.  An empty
+    table stays empty; other columns stay as they are, on every copy.
     """
     docs, back = _aside(docs, "doc_id", "text", "source")
     taken = mixing.mix_taken(docs, source_col="source").withColumn("__copies", F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size"))))
@@ -55,7 +74,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of every row of the mix."""
+    """Shard and slot of every row of the mix; nothing goes.
+
+    Null ids, null, empty and very long texts, ties and repeated rows are rows like any
+    other.  An empty table gives no rows; other columns are left out.
+    """
     return sharding.shard(docs)
 
 
