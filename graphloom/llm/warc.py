@@ -2,9 +2,10 @@
 
 Method: records are grouped into independent Zstandard frames; a bundle ends with a
 skippable frame holding the seek table (compressed and decompressed size of each frame, in
-the public seekable format); an index maps each record identifier to its frame and the
-offset inside the decompressed frame.  Bundles and index rows are a Parquet table in the
-shared folder, so any store that Spark writes to will do.
+the public seekable format); an index maps each record identifier to its bundle, frame and the
+offset inside the decompressed frame.  Bundles are binary cells of a Parquet table, so any
+store that Spark writes to will do; the index is a table of its own, in ranges of record
+identifiers, so that a lookup reads few of its pages and then only the bundles it names.
 
 Among records with equal payloads that of the largest page id is the response; the others
 are revisits that refer to it and carry HTTP headers only.
@@ -22,6 +23,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import new_path
 
@@ -31,6 +33,7 @@ FRAME_BYTES, BUNDLE_BYTES, LEVEL = 256 << 10, 4 << 20, 3
 ID = "urn:graphloom:page:"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+INDEX = "record_id string, bundle string, frame int, offset int"
 ARCHIVE = "bundle string, content binary, records array<struct<record_id:string,frame:int,offset:int>>"
 
 
@@ -131,23 +134,32 @@ def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield bundle()
 
 
-def write(pages: DataFrame, path: str, *, min_bytes: int = 0) -> None:
-    """Writes the archive of ``pages`` (page_id, url, html) to ``path``.
+def write(pages: DataFrame, path: str, *, min_bytes: int = 0, indexed: bool = True) -> None:
+    """Writes the archive of ``pages`` (page_id, url, html) to ``path``/bundles and, if asked, its index to ``path``/index.
 
     A null html is empty; a null page id is smaller than any other; rows equal in page id
-    and payload are all responses; payloads under ``min_bytes`` are never revisits.
+    and payload are all responses; payloads under ``min_bytes`` are never revisits.  A
+    payload of any length is one record in a frame of its own, which a task holds whole.
+    Page ids must be integers.  An empty table makes an empty archive; other columns are
+    ignored, whatever their names.
     """
+    if not isinstance(pages.schema["page_id"].dataType, T.IntegralType):
+        raise TypeError("page_id must be of an integer type")
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", F.sha1(body).alias("digest"))
     most = pages.select(F.sha1(body).alias("digest"), F.col("page_id").cast("long").alias("page_id")).groupBy("digest").agg(F.max("page_id").alias("most"))
     joined = rows.join(most, "digest").select("page_id", "url", "html", "most", (F.octet_length(body) < min_bytes).alias("alone"))
-    joined.mapInArrow(_bundles, ARCHIVE).write.option("compression", "uncompressed").option("parquet.block.size", 32 << 20).parquet(path)
+    joined.mapInArrow(_bundles, ARCHIVE).write.option("compression", "uncompressed").option("parquet.block.size", 32 << 20).parquet(f"{path}/bundles")
+    if indexed:
+        listed = pages.sparkSession.read.schema(ARCHIVE).parquet(f"{path}/bundles").select("bundle", F.explode("records").alias("r")).select("r.record_id", "bundle", "r.frame", "r.offset")
+        listed.repartitionByRange("record_id").sortWithinPartitions("record_id").write.parquet(f"{path}/index")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Reads all bundles back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    Every stored payload is checked against its length and digest.
+    Every stored payload is checked against its length and digest.  An empty archive has no
+    rows; records that repeat have a row each; a null page id comes back null.
     """
 
     def number(uri: str | None) -> int | None:
@@ -168,12 +180,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 cols = list(zip(*got, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    archive = spark.read.schema(ARCHIVE).parquet(path).select("content")
+    archive = spark.read.schema(ARCHIVE).parquet(f"{path}/bundles").select("content")
     return archive.mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
 
 def fetch(spark: SparkSession, path: str, page_ids: list[int]) -> DataFrame:
-    """Random access: decompresses only the frames that hold the asked records."""
+    """Random access: by the index to the bundles, and there only the frames that hold the asked records."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -184,13 +196,15 @@ def fetch(spark: SparkSession, path: str, page_ids: list[int]) -> DataFrame:
                 head, _, payload = next(parse(unpack.decompress(raw[start : start + size], max_output_size=length), pick["offset"], one=True))
                 yield pa.RecordBatch.from_arrays([pa.array([pick["record_id"]]), pa.array([head["WARC-Type"]]), pa.array([payload], pa.binary())], ["record_id", "record_type", "payload"])
 
-    wanted = [_id(p) for p in page_ids]
-    hits = spark.read.schema(ARCHIVE).parquet(path).select("content", F.explode("records").alias("r")).where(F.col("r.record_id").isin(wanted))
-    return hits.mapInArrow(run, "record_id string, record_type string, payload binary")
+    index = spark.read.schema(INDEX).parquet(f"{path}/index").where(F.col("record_id").isin([_id(p) for p in page_ids]))
+    hits = index.collect()  # as many as were asked for, and their repeats
+    bundles = spark.read.schema(ARCHIVE).parquet(f"{path}/bundles").select("bundle", "content").where(F.col("bundle").isin(sorted({r["bundle"] for r in hits})))
+    picked = F.broadcast(spark.createDataFrame(hits, INDEX)).select("bundle", F.struct("record_id", "frame", "offset").alias("r"))
+    return bundles.join(picked, "bundle").select("content", "r").mapInArrow(run, "record_id string, record_type string, payload binary")
 
 
 def round_trip(pages: DataFrame, *, min_bytes: int = 0) -> DataFrame:
     """Writes the archive to the shared folder and reads it back."""
     path = new_path(pages.sparkSession, "warc")
-    write(pages, path, min_bytes=min_bytes)
+    write(pages, path, min_bytes=min_bytes, indexed=False)
     return read(pages.sparkSession, path)

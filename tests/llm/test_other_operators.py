@@ -330,6 +330,40 @@ def test_license_endorsement_takes_any_list_of_names():
     assert labels("Neither the name of X nor " * 3000 + rest) == ["bsd-3-clause"]
 
 
+def plain_scan(text):
+    """Labels and score by every rule on the whole text, and every pair of hits."""
+    ws = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    norm = (" " + " ".join(ws) + " ").encode()
+    hits = [(m.start(), m.end(), r.priority, r.label) for r in licenses.rules() for m in r.pattern.finditer(norm)]
+    inside = lambda h, o: o[0] <= h[0] and h[1] <= o[1]
+    kept = []
+    for h in hits:
+        wider = [o for o in hits if inside(h, o) and (o[0], o[1]) != (h[0], h[1]) and o[2] >= h[2]]
+        equal = [o for o in hits if (o[0], o[1]) == (h[0], h[1]) and (o[2] > h[2] or (o[2] == h[2] and o[3] < h[3]))]
+        if not wider and not equal:
+            kept.append(h)
+    best = {label: 60 for phrase, label in licenses.BASE if f" {phrase} " in norm.decode()}
+    for _, _, priority, label in kept:
+        best[label] = max(priority, best.get(label, 0))
+    doubt = 1.0
+    for label in sorted(best):
+        doubt *= 1 - best[label] / 100
+    return sorted(best), 1 - doubt
+
+
+def test_license_labels_and_score_equal_brute_force(spark):
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    rng = random.Random(4)
+    notices = ["Licensed under the Apache License, Version 2.0", "SPDX-License-Identifier: MIT", "released under the GPLv3 or later", "all rights reserved", "CC BY-SA 4.0", "the GNU Lesser General Public License version 2.1", "Permission is hereby granted, free of charge, to any person obtaining a copy", "Redistribution and use in source and binary forms"]
+    texts += [" filler words ".join(rng.sample(notices, rng.randrange(1, 6))) for _ in range(60)]
+    scanner = licenses.Scanner()
+    for t in texts:
+        got = scanner.scan(t.encode())
+        want = plain_scan(t)
+        assert (got[5], round(got[6], 9)) == (want[0], round(want[1], 9)), t[:200]
+    assert sum(bool(scanner.scan(t.encode())[5]) for t in texts) > 50
+
+
 def test_license_suppression():
     hits = [(0, 10, 50, "outer"), (2, 5, 50, "inner"), (3, 8, 80, "strong"), (0, 10, 50, "outer"), (8, 14, 10, "over")]
     assert licenses.suppress(hits) == [(0, 10, 50, "outer"), (3, 8, 80, "strong"), (8, 14, 10, "over")]
@@ -360,6 +394,6 @@ def test_warc_random_access(spark):
     warc.write(spark.createDataFrame(pages, "page_id long, url string, html string"), path)
     got = {r["record_id"]: bytes(r["payload"]).decode() for r in warc.fetch(spark, path, [7, 1234, 2999]).collect()}
     assert got == {f"{warc.ID}{i}": pages[i][2] for i in (7, 1234, 2999)}
-    bundle = spark.read.parquet(path).first()
+    bundle = spark.read.parquet(f"{path}/bundles").first()
     frames = warc.read_seek_table(bytes(bundle["content"]))
     assert len(frames) > 1 and max(r["frame"] for r in bundle["records"]) == len(frames) - 1
