@@ -157,6 +157,7 @@ FALLBACK_SHARE = 0.70
 STANDALONE_FROM = 3
 USER_QUOTA_TOKENS, GLOBAL_QUOTA_USD = 200_000, 5.0
 BREAKER_FAILURES, BREAKER_SECONDS = 5, 60
+BREAKER_QUIET_SECONDS, SESSION_SECONDS = 24 * 3600, 24 * 3600
 KEEPALIVE_SECONDS = 15
 RETRY_WAITS = [5, 15, 30]
 STAGE_BUCKETS = [0.05, 0.1, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0, 120.0]

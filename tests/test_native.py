@@ -263,3 +263,40 @@ def test_limiter_and_breaker_batch_equals_stream(spark, tmp_path):
     q.awaitTermination(120)
     assert sum(x["accepted"] for x in spark.table("lim").collect()) == 4
     spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_streams_take_a_key_by_time_and_forget_it(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from graphloom.streaming import stateful
+
+    t0 = datetime(2024, 1, 1)
+    rows = [(t0 + timedelta(seconds=s), "k", f"m{s}") for s in range(300)]
+    random.Random(1).shuffle(rows)
+    src = str(tmp_path / "events")
+    e = spark.createDataFrame(rows, "ts timestamp, key string, message string")
+    e.repartition(8).write.parquet(src)
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    later = spark.createDataFrame([(t0 + timedelta(days=3), "other", "x")], e.schema)
+
+    def run(name, stream):
+        q = stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / f"ck-{name}")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return spark.table(name).collect()
+
+    source = lambda: spark.readStream.schema(e.schema).parquet(src)
+    try:
+        got = run("numbers", stateful.numbered_stream(source()))
+        assert sorted((r["seq"], r["message"]) for r in got) == [(s + 1, f"m{s}") for s in range(300)]
+        assert [(r["key"], r["events"]) for r in run("sessions", stateful.alive(source(), "2 seconds", "0 seconds"))] in ([], [("k", 300)])
+        # two days on, the key is over and starts anew
+        later.write.mode("append").parquet(src)
+        run("numbers2", stateful.numbered_stream(source()))
+        spark.createDataFrame([(t0 + timedelta(days=3, seconds=5), "other", "y")], e.schema).write.mode("append").parquet(src)
+        spark.createDataFrame([(t0 + timedelta(days=3, seconds=9), "k", "again")], e.schema).write.mode("append").parquet(src)
+        got = run("numbers3", stateful.numbered_stream(source()))
+        assert {r["seq"] for r in got if r["message"] == "m0"} == {1}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
