@@ -25,6 +25,7 @@ partition gets only what is equal far beyond the gram, once per block.
 from __future__ import annotations
 
 import pickle
+import zlib
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
@@ -167,6 +168,17 @@ def block_names(part: int, buckets: int) -> Iterator[int]:
         yield from names[bucket_of(names, buckets) == part % buckets].tolist()
 
 
+def task_keys(tasks: int) -> np.ndarray:
+    """A long for each of ``tasks`` shuffle partitions that lands there: numbers dealt by it spread evenly."""
+    keys, base = np.full(tasks, -1, np.int64), 0
+    while (keys < 0).any():
+        names = np.arange(base, base + 4 * tasks + 1024, dtype=np.int64)
+        found, first = np.unique(bucket_of(names, tasks), return_index=True)
+        keys[found] = np.where(keys[found] < 0, names[first], keys[found])
+        base += len(names)
+    return keys
+
+
 def pack_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, buckets: int) -> DataFrame:
     """(block, ids, lens, raw, size): whole texts in input order, about ``block_bytes`` together."""
 
@@ -284,7 +296,7 @@ def merge(runs: list[Iterator[tuple[bytes, int]]]) -> Iterator[tuple[int, bytes,
             node //= 2
 
 
-def _send_grams(parts: int, length: int, gram: int):
+def _send_grams(parts: int, lands: np.ndarray, length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per block and partition: 48 bits of each distinct gram's hash, and 16 of its count."""
         for b in batches:
@@ -295,7 +307,7 @@ def _send_grams(parts: int, length: int, gram: int):
                     continue
                 sent = ((block.grams << np.uint64(16)) | np.minimum(block.counts, 0xFFFF).astype(np.uint64))[order]
                 to, many = np.unique(p, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(np.full(len(to), name), pa.int64()), _binary(sent, many * 8)], ["part", "block", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array(lands[to % len(lands)]), pa.array(to, pa.int32()), pa.array(np.full(len(to), name), pa.int64()), _binary(sent, many * 8)], ["task", "part", "block", "hashes"])
 
     return run
 
@@ -349,7 +361,7 @@ class Runs:
             yield string, same, *next(self.sides[r])
 
 
-def _send_runs(parts: int, group: int, length: int, gram: int):
+def _send_runs(parts: int, group: int, many: int, lands: np.ndarray, length: int, gram: int):
     def runs_of(name: int, ids: list, lens: list[int], raw: bytes, replies: pa.Scalar) -> list[tuple]:
         b = Block(raw, lens, length, gram)
         if not len(b.at):
@@ -393,7 +405,8 @@ def _send_runs(parts: int, group: int, length: int, gram: int):
             while j < len(keys) and to[j] == to[i]:
                 j += 1
             places = [seen[k] for k in keys[i:j]]
-            out.append((to[i], name, _run([k[0] for k in keys[i:j]], [k[1] for k in keys[i:j]], [x[0] for x in places], [name], [x[1] for x in places], gone)))
+            key = to[i] * many + zlib.crc32(name.to_bytes(8, "big")) % many
+            out.append((int(lands[key % len(lands)]), key, _run([k[0] for k in keys[i:j]], [k[1] for k in keys[i:j]], [x[0] for x in places], [name], [x[1] for x in places], gone)))
             gone, i = [], j
         return out
 
@@ -403,12 +416,12 @@ def _send_runs(parts: int, group: int, length: int, gram: int):
                 if replies.is_valid:
                     rows = runs_of(name, ids, lens, raw.as_py(), replies)
                     for i in range(0, len(rows), 256):
-                        yield _table(rows[i : i + 256], ["part", "block", "run"], [pa.int32(), pa.int64(), pa.binary()])
+                        yield _table(rows[i : i + 256], ["task", "key", "run"], [pa.int64(), pa.int64(), pa.binary()])
 
     return run
 
 
-def _merge_batches(length: int):
+def _merge_batches(lands: np.ndarray, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """First level: the runs of a batch of blocks for a group of partitions become one for each partition."""
         for _, rows in _runs_of_key(batches, "key"):
@@ -418,9 +431,10 @@ def _merge_batches(length: int):
 
             def close() -> pa.RecordBatch:
                 nonlocal keys, lefts, ids, blocks, places, gone
-                row = (int.from_bytes(keys[0][:NUMBER], "big"), _run(keys, lefts, ids, blocks, places, gone))
+                part = int.from_bytes(keys[0][:NUMBER], "big")
+                row = (int(lands[part % len(lands)]), part, _run(keys, lefts, ids, blocks, places, gone))
                 keys, lefts, ids, blocks, places, gone = [], [], [], [], [], []
-                return _table([row], ["part", "run"], [pa.int32(), pa.binary()])
+                return _table([row], ["task", "key", "run"], [pa.int64(), pa.int64(), pa.binary()])
 
             equal: dict[bytes, int] = {}  # left of the strings equal to the last one -> entry
             for string, same, left, i, block, place in runs.merged():
@@ -491,7 +505,7 @@ def _merge_runs(length: int, gram: int):
                 bits &= (1 << run) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _runs_of_key(batches, "part"):
+        for _, rows in _runs_of_key(batches, "key"):
             runs = Runs([r.as_py() for b in rows for r in b.column("run")])
             bucket: list[tuple] = []
             for e in runs.merged():
@@ -556,20 +570,21 @@ def dedup_substrings(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM,
     parts = max(shuffle, -(-total // part_bytes))
     tasks = max(shuffle, min(parts, PARTITIONS))
 
-    def dealt(rows: DataFrame, key: str = "part") -> DataFrame:
-        return rows.repartition(tasks, key).sortWithinPartitions(key)
+    lands = task_keys(tasks)
+
+    def dealt(rows: DataFrame, key: str) -> DataFrame:
+        return rows.repartition(tasks, "task").sortWithinPartitions(key)
 
     def with_replies(reply: str, replies: DataFrame) -> DataFrame:
         return blocks.drop("size").join(replies.groupBy("block").agg(F.collect_list(reply if reply == "gone" else F.struct("part", reply)).alias("replies")), "block", "left")
 
-    sent = blocks.select("block", "lens", "raw").mapInArrow(_send_grams(parts, length, gram), "part int, block bigint, hashes binary")
-    flags = dealt(sent).mapInArrow(_count_grams(hot), "part int, block bigint, flags binary")
+    sent = blocks.select("block", "lens", "raw").mapInArrow(_send_grams(parts, lands, length, gram), "task bigint, part int, block bigint, hashes binary")
+    flags = dealt(sent, "part").mapInArrow(_count_grams(hot), "part int, block bigint, flags binary")
     deep = count > fan
-    group = -(-parts // fan) if deep else 1
-    runs = with_replies("flags", flags).mapInArrow(_send_runs(parts, group, length, gram), "part int, block bigint, run binary")
+    group, many = (-(-parts // fan), -(-count // fan)) if deep else (1, 1)
+    run = "task bigint, key bigint, run binary"
+    runs = with_replies("flags", flags).mapInArrow(_send_runs(parts, group, many, lands, length, gram), run)
     if deep:
-        many = -(-count // fan)
-        runs = runs.withColumn("key", F.col("part") * F.lit(many).cast("long") + F.pmod(F.xxhash64("block"), F.lit(many)))
-        runs = dealt(runs, "key").mapInArrow(_merge_batches(length), "part int, run binary")
-    gone = dealt(runs.select("part", "run")).mapInArrow(_merge_runs(length, gram), "block bigint, gone binary")
+        runs = dealt(runs, "key").mapInArrow(_merge_batches(lands, length), run)
+    gone = dealt(runs, "key").mapInArrow(_merge_runs(length, gram), "block bigint, gone binary")
     return with_replies("gone", gone).mapInArrow(_cut(length), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")

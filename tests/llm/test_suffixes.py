@@ -80,6 +80,8 @@ def test_buckets_are_those_of_spark(spark):
     names = [0, 1, -1, 1 << 40] + [rng.getrandbits(62) for _ in range(200)]
     want = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n long").selectExpr("pmod(hash(n), 37)").collect()]
     assert suffixes.bucket_of(np.array(names), 37).tolist() == want
+    keys = suffixes.task_keys(211)
+    assert suffixes.bucket_of(keys, 211).tolist() == list(range(211))
     got = [x for x, _ in zip(suffixes.block_names(5, 37), range(20), strict=False)]
     assert got == sorted(got) and set(suffixes.bucket_of(np.array(got), 37).tolist()) == {5}
 
