@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 
 import pytest
 from graphloom.functions import scalars as S
