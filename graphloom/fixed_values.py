@@ -203,6 +203,7 @@ COMPLEXITY = {
 
 # -- views ------------------------------------------------------------------------------
 FLOW_NODES, FLOW_EDGES = 15, 25
+STAGE_TECHNOLOGIES = 6
 FLOW_DATA = ["http", "db", "event", "file", "internal"]
 OLD_KINDS = {"start": "io", "end": "io", "action": "process", "decision": "transform", "transform": "transform", "data_store": "data_store"}
 LANE_ORDER = ["routes", "services", "models", "database", "utils", "config", "tests", "frontend", "module", "other"]

@@ -264,3 +264,24 @@ def normalize_url(raw: Column) -> Column:
     s = F.when(s.rlike(r"^[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+$") & ~F.split_part(s, F.lit("/"), F.lit(1)).rlike(r"\.(com|org|net)$"), F.concat(F.lit("https://github.com/"), s)).otherwise(s)
     s = F.when(s.rlike(r"(?i)^[a-z]+://"), s).otherwise(F.concat(F.lit("https://"), s))
     return F.regexp_replace(s, r"(?i)^(https?://)www\.", "$1")
+
+
+def luminance(r: Column, g: Column, b: Column) -> Column:
+    """Relative luminance of a colour of three bytes."""
+
+    def linear(c: Column) -> Column:
+        x = c / 255
+        return F.when(x <= 0.03928, x / 12.92).otherwise(F.pow((x + 0.055) / 1.055, 2.4))
+
+    return 0.2126 * linear(r) + 0.7152 * linear(g) + 0.0722 * linear(b)
+
+
+def ink(r: Column, g: Column, b: Column) -> Column:
+    """Dark text where the ground is light."""
+    return F.when(luminance(r, g, b) > 0.179, "dark").otherwise("light")
+
+
+def mix_colour(value: Column, low: Column, high: Column, a: Column, b: Column) -> Column:
+    """A channel between two colours by the value's clamped share of its span; the first where there is none."""
+    share = F.when(high > low, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - low) / (high - low)))).otherwise(0.0)
+    return F.round(a + (b - a) * share)

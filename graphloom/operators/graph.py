@@ -207,11 +207,15 @@ def kahn_order(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return steps.all() if counts else levels.select("node", F.col("level").cast("long").alias("rank"))
 
 
+def leftovers(edges: DataFrame) -> DataFrame:
+    """O3: nodes that peeling never frees: those on cycles, and all behind them."""
+    nodes = edges.select(F.explode(F.array("source", "target")).alias("node")).distinct()
+    return nodes.join(kahn_levels(edges).select("node"), "node", "left_anti")
+
+
 def has_cycle(edges: DataFrame) -> bool:
     """Some node is never freed by peeling."""
-    pairs = edges.select("source", "target").distinct()
-    nodes = pairs.select(F.explode(F.array("source", "target")).alias("node")).distinct()
-    return not nodes.join(kahn_levels(edges).select("node"), "node", "left_anti").isEmpty()
+    return not leftovers(edges).isEmpty()
 
 
 def canonical_cycle(path: Column) -> Column:

@@ -140,6 +140,12 @@ def selection_score(role: Column, central: Column, entry: Column, in_degree: Col
     return F.round(F.greatest(s, F.lit(0.0)), 2)
 
 
+def with_membership(profiles: DataFrame, central: DataFrame, entries: DataFrame, key: str = "id") -> DataFrame:
+    """Adds whether a file is among the central ones and the entry points (column file each)."""
+    mark = lambda df, name: df.select(F.col("file").alias(key), F.lit(True).alias(name)).distinct()
+    return profiles.join(mark(central, "central"), key, "left").join(mark(entries, "entry"), key, "left").na.fill(False, ["central", "entry"])
+
+
 def budget_select(files: DataFrame, group: str, max_files: int = V.SELECT_FILES, max_tokens: int = V.SELECT_TOKENS) -> DataFrame:
     """Per group, take by score while the token budget lasts, skipping what overflows.
 

@@ -164,6 +164,13 @@ def technologies(texts: DataFrame, text: str, rules: list[tuple[str, str]] = V.T
     return texts.withColumn("technology", made)
 
 
+def stage_technologies(imports: DataFrame, roles: DataFrame, rules: list[tuple[str, str]] = V.TECHNOLOGY_RULES, most: int = V.STAGE_TECHNOLOGIES) -> DataFrame:
+    """Per stage role its first technologies by name. ``imports``: path, raw; ``roles``: path, role."""
+    staged = roles.where(F.col("role").isin(list(V.ROLE_STAGES)))
+    met = technologies(imports.join(staged, "path"), "raw", rules).where("technology is not null")
+    return met.groupBy("role").agg(F.array_join(F.slice(F.array_sort(F.collect_set("technology")), 1, most), ",").alias("technologies"))  # as many as rules
+
+
 def language_counts(files: DataFrame) -> DataFrame:
     """A1."""
     return files.groupBy("language").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes")).orderBy(F.desc("files"), "language")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -98,3 +99,10 @@ def graph_json(nodes: DataFrame, edges: DataFrame) -> str:
     """K4: JSON of a graph already capped by ``ranking.collapsed_graph``."""
     take = lambda df: [json.loads(x) for x in df.toJSON().collect()]
     return json.dumps({"nodes": sorted(take(nodes), key=lambda n: str(n["id"])), "edges": sorted(take(edges), key=lambda e: (str(e["source"]), str(e["target"])))}, separators=(",", ":"))
+
+
+def export(kind: str, builders: dict[str, Callable[[], str]]) -> str:
+    """K8: the text of a known format; only its builder runs, and an unknown format raises."""
+    if kind not in builders:
+        raise ValueError(f"unknown format {kind}: one of {', '.join(sorted(builders))}")
+    return builders[kind]()

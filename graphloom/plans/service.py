@@ -398,3 +398,22 @@ def missing_columns(spark, d):
 @query("in_degree_profiles", f"WITH {PROFILES} SELECT id, in_degree, out_degree FROM profiles")
 def in_degree_profiles(spark, d):
     return A.profiles(spark, d).select("id", "in_degree", "out_degree")
+
+
+@query("selected_content", "SELECT doc_id::VARCHAR AS path, md5(left(text, 12000)) AS head FROM documents WHERE doc_id % 3 = 1")
+def selected_content(spark, d):
+    f = A.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"), "doc_id")
+    return P.selected_content(f, f.where("doc_id % 3 = 1")).select("path", F.md5("content").alias("head"))
+
+
+@query("clone_folders", "SELECT min(url || '_' || substr(md5(url), 1, 12)) AS name FROM pages WHERE substr(md5(url), 1, 12) = (SELECT min(substr(md5(url), 1, 12)) FROM pages)")
+def clone_folders(spark, d):
+    name = F.substring(F.md5("url"), 1, 12)
+    p = A.table(spark, d, "pages")
+    return K.clone_folder(p.select(F.concat_ws("_", "url", name).alias("name")), p.agg(F.min(name)).first()[0])
+
+
+@query("path_lookup", f"WITH {FILES} SELECT id, path FROM files WHERE path = (SELECT max(path) FROM files)")
+def path_lookup(spark, d):
+    f = A.files(spark, d).select("id", "path")
+    return f.where(F.col("path") == f.agg(F.max("path")).first()[0])

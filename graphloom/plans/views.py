@@ -547,3 +547,97 @@ def cycle_questions(spark, d):
 @query("file_facts", f"""WITH {PROFILES} SELECT id, upper(name) || ' | imported by ' || in_degree || ' | imports ' || out_degree AS facts FROM profiles""")
 def file_facts(spark, d):
     return A.profiles(spark, d).select("id", F.array_join(T.facts(F.upper("name"), F.col("in_degree"), F.col("out_degree")), " | ").alias("facts"))
+
+
+@query("has_cycle", f"""WITH RECURSIVE {EDGES}, cyc AS (SELECT source AS a, target AS b FROM pairs UNION SELECT a, target FROM cyc JOIN pairs ON b = source)
+SELECT 'all' AS graph, count(*) > 0 AS cyclic FROM cyc WHERE a = b UNION ALL SELECT 'dag', false""")
+def has_cycle(spark, d):
+    rows = [("all", G.has_cycle(A.edges(spark, d))), ("dag", G.has_cycle(A.dag(spark, d)))]
+    return spark.createDataFrame(rows, "graph string, cyclic boolean")
+
+
+@query("kahn_leftovers", f"""WITH RECURSIVE {EDGES}, cyc AS (SELECT source AS a, target AS b FROM pairs UNION SELECT a, target FROM cyc JOIN pairs ON b = source), loops AS (SELECT a FROM cyc WHERE a = b)
+SELECT DISTINCT b AS node FROM cyc WHERE a IN (FROM loops)""")
+def kahn_leftovers(spark, d):
+    return G.leftovers(A.edges(spark, d))
+
+
+RANKS = """dag AS MATERIALIZED (SELECT source, target FROM pairs WHERE source < target),
+levels(node, level) USING KEY (node) AS (SELECT node, 0 FROM (SELECT source AS node FROM dag UNION SELECT target FROM dag)
+  UNION (SELECT o.node, max(f.level) + 1 FROM levels AS f JOIN dag ON f.node = source JOIN recurring.levels AS o ON o.node = target GROUP BY o.node, o.level HAVING max(f.level) + 1 > o.level)),
+loose AS (SELECT id AS node, 0 AS level FROM files WHERE id NOT IN (SELECT node FROM levels)),
+every AS (FROM levels UNION ALL FROM loose),
+base AS (SELECT level, sum(n) OVER (ORDER BY level) - n AS before FROM (SELECT level, count(*) AS n FROM every GROUP BY level)),
+ranks AS (SELECT node, 0 AS level, row_number() OVER (ORDER BY node) AS rank FROM every WHERE level = 0
+  UNION ALL SELECT node, level, (before + row_number() OVER (ORDER BY last, node))::BIGINT FROM (
+    SELECT l.node, l.level, before, max(ranks.rank) AS last FROM ranks JOIN dag ON ranks.node = source JOIN every l ON l.node = target AND l.level = ranks.level + 1 JOIN base ON base.level = l.level GROUP BY ALL))"""
+
+
+@query("guided_tour", f"WITH RECURSIVE {IMPORTANCE}, {RANKS} SELECT node AS id, rank FROM ranks ORDER BY rank LIMIT 25")
+def guided_tour(spark, d):
+    return G.tour(A.dag(spark, d), scored(spark, d).select("id", "importance"))
+
+
+@query("membership_flags", f"""WITH {PROFILES}, c AS (SELECT file FROM deg ORDER BY 3 * in_degree + out_degree DESC, file LIMIT 30) SELECT id, id IN (FROM c) AS central, out_degree > 0 AND in_degree = 0 AS entry FROM profiles""")
+def membership_flags(spark, d):
+    p = A.profiles(spark, d)
+    return L.with_membership(p, D.central_files(A.edges(spark, d)), p.where("out_degree > 0 and in_degree = 0").select(F.col("id").alias("file"))).select("id", "central", "entry")
+
+
+@query("treemap_tree", f"""WITH {FILES}, t AS (SELECT path, folder, language, size FROM files ORDER BY size DESC, path LIMIT 250), k AS (SELECT folder, count(DISTINCT language) AS brands FROM t GROUP BY folder)
+SELECT CASE WHEN brands = 1 THEN t.folder || '/' || language ELSE t.folder || ' > ' || language END AS parents, path, size AS value FROM t JOIN k ON t.folder = k.folder""")
+def treemap_tree(spark, d):
+    top = A.files(spark, d).select("path", "size").orderBy(F.desc("size"), "path").limit(V.TREEMAP_FILES)
+    rows = []
+
+    def walk(node: dict, above: list[str]) -> None:
+        for c in node["children"]:
+            if "children" in c:
+                walk(c, [*above, c["name"]])
+            else:
+                rows.append((" > ".join(above), c["path"], c["value"]))
+
+    walk(X.treemap([r.asDict() for r in top.collect()]), [])
+    return spark.createDataFrame(rows, "parents string, path string, value long")
+
+
+@query("tour_steps", f"""WITH RECURSIVE {FLAGS}, s AS (SELECT id, name, importance, row_number() OVER (ORDER BY importance DESC, id) AS place, in_degree, out_degree FROM scored)
+SELECT place, id, upper(name) AS title, 'imported by ' || in_degree || '; imports ' || out_degree AS facts FROM s WHERE place <= 15""")
+def tour_steps(spark, d):
+    top = scored(spark, d).orderBy(F.desc("importance"), "id").limit(V.TOUR_TOP).withColumn("flags", F.array().cast("array<string>"))
+    steps = R.recall_order(top)
+    facts = F.array_join(F.slice(T.facts(F.col("name"), F.col("in_degree"), F.col("out_degree")), 2, 2), "; ")
+    return steps.select(F.col("order").cast("long").alias("place"), "id", F.upper("name").alias("title"), facts.alias("facts"))
+
+
+@query("stage_technologies", f"""WITH {ROLED}, t AS (SELECT role, CASE WHEN contains(lower(b.name), 'gear') THEN 'Gears' WHEN contains(lower(b.name), 'bolt') THEN 'Bolts' WHEN contains(lower(b.name), 'e') THEN 'Others' END AS technology FROM edges JOIN roled a ON source = a.id JOIN files b ON target = b.id WHERE {_case("role", _kind)} IS NOT NULL)
+SELECT role, string_agg(DISTINCT technology, ',' ORDER BY technology) AS technologies FROM t WHERE technology IS NOT NULL GROUP BY role""")
+def stage_technologies(spark, d):
+    names = A.files(spark, d).select(F.col("id").alias("target"), F.col("name").alias("raw"))
+    imports = A.edges(spark, d).join(names, "target").select(F.col("source").alias("path"), "raw")
+    return U.stage_technologies(imports, roled(spark, d).select(F.col("id").alias("path"), "role"), [("gear", "Gears"), ("bolt", "Bolts"), ("e", "Others")])
+
+
+@query("dependency_payload", f"""WITH {MODULES} SELECT (SELECT count(*) FROM files)::BIGINT AS nodes, (SELECT count(*) FROM pairs)::BIGINT AS edges, (SELECT count(*) FROM m)::BIGINT AS modules, (SELECT count(*) FROM c)::BIGINT AS connections""")
+def dependency_payload(spark, d):
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    out = n(A.files(spark, d), "nodes")
+    for part in (n(A.edges(spark, d).select("source", "target").distinct(), "edges"), n(modules(spark, d), "modules"), n(module_connections(spark, d), "connections")):
+        out = out.crossJoin(F.broadcast(part))  # one row each
+    return out
+
+
+@query("tile_colours", f"""WITH {FILES}, c AS (SELECT id, loc % 16 * 17 AS r, size % 16 * 17 AS g, id % 16 * 17 AS b FROM files), l AS (SELECT id, list_transform([r, g, b], lambda x: CASE WHEN x / 255 <= 0.03928 THEN x / 255 / 12.92 ELSE ((x / 255 + 0.055) / 1.055) ** 2.4 END) AS v FROM c)
+SELECT id, round(0.2126 * v[1] + 0.7152 * v[2] + 0.0722 * v[3], 6) AS luminance, CASE WHEN 0.2126 * v[1] + 0.7152 * v[2] + 0.0722 * v[3] > 0.179 THEN 'dark' ELSE 'light' END AS ink FROM l""")
+def tile_colours(spark, d):
+    c = [F.col("loc") % 16 * 17, F.col("size") % 16 * 17, F.col("id") % 16 * 17]
+    return A.files(spark, d).select("id", F.round(S.luminance(*c), 6).alias("luminance"), S.ink(*c).alias("ink"))
+
+
+@query("exported_formats", "SELECT * FROM (VALUES ('dot', 'digraph'), ('json', '{'), ('mermaid', 'graph TD'), ('module', 'flowchart LR')) v(format, head)")
+def exported_formats(spark, d):
+    """K8: each known format's first words; an unknown one raises."""
+    nodes, edges = _top(spark, d)
+    build = {"json": lambda: X.graph_json(nodes, edges), "dot": lambda: X.dot(nodes, edges).first()[0], "mermaid": lambda: X.mermaid(nodes, edges).first()[0], "module": lambda: Y.mermaid_modules(modules(spark, d), module_connections(spark, d)).first()[0]}
+    heads = {"json": 1, "dot": 7, "mermaid": 8, "module": 12}
+    return spark.createDataFrame([(f, X.export(f, build)[: heads[f]]) for f in sorted(build)], "format string, head string")
