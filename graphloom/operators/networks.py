@@ -6,7 +6,7 @@ import ast
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
@@ -62,23 +62,18 @@ def parameter_count(kind: Column, params: Column) -> Column:
 def propagate_widths(layers: DataFrame) -> DataFrame:
     """Fills in_features of width-less dense layers from the layer before, per model.
 
-    ``layers``: model, pos, type, params.  An ordered fold over a model's layers.
+    ``layers``: model, pos, type, params.  The width at a layer is the last one emitted since
+    the last layer that lost it, a window over the model's layers.
     """
-    item = F.struct("pos", "type", "params")
-    g = layers.groupBy("model").agg(F.array_sort(F.collect_list(F.struct("pos", "type", F.map_entries("params").alias("entries")))).alias("all"))
-    del item
-    start = F.struct(F.lit(None).cast("string").alias("width"), F.array().cast("array<struct<pos:int,type:string,params:map<string,string>>>").alias("out"))
-
-    def step(acc, x):
-        p = F.map_from_entries(x["entries"])
-        get = lambda n: F.try_element_at(p, F.lit(n))
-        known = F.coalesce(get("in_features"), get("in_channels"))
-        filled = F.when(x["type"].isin("Dense", "LazyLinear") & known.isNull() & acc["width"].isNotNull(), F.map_concat(p, F.create_map(F.lit("in_features"), acc["width"]))).otherwise(p)
-        out = F.coalesce(get("out_features"), get("units"), get("out_channels"), get("hidden_size"), get("embedding_dim"))
-        width = F.when(x["type"].isin("Flatten", "GlobalAveragePooling2D"), F.lit(None).cast("string")).otherwise(F.coalesce(out, acc["width"]))
-        return F.struct(width.alias("width"), F.concat(acc["out"], F.array(F.struct(x["pos"].cast("int").alias("pos"), x["type"].alias("type"), filled.alias("params")))).alias("out"))
-
-    return g.select("model", F.explode(F.aggregate("all", start, step)["out"]).alias("l")).select("model", "l.*")
+    get = lambda n: F.try_element_at("params", F.lit(n))
+    out = F.coalesce(get("out_features"), get("units"), get("out_channels"), get("hidden_size"), get("embedding_dim"))
+    w = Window.partitionBy("model").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    lost = F.col("type").isin("Flatten", "GlobalAveragePooling2D")
+    r = layers.withColumn("__since", F.coalesce(F.sum(lost.cast("int")).over(w), F.lit(0))).withColumn("__out", out)
+    since = Window.partitionBy("model", "__since").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    r = r.withColumn("__width", F.last("__out", ignorenulls=True).over(since))
+    fill = F.col("type").isin("Dense", "LazyLinear") & F.coalesce(get("in_features"), get("in_channels")).isNull() & F.col("__width").isNotNull()
+    return r.select("model", "pos", "type", F.when(fill, F.map_concat("params", F.create_map(F.lit("in_features"), F.col("__width")))).otherwise(F.col("params")).alias("params"))
 
 
 def _layers_of(source: str) -> list[tuple[str, str, int, str, str, dict[str, str]]]:

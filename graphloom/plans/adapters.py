@@ -11,10 +11,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as files: id, path, name, language, size, loc, layer by name."""
+    """Parts as files: id, path, name, folder, language, size, loc, functions."""
     p = table(spark, sf_dir, "part")
     path = F.concat_ws("/", "p_type", "p_brand", F.concat("p_name", F.lit("_"), F.col("p_partkey").cast("string")))
-    return p.select(F.col("p_partkey").alias("id"), path.alias("path"), F.col("p_name").alias("name"), F.col("p_type").alias("folder"), F.col("p_brand").alias("language"), F.round(F.col("p_retailprice") * 100).cast("long").alias("size"), F.col("p_size").alias("loc"))
+    return p.select(F.col("p_partkey").alias("id"), path.alias("path"), F.col("p_name").alias("name"), F.col("p_type").alias("folder"), F.col("p_brand").alias("language"), F.round(F.col("p_retailprice") * 100).cast("long").alias("size"), F.col("p_size").alias("loc"), (F.col("p_size") % 7).alias("functions"))
 
 
 def imports(spark: SparkSession, sf_dir: str) -> DataFrame:

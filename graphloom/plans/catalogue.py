@@ -35,14 +35,13 @@ ends AS (SELECT source AS file, 0 AS i, 1 AS o FROM pairs UNION ALL SELECT targe
 deg AS (SELECT file, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree FROM ends GROUP BY file)"""
 FILES = """files AS (
   SELECT p_partkey AS id, p_type || '/' || p_brand || '/' || p_name || '_' || p_partkey AS path, p_name AS name, p_type AS folder,
-         p_brand AS language, round(p_retailprice * 100)::BIGINT AS size, p_size AS loc FROM part)"""
+         p_brand AS language, round(p_retailprice * 100)::BIGINT AS size, p_size AS loc, p_size % 7 AS functions FROM part)"""
 PROFILES = DEG + ",\n" + FILES + """,
 profiles AS (SELECT f.*, coalesce(in_degree, 0) AS in_degree, coalesce(out_degree, 0) AS out_degree FROM files f LEFT JOIN deg ON f.id = deg.file)"""
 IMPORTANCE = PROFILES + """,
-tops AS (SELECT max(loc) AS ml, max(out_degree) AS mo, max(in_degree) AS mi FROM profiles),
+tops AS (SELECT max(loc) AS ml, max(out_degree) AS mo, max(in_degree) AS mi, max(functions) AS mf FROM profiles),
 scored AS (SELECT profiles.*, round(CASE WHEN ml > 0 THEN 25.0::DOUBLE * loc / ml ELSE 0 END + CASE WHEN mo > 0 THEN 25.0::DOUBLE * out_degree / mo ELSE 0 END
-  + CASE WHEN mi > 0 THEN 25.0::DOUBLE * in_degree / mi ELSE 0 END, 2) AS importance FROM profiles, tops)"""
-TERMS = ("loc", "out_degree", "in_degree")
+  + CASE WHEN mi > 0 THEN 25.0::DOUBLE * in_degree / mi ELSE 0 END + CASE WHEN mf > 0 THEN 25.0::DOUBLE * functions / mf ELSE 0 END, 2) AS importance FROM profiles, tops)"""
 
 
 def query(name: str, sql: str | None = None):
@@ -56,7 +55,7 @@ def query(name: str, sql: str | None = None):
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    return L.importance(A.profiles(spark, d), TERMS)
+    return L.importance(A.profiles(spark, d))
 
 
 @query("central_top30", f"""WITH {DEG}
@@ -495,10 +494,20 @@ def complexity_words(spark, d):
     return spark.createDataFrame([(w,) for w in WORDS], "word string").select("word", S.complexity_score(F.col("word")).alias("score"))
 
 
-@query("role_names", "SELECT DISTINCT event_type, CASE event_type WHEN 'x' THEN 'x' ELSE 'unknown' END AS role, 'imports' AS edge_type, 'other' AS node_type FROM events")
+def _named(c: str, table: dict, other: str) -> str:
+    return f"CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + f" ELSE {other} END"
+
+
+ALIASES = [list(V.ROLES), list(V.EDGE_TYPES), list(V.NODE_TYPES)]
+
+
+@query("role_names", f"""WITH a AS (SELECT p_partkey AS id, {[*ALIASES[0], "?"]}[p_partkey % {len(V.ROLES) + 1} + 1] AS r, {[*ALIASES[1], "?"]}[p_partkey % {len(V.EDGE_TYPES) + 1} + 1] AS e, {[*ALIASES[2], "?"]}[p_partkey % {len(V.NODE_TYPES) + 1} + 1] AS n FROM part)
+SELECT id, {_named("r", V.ROLES, "'unknown'")} AS role, {_named("e", V.EDGE_TYPES, "'imports'")} AS edge_type, {_named("n", V.NODE_TYPES, "'other'")} AS node_type FROM a""")
 def role_names(spark, d):
-    e = A.table(spark, d, "events").select("event_type").distinct()
-    return e.select("event_type", S.role_name(F.col("event_type")).alias("role"), S.edge_type(F.col("event_type")).alias("edge_type"), S.node_type(F.col("event_type")).alias("node_type"))
+    pick = lambda names: F.get(F.array(*[F.lit(x) for x in [*names, "?"]]), (F.col("id") % (len(names) + 1)).cast("int"))
+    spoken = lambda names: F.concat(F.lit(" "), F.upper(F.translate(pick(names), "_", "-")))
+    f = A.files(spark, d)
+    return f.select("id", S.role_name(spoken(ALIASES[0])).alias("role"), S.edge_type(F.upper(pick(ALIASES[1]))).alias("edge_type"), S.node_type(F.upper(pick(ALIASES[2]))).alias("node_type"))
 
 
 @query("nn_param_counts", "SELECT * FROM (VALUES (1, 36928), (2, 640), (3, 36864), (4, NULL), (5, 650), (6, 128), (7, 5120), (8, 24768), (9, 1050624)) t(id, params)")
