@@ -17,7 +17,6 @@ copies gives a line per member, not per pair.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -26,8 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import textnp
-from .common import components, materialize, text_slices
+from .common import components, materialize
 
 SHINGLE = 4
 SEED = 42
@@ -52,14 +50,11 @@ def ball(bits: int, radius: int) -> list[int]:
     return [sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(bits), r)]
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """SimHash of a text's shingles, as a signed 64-bit integer; 0 without words."""
-    ws = text.lower().split()
+def _simhash(ws: list[bytes], joined: bytes, shingle: int) -> int:
     n = len(ws)
     if n == 0:
         return 0
     h = xxhash.xxh64_intdigest
-    joined = b" ".join(ws)
     if n <= shingle:
         hashes = np.array([h(joined, SEED)], np.uint64)
     else:
@@ -74,83 +69,87 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(bits.view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, *, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, key, text_key) per row; key is a hash of id and text for joining back, text_key of the text."""
+def fingerprint(text: bytes, *shingles: int) -> list[int]:
+    """SimHash of a text's shingles of each length, as signed 64-bit integers; 0 without words."""
+    ws = text.lower().split()
+    joined = b" ".join(ws)
+    return [_simhash(ws, joined, k) for k in shingles]
+
+
+def fingerprints(docs: DataFrame, *, shingles: tuple[int, ...] = (SHINGLE,), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp, [check,] key) per row: a fingerprint for each shingle length, and a hash of id and text for joining back."""
+    names = ["fp", "check"][: len(shingles)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(t.as_buffer().to_pybytes(), shingle) if t.is_valid else 0 for t in b.column("t").cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64()), b.column("key"), b.column("text_key")], ["doc_id", "fp", "key", "text_key"])
+            fps = [fingerprint(t.as_buffer().to_pybytes(), *shingles) if t.is_valid else [0] * len(shingles) for t in b.column("t").cast(pa.binary())]
+            columns = [pa.array([f[i] for f in fps], pa.int64()) for i in range(len(shingles))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns, b.column("key")], ["doc_id", *names, "key"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"), F.xxhash64(id_col, text_col).alias("key"), F.xxhash64(text_col).alias("text_key")).mapInArrow(run, f"doc_id {kind}, fp bigint, key bigint, text_key bigint")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"), F.xxhash64(id_col, text_col).alias("key")).mapInArrow(run, f"doc_id {kind}, {', '.join(f'{n} bigint' for n in names)}, key bigint")
 
 
-def _forest(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
-    """Verified links among one partition's table entries and probes, as a spanning forest."""
-    parts = [(b.column("key").to_numpy(), b.column("fp").to_numpy(), b.column("probe").to_numpy(zero_copy_only=False)) for b in batches]
+def _forest(batches: Iterator[pa.RecordBatch], distance: int, check: int | None) -> Iterator[pa.RecordBatch]:
+    """Verified links among one partition's table entries and probes, as a spanning forest.
+
+    Rows have key, fp and probe, and with ``check`` also a node's number and second fingerprint.
+    """
+    columns = ["key", "fp", *(["node", "check"] if check is not None else []), "probe"]
+    parts = [[b.column(c).to_numpy(zero_copy_only=False) for c in columns] for b in batches]
     if not parts:
         return
-    key, fp, probe = (np.concatenate(x) for x in zip(*parts, strict=True))
+    rows = dict(zip(columns, (np.concatenate(x) for x in zip(*parts, strict=True)), strict=True))
     del parts
-    tk, tf = key[~probe], fp[~probe]
-    order = np.argsort(tk, kind="stable")
-    tk, tf = tk[order], tf[order]
-    pk, pf = key[probe], fp[probe]
-    del key, fp, probe
-    lo, hi = np.searchsorted(tk, pk, "left"), np.searchsorted(tk, pk, "right")
+    probe = rows.pop("probe")
+    table, probes = ({c: x[m] for c, x in rows.items()} for m in (~probe, probe))
+    order = np.argsort(table["key"], kind="stable")
+    table = {c: x[order] for c, x in table.items()}
+    del rows
+    lo, hi = np.searchsorted(table["key"], probes["key"], "left"), np.searchsorted(table["key"], probes["key"], "right")
     met = hi > lo
-    lo, count, pf = lo[met], (hi - lo)[met], pf[met]
-    nodes = np.unique(tf)
+    lo, count = lo[met], (hi - lo)[met]
+    probes = {c: x[met] for c, x in probes.items()}
+    name = "fp" if check is None else "node"
+    near = lambda a, b, most: np.bitwise_count((a ^ b).view(np.uint64)) <= most
+    # a probe need not be a table entry of this partition
+    nodes = np.unique(np.concatenate([table[name], probes[name]]))
     label = np.arange(len(nodes))
-    linked = np.zeros(len(nodes), bool)
-    i = 0
-    total = np.cumsum(count)
-    while i < len(pf):
+    i, total = 0, np.cumsum(count)
+    while i < len(count):
         base = total[i - 1] if i else 0
         j = max(i + 1, int(np.searchsorted(total, base + CANDIDATES, "right")))
         c = count[i:j]
-        left = np.repeat(pf[i:j], c)
-        right = tf[np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c) + np.repeat(lo[i:j], c)]
-        ok = (left < right) & (np.bitwise_count((left ^ right).view(np.uint64)) <= distance)
+        left = np.repeat(np.arange(i, j), c)
+        right = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c) + np.repeat(lo[i:j], c)
         i = j
-        if not ok.any():
-            continue
-        u, at = left[ok], np.searchsorted(nodes, right[ok])
-        # a probe need not be a table entry of this partition
-        extra = np.setdiff1d(u, nodes)
-        if len(extra):
-            grown = np.union1d(nodes, extra)
-            place = np.searchsorted(grown, nodes)
-            new = np.arange(len(grown))
-            new[place] = place[label]
-            flags = np.zeros(len(grown), bool)
-            flags[place] = linked
-            nodes, label, linked = grown, new, flags
-            at = np.searchsorted(nodes, right[ok])
-        u = np.searchsorted(nodes, u)
-        linked[u] = linked[at] = True
+        ok = (probes[name][left] < table[name][right]) & near(probes["fp"][left], table["fp"][right], distance)
+        left, right = left[ok], right[ok]
+        if check is not None:
+            ok = near(probes["check"][left], table["check"][right], check)
+            left, right = left[ok], right[ok]
+        u, at = np.searchsorted(nodes, probes[name][left]), np.searchsorted(nodes, table[name][right])
         while True:
             a, b = label[u], label[at]
             if (a == b).all():
                 break
             np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-            while True:
-                nxt = label[label]
-                if (nxt == label).all():
-                    break
+            while not ((nxt := label[label]) == label).all():
                 label = nxt
-    out = np.flatnonzero(linked & (label != np.arange(len(nodes))))
+    out = np.flatnonzero(label != np.arange(len(nodes)))
     if len(out):
         yield pa.RecordBatch.from_arrays([pa.array(nodes[out]), pa.array(nodes[label[out]])], ["a", "b"])
 
 
-def link_forest(distinct: DataFrame, distance: int = DISTANCE, count: int = SEGMENTS) -> DataFrame:
-    """(a, b) edges connecting exactly the fingerprints that links connect.
+def link_forest(distinct: DataFrame, distance: int = DISTANCE, count: int = SEGMENTS, check: int | None = None) -> DataFrame:
+    """(a, b) edges connecting exactly what links connect: fingerprints within the distance.
 
-    ``distinct`` has one row per distinct fingerprint in column fp.
+    ``distinct`` has one row per distinct fingerprint in column fp, its own name.  With
+    ``check`` it has node (a long) and a second fingerprint ``check``, which must lie within
+    that distance, too; edges are then between nodes.
     """
     spark = distinct.sparkSession
+    held = [c for c in ("fp", "node", "check") if check is not None or c == "fp"]
     tables, balls, rest = [], [], F.lit(None).cast("long")
     for s, (low, bits, radius) in enumerate(segments(distance, count)):
         if radius < 0:
@@ -161,8 +160,8 @@ def link_forest(distinct: DataFrame, distance: int = DISTANCE, count: int = SEGM
         # the other bits, turned to the lowest places
         turned = F.shiftrightunsigned("fp", low + bits).bitwiseOR(F.shiftleft("fp", 64 - low - bits)) if low + bits < 64 else F.col("fp")
         rest = F.when(F.shiftright("key", 32) == s, turned.bitwiseAND(F.lit((1 << (64 - bits)) - 1))).otherwise(rest)
-    table = distinct.select("fp", F.explode(F.array(*tables)).alias("key"), F.lit(False).alias("probe"))
-    probes = distinct.select("fp", F.explode(F.array(*balls)).alias("key"), F.lit(True).alias("probe"))
+    table = distinct.select(*held, F.explode(F.array(*tables)).alias("key"), F.lit(False).alias("probe"))
+    probes = distinct.select(*held, F.explode(F.array(*balls)).alias("key"), F.lit(True).alias("probe"))
     both = table.unionByName(probes)
 
     def crowded(entries: DataFrame, name: str) -> DataFrame:
@@ -173,98 +172,62 @@ def link_forest(distinct: DataFrame, distance: int = DISTANCE, count: int = SEGM
         known = both.join(hot, "key", "left")
         piece = -(-(64 - 64 // count) // (distance + 1))  # all of them cover the rest of any segment
         again = [F.xxhash64("key", F.lit(i), F.shiftrightunsigned("rest", i * piece).bitwiseAND(F.lit((1 << piece) - 1))) for i in range(distance + 1)]
-        fine = known.where("parts is not null").withColumn("rest", rest).select("fp", F.explode(F.array(*again)).alias("key"), "probe")
+        fine = known.where("parts is not null").withColumn("rest", rest).select(*held, F.explode(F.array(*again)).alias("key"), "probe")
         fine = materialize(fine, "simhash-fine")
         dense = crowded(fine.where("not probe"), "simhash-dense")
         grid = fine.join(dense, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
         own, other = F.pmod(F.xxhash64("fp"), F.col("parts")), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
         grid = grid.withColumn("own", own.cast("int")).withColumn("other", other)
         cell = F.xxhash64("key", F.when(F.col("probe"), F.col("other")).otherwise(F.col("own")), F.when(F.col("probe"), F.col("own")).otherwise(F.col("other")))
-        both = known.where("parts is null").select("fp", "key", "probe").unionByName(grid.select("fp", cell.alias("key"), "probe"))
+        both = known.where("parts is null").select(*held, "key", "probe").unionByName(grid.select(*held, cell.alias("key"), "probe"))
     rows = (len(tables) + len(balls)) * distinct.count()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // 1_000_000))
-    return both.repartition(parts, "key").select("key", "fp", "probe").mapInArrow(lambda batches: _forest(batches, distance), "a bigint, b bigint")
+    return both.repartition(parts, "key").mapInArrow(lambda batches: _forest(batches, distance, check), "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, distance: int = DISTANCE, segments: int = SEGMENTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, fp, key, text_key, fingerprint, component_id, first_key.
+def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, distance: int = DISTANCE, segments: int = SEGMENTS, check: tuple[int, int] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, fp, key, fingerprint, component_id, first_key.
 
-    component_id is the smallest id reachable over links (a null id only where a group has
-    no other); first_key is the key of that document's row.  Null, empty and blank texts
-    have fingerprint 0 and link like any other.  A text of any length is hashed whole, in
-    one task with some 100 bytes a word.  Repeated rows are kept, and ties in the id go to
-    the smaller key.  An empty table gives an empty result; other columns are ignored,
-    whatever their names.  ``components`` raises beyond 60 rounds, some 2**30 links in a row.
+    With ``check`` (shingle, distance) links also need fingerprints of that shingle within
+    that distance.  component_id is the smallest id reachable over links (a null id only
+    where a group has no other); first_key is the key of that document's row.  Null, empty
+    and blank texts have fingerprint 0 and link like any other.  A text of any length is
+    hashed whole, in one task with some 100 bytes a word.  Repeated rows are kept, and ties
+    in the id go to the smaller key.  An empty table gives an empty result; other columns
+    are ignored, whatever their names.  ``components`` raises beyond 60 rounds, some 2**30
+    links in a row.
     """
-    prints = materialize(fingerprints(docs, shingle=shingle, id_col=id_col, text_col=text_col), "simhash-prints")
-    classes = materialize(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")), "simhash-classes")
-    joined = components(link_forest(classes.select("fp"), distance, segments))
+    code = ["fp"] if check is None else ["fp", "check"]
+    shingles = (shingle,) if check is None else (shingle, check[0])
+    prints = materialize(fingerprints(docs, shingles=shingles, id_col=id_col, text_col=text_col), "simhash-prints")
+    classes = prints.groupBy(*code).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"))
+    classes = materialize(classes.withColumn("node", F.col("fp") if check is None else F.monotonically_increasing_id()), "simhash-classes")
+    joined = components(link_forest(classes, distance, segments, None if check is None else check[1]))
     # only linked fingerprints meet their component, and both sides are written before they
     # do: a group of any size is then a skewed join, which is split
-    linked = materialize(joined.join(classes, F.col("node") == F.col("fp")).select("fp", "component", "first"), "simhash-linked")
+    linked = materialize(joined.join(classes, "node").select("node", "component", "first"), "simhash-linked")
     least = materialize(linked.groupBy("component").agg(F.min("first").alias("least")), "simhash-least")
-    named = linked.join(least, "component").select("fp", "least")
-    of = classes.join(named, "fp", "left").withColumn("least", F.coalesce("least", "first"))
-    of = materialize(of.select("fp", F.col("least.doc_id").alias("component_id"), F.col("least.key").alias("first_key")), "simhash-components")
-    return prints.join(of, "fp").select("doc_id", "fp", "key", "text_key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "first_key")
+    named = linked.join(least, "component").select("node", "least")
+    of = classes.join(named, "node", "left").withColumn("least", F.coalesce("least", "first"))
+    of = materialize(of.select(*code, F.col("least.doc_id").alias("component_id"), F.col("least.key").alias("first_key")), "simhash-components")
+    return prints.join(of, code).select("doc_id", "fp", "key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "first_key")
 
 
-def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(key, set) of rows (key, t): distinct 64-bit hashes of the text's ``words``-word shingles, lower-cased in A-Z.
+def keep_one(docs: DataFrame, *, shingle: int = 2, distance: int = 7, segments: int = 4, check: tuple[int, int] | None = (5, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: one document, that of the smallest id, of each group.
 
-    Fewer words are one shingle; a text without any has the empty set.
-    """
-    table = textnp.byte_table(True, textnp.BLANKS)
+    Links need two-word fingerprints within 7 bits, which finds what may be alike, and
+    five-word fingerprints within 10, what a similarity of 0.8 comes to: shingle sets of
+    Jaccard 0.8 have a cosine of 0.89, and at that angle 9.7 of 64 bits differ on average.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, data, offsets in text_slices(batch, "t"):
-                mapped, s, e, first = textnp.words(data, offsets, table)
-                h = textnp.span_hash(*textnp.prefix_hash(mapped), s, e) if len(s) else np.zeros(0, np.uint64)
-                sets = []
-                for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                    sets.append(np.unique(textnp.grams(h[a:b], min(words, b - a)) if b > a else h[a:b]).view(np.int64))
-                yield pa.RecordBatch.from_arrays([rows.column("key"), pa.array(sets, pa.list_(pa.int64()))], ["key", "set"])
-
-    return docs.select("key", "t").mapInArrow(run, "key bigint, set array<bigint>")
-
-
-def keep_one(docs: DataFrame, *, shingle: int = 2, distance: int = 7, segments: int = 4, words: int = 5, similar: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of documents alike, the one of the smallest id.
-
-    Fingerprints of short shingles, within a wide distance, group what may be alike.  In a
-    group the smallest id stays, and with it go the texts whose ``words``-word shingles are
-    ``similar`` to its own (Jaccard); the smallest id of those left stays next, and so on
-    until none is left: whatever goes is similar to one that stays, and no two that stay in
-    a group are.  Equal texts count once, so a group of copies costs one comparison.
-
-    Null ids come after all others, and a group without any id keeps one row; of rows equal
-    in id and text one stays, whichever.  Null and empty texts are alike.  A text of any
-    length is read whole.  All columns are returned; names with two leading underscores are
-    the operator's.  An empty table stays empty.
+    A null id stays only where a group has no other; of rows equal in id and text one stays,
+    whichever.  Null, empty and blank texts are one group.  All columns are returned; names
+    with two leading underscores are the operator's.  An empty table stays empty.
     """
-    groups = near_duplicates(docs, shingle=shingle, distance=distance, segments=segments, id_col=id_col, text_col=text_col)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
-    texts = groups.groupBy(F.xxhash64("first_key", "component_id").alias("group"), "fp", "text_key").agg(first)
-    texts = materialize(texts.select("group", "first", F.col("first.key").alias("key")), "simhash-texts")
-    many = texts.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group")
-    stay = [texts.join(many, "group", "left_anti").select("first")]
-    left = materialize(texts.join(many, "group", "left_semi"), "simhash-many")
-    read = docs.select(F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("t")).join(left.select("key"), "key", "left_semi")
-    sets = shingle_sets(read, words).dropDuplicates(["key"])
-    left = materialize(left.join(sets, "key"), "simhash-sets")
-    met, both = F.size(F.array_intersect("set", "one")), F.size("set") + F.size("one")
-    # both sides are written, so a group of any size is a skewed join, which is split
-    while not left.isEmpty():
-        least = left.groupBy("group").agg(F.min("first").alias("first"))
-        ones = materialize(left.join(least, ["group", "first"]).select("group", "first", F.col("set").alias("one")), "simhash-ones")
-        stay.append(ones.select("first"))
-        # the one itself, as a whole, goes from what is left
-        unlike = (both > 0) & (met < similar * (both - met)) & (F.col("key") != F.col("first_key"))
-        left = materialize(left.join(ones.select("group", "one", F.col("first.key").alias("first_key")), "group").where(unlike).select("group", "first", "key", "set"), "simhash-left")
-    stay = reduce(DataFrame.unionByName, stay).select(F.col("first.key").alias("__key"), F.xxhash64(F.lit("id"), "first.doc_id").alias("__id"))
+    groups = near_duplicates(docs, shingle=shingle, distance=distance, segments=segments, check=check, id_col=id_col, text_col=text_col)
+    stay = groups.select(F.col("first_key").alias("__key"), F.xxhash64(F.lit("id"), "component_id").alias("__id")).distinct()
     # join and window share their keys, so whole texts are exchanged once
     keyed = docs.withColumn("__key", F.xxhash64(id_col, text_col)).withColumn("__id", F.xxhash64(F.lit("id"), id_col))
     once = Window.partitionBy("__key", "__id").orderBy("__key")
-    kept = keyed.join(stay.distinct(), ["__key", "__id"])
-    return kept.withColumn("__n", F.row_number().over(once)).where("__n = 1").select(*docs.columns)
+    met = keyed.join(stay, ["__key", "__id"])
+    return met.withColumn("__n", F.row_number().over(once)).where("__n = 1").select(*docs.columns)
