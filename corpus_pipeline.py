@@ -34,12 +34,12 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents alike the one of the smallest id stays; a null id comes after all others.
+    """One document of each group of near duplicates stays, that of the smallest id; a null id only where there is no other.
 
-    Whatever goes has 0.8 of its five-word shingles (Jaccard) in common with one that stays
-    in its SimHash group, and no two that stay in a group do.  Null, empty and blank texts
-    are alike.  Of rows equal in id and text one stays, whichever.  A text of any length is
-    read whole.  An empty table stays empty; other columns stay as they are.
+    Links are SimHash distances that a similarity of 0.8 in five-word shingles comes to (see
+    ``simhash.keep_one``).  Null, empty and blank texts are one group.  Of rows equal in id
+    and text one stays, whichever.  A text of any length is hashed whole.  An empty table
+    stays empty; other columns stay as they are.
     """
     docs, back = _aside(docs, "doc_id", "text")
     return simhash.keep_one(docs).select(*back)
