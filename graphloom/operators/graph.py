@@ -10,7 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
@@ -35,23 +35,36 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def _write(df: DataFrame, path: str, *metrics: Column) -> dict:
+    """Writes a table and returns its row count ``n`` and other totals, observed in the same job."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n"), *metrics).write.parquet(path)
+    return seen.get
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Writes a step's table and reads it back."""
+    return settle_counted(df)[0]
+
+
+def settle_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """A step's table, written and read back, and its number of rows."""
     path = new_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    n = _write(df, path)["n"]
+    return df.sparkSession.read.schema(df.schema).parquet(path), n
 
 
 class Steps:
     """Rows that a loop finds step by step: each step is written once, all are read together."""
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.base, self.schema, self.paths = spark, new_folder(spark), None, []
+        self.spark, self.base, self.schema, self.paths, self.last = spark, new_folder(spark), None, [], 0
 
     def add(self, df: DataFrame) -> DataFrame:
+        """Writes the next step; ``last`` is its number of rows."""
         self.schema = self.schema or df.schema
         self.paths.append(f"{self.base}/{len(self.paths)}")
-        df.write.parquet(self.paths[-1])
+        self.last = _write(df, self.paths[-1])["n"]
         return self.step(len(self.paths) - 1)
 
     def step(self, n: int) -> DataFrame:
@@ -90,9 +103,8 @@ def components(edges: DataFrame, a: str = "source", b: str = "target", rounds: i
 
     def step(df: DataFrame) -> tuple[str, DataFrame, tuple]:
         path = new_folder(spark)
-        df.write.parquet(path)
-        kept = spark.read.schema(pairs.schema).parquet(path)
-        return path, kept, tuple(kept.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        seen = _write(df, path, F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
+        return path, spark.read.schema(pairs.schema).parquet(path), (seen["n"], seen["sum"])
 
     path, now, seen = step(pairs)
     for _ in range(rounds if seen[0] else 0):
@@ -126,7 +138,7 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int | None = None, reverse
         d += 1
         nxt = front.select("node").join(ways, "node").select(F.col("to").alias("node")).distinct().join(steps.all().select("node"), "node", "left_anti")
         front = steps.add(nxt.withColumn("depth", F.lit(d)))
-        if front.isEmpty():
+        if not steps.last:
             break
     return steps.all()
 
@@ -178,7 +190,7 @@ def kahn_levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     all_nodes = settle((nodes if nodes is not None else pairs.select(F.explode(F.array("source", "target")).alias("node"))).select("node").distinct())
     steps, level = Steps(edges.sparkSession), 0
     free = steps.add(all_nodes.join(pairs.select(F.col("target").alias("node")), "node", "left_anti").withColumn("level", F.lit(0)))
-    while not free.isEmpty():
+    while steps.last:
         level += 1
         next_to = free.select(F.col("node").alias("source")).join(pairs, "source").select(F.col("target").alias("node")).distinct().join(all_nodes, "node", "left_semi")
         waits = pairs.join(next_to.select(F.col("node").alias("target")), "target", "left_semi").join(steps.all().select(F.col("node").alias("source")), "source", "left_anti").select(F.col("target").alias("node"))
@@ -247,33 +259,32 @@ def on_cycles(edges: DataFrame) -> DataFrame:
     node that reaches it, and takes from each colour what reaches that node in turn: with
     it, one strongly connected component, and on a cycle if it has a second node.
     """
-    left = settle(edges.select("source", "target").where("source <> target").distinct())
-    out = left.select(F.col("source").alias("node")).limit(0)
+    left, size = settle_counted(edges.select("source", "target").where("source <> target").distinct())
+    out = Steps(edges.sparkSession)
+    out.add(left.select(F.col("source").alias("node")).limit(0))
     while True:
-        size = left.count()
-        while size:
-            ends = left.select(F.col("source").alias("target")).distinct(), left.select(F.col("target").alias("source")).distinct()
-            left = settle(left.join(ends[0], "target", "left_semi").join(ends[1], "source", "left_semi").select("source", "target"))
-            was, size = size, left.count()
-            if size == was:
-                break
+        was = -1
+        while size and size != was:
+            ends = left.select(F.col("source").alias("target")), left.select(F.col("target").alias("source"))
+            was, (left, size) = size, settle_counted(left.join(ends[0], "target", "left_semi").join(ends[1], "source", "left_semi").select("source", "target"))
         if not size:
-            return out
+            return out.all()
         colour = settle(left.select(F.col("source").alias("node")).distinct().withColumn("colour", F.col("node")))
-        while True:
+        moved = 1
+        while moved:
             near = left.join(colour, F.col("source") == F.col("node")).groupBy("target").agg(F.min("colour").alias("near"))
-            new = settle(colour.join(near, F.col("node") == F.col("target")).select("node", F.least("colour", "near").alias("colour"), F.col("colour").alias("was")))
-            colour = new.select("node", "colour")
-            if new.where("colour <> was").isEmpty():
-                break
+            better = colour.join(near, F.col("node") == F.col("target")).select("node", F.least("colour", "near").alias("colour"), (F.col("near") < F.col("colour")).cast("int").alias("moved"))
+            path = new_folder(edges.sparkSession)
+            moved = _write(better, path, F.sum("moved").alias("moved"))["moved"]
+            colour = edges.sparkSession.read.schema(better.schema).parquet(path).select("node", "colour")
         ways = left.join(colour.select(F.col("node").alias("source"), "colour"), "source").join(colour.select(F.col("node").alias("target"), F.col("colour").alias("c")), "target")
-        back = reach(settle(ways.where("colour = c").select("source", "target")), colour.select(F.col("colour").alias("node")), reverse=True).select("node")
+        back = reach(ways.where("colour = c").select("source", "target"), colour.where("node = colour").select("node"), reverse=True).select("node")
         part = settle(colour.join(back, "node", "left_semi"))
         many = part.groupBy("colour").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        out = settle(out.unionByName(part.join(many, "colour", "left_semi").select("node")))
+        out.add(part.join(many, "colour", "left_semi").select("node"))
         for end in ("source", "target"):
             left = left.join(part.select(F.col("node").alias(end)), end, "left_anti")
-        left = settle(left.select("source", "target"))
+        left, size = settle_counted(left.select("source", "target"))
 
 
 def cycles_sequential(edges: list[tuple]) -> list[list]:
@@ -379,7 +390,7 @@ def shortest_path(edges: DataFrame, starts: list, exits: list) -> list | None:
             return [s]
         steps = Steps(spark)
         front = steps.add(spark.createDataFrame([(s, None, 1)], f"node {kind}, parent {kind}, place long"))
-        while not front.isEmpty():
+        while steps.last:
             nxt = front.select("node", "place").join(ways, "node").groupBy(F.col("to").alias("node")).agg(F.min(F.struct("place", "node")).alias("from")).join(steps.all().select("node"), "node", "left_anti")
             nxt = nxt.select("node", F.col("from.node").alias("parent"), F.col("from.place").alias("turn"))
             front = steps.add(in_order(nxt, ["turn", "node"]).select("node", "parent", "place"))
