@@ -25,8 +25,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from . import textnp
+from .common import components, materialize, text_slices
 
+_LOWER = textnp.byte_table(True, textnp.BLANKS)
 SHINGLE = 4
 SEED = 42
 DISTANCE = 4
@@ -50,44 +52,64 @@ def ball(bits: int, radius: int) -> list[int]:
     return [sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(bits), r)]
 
 
-def _simhash(ws: list[bytes], joined: bytes, shingle: int) -> int:
-    n = len(ws)
-    if n == 0:
-        return 0
-    h = xxhash.xxh64_intdigest
-    if n <= shingle:
-        hashes = np.array([h(joined, SEED)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, ws), np.int64, n) + 1)
-        starts = [0, *ends[: n - shingle].tolist()]
-        hashes = np.fromiter((h(joined[s:e], SEED) for s, e in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)), np.uint64, n - shingle + 1)
+def _vote(hashes: np.ndarray) -> int:
+    """Bits set in over half the hashes, as a signed 64-bit integer."""
     votes = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 65536):
         part = hashes[i : i + 65536].astype(">u8").view(np.uint8).reshape(-1, 8)
         votes += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * votes > len(hashes))
-    return int(bits.view(">i8")[0])
+    return int(np.packbits(2 * votes > len(hashes)).view(">i8")[0])
 
 
-def fingerprint(text: bytes, *shingles: int) -> list[int]:
-    """SimHash of a text's shingles of each length, as signed 64-bit integers; 0 without words."""
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """SimHash of the XXH64 hashes of a text's shingles; 0 without words."""
     ws = text.lower().split()
+    n = len(ws)
+    if n == 0:
+        return 0
+    h = xxhash.xxh64_intdigest
     joined = b" ".join(ws)
-    return [_simhash(ws, joined, k) for k in shingles]
+    if n <= shingle:
+        return _vote(np.array([h(joined, SEED)], np.uint64))
+    ends = np.cumsum(np.fromiter(map(len, ws), np.int64, n) + 1)
+    starts = [0, *ends[: n - shingle].tolist()]
+    return _vote(np.fromiter((h(joined[s:e], SEED) for s, e in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)), np.uint64, n - shingle + 1))
+
+
+def rolled(data: np.ndarray, offsets: np.ndarray, shingles: tuple[int, ...]) -> np.ndarray:
+    """SimHash of rolling hashes of the rows' shingles, a line for each shingle length; 0 without words.
+
+    Vectorised over the words of a slice, for links that need no given hash.
+    """
+    mapped, s, e, first = textnp.words(data, offsets, _LOWER)
+    out = np.zeros((len(shingles), len(offsets) - 1), np.int64)
+    h = textnp.span_hash(*textnp.prefix_hash(mapped), s, e) if len(s) else np.zeros(0, np.uint64)
+    for r, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+        if b > a:
+            out[:, r] = [_vote(textnp.grams(h[a:b], min(k, b - a))) for k in shingles]
+    return out
 
 
-def fingerprints(docs: DataFrame, *, shingles: tuple[int, ...] = (SHINGLE,), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, [check,] key) per row: a fingerprint for each shingle length, and a hash of id and text for joining back."""
-    names = ["fp", "check"][: len(shingles)]
+def fingerprints(docs: DataFrame, *, shingle: int = SHINGLE, check: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp, key) per row; key is a hash of id and text for joining back.
+
+    With ``check``, a second shingle length, rows have its fingerprint, too, and both are of
+    rolling hashes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(t.as_buffer().to_pybytes(), *shingles) if t.is_valid else [0] * len(shingles) for t in b.column("t").cast(pa.binary())]
-            columns = [pa.array([f[i] for f in fps], pa.int64()) for i in range(len(shingles))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns, b.column("key")], ["doc_id", *names, "key"])
+            if check is None:
+                fps = [fingerprint(t.as_buffer().to_pybytes(), shingle) if t.is_valid else 0 for t in b.column("t").cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64()), b.column("key")], ["doc_id", "fp", "key"])
+                continue
+            for rows, data, offsets in text_slices(b, "t"):
+                two = rolled(data, offsets, (shingle, check))
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(two[0]), pa.array(two[1]), rows.column("key")], ["doc_id", "fp", "check", "key"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"), F.xxhash64(id_col, text_col).alias("key")).mapInArrow(run, f"doc_id {kind}, {', '.join(f'{n} bigint' for n in names)}, key bigint")
+    made = "fp bigint" if check is None else "fp bigint, check bigint"
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"), F.xxhash64(id_col, text_col).alias("key")).mapInArrow(run, f"doc_id {kind}, {made}, key bigint")
 
 
 def _forest(batches: Iterator[pa.RecordBatch], distance: int, check: int | None) -> Iterator[pa.RecordBatch]:
@@ -198,8 +220,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, distance: int =
     links in a row.
     """
     code = ["fp"] if check is None else ["fp", "check"]
-    shingles = (shingle,) if check is None else (shingle, check[0])
-    prints = materialize(fingerprints(docs, shingles=shingles, id_col=id_col, text_col=text_col), "simhash-prints")
+    prints = materialize(fingerprints(docs, shingle=shingle, check=None if check is None else check[0], id_col=id_col, text_col=text_col), "simhash-prints")
     classes = prints.groupBy(*code).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"))
     classes = materialize(classes.withColumn("node", F.col("fp") if check is None else F.monotonically_increasing_id()), "simhash-classes")
     joined = components(link_forest(classes, distance, segments, None if check is None else check[1]))
