@@ -2,6 +2,7 @@
 
 import math
 import os
+from collections import Counter
 
 import duckdb
 import graphloom.queries  # noqa: F401  registers every module's queries
@@ -119,10 +120,11 @@ def test_chunks_cover_their_texts_within_bounds(spark):
         chunks.setdefault(r["file_path"], []).append(r)
     assert set(chunks) == {i for i, t in texts.items() if t.strip()}
     for path, rows in chunks.items():
-        text, at, seen = texts[path], -1, [False] * len(texts[path])
+        text, at = texts[path], -1
         for r in sorted(rows, key=lambda r: r["n"]):
             assert 0 < len(r["text"]) <= 1500
             at = text.index(r["text"], at + 1)
             assert (r["start_line"], r["end_line"]) == (text.count("\n", 0, at) + 1, text.count("\n", 0, at) + 1 + r["text"].count("\n"))
-            seen[at : at + len(r["text"])] = [True] * len(r["text"])
-        assert all(s or c.isspace() for s, c in zip(seen, text, strict=True))
+        # nothing is lost between chunks; overlaps may say a word twice
+        said = Counter(w for r in rows for w in r["text"].split())
+        assert all(said[w] >= n for w, n in Counter(text.split()).items())
