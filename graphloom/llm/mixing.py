@@ -21,11 +21,11 @@ GOLDEN, GOLDEN_20 = "0.6180339887498949D", "0.607787409740351D"
 BLOCK, SLOTS = 4096, 65536
 
 
-def row_key(id_col: str, text_col: str, source_col: str) -> Column:
-    """128 bits, equal for rows equal in id, source and text."""
+def row_keys(id_col: str, text_col: str, source_col: str) -> list[Column]:
+    """Two longs, __ra and __rb, equal for rows equal in id, source and text."""
     columns = [F.col(id_col), F.col(source_col), F.col(text_col)]
     nulls = [c.isNull() for c in columns]
-    return F.struct(F.xxhash64(*columns, *nulls).alias("a"), F.xxhash64(F.lit(1), *columns[::-1], *nulls).alias("b"))
+    return [F.xxhash64(*columns, *nulls).alias("__ra"), F.xxhash64(F.lit(1), *columns[::-1], *nulls).alias("__rb")]
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
@@ -97,7 +97,7 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3,
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("__src"),
         F.col(source_col).isNull().alias("__none"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
-        row_key(id_col, text_col, source_col).alias("__row"),
+        *row_keys(id_col, text_col, source_col),
     ).withColumn("__h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     sized = materialize(sized, "mix-rows")
     sources = materialize(targets(sized.groupBy("__src", "__none").agg(F.sum("size").alias("source_size")), weights, cap), "mix-sources")
@@ -109,7 +109,7 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3,
     sources = materialize(ends, "mix-ends")  # written, so that a hot source is a skewed join, which is split
     digits = max(1, spread_bits(sized.count()) // 4)
     sized = sized.withColumn("__b", F.substring("__h", 1, digits))
-    line = spread_rank(sized, ["__src", "__none"], "__b", [F.col("__h"), F.col("doc_id"), F.col("size"), F.col("__row")], "__r", __at="size").join(sources, ["__src", "__none"])
+    line = spread_rank(sized, ["__src", "__none"], "__b", [F.col("__h"), F.col("doc_id"), F.col("size"), F.col("__ra"), F.col("__rb")], "__r", __at="size").join(sources, ["__src", "__none"])
     # places on the repeated line as far as its blocks are drawn, cut at block borders
     some = (F.col("size") > 0) & (F.col("__at") < F.col("__end"))
     turns = line.withColumn("__turn", F.explode_outer(F.when(some, F.sequence(F.lit(0), F.expr("(__end - __at - 1) div source_size").cast("int")))))
@@ -118,14 +118,14 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3,
     cut = cut.withColumn("__held", F.least(F.col("__to"), (F.col("rank") + 1) * block) - F.greatest(F.col("__from"), F.col("rank") * block))
     out = cut.join(plan, ["__src", "__none", "rank"], "left")
     words = F.when(F.col("slot").isNotNull(), F.col("__held")).otherwise(0)
-    return out.select("doc_id", "size", "source_size", "target", F.struct("__src", "__none", "__r").alias("__key"), F.col("__row"), "slot", words.alias("words"))
+    return out.select("doc_id", "size", "source_size", "target", F.struct("__src", "__none", "__r").alias("__key"), "__ra", "__rb", "slot", words.alias("words"))
 
 
 def mix_taken(docs: DataFrame, **options) -> DataFrame:
-    """Words taken per document: doc_id, size, source_size, target, taken, plus __row (row_key)."""
+    """Words taken per document: doc_id, size, source_size, target, taken, plus __ra and __rb (row_keys)."""
     return (
         mix(docs, **options)
         .groupBy("__key")
-        .agg(F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("words").alias("taken"), F.first("__row").alias("__row"))
+        .agg(F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("words").alias("taken"), F.first("__ra").alias("__ra"), F.first("__rb").alias("__rb"))
         .drop("__key")
     )

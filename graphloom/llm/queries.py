@@ -21,7 +21,7 @@ def op1_winnow_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_taken(_table(spark, sf_dir, "documents")).drop("__row")
+    return mixing.mix_taken(_table(spark, sf_dir, "documents")).drop("__ra", "__rb")
 
 
 def op3_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
