@@ -66,9 +66,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     docs, back = _aside(docs, "doc_id", "text", "source")
     taken = mixing.mix_taken(docs, source_col="source").withColumn("__copies", F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size"))))
-    copies = taken.groupBy("__row").agg(F.sum("__copies").cast("int").alias("__all"), F.count(F.lit(1)).cast("int").alias("__same"))
-    joined = docs.withColumn("__row", mixing.row_key("doc_id", "text", "source")).join(copies, "__row")
-    turn = F.row_number().over(Window.partitionBy("__row").orderBy("doc_id"))
+    copies = taken.groupBy("__ra", "__rb").agg(F.sum("__copies").cast("int").alias("__all"), F.count(F.lit(1)).cast("int").alias("__same"))
+    joined = docs.select("*", *mixing.row_keys("doc_id", "text", "source")).join(copies, ["__ra", "__rb"])
+    turn = F.row_number().over(Window.partitionBy("__ra", "__rb").orderBy("doc_id"))
     own = F.floor(F.col("__all") / F.col("__same")) + F.when(turn <= F.col("__all") % F.col("__same"), 1).otherwise(0)
     return joined.withColumn("__own", own.cast("int")).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__own")))).select(*back)
 
