@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def work_dir(spark: SparkSession) -> str:

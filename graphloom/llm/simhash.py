@@ -37,7 +37,7 @@ DISTANCE = 4
 SEGMENTS = 3
 #: table entries of one value beyond which it is indexed again, and then dealt over a grid
 HOT = 4096
-CANDIDATES = 2_000_000
+CANDIDATES = 500_000
 
 
 def segments(distance: int, count: int) -> list[tuple[int, int, int]]:
