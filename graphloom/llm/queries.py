@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, mixing, quality, sharding, simhash, suffixes, vectors, warc, winnow
+from . import chat, licenses, merkle, mixing, quality, sharding, simhash, suffixes, vectors, warc, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,63 @@ def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(_table(spark, sf_dir, "documents"))
+
+
+#: SQL of crc32 over decimal text, by the usual byte table
+CRC_TABLE = "crc AS (SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, i: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY b) AS t FROM range(256) r(b))"
+
+
+def _crc32(text: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(t[xor(c, b) % 256 + 1], c >> 8)), 4294967295)"
+
+
+def _op12_sql(levels: int = 6) -> str:
+    """Trees of up to 16 ** ``levels`` leaves, level by level."""
+
+    def encoded(value: str) -> str:
+        return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
+
+    def hashed(text: str) -> str:
+        return f"sha256({encoded('doc_id')} || {encoded('source')} || {encoded('lang')} || {encoded('n_chars')} || {encoded(text)})"
+
+    def tree(name: str) -> str:
+        step = "{n}{k} AS (SELECT src, pos // 16 AS pos, list(h ORDER BY pos) AS kids, count(*) = 1 AND pos // 16 = 0 AS lone, CASE WHEN count(*) = 1 AND pos // 16 = 0 THEN first(h) ELSE sha256(string_agg(h, '' ORDER BY pos)) END AS h FROM {n}{j} GROUP BY src, pos // 16)"
+        return ",\n".join(step.format(n=name, k=k, j=k - 1) for k in range(1, levels + 1))
+
+    def steps(name: str, place: str, before: str) -> str:
+        """One CTE per level: siblings are appended to the proof and folded in."""
+        out = []
+        for k in range(1, levels + 1):
+            i = f"({place} // {16 ** (k - 1)}) % 16"
+            left, right = f"list_aggregate(list_prepend('', kids[1:{i}]), 'string_agg', '')", f"list_aggregate(list_prepend('', kids[{i} + 2:]), 'string_agg', '')"
+            sides = "l.h IS NOT NULL AND NOT lone"
+            out.append(f"""{name}p{k} AS (SELECT d.* EXCLUDE (proof, folded), proof || CASE WHEN {sides} THEN {left} || {right} ELSE '' END AS proof,
+  CASE WHEN {sides} THEN sha256({left} || folded || {right}) ELSE folded END AS folded
+  FROM {before} d JOIN {name}{k} l ON d.{'src' if name == 'own' else 'one'} = l.src AND {place} // {16 ** k} = l.pos)""")
+            before = f"{name}p{k}"
+        return ",\n".join(out)
+
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH {CRC_TABLE},
+docs AS (
+  SELECT doc_id, source IS NULL AS none, coalesce('s' || source, '') AS src, {hashed('text')} AS h,
+         CASE WHEN {_crc32('doc_id::VARCHAR')} % 5 = 0 THEN {hashed(low)} ELSE {hashed('text')} END AS changed
+  FROM documents, crc),
+own0 AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY doc_id NULLS FIRST, h) - 1 AS pos FROM docs),
+{tree('own')},
+top0 AS (SELECT '' AS src, src AS name, h, row_number() OVER (ORDER BY src) - 1 AS pos FROM own{levels}),
+{tree('top')},
+start AS (SELECT doc_id, '' AS one, d.src, d.h AS leaf, d.pos, t.h AS subroot, t.pos AS tat, '' AS proof, changed AS folded FROM own0 d JOIN top0 t ON d.src = t.name),
+{steps('own', 'd.pos', 'start')},
+{steps('top', 'd.tat', f'ownp{levels}')}
+SELECT doc_id, leaf, subroot, l.h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = l.h AS verified
+FROM topp{levels}, top{levels} l
+"""
+
+
 OP2_SQL = r"""
 WITH sized AS (
   SELECT doc_id, coalesce(source, '') AS src, source IS NULL AS none,
@@ -206,8 +263,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_parts": op8_chat_parts,
         "op9_license_rules": op9_license_rules,
         "op10_warc_bundles": op10_warc_bundles,
+        "op12_merkle_manifest": op12_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_winnow_decontaminate": OP1_SQL, "op2_mix_sources": OP2_SQL, "op6_vector_tiles": OP6_SQL, "op8_chat_parts": OP8_SQL, "op10_warc_bundles": OP10_SQL}
+    return {"op1_winnow_decontaminate": OP1_SQL, "op2_mix_sources": OP2_SQL, "op6_vector_tiles": OP6_SQL, "op8_chat_parts": OP8_SQL, "op10_warc_bundles": OP10_SQL, "op12_merkle_manifest": _op12_sql()}
