@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, merkle, mixing, quality, sharding, simhash, suffixes, vectors, warc, winnow
+from . import chat, licenses, merkle, mixing, prefixtrie, quality, sharding, simhash, suffixes, vectors, warc, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +85,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(_table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_trie(prefixtrie.rebuild(prefixtrie.sequences(_table(spark, sf_dir, "conversations"))))
+
+
 #: SQL of crc32 over decimal text, by the usual byte table
 CRC_TABLE = "crc AS (SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, i: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY b) AS t FROM range(256) r(b))"
 
@@ -138,6 +142,35 @@ FROM topp{levels}, top{levels} l
 """
 
 
+OP13_SQL = rf"""
+WITH {CRC_TABLE},
+t AS (
+  SELECT conv_id, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS u,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS words,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), u) AS n
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, {_crc32('conv_id::VARCHAR')} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t), crc),
+b AS (
+  SELECT c.conv_id, n, u, words FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND n <= h
+  UNION ALL SELECT c.conv_id, n, u, words FROM c JOIN t ON t.conv_id = c.conv_id AND n > h),
+r AS (SELECT conv_id, words, u, row_number() OVER (PARTITION BY conv_id ORDER BY n) AS d FROM b),
+p AS (
+  SELECT conv_id, d, words, sha256(string_agg(u, '') OVER (PARTITION BY conv_id ORDER BY d)) AS prefix FROM r
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+node AS (SELECT prefix, d, min(conv_id) AS conv_id, count(*) AS n_convs, min(words) AS words FROM p GROUP BY prefix, d),
+tied AS (SELECT node.*, up.prefix AS above FROM node LEFT JOIN p up ON up.conv_id = node.conv_id AND up.d = node.d - 1),
+kids AS (SELECT above AS prefix, count(*) AS n FROM tied WHERE above IS NOT NULL GROUP BY above),
+sub AS (
+  SELECT a.prefix, sum((node.n_convs - 1) * node.words) AS saved, count(*) FILTER (kids.n IS NULL) AS leaves
+  FROM node LEFT JOIN kids ON kids.prefix = node.prefix JOIN p a ON a.conv_id = node.conv_id AND a.d <= node.d GROUP BY a.prefix),
+stop AS (SELECT prefix, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS h FROM (SELECT conv_id, arg_max(prefix, d) AS prefix FROM p GROUP BY conv_id) GROUP BY prefix)
+SELECT tied.conv_id, tied.d::BIGINT AS depth, up.conv_id AS parent_conv_id, tied.n_convs::BIGINT AS n_convs, coalesce(kids.n, 0)::BIGINT AS n_children,
+       leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, coalesce(stop.h, sha256('')) AS ends_sha256
+FROM tied LEFT JOIN node up ON up.prefix = tied.above LEFT JOIN kids ON kids.prefix = tied.prefix
+JOIN sub ON sub.prefix = tied.prefix LEFT JOIN stop ON stop.prefix = tied.prefix
+"""
+
+
 OP2_SQL = r"""
 WITH sized AS (
   SELECT doc_id, coalesce(source, '') AS src, source IS NULL AS none,
@@ -264,8 +297,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_license_rules": op9_license_rules,
         "op10_warc_bundles": op10_warc_bundles,
         "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_winnow_decontaminate": OP1_SQL, "op2_mix_sources": OP2_SQL, "op6_vector_tiles": OP6_SQL, "op8_chat_parts": OP8_SQL, "op10_warc_bundles": OP10_SQL, "op12_merkle_manifest": _op12_sql()}
+    return {"op1_winnow_decontaminate": OP1_SQL, "op2_mix_sources": OP2_SQL, "op6_vector_tiles": OP6_SQL, "op8_chat_parts": OP8_SQL, "op10_warc_bundles": OP10_SQL, "op12_merkle_manifest": _op12_sql(), "op13_prefix_trie": OP13_SQL}
