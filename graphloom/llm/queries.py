@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, merkle, mixing, prefixtrie, quality, sharding, simhash, suffixes, vectors, warc, winnow
+from . import chat, licenses, merkle, mixing, prefixtrie, quality, sharding, simhash, suffixes, toxicity, vectors, warc, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,13 @@ def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op11_toxic_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+    misspelt = F.size(F.filter("hits", lambda h: h["distance"] > 0))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", F.size("hits").cast("long").alias("n_hits"), misspelt.cast("long").alias("n_misspelt"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(_table(spark, sf_dir, "documents"))
 
@@ -296,6 +303,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_parts": op8_chat_parts,
         "op9_license_rules": op9_license_rules,
         "op10_warc_bundles": op10_warc_bundles,
+        "op11_toxic_terms": op11_toxic_terms,
         "op12_merkle_manifest": op12_merkle_manifest,
         "op13_prefix_trie": op13_prefix_trie,
     }
