@@ -40,8 +40,14 @@ def axes(sample: np.ndarray) -> np.ndarray:
     return vec[:, ::-1].copy()
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows by a power of two each, which is exact, so that no product overflows or vanishes."""
+    _, power = np.frexp(np.abs(x).max(axis=1))
+    return np.ldexp(x, -power[:, None])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(axis=1, keepdims=True)
+    x = scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -52,7 +58,7 @@ class Side:
         z = unit(x)
         z = z if rotation is None else z @ rotation
         self.order = np.argsort(z[:, 0], kind="stable")
-        self.x, self.z = x[self.order], z[self.order]
+        self.x, self.z = scaled(x[self.order]), z[self.order]
         self.norm = np.sqrt(np.einsum("nd,nd->n", self.x, self.x))
         tail = np.sqrt(np.maximum(np.cumsum((self.z * self.z)[:, ::-1], axis=1)[:, ::-1], 0))
         self.suffix = np.concatenate([tail, np.zeros((len(x), 1))], axis=1)
@@ -121,12 +127,65 @@ def link_blocks(x: np.ndarray, split: int, rotation: np.ndarray | None, n: np.nd
     return links, root
 
 
+NAME = ["label", "dim"]
+
+
+def deal(classes: DataFrame, turn, block: int) -> tuple[DataFrame, DataFrame]:
+    """``classes`` with the cell that each lies in, and the blocks that cells make up; both written.
+
+    Cells have equal width on the first axis; one of more than a quarter of a block is dealt
+    by hash into as many pieces as its own count asks for.  A block is a run of whole cells
+    that begins within ``block`` rows, so it has about 1.25 times as many at most.
+    """
+
+    def project(batches):
+        for b in batches:
+            v = b.column("v")
+            size = np.diff(np.frombuffer(v.buffers()[1], np.int32)[v.offset : v.offset + len(v) + 1])
+            flat, at = v.flatten().to_numpy().astype(np.float64), np.concatenate([[0], np.cumsum(size)])
+            first = np.zeros(len(v))
+            for dim in np.unique(size).tolist():
+                rows = np.flatnonzero(size == dim)
+                z, r = unit(flat[at[rows][:, None] + np.arange(dim)]), turn.value.get(dim)
+                first[rows] = z[:, 0] if r is None else z @ r[:, 0]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(first, pa.float64())], [*b.schema.names, "z0"])
+
+    width = 2.0 / (1 << spread_bits(classes.count(), 12))
+    kind = classes.schema["v"].dataType.simpleString()
+    turned = classes.select("class", *NAME, "n", "v").mapInArrow(project, f"class bigint, label string, dim int, n bigint, v {kind}, z0 double").withColumn("base", F.floor((F.col("z0") + 1) / width))
+    most = max(block // 4, 1)
+    crowded = materialize(turned.groupBy(*NAME, "base").agg(F.ceil(F.count(F.lit(1)) / most).alias("pieces")).where("pieces > 1"), "vectors-crowded")
+    turned = turned.join(crowded, [*NAME, "base"], "left").withColumn("piece", F.pmod(F.xxhash64("class"), F.coalesce("pieces", F.lit(1))).cast("long"))
+    turned = materialize(turned.select("class", *NAME, "n", "v", "z0", "base", "piece"), "vectors-turned")
+    cells = turned.groupBy(*NAME, "base", "piece").agg(F.count(F.lit(1)).alias("rows"), F.min("z0").alias("lo"), F.max("z0").alias("hi"))
+    before = F.sum("rows").over(Window.partitionBy(*NAME).orderBy("base", "piece").rowsBetween(Window.unboundedPreceding, -1))
+    return turned, materialize(cells.withColumn("block", F.floor(F.coalesce(before, F.lit(0)) / block)), "vectors-cells")
+
+
+def meetings(cells: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of blocks of a label, the same or a later one, whose ranges on the first axis come within reach.
+
+    Blocks meet by strips of that axis, a fraction of the reach wide: one is listed in every
+    strip where a partner may begin, the other in that where it begins.
+    """
+    reach = float(np.sqrt(2 - 2 * threshold)) + 1e-6
+    strip = max(reach / 8, 1e-3)
+    blocks = materialize(cells.groupBy(*NAME, "block").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "vectors-blocks")
+    at = lambda c: F.floor(c / strip)
+    # a later block may begin before this one only inside a cell that both have a piece of
+    ahead = blocks.select(*NAME, F.col("block").alias("a"), "hi", F.explode(F.sequence(at(F.col("lo")), at(F.col("hi") + reach))).alias("strip"))
+    begin = cells.groupBy(*NAME, "block").agg(F.min("lo").alias("lo"))
+    twins = cells.select(*NAME, "base", F.col("block").alias("a")).distinct().join(cells.select(*NAME, "base", F.col("block").alias("b")).distinct(), [*NAME, "base"]).where("a <= b").select(*NAME, "a", "b")
+    met = ahead.join(begin.select(*NAME, F.col("block").alias("b"), "lo", at(F.col("lo")).alias("strip")), [*NAME, "strip"]).where((F.col("a") <= F.col("b")) & (F.col("lo") - F.col("hi") <= reach)).select(*NAME, "a", "b")
+    return materialize(met.unionByName(twins).distinct(), "vectors-met")
+
+
 def near_vectors(vectors: DataFrame, *, threshold: float = THRESHOLD, block: int = BLOCK, tile: int = TILE, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Vectors are compared within equal, non-null labels and equal dimension.  Null, empty
-    and zero vectors and those with null or non-finite components link with nothing.
-    n_links counts other rows linked directly; component_id is the smallest id reachable;
+    and zero vectors and those with null or non-finite components link with nothing.  A cosine does not depend on a
+    vector's length, however large or small its components are.  n_links counts other rows linked directly; component_id is the smallest id reachable;
     kept marks rows whose id that is (also a lone null id).  Repeated rows link with each
     other, and so do rows that share an id.  An empty table gives an empty result; other
     columns are ignored, whatever their names.  ``components`` raises beyond 60 rounds, some
@@ -148,33 +207,11 @@ def near_vectors(vectors: DataFrame, *, threshold: float = THRESHOLD, block: int
         sample.setdefault(r["dim"], []).append(r["v"])
     turn = spark.sparkContext.broadcast({dim: axes(unit(np.array(x))) for dim, x in sample.items()})
 
-    def project(batches):
-        for b in batches:
-            first = []
-            for v in b.column("v").to_pylist():
-                z, r = unit(np.array([v])), turn.value.get(len(v))
-                first.append(float((z if r is None else z @ r[:, :1])[0, 0]))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(first, pa.float64())], [*b.schema.names, "z0"])
-
-    turned = classes.select("class", "label", "dim", "n", "v").mapInArrow(project, f"class bigint, label string, dim int, n bigint, v array<{small}>, z0 double")
-    # cells of equal width on the first axis, by hash inside (vectors may crowd in one cell),
-    # and blocks of about equal rows made of whole cells
-    width = 2.0 / (1 << spread_bits(classes.count(), 12))
-    cell = F.floor((F.col("z0") + 1) / width) * 64 + F.pmod(F.xxhash64("class"), F.lit(64))
-    turned = materialize(turned.withColumn("cell", cell), "vectors-turned")
-    name = ["label", "dim"]
-    cells = turned.groupBy(*name, "cell").agg(F.count(F.lit(1)).alias("rows"), F.min("z0").alias("lo"), F.max("z0").alias("hi"))
-    before = F.sum("rows").over(Window.partitionBy(*name).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
-    cells = materialize(cells.withColumn("block", F.floor(F.coalesce(before, F.lit(0)) / block)), "vectors-cells")
-    blocks = materialize(cells.groupBy(*name, "block").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "vectors-blocks")
-    last = blocks.groupBy(*name).agg(F.max("block").alias("last"))
-    reach = float(np.sqrt(2 - 2 * threshold)) + 1e-6
-    # one row per block and later block, spread by the later one, then the range condition
-    ahead = blocks.join(last, name).select(*name, F.col("block").alias("a"), "hi", F.explode(F.sequence("block", "last")).alias("b"))
-    met = ahead.join(blocks.select(*name, F.col("block").alias("b"), "lo"), [*name, "b"]).where(F.col("lo") - F.col("hi") <= reach)
-    met = materialize(met.select(*name, "a", "b"), "vectors-met")
+    name = NAME
+    turned, cells = deal(classes, turn, block)
+    met = meetings(cells, threshold)
     roles = met.select(*name, "a", "b", F.col("a").alias("block"), F.lit(0).alias("side")).unionByName(met.where("a <> b").select(*name, "a", "b", F.col("b").alias("block"), F.lit(1).alias("side")))
-    sent = turned.join(cells.select(*name, "cell", "block"), [*name, "cell"]).join(roles, [*name, "block"]).select(*name, "a", "b", "side", "class", "n", "v")
+    sent = turned.join(cells.select(*name, "base", "piece", "block"), [*name, "base", "piece"]).join(roles, [*name, "block"]).select(*name, "a", "b", "side", "class", "n", "v")
 
     def linked(group: pa.Table) -> pa.Table:
         group = group.sort_by("side")

@@ -189,6 +189,27 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_any_length(spark):
+    v = [1.0, 2.0, 3.0]
+    near = [1.0, 2.0, 3.001]
+    rows = [(0, [x * 1e160 for x in v]), (3, [x * 1e160 for x in near]), (4, [x * 1e160 for x in near]), (9, v), (11, [x * 1e-300 for x in v]), (12, [5e-324, 0.0, 0.0]), (13, [1e308, 0.0, 1e-300])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_vectors(spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {0: (4, 0), 3: (4, 0), 4: (4, 0), 9: (4, 0), 11: (4, 0), 12: (1, 12), 13: (1, 12)}
+
+
+def test_crowded_cells_are_dealt_by_their_count(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(1, 6)) + rng.normal(size=(9000, 6)) * 1e-3, rng.normal(size=(2000, 6))])
+    df = spark.createDataFrame([(i, "a", 6, 1, v.tolist()) for i, v in enumerate(x)], "class long, label string, dim int, n long, v array<double>")
+    turned, cells = vectors.deal(df, spark.sparkContext.broadcast({6: vectors.axes(vectors.unit(x))}), 200)
+    rows = {r["block"]: r["n"] for r in turned.join(cells, ["label", "dim", "base", "piece"]).groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert sum(rows.values()) == 11_000 and max(rows.values()) <= 300 and len(rows) >= 40
+    span = {r["block"]: (r["lo"], r["hi"]) for r in cells.groupBy("block").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()}
+    met = {(r["a"], r["b"]) for r in vectors.meetings(cells, 0.98).collect()}
+    gap = (2 - 2 * 0.98) ** 0.5
+    assert met >= {(a, b) for a in span for b in span if a <= b and span[b][0] - span[a][1] <= gap and span[a][0] - span[b][1] <= gap}
+
+
 def test_vectors_of_floats_and_long_ones(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(30, 5000)).astype(np.float32)
