@@ -38,6 +38,8 @@ SEGMENTS = 3
 #: table entries of one value beyond which it is indexed again, and then dealt over a grid
 HOT = 4096
 CANDIDATES = 500_000
+#: table entries and probes of a task, which holds them all
+PART_ROWS = 500_000
 
 
 def segments(distance: int, count: int) -> list[tuple[int, int, int]]:
@@ -76,8 +78,8 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return _vote(np.fromiter((h(joined[s:e], SEED) for s, e in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)), np.uint64, n - shingle + 1))
 
 
-def rolled(data: np.ndarray, offsets: np.ndarray, shingles: tuple[int, ...]) -> np.ndarray:
-    """SimHash of rolling hashes of the rows' shingles, a line for each shingle length; 0 without words.
+def rolled(data: np.ndarray, offsets: np.ndarray, shingles: tuple[tuple[int, int], ...]) -> np.ndarray:
+    """SimHash of rolling hashes of the rows' shingles, a line for each (shingle length, seed); 0 without words.
 
     Vectorised over the words of a slice, for links that need no given hash.
     """
@@ -86,44 +88,47 @@ def rolled(data: np.ndarray, offsets: np.ndarray, shingles: tuple[int, ...]) ->
     h = textnp.span_hash(*textnp.prefix_hash(mapped), s, e) if len(s) else np.zeros(0, np.uint64)
     for r, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
         if b > a:
-            out[:, r] = [_vote(textnp.grams(h[a:b], min(k, b - a))) for k in shingles]
+            made = {k: textnp.grams(h[a:b], min(k, b - a)) for k, _ in shingles}
+            out[:, r] = [_vote(textnp.mix(made[k] + np.uint64(seed * textnp.BASE & textnp.MASK)) if seed else made[k]) for k, seed in shingles]
     return out
 
 
-def fingerprints(docs: DataFrame, *, shingle: int = SHINGLE, check: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, *, shingle: int = SHINGLE, rolling: dict[str, tuple[int, int]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, key) per row; key is a hash of id and text for joining back.
 
-    With ``check``, a second shingle length, rows have its fingerprint, too, and both are of
-    rolling hashes.
+    With ``rolling``, a name for each (shingle length, seed), rows have those fingerprints
+    instead, of rolling hashes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if check is None:
+            if rolling is None:
                 fps = [fingerprint(t.as_buffer().to_pybytes(), shingle) if t.is_valid else 0 for t in b.column("t").cast(pa.binary())]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64()), b.column("key")], ["doc_id", "fp", "key"])
                 continue
             for rows, data, offsets in text_slices(b, "t"):
-                two = rolled(data, offsets, (shingle, check))
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(two[0]), pa.array(two[1]), rows.column("key")], ["doc_id", "fp", "check", "key"])
+                made = rolled(data, offsets, tuple(rolling.values()))
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *map(pa.array, made), rows.column("key")], ["doc_id", *rolling, "key"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    made = "fp bigint" if check is None else "fp bigint, check bigint"
+    made = ", ".join(f"{c} bigint" for c in rolling or ["fp"])
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"), F.xxhash64(id_col, text_col).alias("key")).mapInArrow(run, f"doc_id {kind}, {made}, key bigint")
 
 
 def _forest(batches: Iterator[pa.RecordBatch], distance: int, check: int | None) -> Iterator[pa.RecordBatch]:
     """Verified links among one partition's table entries and probes, as a spanning forest.
 
-    Rows have key, fp and probe, and with ``check`` also a node's number and second fingerprint.
+    Rows have fp, and key with the mark of a probe as its lowest bit; with ``check`` also a
+    node's number and second fingerprint.
     """
-    columns = ["key", "fp", *(["node", "check"] if check is not None else []), "probe"]
+    columns = ["key", "fp", *(["node", "check"] if check is not None else [])]
     parts = [[b.column(c).to_numpy(zero_copy_only=False) for c in columns] for b in batches]
     if not parts:
         return
     rows = dict(zip(columns, (np.concatenate(x) for x in zip(*parts, strict=True)), strict=True))
     del parts
-    probe = rows.pop("probe")
+    probe = (rows["key"] & 1).astype(bool)
+    rows["key"] >>= 1
     table, probes = ({c: x[m] for c, x in rows.items()} for m in (~probe, probe))
     order = np.argsort(table["key"], kind="stable")
     table = {c: x[order] for c, x in table.items()}
@@ -203,27 +208,20 @@ def link_forest(distinct: DataFrame, distance: int = DISTANCE, count: int = SEGM
         cell = F.xxhash64("key", F.when(F.col("probe"), F.col("other")).otherwise(F.col("own")), F.when(F.col("probe"), F.col("own")).otherwise(F.col("other")))
         both = known.where("parts is null").select(*held, "key", "probe").unionByName(grid.select(*held, cell.alias("key"), "probe"))
     rows = (len(tables) + len(balls)) * distinct.count()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // 1_000_000))
-    return both.repartition(parts, "key").mapInArrow(lambda batches: _forest(batches, distance, check), "a bigint, b bigint")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // PART_ROWS))
+    both = both.select(*held, F.shiftleft("key", 1).bitwiseOR(F.col("probe").cast("long")).alias("key"))
+    return both.repartition(parts, F.shiftright("key", 1)).mapInArrow(lambda batches: _forest(batches, distance, check), "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, distance: int = DISTANCE, segments: int = SEGMENTS, check: tuple[int, int] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, fp, key, fingerprint, component_id, first_key.
+def name_groups(prints: DataFrame, code: list[str], links) -> DataFrame:
+    """``prints`` (doc_id, code, key) with component_id and first_key: smallest id, and its row's key, of all that links reach.
 
-    With ``check`` (shingle, distance) links also need fingerprints of that shingle within
-    that distance.  component_id is the smallest id reachable over links (a null id only
-    where a group has no other); first_key is the key of that document's row.  Null, empty
-    and blank texts have fingerprint 0 and link like any other.  A text of any length is
-    hashed whole, in one task with some 100 bytes a word.  Repeated rows are kept, and ties
-    in the id go to the smaller key.  An empty table gives an empty result; other columns
-    are ignored, whatever their names.  ``components`` raises beyond 60 rounds, some 2**30
-    links in a row.
+    Rows of equal code are one class; ``links`` makes (a, b) edges of classes, which have a
+    number ``node`` (the fingerprint itself where that is the whole code).
     """
-    code = ["fp"] if check is None else ["fp", "check"]
-    prints = materialize(fingerprints(docs, shingle=shingle, check=None if check is None else check[0], id_col=id_col, text_col=text_col), "simhash-prints")
     classes = prints.groupBy(*code).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"))
-    classes = materialize(classes.withColumn("node", F.col("fp") if check is None else F.monotonically_increasing_id()), "simhash-classes")
-    joined = components(link_forest(classes, distance, segments, None if check is None else check[1]))
+    classes = materialize(classes.withColumn("node", F.col("fp") if code == ["fp"] else F.monotonically_increasing_id()), "simhash-classes")
+    joined = components(links(classes))
     # only linked fingerprints meet their component, and both sides are written before they
     # do: a group of any size is then a skewed join, which is split
     linked = materialize(joined.join(classes, "node").select("node", "component", "first"), "simhash-linked")
@@ -231,21 +229,54 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, distance: int =
     named = linked.join(least, "component").select("node", "least")
     of = classes.join(named, "node", "left").withColumn("least", F.coalesce("least", "first"))
     of = materialize(of.select(*code, F.col("least.doc_id").alias("component_id"), F.col("least.key").alias("first_key")), "simhash-components")
-    return prints.join(of, code).select("doc_id", "fp", "key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "first_key")
+    return prints.join(of, code)
+
+
+def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, distance: int = DISTANCE, segments: int = SEGMENTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, fp, key, fingerprint, component_id, first_key.
+
+    component_id is the smallest id reachable over links (a null id only where a group has
+    no other); first_key is the key of that document's row.  Null, empty and blank texts have
+    fingerprint 0 and link like any other.  A text of any length is hashed whole, in one task
+    with some 100 bytes a word.  Repeated rows are kept, and ties in the id go to the smaller
+    key.  An empty table gives an empty result; other columns are ignored, whatever their
+    names.  ``components`` raises beyond 60 rounds, some 2**30 links in a row.
+    """
+    prints = materialize(fingerprints(docs, shingle=shingle, id_col=id_col, text_col=text_col), "simhash-prints")
+    named = name_groups(prints, ["fp"], lambda classes: link_forest(classes, distance, segments))
+    return named.select("doc_id", "fp", "key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "first_key")
+
+
+#: fingerprints of near_dedup: two of two-word shingles, of which either finds candidates, and one of five-word shingles
+SIMILAR = {"one": (2, 0), "two": (2, 1), "check": (5, 0)}
+
+
+def similar_groups(docs: DataFrame, *, distance: int = 7, segments: int = 4, check: int = 15, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, key, component_id, first_key of each row, by links of a similarity of about 0.8 in five-word shingles.
+
+    Two documents link if either of their two-word fingerprints lies within ``distance`` bits
+    and their five-word ones within ``check``.  Shingle sets of Jaccard 0.8 have a cosine of
+    0.89, at which 9.7 of 64 bits differ on average, with a deviation of 2.9; the same edits
+    leave two-word shingles 6 bits apart.  Nine in ten such pairs are within both limits,
+    nearly all that are more alike, and half of those at 0.7.
+    """
+    prints = materialize(fingerprints(docs, rolling=SIMILAR, id_col=id_col, text_col=text_col), "simhash-prints")
+
+    def links(classes: DataFrame) -> DataFrame:
+        found = [materialize(link_forest(classes.select(F.col(c).alias("fp"), "node", "check"), distance, segments, check), "simhash-links") for c in ("one", "two")]
+        return found[0].unionByName(found[1])
 
+    return name_groups(prints, list(SIMILAR), links).select("doc_id", "key", "component_id", "first_key")
 
-def keep_one(docs: DataFrame, *, shingle: int = 2, distance: int = 7, segments: int = 4, check: tuple[int, int] | None = (5, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: one document, that of the smallest id, of each group.
 
-    Links need two-word fingerprints within 7 bits, which finds what may be alike, and
-    five-word fingerprints within 10, what a similarity of 0.8 comes to: shingle sets of
-    Jaccard 0.8 have a cosine of 0.89, and at that angle 9.7 of 64 bits differ on average.
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: one document, that of the smallest id, of each of ``similar_groups``.
 
     A null id stays only where a group has no other; of rows equal in id and text one stays,
     whichever.  Null, empty and blank texts are one group.  All columns are returned; names
     with two leading underscores are the operator's.  An empty table stays empty.
     """
-    groups = near_duplicates(docs, shingle=shingle, distance=distance, segments=segments, check=check, id_col=id_col, text_col=text_col)
+    groups = similar_groups(docs, id_col=id_col, text_col=text_col)
     stay = groups.select(F.col("first_key").alias("__key"), F.xxhash64(F.lit("id"), "component_id").alias("__id")).distinct()
     # join and window share their keys, so whole texts are exchanged once
     keyed = docs.withColumn("__key", F.xxhash64(id_col, text_col)).withColumn("__id", F.xxhash64(F.lit("id"), id_col))

@@ -117,7 +117,7 @@ def brute_groups(rows):
     return sorted((str(i), f"{f:016x}", str(least.get(root(f)))) for i, f in rows)
 
 
-def rolled_fp(text, k):
+def rolled_fp(text, k, seed=0):
     """SimHash of one text, shingle by shingle, from the hashes of its words."""
     ws = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").encode().split()
     n, mask = min(k, len(ws)), (1 << 64) - 1
@@ -131,17 +131,17 @@ def rolled_fp(text, k):
         g = 0
         for h in words_of[i : i + n]:
             g = g * textnp.GRAM + h
-        hashes.append(mixed(g))
+        hashes.append(mixed(mixed(g) + seed * textnp.BASE) if seed else mixed(g))
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
 def brute_kept(rows):
-    """Ids that stay of (id, text): the smallest of each group of two-word fingerprints within 7 bits and five-word ones within 10."""
+    """Ids that stay of (id, text): the smallest of each group of either two-word fingerprint within 7 bits and five-word ones within 15."""
     ids = {}
     for i, t in rows:
         ids.setdefault(t or "", []).append((i is None, i or 0, i))
     texts = sorted(ids)
-    two, five, up = [rolled_fp(t, 2) for t in texts], [rolled_fp(t, 5) for t in texts], list(range(len(texts)))
+    one, two, five, up = [rolled_fp(t, 2) for t in texts], [rolled_fp(t, 2, 1) for t in texts], [rolled_fp(t, 5) for t in texts], list(range(len(texts)))
 
     def root(x):
         while up[x] != x:
@@ -150,7 +150,7 @@ def brute_kept(rows):
 
     for a in range(len(texts)):
         for b in range(a):
-            if (two[a] ^ two[b]).bit_count() <= 7 and (five[a] ^ five[b]).bit_count() <= 10:
+            if min((one[a] ^ one[b]).bit_count(), (two[a] ^ two[b]).bit_count()) <= 7 and (five[a] ^ five[b]).bit_count() <= 15:
                 up[root(a)] = root(b)
     least = {}
     for n, t in enumerate(texts):
@@ -237,6 +237,37 @@ def test_keep_one_keeps_one_row_of_each_group(spark):
     assert sorted(map(str, kept.select("doc_id", "text").collect())) == sorted(map(str, spark.createDataFrame([(1, docs[1][1]), (None, docs[3][1]), (9, None)], "doc_id long, text string").collect()))
 
 
+def jaccard(a, b):
+    """Similarity of the sets of five-word shingles."""
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def test_recall_of_near_copies_by_exact_similarity(spark):
+    """Documents of the test tables and copies with some words changed, added or left out."""
+    rng = random.Random(4)
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 400").orderBy("doc_id").limit(300).collect()]
+    docs, pairs = [(i, t) for i, t in enumerate(texts)], []
+    for i, t in enumerate(texts):
+        for _ in range(3):
+            ws = t.split()[:600]
+            for _ in range(rng.randrange(1, max(2, len(ws) // 25))):
+                k = rng.randrange(len(ws))
+                ws[k : k + rng.choice([0, 1, 1, 1])] = rng.choice([[], [rng.choice(ws)], ["new" + str(rng.randrange(99))]])
+            docs += [(len(docs), " ".join(t.split()[:600])), (len(docs) + 1, " ".join(ws))]
+            pairs.append((docs[-2], docs[-1], jaccard(docs[-2][1], docs[-1][1])))
+    group = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    alike = [group[a[0]] == group[b[0]] for a, b, j in pairs if j >= 0.8]
+    edge = [group[a[0]] == group[b[0]] for a, b, j in pairs if 0.8 <= j < 0.85]
+    far = [group[a[0]] == group[b[0]] for (a, b, j) in pairs if j < 0.4]
+    # different documents that are not alike stay apart
+    lone = [(a, b) for a, b in zip(docs[:300:2], docs[1:300:2], strict=True) if jaccard(a[1], b[1]) < 0.3]
+    print(len(alike), sum(alike) / len(alike), len(edge), sum(edge) / len(edge), len(far), len(lone))
+    assert len(alike) > 300 and sum(alike) >= 0.95 * len(alike)
+    assert len(edge) > 30 and sum(edge) >= 0.85 * len(edge)
+    assert sum(group[a[0]] == group[b[0]] for a, b in lone) <= 0.01 * len(lone)
+
+
 def test_classifier_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     rows = Q.op5_quality_trees(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
