@@ -18,6 +18,8 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 import zstandard
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import new_path
+from .common import materialize, new_path
 
 #: fixed values of the Zstandard seekable format
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -148,7 +150,9 @@ def write(pages: DataFrame, path: str, *, min_bytes: int = 0, indexed: bool = Tr
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", F.sha1(body).alias("digest"))
     most = pages.select(F.sha1(body).alias("digest"), F.col("page_id").cast("long").alias("page_id")).groupBy("digest").agg(F.max("page_id").alias("most"))
-    joined = rows.join(most, "digest").select("page_id", "url", "html", "most", (F.octet_length(body) < min_bytes).alias("alone"))
+    # the largest ids are written before the join, so that the pages of one payload, all empty
+    # ones for instance, are a skewed partition that adaptive execution splits
+    joined = rows.join(materialize(most, "warc-most"), "digest").select("page_id", "url", "html", "most", (F.octet_length(body) < min_bytes).alias("alone"))
     joined.mapInArrow(_bundles, ARCHIVE).write.option("compression", "uncompressed").option("parquet.block.size", 32 << 20).parquet(f"{path}/bundles")
     if indexed:
         listed = pages.sparkSession.read.schema(ARCHIVE).parquet(f"{path}/bundles").select("bundle", F.explode("records").alias("r")).select("r.record_id", "bundle", "r.frame", "r.offset")
@@ -158,8 +162,10 @@ def write(pages: DataFrame, path: str, *, min_bytes: int = 0, indexed: bool = Tr
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Reads all bundles back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    Every stored payload is checked against its length and digest.  An empty archive has no
-    rows; records that repeat have a row each; a null page id comes back null.
+    Each record is read at the place that the index has for its identifier, and must have
+    that identifier; a frame is unpacked once for all its records.  Every stored payload is checked against its length and digest.  An empty archive has no
+    rows; records that repeat have a row each; a null page id comes back null.  A payload of
+    any length is held whole by its task, with its frame.
     """
 
     def number(uri: str | None) -> int | None:
@@ -169,18 +175,24 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for b in batches:
-            for content in b.column("content"):
-                raw, got = content.as_py(), []
-                for start, size, length in read_seek_table(raw):
-                    for head, http, payload in parse(unpack.decompress(raw[start : start + size], max_output_size=length)):
+            for content, records in zip(b.column("content"), b.column("records").to_pylist(), strict=True):
+                raw = content.as_py()
+                got, frames = [], read_seek_table(raw)
+                for frame, listed in groupby(records, key=itemgetter("frame")):
+                    start, size, length = frames[frame]
+                    data = unpack.decompress(raw[start : start + size], max_output_size=length)
+                    for place in listed:
+                        head, http, payload = next(parse(data, place["offset"], one=True))
                         digest, n, kind = head["WARC-Payload-Digest"].removeprefix("sha1:"), int(http["Content-Length"]), head["WARC-Type"]
+                        if head["WARC-Record-ID"] != f"<{place['record_id']}>":
+                            raise ValueError(f"{place['record_id']} is not where the index has it")
                         if kind == "response" and (len(payload) != n or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
                             raise ValueError(f"damaged record {head['WARC-Record-ID']}")
                         got.append((number(head["WARC-Record-ID"]), n, digest, kind, number(head.get("WARC-Refers-To"))))
                 cols = list(zip(*got, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    archive = spark.read.schema(ARCHIVE).parquet(f"{path}/bundles").select("content")
+    archive = spark.read.schema(ARCHIVE).parquet(f"{path}/bundles").select("content", "records")
     return archive.mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
 
@@ -204,7 +216,7 @@ def fetch(spark: SparkSession, path: str, page_ids: list[int]) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, *, min_bytes: int = 0) -> DataFrame:
-    """Writes the archive to the shared folder and reads it back."""
+    """Writes the archive and its index to the shared folder and reads all records back by their places."""
     path = new_path(pages.sparkSession, "warc")
-    write(pages, path, min_bytes=min_bytes, indexed=False)
+    write(pages, path, min_bytes=min_bytes)
     return read(pages.sparkSession, path)
