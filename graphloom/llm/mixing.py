@@ -80,18 +80,8 @@ def schedule(sources: DataFrame, slots: int) -> DataFrame:
     return spread_rank(drawn, ["__src", "__none"], "__b", [F.col("slot")], "rank").select("slot", "__src", "__none", "rank")
 
 
-def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, block: int | None = None, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix as pieces: one row per (document, slot) with the words it gives there.
-
-    Columns: doc_id, size, source_size, target, __key (struct, unique per input row), slot,
-    words.  Every document has a row; one that gives nothing has slot null and words 0.
-    ``block`` is the words of a slot; by default all words over ``SLOTS``, from 1 to ``BLOCK``.
-    A null or blank text has size 0; a text of any length is one document that its blocks
-    cut.  A null source is a source of its own, sorted last.  Rows with null or repeated ids
-    and rows equal in all are separate documents, in any order among themselves.  An empty
-    table gives an empty result.  Sources of size 0 have target 0.  Other columns are
-    ignored, whatever their names.
-    """
+def _line(docs: DataFrame, weights: tuple[int, ...], cap: int, block: int | None, seed: int, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame, int]:
+    """Every row at its place on its source's shuffled line, with the place where the source's drawn blocks end; the drawn slots; words of a slot."""
     sized = docs.select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("__src"),
@@ -110,6 +100,22 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3,
     digits = max(1, spread_bits(sized.count()) // 4)
     sized = sized.withColumn("__b", F.substring("__h", 1, digits))
     line = spread_rank(sized, ["__src", "__none"], "__b", [F.col("__h"), F.col("doc_id"), F.col("size"), F.col("__ra"), F.col("__rb")], "__r", __at="size").join(sources, ["__src", "__none"])
+    return line, plan, block
+
+
+def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, block: int | None = None, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix as pieces: one row per (document, slot) with the words it gives there.
+
+    Columns: doc_id, size, source_size, target, __key (struct, unique per input row), slot,
+    words.  Every document has a row; one that gives nothing has slot null and words 0.
+    ``block`` is the words of a slot; by default all words over ``SLOTS``, from 1 to ``BLOCK``.
+    A null or blank text has size 0; a text of any length is one document that its blocks
+    cut.  A null source is a source of its own, sorted last.  Rows with null or repeated ids
+    and rows equal in all are separate documents, in any order among themselves.  An empty
+    table gives an empty result.  Sources of size 0 have target 0.  Other columns are
+    ignored, whatever their names.
+    """
+    line, plan, block = _line(docs, weights, cap, block, seed, id_col, text_col, source_col)
     # places on the repeated line as far as its blocks are drawn, cut at block borders
     some = (F.col("size") > 0) & (F.col("__at") < F.col("__end"))
     turns = line.withColumn("__turn", F.explode_outer(F.when(some, F.sequence(F.lit(0), F.expr("(__end - __at - 1) div source_size").cast("int")))))
@@ -121,11 +127,14 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3,
     return out.select("doc_id", "size", "source_size", "target", F.struct("__src", "__none", "__r").alias("__key"), "__ra", "__rb", "slot", words.alias("words"))
 
 
-def mix_taken(docs: DataFrame, **options) -> DataFrame:
-    """Words taken per document: doc_id, size, source_size, target, taken, plus __ra and __rb (row_keys)."""
-    return (
-        mix(docs, **options)
-        .groupBy("__key")
-        .agg(F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("words").alias("taken"), F.first("__ra").alias("__ra"), F.first("__rb").alias("__rb"))
-        .drop("__key")
-    )
+def mix_taken(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, block: int | None = None, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Words taken per document: doc_id, size, source_size, target, taken, plus __ra and __rb (row_keys).
+
+    The sum of what ``mix`` has of it, from the document's place and the end of the drawn
+    blocks alone: all its repeats are whole but the last, which the end may cut.
+    """
+    line, _, _ = _line(docs, weights, cap, block, seed, id_col, text_col, source_col)
+    whole = F.expr("(__end - __at - 1) div source_size")
+    cut = F.least(F.col("size"), F.col("__end") - F.col("__at") - whole * F.col("source_size"))
+    some = (F.col("size") > 0) & (F.col("__at") < F.col("__end"))
+    return line.select("doc_id", "size", "source_size", "target", F.when(some, whole * F.col("size") + cut).otherwise(0).cast("long").alias("taken"), "__ra", "__rb")

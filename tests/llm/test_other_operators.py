@@ -71,6 +71,13 @@ def test_mix_meets_targets_and_caps(spark):
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix_taken(docs.repartition(7), block=512).collect()))
 
 
+def test_mix_taken_sums_the_mix(spark):
+    docs = spark.createDataFrame(documents(), "doc_id long, text string, source string")
+    for block in (7, 512):
+        pieces = mixing.mix(docs, block=block).groupBy("__key").agg(F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.sum("words").alias("taken")).select("doc_id", "size", "taken")
+        assert sorted(map(str, pieces.collect())) == sorted(map(str, mixing.mix_taken(docs, block=block).select("doc_id", "size", "taken").collect()))
+
+
 def test_mix_takes_what_its_schedule_draws(spark, monkeypatch):
     rows = documents()
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
