@@ -99,6 +99,40 @@ class Index:
         found: dict[int, tuple[list[tuple[int, int]], set[int]]] = {}
         if not len(s):
             return rows, found
+        h = textnp.span_hash(*textnp.prefix_hash(mapped), s, e)
+        row_of = np.repeat(np.arange(len(rows)), rows)
+        low = mapped.tobytes()
+        covered = bytearray(len(s))
+        for length, k, w, hashes, table in self.classes:
+            at, g = kept(h, row_of, k, w)
+            if not len(g) or not len(hashes):
+                continue
+            near = np.minimum(np.searchsorted(hashes, g), len(hashes) - 1)
+            hit = np.flatnonzero(hashes[near] == g)
+            done: dict[tuple[int, int], int] = {}  # diagonal -> end of its last run
+            for p, x in zip(at[hit].tolist(), g[hit].tolist(), strict=True):
+                row = int(row_of[p])
+                lo, hi = int(first[row]), int(first[row + 1])
+                near_lo, near_hi = max(lo, p + k - length), min(hi, p + length)
+                for t, places in table[x].items():
+                    ws = self.texts[t]
+                    for q in places:
+                        if done.get((t, p - q), -1) > p:
+                            continue
+                        if row in found and t in found[row][1] and covered.find(0, near_lo, near_hi) < 0:
+                            break
+                        a, b = p, p
+                        while a > lo and q - (p - a) > 0 and low[s[a - 1] : e[a - 1]] == ws[q - (p - a) - 1]:
+                            a -= 1
+                        while b < hi and q + (b - p) < len(ws) and low[s[b] : e[b]] == ws[q + (b - p)]:
+                            b += 1
+                        done[(t, p - q)] = max(b, p + 1)
+                        if b - a >= length:
+                            runs, texts = found.setdefault(row, ([], set()))
+                            runs.append((a - lo, b - lo))
+                            texts.add(t)
+                            covered[a:b] = b"\x01" * (b - a)
+        return rows, found
 
 
 def _union(spans: list[tuple[int, int]]) -> int:
