@@ -28,8 +28,8 @@ def _case(c: str, table: dict, other: str = "NULL") -> str:
 
 
 # -- file trees ---------------------------------------------------------------------------
-NAMES = ["main.py", "index.ts", "Dockerfile", ".env", "package-lock.json", "photo.PNG", "x_test.go", "types.d.ts", "README.md", "a.ipynb", "notes", ".hidden", "Util.java", "key.pem", "a.b.tsx", ".gitignore", "mod.spec.js"]
-DIRS = ["src", "docs", "node_modules", ".github/workflows", "tests", "lib/fixtures", "app"]
+NAMES = ["main.py", "index.ts", "Dockerfile", ".env", "package-lock.json", "photo.PNG", "x_test.go", "types.d.ts", "README.md", "a.ipynb", "notes", ".hidden", "Util.java", "key.pem", "a.b.tsx", ".gitignore", "mod.spec.js", "__init__.py", "_app.tsx"]
+DIRS = ["src", "docs", "node_modules", ".github/workflows", "tests", "lib/fixtures", "app", "__tests__", "src/_parts"]
 TREE = f"""tree AS (SELECT p_partkey AS id, {str(DIRS)}[p_partkey % {len(DIRS)} + 1] || '/p' || (p_partkey % 40) || '/' || {str(NAMES)}[p_partkey % {len(NAMES)} + 1] AS path,
   {str(NAMES)}[p_partkey % {len(NAMES)} + 1] AS name, round(p_retailprice * 100)::BIGINT * (p_partkey % 9) AS size FROM part)"""
 
@@ -55,14 +55,19 @@ def scan_rules(spark, d):
     return tree(spark, d).select("id", S.basename(p).alias("name"), S.extension(p).alias("extension"), S.depth(p).alias("depth"), S.dirname(p).alias("folder"), S.language(p).alias("language"), S.pruned_dir(p).alias("pruned"), S.skip_reason(p, F.col("size")).alias("reason"))
 
 
-@query("scanned_tree", rf"""WITH {TREE}, t AS (SELECT *, {EXT} AS ext FROM tree) SELECT DISTINCT path, coalesce({_case("name", V.FILENAME_LANGUAGES)}, {_case("ext", V.EXTENSION_LANGUAGES)}, 'Unknown') AS language, CASE WHEN name NOT IN ('package-lock.json', 'photo.PNG', 'key.pem') THEN 'text of ' || path END AS content
-FROM t WHERE path NOT LIKE 'node_modules/%' AND path NOT LIKE '.github/%' AND name NOT LIKE '.%' AND id <= 100""")
+PRUNED = f"list_bool_or(list_transform(string_split(path, '/')[:-2], lambda x: starts_with(x, '.') OR x IN {_list(V.IGNORED_DIRS)}))"
+REASON = rf"""CASE WHEN name IN {_list(V.IGNORED_FILES)} THEN 'ignored_filename' WHEN name IN {_list(V.SECRET_NAMES)} OR starts_with(name, '.env') OR regexp_matches(name, '(\.pem|\.key|\.pfx|\.p12)$') THEN 'secret_file'
+  WHEN ext IN {_list(V.IGNORED_EXTENSIONS)} THEN 'ignored_extension' WHEN starts_with(name, '.') AND name NOT IN {_list(list(V.FILENAME_LANGUAGES))} THEN 'hidden_file' END"""
+
+
+@query("scanned_tree", rf"""WITH {TREE}, t AS (SELECT DISTINCT path, name, {EXT} AS ext FROM tree)
+SELECT path, coalesce({_case("name", V.FILENAME_LANGUAGES)}, {_case("ext", V.EXTENSION_LANGUAGES)}, 'Unknown') AS language, strlen('text of ' || path)::BIGINT AS size, {REASON} AS reason, CASE WHEN {REASON} IS NULL THEN 'text of ' || path END AS content FROM t WHERE NOT {PRUNED}""")
 def scanned_tree(spark, d):
-    """The first files of the tree, written out and scanned."""
+    """The whole tree, written out by tasks and scanned."""
     root = f"{H.shared_folder(spark)}/tree"
-    rows = tree(spark, d).where("id <= 100").select("path").distinct()
+    rows = tree(spark, d).select("path").distinct()
     H.write_tree(rows.withColumn("content", F.concat(F.lit("text of "), "path")), root)
-    return H.scan(spark, root).select("path", "language", "content")
+    return H.scan(spark, root).select("path", "language", "size", "reason", "content")
 
 
 @query("path_patterns", f"""WITH {TREE} SELECT id, regexp_matches(path, '(?i){"|".join(f"(?:{p})" for p in V.TEST_PATTERNS)}') AS test, regexp_matches(name, '(?i){"|".join(f"(?:{p})" for p in V.TYPE_PATTERNS)}') AS types, regexp_matches(path, '(?i){"|".join(f"(?:{p})" for p in V.DATA_PATTERNS)}') AS data,

@@ -59,6 +59,27 @@ def test_scan_and_snapshots(spark, tmp_path):
     assert sorted(map(tuple, up.collect())) == [(1, "a"), (2, "c")]
 
 
+def test_scan_of_all_kinds_of_names(spark, tmp_path):
+    root = tmp_path / "tree"
+    texts = {"pkg/__init__.py": "a", "pkg/__tests__/t.py": "b", "_app.tsx": "c", ".env": "secret", ".gitignore": "d", ".hidden": "e", "pkg/_parts/deep/__main__.py": "f", "no.bin.d/x.PY": "g"}
+    texts |= {f"many/d{i}/sub/_f{k}.py": str(i) for i in range(12) for k in range(5)}
+    hidden = {".git/config": "x", "node_modules/a/b.js": "x", "pkg/.cache/c.py": "x"}
+    for p, text in (texts | hidden).items():
+        (root / p).parent.mkdir(parents=True, exist_ok=True)
+        (root / p).write_text(text)
+    (root / "bad.py").write_bytes(b"\xff\xfe")
+    (root / "loop").symlink_to(root)
+    (root / "link.py").symlink_to(root / "_app.tsx")
+    for most in (20_000, 7):  # a few entries a task need many rounds
+        got = {r["path"]: r for r in files.scan(spark, f"file://{root}", most=most).collect()}
+        assert set(got) == {*texts, "bad.py"}
+        assert {p: r["reason"] for p, r in got.items() if r["reason"]} == {".env": "secret_file", ".hidden": "hidden_file"}
+        assert all(r["content"] == (None if r["reason"] or p == "bad.py" else texts[p]) for p, r in got.items())
+    assert got["no.bin.d/x.PY"]["extension"] == ".py" and got["pkg/_parts/deep/__main__.py"]["depth"] == 3 and got["bad.py"]["size"] == 2
+    assert files.scan(spark, str(tmp_path / "none")).count() == 0
+    assert "content" not in files.scan(spark, str(root), content=False).columns
+
+
 def test_extractors(spark):
     nb = json.dumps({"cells": [{"cell_type": "markdown", "source": "x"}, {"cell_type": "code", "source": ["x = 1\n", "import numpy\n"]}, {"cell_type": "code", "source": "%magic\nimport os"}], "metadata": {}})
     js = "import a from 'x';\n// import b from 'no'\nconst q = require(\"./y\");\nexport { z } from './z'\nimport('dyn'); const s = \"import k from 'str'\"; /* import('c') */"
