@@ -253,41 +253,6 @@ def cycles_bounded(edges: DataFrame, most: int = 3) -> DataFrame:
     return found.select(F.size("path").alias("length"), "path")
 
 
-def on_cycles(edges: DataFrame) -> DataFrame:
-    """The nodes that lie on some cycle of two nodes or more, of any length.
-
-    Each round peels nodes without a way in or out, colours every node with the smallest
-    node that reaches it, and takes from each colour what reaches that node in turn: with
-    it, one strongly connected component, and on a cycle if it has a second node.
-    """
-    left, size = settle_counted(edges.select("source", "target").where("source <> target").distinct())
-    out = Steps(edges.sparkSession)
-    out.add(left.select(F.col("source").alias("node")).limit(0))
-    while True:
-        was = -1
-        while size and size != was:
-            ends = left.select(F.col("source").alias("target")), left.select(F.col("target").alias("source"))
-            was, (left, size) = size, settle_counted(left.join(ends[0], "target", "left_semi").join(ends[1], "source", "left_semi").select("source", "target"))
-        if not size:
-            return out.all()
-        colour = settle(left.select(F.col("source").alias("node")).distinct().withColumn("colour", F.col("node")))
-        moved = 1
-        while moved:
-            near = left.join(colour, F.col("source") == F.col("node")).groupBy("target").agg(F.min("colour").alias("near"))
-            better = colour.join(near, F.col("node") == F.col("target")).select("node", F.least("colour", "near").alias("colour"), (F.col("near") < F.col("colour")).cast("int").alias("moved"))
-            path = new_folder(edges.sparkSession)
-            moved = _write(better, path, F.sum("moved").alias("moved"))["moved"]
-            colour = edges.sparkSession.read.schema(better.schema).parquet(path).select("node", "colour")
-        ways = left.join(colour.select(F.col("node").alias("source"), "colour"), "source").join(colour.select(F.col("node").alias("target"), F.col("colour").alias("c")), "target")
-        back = reach(ways.where("colour = c").select("source", "target"), colour.where("node = colour").select("node"), reverse=True).select("node")
-        part = settle(colour.join(back, "node", "left_semi"))
-        many = part.groupBy("colour").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        out.add(part.join(many, "colour", "left_semi").select("node"))
-        for end in ("source", "target"):
-            left = left.join(part.select(F.col("node").alias(end)), end, "left_anti")
-        left, size = settle_counted(left.select("source", "target"))
-
-
 def cycles_sequential(edges: list[tuple]) -> list[list]:
     """The traversal-dependent subset of cycles that a depth-first walk in sorted order meets.
 

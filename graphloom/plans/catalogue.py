@@ -10,6 +10,7 @@ from ..functions import scalars as S
 from ..operators import degrees as D
 from ..operators import diff as C
 from ..operators import graph as G
+from ..operators import strong as Z
 from ..operators import metrics as M
 from ..operators import ranking as R
 from ..operators import retrieval as Q
@@ -205,7 +206,7 @@ flagged AS (SELECT scored.*, in_degree = 0 AND NOT (out_degree > 0 AND in_degree
 
 def flagged(spark, d) -> DataFrame:
     s = scored(spark, d).withColumn("is_entry", (F.col("out_degree") > 0) & (F.col("in_degree") == 0))
-    c = G.on_cycles(A.edges(spark, d)).select(F.col("node").alias("id"), F.lit(True).alias("in_cycle"))
+    c = Z.strong_components(A.edges(spark, d)).select(F.col("node").alias("id"), F.lit(True).alias("in_cycle"))
     return R.flags(G.settle(s.join(c, "id", "left").na.fill(False, ["in_cycle"])))
 
 
@@ -586,6 +587,17 @@ def dag_tiers(spark, d):
     return G.dag_tiers(A.dag(spark, d))
 
 
+@query("file_tiers", f"""WITH RECURSIVE {EDGES}, cyc AS (SELECT source AS a, target AS b FROM pairs UNION SELECT a, target FROM cyc JOIN pairs ON b = source),
+strong AS MATERIALIZED (SELECT x.a AS node, min(x.b) AS component FROM cyc x JOIN cyc y ON x.a = y.b AND x.b = y.a GROUP BY x.a),
+named AS MATERIALIZED (SELECT node, coalesce(component, node) AS component FROM (SELECT source AS node FROM pairs UNION SELECT target FROM pairs) LEFT JOIN strong USING (node)),
+flat AS MATERIALIZED (SELECT DISTINCT a.component AS source, b.component AS target FROM pairs JOIN named a ON source = a.node JOIN named b ON target = b.node WHERE a.component <> b.component),
+levels(node, level) USING KEY (node) AS (SELECT DISTINCT component, 0 FROM named
+  UNION (SELECT o.node, max(f.level) + 1 FROM levels AS f JOIN flat ON f.node = source JOIN recurring.levels AS o ON o.node = target GROUP BY o.node, o.level HAVING max(f.level) + 1 > o.level))
+SELECT named.node, component, level AS tier FROM named JOIN levels ON levels.node = component""")
+def file_tiers(spark, d):
+    return Z.tiers(A.edges(spark, d))
+
+
 @query("kahn_levels", DAG + " SELECT node, level FROM levels")
 def kahn_levels(spark, d):
     return G.kahn_levels(A.dag(spark, d))
@@ -613,6 +625,24 @@ def cycles_len2_3(spark, d):
     return c.select("length", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"))
 
 
+# every file's first import: a graph with one way out of each node, whose cycles have any length
+FIRST_CYCLES = """main AS MATERIALIZED (SELECT source, first(target ORDER BY ord, line, target) AS target FROM edges GROUP BY source),
+walk AS (SELECT source AS a, target AS b FROM main UNION SELECT a, target FROM walk JOIN main ON b = source),
+ring AS (SELECT a AS id, min(b) AS root FROM walk WHERE a IN (SELECT a FROM walk WHERE a = b) GROUP BY a),
+steps AS (SELECT DISTINCT root, root AS id, 0 AS n FROM ring UNION ALL SELECT root, target, n + 1 FROM steps JOIN main ON id = source WHERE target <> root),
+cycles AS (SELECT string_agg(id::VARCHAR, ',' ORDER BY n) AS path, count(*)::INTEGER AS length FROM steps GROUP BY root)"""
+
+
+def first_imports(spark, d) -> DataFrame:
+    e = A.edges(spark, d).groupBy("source").agg(F.min(F.struct("ord", "line", "target")).alias("e"))
+    return e.select("source", "e.target")
+
+
+@query("long_cycles", f"WITH RECURSIVE {EDGES}, {FIRST_CYCLES} SELECT length, path FROM cycles")
+def long_cycles(spark, d):
+    return Z.cycles(first_imports(spark, d)).select("length", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"))
+
+
 @query("label_disambiguation", r"""WITH RECURSIVE u AS (SELECT DISTINCT regexp_replace(url, '^https?://|[?#].*$|/$', '', 'g') AS id FROM pages),
 r AS (SELECT 0 AS round, id, string_split(id, '/') AS parts, 1 AS k, true AS grow FROM u UNION ALL
   SELECT round + 1, id, parts, k + CASE WHEN clash AND k < len(parts) THEN 1 ELSE 0 END, clash AND k < len(parts) FROM (

@@ -17,7 +17,7 @@ from ..operators import rollup as U
 from ..operators import tours as T
 from ..operators import visual as X
 from . import adapters as A
-from .catalogue import EDGES, FILES, FLAGS, IMPORTANCE, PROFILES, cycles_len2_3, flagged, module_connections, module_weights, query, scored
+from .catalogue import EDGES, FILES, FIRST_CYCLES, FLAGS, IMPORTANCE, PROFILES, flagged, long_cycles, module_connections, module_weights, query, scored
 
 ROLES = sorted(V.ROLE_LAYERS)
 ROLE_SQL = "[" + ", ".join(f"'{r}'" for r in ROLES) + "]"
@@ -122,25 +122,19 @@ def layer_cards(spark, d):
     return Y.layer_cards(flagged(spark, d).select(F.col("id").alias("path"), "flags"), A.edges(spark, d), layered(spark, d))
 
 
-CYCLES = """cyc2 AS (SELECT a.source || ',' || a.target AS path FROM pairs a JOIN pairs b ON a.target = b.source AND b.target = a.source WHERE a.source < a.target),
-cyc3 AS (SELECT a.source || ',' || a.target || ',' || b.target AS path FROM pairs a JOIN pairs b ON a.target = b.source JOIN pairs c ON b.target = c.source AND c.target = a.source
-  WHERE a.source < a.target AND a.source < b.target AND a.target <> b.target),
-cycles AS (FROM cyc2 UNION ALL FROM cyc3)"""
-
-
-@query("cycle_summary", f"""WITH {EDGES}, {CYCLES} SELECT count(*) > 0 AS has_cycles, count(*)::BIGINT AS cycle_count,
+@query("cycle_summary", f"""WITH RECURSIVE {EDGES}, {FIRST_CYCLES} SELECT count(*) > 0 AS has_cycles, count(*)::BIGINT AS cycle_count,
 CASE count(*) WHEN 0 THEN 'No circular dependencies detected.' WHEN 1 THEN '1 circular dependency detected: ' || replace(min(path), ',', ' → ') ELSE count(*) || ' circular dependencies detected.' END AS summary FROM cycles""")
 def cycle_summary(spark, d):
-    return Y.cycle_summary(cycles_len2_3(spark, d).select(F.split("path", ",").alias("path")))
+    return Y.cycle_summary(long_cycles(spark, d).select(F.split("path", ",").alias("path")))
 
 
-@query("insights", f"""WITH RECURSIVE {FLAGS}, {CYCLES},
+@query("insights", f"""WITH RECURSIVE {FLAGS}, {FIRST_CYCLES},
 central AS (SELECT file, row_number() OVER (ORDER BY 3 * in_degree + out_degree DESC, file) AS place FROM deg)
 SELECT 'cycle' AS kind, NULL::BIGINT AS place, path AS item FROM cycles UNION ALL SELECT 'orphan', NULL, id::VARCHAR FROM flagged WHERE orphan
 UNION ALL SELECT 'central', place, file::VARCHAR FROM central WHERE place <= 30 UNION ALL SELECT 'entry_point', NULL, id::VARCHAR FROM flagged WHERE entry_point""")
 def insights(spark, d):
     f = flagged(spark, d)
-    return Y.insights(cycles_len2_3(spark, d).select(F.split("path", ",").alias("path")), f, D.central_files(A.edges(spark, d)), f.where("is_entry").select(F.col("id").alias("file")))
+    return Y.insights(long_cycles(spark, d).select(F.split("path", ",").alias("path")), f, D.central_files(A.edges(spark, d)), f.where("is_entry").select(F.col("id").alias("file")))
 
 
 @query("role_summary", f"WITH {ROLED} SELECT role, count(*)::BIGINT AS files, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM roled), 1) AS pct FROM roled GROUP BY role")
@@ -533,13 +527,13 @@ def question_order(spark, d):
     return T.by_question(hits, A.dag(spark, d))
 
 
-@query("cycle_questions", f"""WITH RECURSIVE {FLAGS}, {CYCLES}, members AS (SELECT unnest(string_split(path, ','))::BIGINT AS id, path FROM cycles),
+@query("cycle_questions", f"""WITH RECURSIVE {FLAGS}, {FIRST_CYCLES}, members AS (SELECT unnest(string_split(path, ','))::BIGINT AS id, path FROM cycles),
 partner AS (SELECT id, min(other) AS partner FROM (SELECT id, unnest(string_split(path, ',')) AS other FROM members) WHERE other <> id::VARCHAR GROUP BY id),
 q AS (SELECT g.id, size, partner, unnest([CASE WHEN orphan THEN 1 END, CASE WHEN in_cycle THEN 2 END, CASE WHEN hub THEN 3 END, CASE WHEN entry_point THEN 4 END, CASE WHEN god_file THEN 5 END]) AS flag FROM flagged g LEFT JOIN partner p ON g.id = p.id)
 SELECT id, CASE flag WHEN 1 THEN 'Nothing imports this file. Why is it in the repo?' WHEN 2 THEN 'This and ' || coalesce(partner, 'another module') || ' import each other — why, and would you fix it?' WHEN 3 THEN 'A lot depends on this. What breaks if you change it?'
   WHEN 4 THEN 'Walk me through what happens when a request arrives.' ELSE 'This file is ~' || format('{{:,}}', greatest(1, size // 40)) || ' lines. How would you split it?' END AS question FROM q WHERE flag IS NOT NULL""")
 def cycle_questions(spark, d):
-    cycles = cycles_len2_3(spark, d).select(F.split("path", ",").alias("path"))
+    cycles = long_cycles(spark, d).select(F.split("path", ",").alias("path"))
     f = flagged(spark, d).select(F.col("id").cast("string").alias("id"), "flags", "size")
     return T.questions(f, cycles).select(F.col("id").cast("long").alias("id"), F.explode("questions").alias("question"))
 
