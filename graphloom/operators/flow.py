@@ -71,12 +71,40 @@ def flagged_shown(files: DataFrame, active: list[str]) -> DataFrame:
     return files if not active else files.where(F.arrays_overlap("flags", F.array(*[F.lit(x) for x in active])))
 
 
+def traces(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """G26 for any number of starts (column node): (start, node, way) of all that a start leads to (down) or comes from (up).
+
+    Responses are left out, so that a trace does not run back along its own answers; so is
+    the start itself.  One loop for all starts and both ways: a row is a node, a way and a
+    word of 64 starts, with a bit for each start that has reached it, and a round passes on
+    the bits that are new.  Rounds are as many as the longest trace is deep.
+    """
+    asked = edges.where("direction is null or direction <> 'response'").select("source", "target").distinct()
+    ways = graph.settle(asked.select(F.lit("down").alias("way"), F.col("source").alias("node"), F.col("target").alias("to")).unionByName(asked.select(F.lit("up").alias("way"), F.col("target").alias("node"), F.col("source").alias("to"))))
+    numbered = graph.settle(graph.in_order(starts.select("node").distinct(), ["node"]).select("node", (F.col("place") - 1).alias("n")))
+    word, bit = F.floor(F.col("n") / 64), F.expr("shiftleft(1L, int(n % 64))")
+    key = ["way", "word", "node"]
+    first = numbered.select(F.explode(F.array(F.lit("down"), F.lit("up"))).alias("way"), word.alias("word"), "node", bit.alias("had"))
+    state = first.groupBy(*key).agg(F.bit_or("had").alias("had")).withColumn("new", F.col("had"))
+    while True:
+        state = graph.settle(state)
+        front = state.where("new <> 0")
+        if front.isEmpty():
+            break
+        come = front.join(ways, ["way", "node"]).groupBy("way", "word", F.col("to").alias("node")).agg(F.bit_or("new").alias("come"))
+        had = F.coalesce("had", F.lit(0).cast("long"))
+        state = state.drop("new").join(come, key, "full").select(*key, had.bitwiseOR(F.coalesce("come", F.lit(0).cast("long"))).alias("had"), F.coalesce("come", F.lit(0).cast("long")).bitwiseAND(F.bitwise_not(had)).alias("new"))
+    names = numbered.select(word.alias("word"), (F.col("n") % 64).cast("int").alias("bit"), F.col("node").alias("start"))
+    set_bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("getbit", F.col("had"), i) == 1)
+    return state.select(*key, F.explode(set_bits).alias("bit")).join(names, ["word", "bit"]).where("node <> start").select("start", "node", "way")
+
+
 def highlights(nodes: DataFrame, edges: DataFrame, trace_from=None, search: str = "", hover=None, kinds: list[str] | None = None, selected=None) -> DataFrame:
     """Id and highlight: a trace wins over a search, that over hovering, that over the kind filter and the selection."""
     off = F.lit("off")
     if trace_from is not None:
-        start = nodes.where(F.col("id") == trace_from).select(F.col("id").alias("node"))
-        up, down = (graph.reach(edges, start, None, reverse).select(F.col("node").alias("id"), F.lit(True).alias(name)) for name, reverse in (("up", True), ("down", False)))
+        met = traces(edges, nodes.where(F.col("id") == trace_from).select(F.col("id").alias("node")))
+        up, down = (met.where(F.col("way") == name).select(F.col("node").alias("id"), F.lit(True).alias(name)) for name in ("up", "down"))
         mode = F.when(F.col("id") == trace_from, "select").when(F.col("up"), "trace-up").when(F.col("down"), "trace-down").otherwise("dim")
         return nodes.select("id").join(up, "id", "left").join(down, "id", "left").select("id", mode.alias("highlight"))
     if search.strip():

@@ -350,15 +350,24 @@ def shown_kinds(spark, d):
     return W.kinds_shown(n, typed, ["io", "process"], ["http"])[1].select("source", "target", "dim")
 
 
-@query("traced_highlights", f"""WITH RECURSIVE {FLOW}, s AS (SELECT max(target) AS id FROM pairs),
-up(id) USING KEY (id) AS (SELECT id FROM s UNION (SELECT DISTINCT source FROM up JOIN pairs ON up.id = target WHERE source NOT IN (FROM recurring.up))),
-down(id) USING KEY (id) AS (SELECT id FROM s UNION (SELECT DISTINCT target FROM down JOIN pairs ON down.id = source WHERE target NOT IN (FROM recurring.down)))
+@query("traced_highlights", f"""WITH RECURSIVE {FLOW}, asked AS MATERIALIZED (SELECT source, target FROM flow WHERE direction <> 'response'), s AS (SELECT max(target) AS id FROM pairs),
+up(id) USING KEY (id) AS (SELECT id FROM s UNION (SELECT DISTINCT source FROM up JOIN asked ON up.id = target WHERE source NOT IN (FROM recurring.up))),
+down(id) USING KEY (id) AS (SELECT id FROM s UNION (SELECT DISTINCT target FROM down JOIN asked ON down.id = source WHERE target NOT IN (FROM recurring.down)))
 SELECT id, CASE WHEN id = (SELECT id FROM s) THEN 'select' WHEN id IN (FROM up) THEN 'trace-up' WHEN id IN (FROM down) THEN 'trace-down' ELSE 'dim' END AS highlight FROM nodes""")
 def traced_highlights(spark, d):
     n, e = flow(spark, d)
     return W.highlights(n, e, trace_from=e.agg(F.max("target")).first()[0])
 
 
+@query("many_traces", f"""WITH RECURSIVE {FLOW}, asked AS MATERIALIZED (SELECT source, target FROM flow WHERE direction <> 'response'), s AS (SELECT DISTINCT source AS id FROM pairs ORDER BY id LIMIT 64),
+down AS (SELECT id AS start, id AS node FROM s UNION SELECT start, target FROM down JOIN asked ON node = source),
+up AS (SELECT id AS start, id AS node FROM s UNION SELECT start, source FROM up JOIN asked ON node = target)
+SELECT start, node, 'down' AS way FROM down WHERE node <> start UNION ALL SELECT start, node, 'up' FROM up WHERE node <> start""")
+def many_traces(spark, d):
+    _, e = flow(spark, d)
+    return W.traces(e, e.select(F.col("source").alias("node")).distinct().orderBy("node").limit(64))
+
+
 @query("hover_highlights", f"""WITH {FLOW}, h AS (SELECT min(source) AS id FROM pairs), near AS (SELECT target AS id FROM pairs, h WHERE source = h.id UNION SELECT source FROM pairs, h WHERE target = h.id UNION SELECT id FROM h)
 SELECT id, CASE WHEN id IN (FROM near) THEN 'hover' ELSE 'off' END AS highlight FROM nodes""")
 def hover_highlights(spark, d):
@@ -500,11 +509,17 @@ def suggested_flow_nodes(spark, d):
     return W.suggested(_suggestions(spark, d))[0]
 
 
-@query("shortest_flow_path")
+# of all shortest paths the one met first is the smallest, node by node
+@query("shortest_flow_path", f"""WITH RECURSIVE {EDGES}, dag AS MATERIALIZED (SELECT DISTINCT source, target FROM pairs WHERE source < target), s AS (SELECT min(source) AS id FROM dag),
+r(node, depth, path) USING KEY (node) AS (SELECT id, 0, [id] FROM s
+  UNION (SELECT target, depth + 1, min(list_append(path, target)) FROM r JOIN dag ON node = source WHERE target NOT IN (SELECT node FROM recurring.r) GROUP BY target, depth))
+SELECT (unnest(range(len(path))))::INTEGER AS place, unnest(path) AS node FROM (SELECT path FROM r ORDER BY depth DESC, node LIMIT 1)""")
 def shortest_flow_path(spark, d):
+    """From the smallest file to the one farthest from it."""
     e = A.dag(spark, d)
-    ends = e.agg(F.min("source"), F.max("target")).first()
-    path = G.shortest_path(e, [ends[0]], [ends[1]]) or []
+    start = e.agg(F.min("source").alias("node"))
+    goal = G.reach(e, start).orderBy(F.desc("depth"), "node").first()
+    path = (G.shortest_path(e, [start.first()["node"]], [goal["node"]]) if goal else None) or []
     return spark.createDataFrame([(i, n) for i, n in enumerate(path)], "place int, node long")
 
 

@@ -39,7 +39,7 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_every_query_without_sql_has_a_test_here():
-    assert set(catalogue.QUERIES) - set(catalogue.SQL) == {"layer_tiers", "shortest_flow_path", "question_order", "communities", "text_chunks"}
+    assert set(catalogue.QUERIES) - set(catalogue.SQL) == {"layer_tiers", "question_order", "communities", "text_chunks"}
 
 
 def links(spark):
