@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import ast
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,66 +72,90 @@ def propagate_widths(layers: DataFrame) -> DataFrame:
     return r.select("model", "pos", "type", F.when(fill, F.map_concat("params", F.create_map(F.lit("in_features"), F.col("__width")))).otherwise(F.col("params")).alias("params"))
 
 
-def _layers_of(source: str) -> list[tuple[str, str, int, str, str, dict[str, str]]]:
-    """(model, base, pos, id, type, params) of classes whose body assigns layers, and of Sequential lists."""
-    try:
-        tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError):
-        return []
-    out = []
-
-    def call_name(node: ast.expr) -> str:
-        return ast.unparse(node).split(".")[-1]
-
-    def params(call: ast.Call) -> dict[str, str]:
-        kind = call_name(call.func)
-        got = {k.arg: ast.unparse(k.value) for k in call.keywords if k.arg}
-        for name, value in zip(POSITIONAL.get(kind, []), call.args, strict=False):
-            got.setdefault(name, ast.unparse(value))
-        for a, b in ALIASES.items():
-            if a in got:
-                got.setdefault(b, got[a])
-        return got
-
-    def known(node: ast.AST) -> bool:
-        return isinstance(node, ast.Call) and (call_name(node.func) in POSITIONAL or call_name(node.func) in ("ReLU", "Flatten", "Softmax", "Sigmoid", "Tanh", "GELU", "MaxPool1d", "AdaptiveAvgPool2d", "GlobalAveragePooling2D"))
-
-    def flatten(node: ast.Call) -> list[ast.Call]:
-        if call_name(node.func) in ("Sequential", "ModuleList"):
-            args = [x for a in node.args for x in (a.elts if isinstance(a, ast.List | ast.Tuple) else [a])]
-            return [y for x in args if isinstance(x, ast.Call) for y in flatten(x)]
-        return [node] if known(node) else []
-
-    def assigned(body: list[ast.stmt], model: str, base: str) -> None:
-        pos = 0
-        for stmt in body:
-            if isinstance(stmt, ast.Assign) and isinstance(stmt.value, ast.Call):
-                name = ast.unparse(stmt.targets[0]).removeprefix("self.")
-                found = flatten(stmt.value)
-                for k, c in enumerate(found):
-                    out.append((model, base, pos, name if len(found) == 1 else f"{name}.{k}", call_name(c.func), params(c)))
-                    pos += 1
-
-    for node in tree.body:
-        if isinstance(node, ast.ClassDef):
-            init = next((f for f in node.body if isinstance(f, ast.FunctionDef) and f.name in ("__init__", "setup", "build")), None)
-            if init is not None:
-                assigned(init.body, node.name, ast.unparse(node.bases[0]) if node.bases else "")
-        elif isinstance(node, ast.Assign) and isinstance(node.value, ast.Call) and call_name(node.value.func) == "Sequential":
-            assigned([node], ast.unparse(node.targets[0]), "Sequential")
+def whole_number(text: Column) -> Column:
+    """First positive integer of a literal, alone or in a tuple or list; null for anything else."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(r"-?\d+"), F.lit(0)), lambda x: x.try_cast("bigint"))
+    return F.when(text.rlike(r"^\s*[(\[]?[-\d\s,]*[)\]]?\s*$"), F.get(F.filter(found, lambda x: x > 0), F.lit(0)))
+
+
+def stated_width(kind: Column, params: Column) -> Column:
+    """The width that a layer's own arguments state."""
+    arg = lambda *names: F.coalesce(*(F.try_element_at(params, F.lit(n)) for n in names))
+    hidden = F.coalesce(whole_number(arg("hidden_size")), whole_number(arg("input_size")))
+    ways = F.when(arg("bidirectional") == "True", 2).otherwise(1)
+    named = {"out_channels": V.NN_CONV, "embedding_dim": ["Embedding", "EmbeddingBag"], "embed_dim": ["MultiheadAttention"]}
+    out = F.when(kind.isin("Linear", "LazyLinear", "Dense"), whole_number(arg("out_features", "units"))).when(kind.isin(list(GATES)), hidden * ways)
+    for name, kinds in named.items():
+        out = out.when(kind.isin(kinds), whole_number(arg(name)))
     return out
 
 
-def extract_models(files: DataFrame) -> DataFrame:
-    """Layer rows of models in Python sources (path, content), parsed with ast, never run."""
+def shapes(layers: DataFrame, model: list[str]) -> DataFrame:
+    """Adds extent (of the map, relative to the input), width and head (a layer behind a map that has ended).
+
+    A map ends at the first flat layer.  Until then its extent is one over the product of all
+    strides since the last global pool, which brings it to the least extent.  The width is
+    the last one stated since a layer that neither states nor keeps one.
+    """
+    kind, arg = F.col("type"), lambda n: whole_number(F.try_element_at("params", F.lit(n)))
+    upto = Window.partitionBy(*model).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    count = lambda c, w=upto: F.sum(c.cast("int")).over(w)
+    pool, whole = kind.isin(V.NN_POOL), kind.isin(V.NN_GLOBAL_POOL)
+    by = F.when(pool, F.coalesce(arg("stride"), arg("kernel_size"))).when(kind.isin(V.NN_CONV), arg("stride"))
+    stated = stated_width(kind, F.col("params"))
+    r = layers.select("*", (count(kind.isin(V.NN_FLAT)) > 0).alias("__flat"), count(whole).alias("__pools"), F.coalesce(by, F.lit(1)).cast("double").alias("__by"), stated.alias("__stated"), count(stated.isNull() & ~kind.isin(V.NN_KEEP_WIDTH)).alias("__lost"))
+    since_pool = Window.partitionBy(*model, "__pools").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    since_loss = Window.partitionBy(*model, "__lost").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    start = F.when(F.col("__pools") > 0, V.NN_LEAST_EXTENT).otherwise(1.0)
+    # a global pool's own stride counts for nothing
+    extent = F.when(~F.col("__flat"), F.bround(start / F.product(F.when(whole, 1.0).otherwise(F.col("__by"))).over(since_pool), 6))
+    mapped = count(~F.col("__flat") & (pool | whole | kind.isin(V.NN_CONV))) > 0
+    return r.select(*layers.columns, extent.alias("extent"), F.last("__stated", ignorenulls=True).over(since_loss).alias("width"), (F.col("__flat") & mapped).alias("head"))
+
+
+def _log_size(value: Column, low: Column | float, high: Column | float) -> Column:
+    """A size between two bounds that grows with the logarithm of a number; the lower one where there is none."""
+    low, high = (x if isinstance(x, Column) else F.lit(x) for x in (low, high))
+    return F.coalesce(F.least(high, F.greatest(low, low + (high - low) * F.log2(value + 1) / 10)), low)
+
+
+def blocks(layers: DataFrame, model: list[str]) -> DataFrame:
+    """Shapes, and the size of each layer's block: height by the map's extent, thickness by the width.
+
+    Where no map is left the height goes by what the layer states, up to less behind a map.
+    """
+    low, high, thin, thick = V.NN_BLOCK
+    arg = lambda n: F.try_element_at("params", F.lit(n))
+    channels = F.map_contains_key("params", "out_channels")
+    mapped = F.col("extent").isNotNull()
+    tall = low + (high - low) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 + F.log2(F.greatest("extent", F.lit(V.NN_LEAST_EXTENT))) / 6))
+    names = ("out_features", "units", "hidden_size", "embedding_dim")
+    stated = F.coalesce(*(arg(n) for n in names))
+    flat = F.when(~channels & stated.isNotNull(), _log_size(whole_number(stated), low, low + (high - low) * F.when(F.col("head"), V.NN_HEAD).otherwise(1.0))).otherwise(V.NN_UNKNOWN_HEIGHT)
+    wide = F.when(channels, whole_number(arg("out_channels"))).when(mapped, F.col("width"))
+    r = shapes(layers, model)
+    lone = F.col("category") == "pretrained"
+    height = F.when(lone, V.NN_UNKNOWN_HEIGHT).when(mapped, tall).otherwise(flat)
+    out = r.select(*layers.columns, F.when(~lone, F.col("extent")).alias("extent"), F.when(~lone, F.col("width")).alias("width"), F.bround(height, 1).alias("height"), F.lit(V.NN_DEPTH).alias("depth"), F.bround(F.when(lone, thin).otherwise(_log_size(wide, thin, thick)), 1).alias("thick"))
+    return out
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = [(p, *r[:5], list(r[5].items())) for p, c in zip(pdf["path"], pdf["content"], strict=True) if isinstance(c, str) for r in _layers_of(c)]
-            yield pd.DataFrame([(a, b, c, d, e, f, [{"k": k, "v": v} for k, v in g]) for a, b, c, d, e, f, g in rows], columns=["path", "model", "base", "pos", "id", "type", "args"])
 
-    got = files.select("path", "content").mapInPandas(run, "path string, model string, base string, pos int, id string, type string, args array<struct<k:string,v:string>>")
-    return got.withColumn("params", F.map_from_entries("args")).drop("args")
+def resized_runs(layers: DataFrame, wanted: DataFrame, signature: str = "type") -> DataFrame:
+    """Runs of equal layers made as long as wanted (1 to 64), by the places of any of their layers; places are counted anew.
+
+    ``layers``: model, pos, signature; ``wanted``: model, pos, n.  Of several wishes for a run
+    that of the first place holds.
+    """
+    from .ranking import with_island
+
+    w = Window.partitionBy("model").orderBy("pos")
+    r = with_island(layers, ["model"], ["pos"], signature)
+    first = r.withColumn("__k", F.row_number().over(Window.partitionBy("model", "island").orderBy("pos")))
+    asked = r.select("model", "island", "pos").join(wanted.select("model", "pos", "n"), ["model", "pos"]).groupBy("model", "island").agg(F.min(F.struct("pos", "n")).alias("__n")).select("model", "island", F.greatest(F.lit(1), F.least("__n.n", F.lit(V.NN_MOST_REPEATS))).alias("__n"))
+    met = first.join(asked, ["model", "island"], "left")
+    copies = F.when(F.col("__n").isNull(), 1).when(F.col("__k") == 1, F.col("__n")).otherwise(0)
+    out = met.withColumn("__copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies.cast("int")))))
+    return out.withColumn("pos", (F.row_number().over(w.orderBy("pos", "__copy")) - 1).cast("long")).select(*layers.columns)
 
 
 def dedupe_models(layers: DataFrame) -> DataFrame:

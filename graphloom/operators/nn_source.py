@@ -8,7 +8,6 @@ pretrained factories and, in files that import a framework, functions that only
 from __future__ import annotations
 
 import ast
-import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from . import networks
 
-ROWS = "path string, model string, base string, pos int, id string, type string, category string, args array<struct<k:string,v:string>>, extent double, width bigint, height double, depth double, thick double"
+ROWS = "path string, nth int, model string, base string, pos int, id string, type string, category string, args array<struct<k:string,v:string>>"
 
 
 class Names:
@@ -225,88 +224,14 @@ def models_of(source: str) -> list[tuple[str, str, list[tuple[str, ast.Call]], N
     return out
 
 
-def _number(text: str | None) -> int | None:
-    """First positive integer of a literal, alone or in a tuple."""
-    try:
-        value = ast.literal_eval(text or "")
-    except (ValueError, SyntaxError):
-        return None
-    for x in value if isinstance(value, list | tuple) else [value]:
-        if isinstance(x, int) and not isinstance(x, bool) and x > 0:
-            return x
-    return None
-
-
-def output_width(kind: str, params: dict[str, str]) -> int | None:
-    """The width a layer states that it emits."""
-    if kind in V.NN_CONV:
-        got = _number(params.get("out_channels"))
-    elif kind in ("Linear", "LazyLinear", "Dense"):
-        got = _number(params.get("out_features", params.get("units")))
-    elif kind in ("Embedding", "EmbeddingBag"):
-        got = _number(params.get("embedding_dim"))
-    elif kind == "MultiheadAttention":
-        got = _number(params.get("embed_dim"))
-    elif kind in networks.GATES:
-        got = _number(params.get("hidden_size")) or _number(params.get("input_size"))
-        return got * 2 if got and params.get("bidirectional") == "True" else got
-    else:
-        return None
-    return got
-
-
-def extents(layers: list[tuple[str, dict[str, str]]]) -> list[tuple[float | None, int | None, bool]]:
-    """Per layer the map's extent relative to the input, the running width, and whether it heads a map.
-
-    A stride divides the extent (a pool's is its window), global pools take it to the least,
-    dense layers end it; a layer that cannot be read ends the width.
-    """
-    extent, width, spatial, out = 1.0, None, False, []
-    for kind, params in layers:
-        if kind in V.NN_FLAT:
-            extent = None
-        elif extent is not None and kind in V.NN_GLOBAL_POOL:
-            extent, spatial = V.NN_LEAST_EXTENT, True
-        elif extent is not None and (kind in V.NN_CONV or kind in V.NN_POOL):
-            spatial = True
-            extent /= _number(params.get("stride")) or (_number(params.get("kernel_size")) or 1 if kind in V.NN_POOL else 1)
-        stated = output_width(kind, params)
-        width = stated if stated is not None else width if kind in V.NN_KEEP_WIDTH else None
-        out.append((None if extent is None else round(extent, 6), width, spatial and extent is None))
-    return out
-
-
-def block_dims(params: dict[str, str], extent: float | None, width: int | None, head: bool) -> tuple[float, float, float]:
-    """(height, depth, thickness) of a layer's block: height for the map, thickness for the width, both on a log scale."""
-    low, high, thin, thick = V.NN_BLOCK
-
-    def scale(value: int | None, a: float, b: float) -> float:
-        return a if not value else max(a, min(b, a + (b - a) * math.log2(value + 1) / 10))
-
-    height, thickness = V.NN_UNKNOWN_HEIGHT, thin
-    if extent is not None:
-        height = low + (high - low) * max(0.0, min(1.0, 1 + math.log2(max(extent, V.NN_LEAST_EXTENT)) / 6))
-        thickness = scale(_number(params.get("out_channels")) if "out_channels" in params else width, thin, thick)
-    elif "out_channels" in params:
-        thickness = scale(_number(params["out_channels"]), thin, thick)
-    else:
-        stated = next((k for k in ("out_features", "units", "hidden_size", "embedding_dim") if k in params), None)
-        if stated:
-            height = scale(_number(params[stated]), low, low + (high - low) * (V.NN_HEAD if head else 1))
-    return round(height, 1), round(V.NN_DEPTH, 1), round(thickness, 1)
-
-
 def layer_rows(source: str) -> list[tuple]:
-    """(model, base, pos, id, type, category, parameters, extent, width, height, depth, thickness) of a source."""
+    """(nth model, model, base, pos, id, type, category, parameters) of a source."""
     out = []
-    for model, kind, calls, names in models_of(source):
+    for nth, (model, kind, calls, names) in enumerate(models_of(source)):
         if kind.startswith("pretrained:"):
-            out.append((model, kind, 0, model, "Pretrained", "pretrained", {"arch": kind.partition(":")[2]}, None, None, V.NN_UNKNOWN_HEIGHT, V.NN_DEPTH, V.NN_BLOCK[2]))
+            out.append((nth, model, kind, 0, model, "Pretrained", "pretrained", {"arch": kind.partition(":")[2]}))
             continue
-        layers = [(name, *layer_of(names, c)) for name, c in calls]
-        shape = extents([(k, p) for _, k, _, p in layers])
-        for pos, ((name, k, category, p), (extent, width, head)) in enumerate(zip(layers, shape, strict=True)):
-            out.append((model, kind, pos, name, k, category, p, extent, width, *block_dims(p, extent, width, head)))
+        out += [(nth, model, kind, pos, name, *layer_of(names, c)) for pos, (name, c) in enumerate(calls)]
     return out
 
 
@@ -326,7 +251,8 @@ def models(files: DataFrame) -> DataFrame:
         try:
             ast.parse(whole)
         except (SyntaxError, ValueError):
-            return [r for _, cell in notebook_cells(content) for r in layer_rows(cell)]
+            cells = [layer_rows(cell) for _, cell in notebook_cells(content)]
+            return [(1000 * k + r[0], *r[1:]) for k, rows in enumerate(cells) for r in rows]
         return layer_rows(whole)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -334,12 +260,11 @@ def models(files: DataFrame) -> DataFrame:
             rows = []
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 if isinstance(content, str):
-                    rows += [(path, *r[:6], [{"k": k, "v": v} for k, v in sorted(r[6].items())], *r[7:]) for r in read(path, content)]
-            out = pd.DataFrame(rows, columns=[x.split()[0] for x in ROWS.split(", ")])
-            yield out.astype({"width": "Int64", "extent": "Float64"})
+                    rows += [(path, *r[:7], [{"k": k, "v": v} for k, v in sorted(r[7].items())]) for r in read(path, content)]
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in ROWS.split(", ")])
 
-    got = files.select("path", "content").mapInPandas(run, ROWS)
-    return got.withColumn("params", F.map_from_entries("args")).drop("args")
+    got = files.select("path", "content").mapInPandas(run, ROWS).withColumn("params", F.map_from_entries("args")).drop("args")
+    return networks.blocks(got, ["path", "nth"])
 
 
 def named(layers: DataFrame, name: str) -> DataFrame:
@@ -347,18 +272,6 @@ def named(layers: DataFrame, name: str) -> DataFrame:
     return layers if not name.strip() else layers.where(F.lower("model") == name.strip().lower())
 
 
-def repeat(layers: list[dict], index: int, n: int) -> list[dict]:
-    """The run of equal layers around a place made ``n`` long (1 to 64)."""
-    same = lambda a, b: (a["type"], a["params"]) == (b["type"], b["params"])
-    start = end = index
-    while start and same(layers[start - 1], layers[index]):
-        start -= 1
-    while end + 1 < len(layers) and same(layers[end + 1], layers[index]):
-        end += 1
-    run = [dict(layers[index]) for _ in range(max(1, min(n, V.NN_MOST_REPEATS)))]
-    return [*layers[:start], *run, *layers[end + 1 :]]
-
-
 def twins(layers: DataFrame, signature: str = "type") -> DataFrame:
     """How many adjacent equal layers each layer stands among. ``layers``: model, pos, signature."""
     from .ranking import with_island

@@ -324,6 +324,16 @@ def layer_twins(spark, d):
     return Z.twins(e)
 
 
+@query("resized_runs", """WITH s AS (SELECT user_id AS model, event_id AS id, event_type, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) THEN 0 ELSE 1 END AS st FROM events),
+i AS (SELECT *, sum(st) OVER (PARTITION BY model ORDER BY id ROWS UNBOUNDED PRECEDING) AS island FROM s),
+k AS (SELECT *, row_number() OVER (PARTITION BY model, island ORDER BY id) AS k, min(CASE WHEN id % 5 = 0 THEN id END) OVER (PARTITION BY model, island) AS wish FROM i),
+e AS (SELECT *, unnest(range(CASE WHEN wish IS NULL THEN 1 WHEN k = 1 THEN greatest(1, least(64, wish % 70 - 2)) ELSE 0 END)) AS copy FROM k)
+SELECT model, row_number() OVER (PARTITION BY model ORDER BY id, copy) - 1 AS pos, event_type AS type FROM e""")
+def resized_runs(spark, d):
+    e = A.table(spark, d, "events").select(F.col("user_id").alias("model"), F.col("event_id").alias("pos"), F.col("event_type").alias("type"))
+    return N.resized_runs(e, e.where("pos % 5 = 0").select("model", "pos", (F.col("pos") % 70 - 2).alias("n")))
+
+
 @query("deduped_models", f"""WITH {FILES} SELECT 'net' || id % 10 AS model, min('f' || lpad(id::VARCHAR, 6, '0')) AS path FROM files GROUP BY id % 10, id % 4""")
 def deduped_models(spark, d):
     f = A.files(spark, d)

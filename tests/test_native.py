@@ -6,7 +6,7 @@ import random
 
 import pytest
 from graphloom.functions import scalars as S
-from graphloom.operators import degrees, diff, extract, graph, metrics, networks, ranking, retrieval, roles, rollup, tours, visual
+from graphloom.operators import degrees, diff, extract, graph, metrics, networks, nn_source, ranking, retrieval, roles, rollup, tours, visual
 from graphloom.sources import events, files
 from pyspark.sql import functions as F
 
@@ -234,8 +234,8 @@ def test_chunks_and_search(spark):
 
 
 def test_networks(spark):
-    src = "class Net(nn.Module):\n    def __init__(self):\n        self.c = nn.Conv2d(3, 8, 3)\n        self.f = nn.Sequential(nn.Linear(8, 4), nn.ReLU())\nm = Sequential([Dense(64), Dense(6)])\n"
-    got = networks.extract_models(spark.createDataFrame([("a.py", src), ("z.py", src), ("bad.py", "(")], "path string, content string"))
+    src = "import torch.nn as nn\nfrom keras import Sequential\nfrom keras.layers import Dense\nclass Net(nn.Module):\n    def __init__(self):\n        self.c = nn.Conv2d(3, 8, 3)\n        self.f = nn.Sequential(nn.Linear(8, 4), nn.ReLU())\nm = Sequential([Dense(64), Dense(6)])\n"
+    got = nn_source.models(spark.createDataFrame([("a.py", src), ("z.py", src), ("bad.py", "(")], "path string, content string"))
     rows = networks.dedupe_models(got).orderBy("model", "pos").collect()
     assert [(r["model"], r["type"], r["params"].get("out_channels")) for r in rows if r["model"] == "Net"] == [("Net", "Conv2d", "8"), ("Net", "Linear", None), ("Net", "ReLU", None)]
     assert {r["path"] for r in rows} == {"a.py"}
@@ -244,6 +244,30 @@ def test_networks(spark):
     assert [r["n"] for r in counted] == [None, 390]
 
 
+def test_network_shapes_and_blocks(spark):
+    layers = {
+        "a": [("Conv2d", {"out_channels": "16", "stride": "2"}), ("ReLU", {}), ("MaxPool2d", {"kernel_size": "(3, 3)"}), ("Dropout", {}), ("Odd", {}), ("Conv2d", {"out_channels": "n"}), ("AdaptiveAvgPool2d", {}), ("Conv2d", {"out_channels": "[0, 32]", "stride": "(2, 2)"}), ("Flatten", {}), ("Linear", {"out_features": "10"}), ("Conv2d", {"out_channels": "4"})],
+        "b": [("Embedding", {"embedding_dim": "64"}), ("LSTM", {"hidden_size": "32", "bidirectional": "True"}), ("Dense", {"units": "2048"}), ("LSTM", {"input_size": "7"})],
+    }
+    rows = [(m, i, kind, "other", p) for m, ls in layers.items() for i, (kind, p) in enumerate(ls)] + [("c", 0, "Pretrained", "pretrained", {"arch": "x"})]
+    got = networks.blocks(spark.createDataFrame(rows, "model string, pos int, type string, category string, params map<string,string>"), ["model"]).orderBy("model", "pos").collect()
+    third, least = round(0.5 / 3, 6), 1 / 64
+    assert [r["extent"] for r in got] == [0.5, 0.5, third, third, third, third, round(least, 6), round(least / 2, 6), None, None, None, 1.0, 1.0, None, None, None]
+    assert [r["width"] for r in got][:11] == [16, 16, 16, 16, None, None, None, 32, 32, 10, 4]
+    assert [r["width"] for r in got][11:] == [64, 64, 2048, 7, None]
+    # heights: of maps by their extent, of a head up to 36.1, of other flat layers up to 110
+    assert [r["height"] for r in got] == [96.0, 96.0, 73.8, 73.8, 73.8, 73.8, 26.0, 26.0, 40.0, 29.5, 40.0, 110.0, 110.0, 110.0, 40.0, 40.0]
+    assert (got[0]["thick"], got[5]["thick"], got[8]["thick"], got[11]["thick"], got[-1]["thick"]) == (22.3, 6.0, 6.0, 30.1, 6.0)
+    values = ["3", " ( 4, 5)", "[0, 6]", "-2", "x", None, "(-1, 7)", "3.5", "True", "n * 2"]
+    assert col(spark, values, networks.whole_number(F.col("x"))) == [3, 4, 6, None, None, None, 7, None, None, None]
+
+
+def test_runs_are_resized(spark):
+    layers = [("m", i, t) for i, t in enumerate("aabbbca")]
+    got = networks.resized_runs(spark.createDataFrame(layers, "model string, pos long, type string"), spark.createDataFrame([("m", 3, 1), ("m", 4, 9), ("m", 5, 3), ("m", 6, 0), ("x", 0, 5)], "model string, pos long, n int")).orderBy("pos").collect()
+    assert "".join(r["type"] for r in got) == "aabccca" and [r["pos"] for r in got] == list(range(7))
+
+
 def test_treemap_and_exports(spark):
     t = visual.treemap([{"path": "a/b/c/d.py", "size": 5, "complexity": None, "loc": 0}])
     assert t["children"][0]["name"] == "a/b/c" and t["children"][0]["children"][0] == {"name": "d.py", "path": "a/b/c/d.py", "value": 5, "loc": 0}
