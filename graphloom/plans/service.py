@@ -14,6 +14,7 @@ from ..operators import sections as P
 from ..operators import storage as K
 from ..sources import events as E
 from ..sources import files as H
+from ..sources.snapshots import Snapshots
 from . import adapters as A
 from .catalogue import EDGES, FILES, IMPORTANCE, PROFILES, RATES, VEC, QUERY_VECTOR, _bucket_sql, query, scored
 from .views import MODULES, ROLED, modules, module_connections, roled
@@ -254,19 +255,24 @@ def deleted_sessions(spark, d):
 
 @query("upserted_sessions", "SELECT conv_id, max(turn) + CASE WHEN conv_id % 3 = 0 THEN 100 ELSE 0 END AS updated FROM conversations GROUP BY conv_id UNION ALL SELECT -1, 7")
 def upserted_sessions(spark, d):
+    """A stored table, its change of every third session, and its rows after both."""
     s = A.table(spark, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("updated"))
     new = s.where("conv_id % 3 = 0").select("conv_id", (F.col("updated") + 100).alias("updated")).unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(7).alias("updated")))
-    return H.upsert(s, new, ["conv_id"])
+    stored = Snapshots(spark, f"{H.shared_folder(spark)}/sessions", s.schema, ["conv_id"])
+    stored.write(s)
+    stored.upsert(new)
+    return stored.read()
 
 
 @query("snapshot_round_trip", "SELECT doc_id, md5(text) AS content_hash FROM documents")
 def snapshot_round_trip(spark, d):
-    """Fingerprints written with their version and read back."""
-    path = f"{H.shared_folder(spark)}/snapshot"
+    """Fingerprints written in two versions, folded into one and read back."""
     f = A.table(spark, d, "documents").select("doc_id", F.md5("text").alias("content_hash"))
-    assert H.read_snapshot(spark, path, "doc_id long, content_hash string").isEmpty()
-    H.write_snapshot(f, path)
-    return H.read_snapshot(spark, path, f"doc_id {f.schema['doc_id'].dataType.simpleString()}, content_hash string")
+    stored = Snapshots(spark, f"{H.shared_folder(spark)}/snapshot", f.schema, ["doc_id"])
+    stored.write(f.where("doc_id % 2 = 0"))
+    stored.upsert(f)
+    stored.compact()
+    return stored.read()
 
 
 @query("vector_rows", "SELECT count(*)::BIGINT AS written, count(*)::BIGINT AS found FROM conversations WHERE text IS NOT NULL")

@@ -1,4 +1,4 @@
-"""Scans of file trees, and snapshot tables with a version stamp."""
+"""Scans of file trees."""
 
 from __future__ import annotations
 
@@ -13,7 +13,6 @@ from .. import fixed_values as V
 from ..functions import scalars as S
 from ..operators.graph import Steps, in_order, new_folder
 
-VERSION = 1
 #: entries that a task lists before it hands the folders left over to the next round, and files of a reading task
 LISTED, READ_FILES = 20_000, 2_000
 _ENTRY = "path string, size long, mtime timestamp, folder boolean"
@@ -173,21 +172,3 @@ def within_limits(files: DataFrame) -> DataFrame:
     """S1 guard: one row: files, bytes and whether a repository of that size is accepted."""
     t = files.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
     return t.withColumn("accepted", (F.col("files") <= V.MAX_REPO_FILES) & (F.col("bytes") <= V.MAX_REPO_BYTES))
-
-
-def write_snapshot(df: DataFrame, path: str) -> None:
-    """K1, K2: Parquet with a version stamp; Spark's commit makes it atomic."""
-    df.withColumn("_version", F.lit(VERSION)).write.mode("overwrite").parquet(path)
-
-
-def read_snapshot(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The snapshot, or an empty table where none of this version exists."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema + ", _version int").parquet(path).where(F.col("_version") == VERSION).drop("_version")
-
-
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """New rows replace old ones of equal keys."""
-    return old.join(new.select(*keys).distinct(), keys, "left_anti").select(*new.columns).unionByName(new)

@@ -42,7 +42,7 @@ def test_urls(spark):
     assert col(spark, [" git@github.com:o/r.git", "o/r", "www.github.com/o/r", "https://www.gitlab.com/a/b"], S.normalize_url(F.col("x"))) == ["https://github.com/o/r.git", "https://github.com/o/r", "https://github.com/o/r", "https://gitlab.com/a/b"]
 
 
-def test_scan_and_snapshots(spark, tmp_path):
+def test_scan(spark, tmp_path):
     for p, text in (("src/main.py", "import os\n"), ("node_modules/x.js", "1"), ("README.md", "hi"), ("logo.png", "p")):
         os.makedirs(tmp_path / "r" / os.path.dirname(p), exist_ok=True)
         (tmp_path / "r" / p).write_text(text)
@@ -51,12 +51,6 @@ def test_scan_and_snapshots(spark, tmp_path):
     assert got["logo.png"]["reason"] == "ignored_extension" and got["logo.png"]["content"] is None
     assert (got["src/main.py"]["language"], got["src/main.py"]["depth"], got["src/main.py"]["content"]) == ("Python", 1, "import os\n")
     assert files.within_limits(files.scan(spark, str(tmp_path / "r"), content=False)).first()["accepted"]
-    snap = str(tmp_path / "snap")
-    assert files.read_snapshot(spark, snap, "k long, v string").count() == 0
-    files.write_snapshot(spark.createDataFrame([(1, "a")], "k long, v string"), snap)
-    assert files.read_snapshot(spark, snap, "k long, v string").collect() == [(1, "a")]
-    up = files.upsert(spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string"), spark.createDataFrame([(2, "c")], "k long, v string"), ["k"])
-    assert sorted(map(tuple, up.collect())) == [(1, "a"), (2, "c")]
 
 
 def test_scan_of_all_kinds_of_names(spark, tmp_path):
