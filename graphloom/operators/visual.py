@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions import scalars as S
+from .graph import settle
 
 
 def directory_sizes(files: DataFrame) -> DataFrame:
@@ -32,6 +33,33 @@ def treemap_stats(files: DataFrame, metric: str) -> DataFrame:
     )
 
 
+def tree_rows(files: DataFrame, value: str = "size") -> DataFrame:
+    """V2 for any number of files: id, parent, name, kind and value of a tree's nodes, the root's id being empty.
+
+    A folder whose one child is a folder goes with it, as ``a/b``; the root stays.  A file's
+    value is its size, or 1, and a folder's the sum below it.  ``files``: path, value, of
+    different paths.  Folders above a file are listed with it, so the work grows with the
+    files times their depth, and no task sees a folder's children.
+    """
+    parts = F.split("path", "/")
+    leaf = files.select("path", F.when(F.coalesce(F.col(value), F.lit(0)) == 0, 1).otherwise(F.col(value)).cast("long").alias("value"))
+    chain = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))  # the folders above, from the root
+    met = leaf.select("value", chain.alias("above")).select("value", F.posexplode("above").alias("k", "id"), "above")
+    folders = met.groupBy("id").agg(F.sum("value").alias("value"), F.first("k").alias("depth"), F.max((F.size("above") - 1 == F.col("k")).cast("int")).alias("files"))
+    folders = settle(folders.withColumn("up", F.when(F.col("depth") > 0, F.when(F.col("depth") == 1, "").otherwise(F.regexp_replace("id", "/[^/]*$", "")))))
+    inner = folders.where("depth > 0").groupBy(F.col("up").alias("id")).agg(F.count(F.lit(1)).alias("inner"))
+    folders = settle(folders.join(inner, "id", "left").withColumn("kept", (F.col("depth") == 0) | (F.col("files") > 0) | (F.coalesce("inner", F.lit(0)) != 1)))
+    # the nearest folder above that stays
+    stays = folders.where("kept")
+    over = F.transform(F.sequence(F.lit(0), F.col("depth") - 1), lambda k: F.array_join(F.slice(F.split("id", "/"), F.lit(1), k), "/"))
+    near = stays.where("depth > 0").select("id", F.explode(over).alias("a")).join(stays.select(F.col("id").alias("a"), F.col("depth").alias("ad")), "a").groupBy("id").agg(F.max_by("a", "ad").alias("parent"))
+    named = stays.join(near, "id", "left")
+    name = F.when(F.col("id") == "", "root").when(F.col("parent") == "", F.col("id")).otherwise(F.expr("substring(id, length(parent) + 2)"))
+    top = named.select("id", "parent", name.alias("name"), F.lit("folder").alias("kind"), "value")
+    own = F.when(F.size(parts) == 1, "").otherwise(F.regexp_replace("path", "/[^/]*$", ""))
+    return top.unionByName(leaf.select(F.col("path").alias("id"), own.alias("parent"), F.element_at(parts, -1).alias("name"), F.lit("file").alias("kind"), "value"))
+
+
 def treemap(rows: list[dict], most: int = V.TREEMAP_FILES) -> dict:
     """V2: nested tree of the largest files; single-folder chains below the root collapse.
 

@@ -12,6 +12,7 @@ from ..operators import metrics as M
 from ..operators import retrieval as Q
 from ..operators import sections as P
 from ..operators import storage as K
+from ..operators.nearest import Index
 from ..sources import events as E
 from ..sources import files as H
 from ..sources.snapshots import Snapshots
@@ -315,6 +316,15 @@ def same_file_hits(spark, d):
     return K.same_file(h, F.lit(4)).select("id", F.round("score", 6).alias("score"))
 
 
+@query("many_questions", """SELECT q.vec_id AS question, e.vec_id AS id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0
+QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 12) DESC, e.vec_id) <= 5""")
+def many_questions(spark, d):
+    """The stated set of questions, every twentieth vector, against all vectors."""
+    e = A.table(spark, d, "embeddings")
+    found = Index(e, key="vec_id", vector="embedding").search(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("question"), F.col("embedding").alias("vector")), 5)
+    return found.select("question", F.col("vec_id").alias("id"), F.round("score", 6).alias("score"))
+
+
 @query("adaptive_search", f"""WITH h AS (SELECT label AS file_path, vec_id % 5 AS start_line, vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], {VEC}) AS s FROM embeddings WHERE label % 3 <> 0 ORDER BY s DESC, id LIMIT 8)
 SELECT file_path, start_line, round(s, 6) AS score, id FROM h QUALIFY row_number() OVER (PARTITION BY file_path, start_line ORDER BY s DESC, id) = 1""")
 def adaptive_search(spark, d):

@@ -593,21 +593,13 @@ def membership_flags(spark, d):
     return L.with_membership(p, D.central_files(A.edges(spark, d)), p.where("out_degree > 0 and in_degree = 0").select(F.col("id").alias("file"))).select("id", "central", "entry")
 
 
-@query("treemap_tree", f"""WITH {FILES}, t AS (SELECT path, folder, language, size FROM files ORDER BY size DESC, path LIMIT 250), k AS (SELECT folder, count(DISTINCT language) AS brands FROM t GROUP BY folder)
-SELECT CASE WHEN brands = 1 THEN t.folder || '/' || language ELSE t.folder || ' > ' || language END AS parents, path, size AS value FROM t JOIN k ON t.folder = k.folder""")
+@query("treemap_tree", f"""WITH {FILES}, k AS (SELECT folder, count(DISTINCT language) = 1 AS lone, sum(size)::BIGINT AS value FROM files GROUP BY folder),
+b AS (SELECT f.folder, language, lone, sum(size)::BIGINT AS value FROM files f JOIN k ON f.folder = k.folder GROUP BY ALL)
+SELECT path AS id, folder || '/' || language AS parent, string_split(path, '/')[-1] AS name, 'file' AS kind, size AS value FROM files
+UNION ALL SELECT folder || '/' || language, CASE WHEN lone THEN '' ELSE folder END, CASE WHEN lone THEN folder || '/' || language ELSE language END, 'folder', value FROM b
+UNION ALL SELECT folder, '', folder, 'folder', value FROM k WHERE NOT lone UNION ALL SELECT '', NULL, 'root', 'folder', sum(value)::BIGINT FROM k HAVING count(*) > 0""")
 def treemap_tree(spark, d):
-    top = A.files(spark, d).select("path", "size").orderBy(F.desc("size"), "path").limit(V.TREEMAP_FILES)
-    rows = []
-
-    def walk(node: dict, above: list[str]) -> None:
-        for c in node["children"]:
-            if "children" in c:
-                walk(c, [*above, c["name"]])
-            else:
-                rows.append((" > ".join(above), c["path"], c["value"]))
-
-    walk(X.treemap([r.asDict() for r in top.collect()]), [])
-    return spark.createDataFrame(rows, "parents string, path string, value long")
+    return X.tree_rows(A.files(spark, d).select("path", "size"))
 
 
 @query("tour_steps", f"""WITH RECURSIVE {FLAGS}, s AS (SELECT id, name, importance, row_number() OVER (ORDER BY importance DESC, id) AS place, in_degree, out_degree FROM scored)

@@ -271,6 +271,15 @@ def test_treemap_and_exports(spark):
     assert "n0 --> n1" in visual.mermaid(n, e).first()[0]
 
 
+def test_tree_rows(spark):
+    files = [("top.md", 0), ("a/b/c/d.py", 5), ("a/b/c/e/f/g.py", 7), ("x/y/z.py", 1), ("x/y/w/v.py", 2), ("q/r/s/t.py", 4), ("q/r/u.py", None)]
+    got = {r["id"]: (r["parent"], r["name"], r["kind"], r["value"]) for r in visual.tree_rows(spark.createDataFrame(files, "path string, size long")).collect()}
+    folders = {k: v for k, v in got.items() if v[2] == "folder"}
+    assert folders == {"": (None, "root", "folder", 21), "a/b/c": ("", "a/b/c", "folder", 12), "a/b/c/e/f": ("a/b/c", "e/f", "folder", 7), "x/y": ("", "x/y", "folder", 3), "x/y/w": ("x/y", "w", "folder", 2), "q/r": ("", "q/r", "folder", 5), "q/r/s": ("q/r", "s", "folder", 4)}
+    assert {k: v for k, v in got.items() if v[2] == "file"} == {p: (p.rpartition("/")[0], p.rpartition("/")[2], "file", n or 1) for p, n in files}
+    assert visual.tree_rows(spark.createDataFrame([], "path string, size long")).count() == 0
+
+
 def test_questions(spark):
     f = spark.createDataFrame([("a", ["in_cycle", "god_file"], 80_000)], "id string, flags array<string>, size long")
     q = tours.questions(f, spark.createDataFrame([(["a", "b"],)], "path array<string>")).first()["questions"]
