@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
+from . import code_metrics
 
 ROWS = "path string, raw string, line int, type string"
 
@@ -248,43 +249,23 @@ def read_aliases(config: str) -> dict[str, str]:
     return out
 
 
-def python_complexity(source: str) -> tuple[int, int] | None:
-    """(branches + 1, functions); null for a syntax error. else and assert do not count."""
-    try:
-        tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError):
-        return None
-    branches = functions = 0
-    for n in ast.walk(tree):
-        if isinstance(n, ast.If | ast.For | ast.AsyncFor | ast.While | ast.ExceptHandler | ast.IfExp | ast.comprehension | ast.match_case):
-            branches += 1
-        elif isinstance(n, ast.BoolOp):
-            branches += len(n.values) - 1
-        elif isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef | ast.Lambda):
-            functions += not isinstance(n, ast.Lambda)
-    return branches + 1, functions
-
-
-def js_complexity(source: str) -> tuple[int, int]:
-    """Branch keywords and operators outside comments and strings, plus 1; functions and arrows."""
-    code = re.sub(r"'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"|`(?:\\.|[^`\\])*`", "''", strip_js(source))
-    branches = len(re.findall(r"\b(?:if|for|while|case|catch)\b|&&|\|\||\?\?(?!=)|\?(?![.?:])", code))
-    return branches + 1, len(re.findall(r"\bfunction\b|=>", code))
-
-
 def complexity(files: DataFrame) -> DataFrame:
     """Loc, complexity, functions, complexity_source; nulls where not measured."""
-    measured = {".py": python_complexity, **dict.fromkeys((".js", ".jsx", ".mjs", ".cjs", ".ts", ".tsx"), js_complexity)}
+    scripts = {".js", ".jsx", ".mjs", ".cjs", ".ts", ".mts", ".cts", ".tsx"}
+
+    def measured(ext: str, source: str) -> tuple[int, int] | None:
+        if ext not in scripts and ext not in (".py", ".pyi") or len(source.encode(errors="ignore")) > V.MAX_FILE_BYTES:
+            return None
+        branches, functions = code_metrics.script_counts(source, ext) if ext in scripts else code_metrics.python_counts(source)
+        return branches + 1, functions
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             rows = []
             for path, ext, c in zip(pdf["path"], pdf["extension"], pdf["content"], strict=True):
                 lines = None if c is None else sum(bool(x.strip()) for x in c.splitlines())
-                got = None
-                if c is not None and len(c) <= V.MAX_FILE_BYTES and ext.lower() in measured:
-                    got = (1, 0) if not c.strip() else measured[ext.lower()](c)
-                rows.append((path, lines, *(got or (None, None)), "ast" if got else "size_fallback"))
+                got = None if c is None else measured(ext.lower(), c)
+                rows.append((path, lines, *(got or (None, None)), "cyclomatic" if got else "size_fallback"))
             out = pd.DataFrame(rows, columns=["path", "loc", "complexity", "functions", "complexity_source"])
             yield out.astype({"loc": "Int64", "complexity": "Int64", "functions": "Int64"})
 

@@ -153,15 +153,15 @@ def bodies(spark, d) -> DataFrame:
     f, kind = A.files(spark, d), F.col("id") % 6
     times = lambda line, n: F.array_join(F.array_repeat(F.lit(line), n.cast("int")), "\n")
     ifs, funs = F.col("loc") % 4, F.col("id") % 3 + 1
-    py = F.concat(times("def f(a, b):\n    return a if a else b", funs), F.lit("\n\n"), times("if x and y:\n    pass\nelse:\n    z = 'if'  # if", ifs))
-    js = F.concat(times("function g(a) { return a ? 1 : 2; } // if", funs), F.lit("\n"), times("if (x && y) { z = 'if'; }", ifs))
+    py = F.concat(times("def f(a, b):\n    return a if a else b", funs), F.lit("\n\n"), times("if x and y:\n    pass\nelse:\n    z = [i for i in x if i]  # if", ifs))
+    js = F.concat(times("function g(a, b?: (x: T) => void) { return a ? 1 : `if ${a && b}`; } class C<T> { m?(): void; catch(e) { p.catch(e); } get x(): {a: T} { return y => y ?? 1; } } // if", funs), F.lit("\n"), times("if (x && y) { z = 'if'; }", ifs))
     content = F.when(kind < 2, py).when(kind == 2, js).when(kind == 3, "plain\n\ntext").when(kind == 4, " \n").otherwise("def broken(:\n  x")
     return f.select("id", F.concat(F.lit("b"), F.col("id").cast("string")).alias("path"), _pick([".py", ".py", ".JS", ".txt", ".py", ".py"], kind).alias("extension"), content.alias("content"))
 
 
 @query("code_complexity", f"""WITH {FILES}, k AS (SELECT 'b' || id AS path, id % 6 AS kind, loc % 4 AS ifs, id % 3 + 1 AS funs FROM files)
 SELECT path, CASE WHEN kind < 2 THEN 2 * funs + 4 * ifs WHEN kind = 2 THEN funs + ifs WHEN kind = 3 THEN 2 WHEN kind = 4 THEN 0 ELSE 2 END::BIGINT AS loc,
-  CASE WHEN kind < 3 THEN 1 + funs + 2 * ifs WHEN kind = 4 THEN 1 END::BIGINT AS complexity, CASE WHEN kind < 3 THEN funs WHEN kind = 4 THEN 0 END::BIGINT AS functions, CASE WHEN kind < 3 OR kind = 4 THEN 'ast' ELSE 'size_fallback' END AS complexity_source FROM k""")
+  CASE WHEN kind < 2 THEN 1 + funs + 3 * ifs WHEN kind = 2 THEN 1 + 3 * funs + 2 * ifs WHEN kind >= 4 THEN 1 END::BIGINT AS complexity, CASE WHEN kind < 2 THEN funs WHEN kind = 2 THEN 4 * funs WHEN kind = 4 THEN 0 WHEN kind = 5 THEN 1 END::BIGINT AS functions, CASE WHEN kind <> 3 THEN 'cyclomatic' ELSE 'size_fallback' END AS complexity_source FROM k""")
 def code_complexity(spark, d):
     return X.complexity(bodies(spark, d))
 

@@ -6,7 +6,7 @@ import random
 
 import pytest
 from graphloom.functions import scalars as S
-from graphloom.operators import degrees, diff, extract, graph, metrics, networks, nn_source, ranking, retrieval, roles, rollup, tours, visual
+from graphloom.operators import code_metrics, degrees, diff, extract, graph, metrics, networks, nn_source, ranking, retrieval, roles, rollup, tours, visual
 from graphloom.sources import events, files
 from pyspark.sql import functions as F
 
@@ -100,15 +100,28 @@ def test_resolvers(spark):
     assert extract.read_aliases('{"$schema": "https://x/y", "compilerOptions": {"baseUrl": ".", "paths": {"@/*": ["./src/*"] /* c */}}}') == {"@/": "src/"}
 
 
-@pytest.mark.parametrize(("source", "want"), [("if a: pass", 2), ("if a: pass\nelif b: pass", 3), ("x = a and b and c", 3), ("assert a", 1), ("for i in x:\n  pass\nelse:\n  pass", 2), ("s = 'if and or'", 1), ("y = 1 if a else 2", 2)])
-def test_python_branches(source, want):
-    assert extract.python_complexity(source)[0] == want
+PYTHON = [("if a: pass", 1, 0), ("if a: pass\nelif b: pass", 2, 0), ("x = a and b and c", 2, 0), ("assert a", 0, 0), ("for i in x:\n  pass\nelse:\n  pass", 1, 0), ("s = 'if and or'", 0, 0), ("y = 1 if a else 2", 1, 0), ("[x for x in y]", 0, 0), ("[x for x in y if a if b]", 2, 0), ("match x:\n    case 1 if a:\n        pass\n    case _:\n        pass", 3, 0), ("def f(:\n  if x and y:\n   'if'", 2, 1), ("async def f():\n  async for a in b: pass\n  assert a or b", 2, 1), ("f = lambda x: x", 0, 0)]
+SCRIPTS = [
+    ("p.catch(e)", 0, 0), ("try { f() } catch (e) {} finally {}", 1, 0), ("try {} catch {}", 1, 0), ("function f(a?, b) {}", 0, 1), ("type A<T> = T extends U ? X : Y extends Z ? 1 : 2;", 0, 0), ("const s = `a ${x ? y : z} if`", 1, 0),
+    ("class A { m() {} get x() { return 1 } static async *g(): Promise<{a: number}> { } constructor(private a?: string) {} f = () => 1; abstract q(): void; o?(): void; catch(e) {} }", 0, 6),
+    ("const o = { m() { return 1 }, 'k'(x) {}, [z](a) { }, async n() {}, p: (x) => x, if: 1 }", 0, 5), ("interface I { m(): void; f: (a: string) => void; opt?: number }", 0, 0), ("type F = (a: number) => (b: number) => void;\nconst g: (x: T) => void = (y) => { };", 0, 1),
+    ("a && b || c ?? d; a &&= b; a ||= c; a ??= d; a?.b; a?.[0]", 3, 0), ("for (const a of b) {} for await (const x of y) {} while (1) {} do { } while (x)", 4, 0), ("switch (x) { case 1: case 2: break; default: z }", 2, 0), ("const r = /if (a) ? b/.test(x) ? 1 : 2", 1, 0),
+    ("const a = x ? (y) => y : (z) => z", 1, 2), ("function h(a: number): void;\nfunction h(a: any) { }", 0, 1), ("const e = <div className='if' onClick={() => a && b}>what if you && me? {x ? <b>y?</b> : null}</div>; f(a ? 1 : 2)", 3, 1), ("function* gen() {} async function k() {} const z = function () {}", 0, 3),
+    ("foo(function () {}); bar.function; x = {function: 1}", 0, 1), ("f(x => y => z)", 0, 2), ("function f(cb: (x: T) => void, d = (a) => a) {}", 0, 2), ("if (a) { b() }\nfoo() \n{ c }", 1, 0), ("export default class extends B { render() { return this.a ? 1 : 2 } }", 1, 1), ("let v = a as (x: T) => void", 0, 0), ("x = y ? {a() {}} : 2", 1, 1), ("// if (a)\n/* a ? b : c */ 'x ? y : z'", 0, 0), ("", 0, 0),
+]
+
+
+def test_branches_and_functions():
+    assert [(s, *code_metrics.python_counts(s)) for s, *_ in PYTHON] == PYTHON
+    assert [(s, *code_metrics.script_counts(s, ".tsx" if "<div" in s else ".ts")) for s, *_ in SCRIPTS] == SCRIPTS
+    for broken in ("<<<{{{`${", "`${`${`", "({[", ")]}", "a ? (b", "'open", "/* open", "<a b={"):
+        code_metrics.script_counts(broken, ".jsx")
 
 
 def test_complexity_rows(spark):
-    rows = [("a.py", ".py", "def f():\n    if x:\n        pass\n"), ("b.rs", ".rs", "fn x() {}\n\n}"), ("c.py", ".py", "  "), ("d.ts", ".ts", "const f = () => a && b ? 1 : 2 // if")]
+    rows = [("a.py", ".py", "def f():\n    if x:\n        pass\n"), ("b.rs", ".rs", "fn x() {}\n\n}"), ("c.pyi", ".pyi", "  "), ("d.MTS", ".MTS", "const f = () => a && b ? 1 : 2 // if"), ("e.js", ".js", None), ("f.cts", ".cts", "x" * 600_000)]
     got = {r["path"]: tuple(r)[1:] for r in extract.complexity(spark.createDataFrame(rows, "path string, extension string, content string")).collect()}
-    assert got == {"a.py": (3, 2, 1, "ast"), "b.rs": (2, None, None, "size_fallback"), "c.py": (0, 1, 0, "ast"), "d.ts": (1, 3, 1, "ast")}
+    assert got == {"a.py": (3, 2, 1, "cyclomatic"), "b.rs": (2, None, None, "size_fallback"), "c.pyi": (0, 1, 0, "cyclomatic"), "d.MTS": (1, 3, 1, "cyclomatic"), "e.js": (None, None, None, "size_fallback"), "f.cts": (1, None, None, "size_fallback")}
 
 
 def edges_df(spark, pairs):
