@@ -114,10 +114,11 @@ def role_summary(profiles: DataFrame, top: int = 10) -> DataFrame:
     return profiles.groupBy("role").agg(F.count(F.lit(1)).alias("files")).crossJoin(F.broadcast(total)).select("role", "files", F.round(100.0 * F.col("files") / F.col("__all"), 1).alias("pct")).orderBy(F.desc("files"), "role")
 
 
-def repo_type(profiles: DataFrame, has_entries: bool = False) -> DataFrame:
-    """One row with the repository's kind."""
+def repo_type(profiles: DataFrame, has_entries: bool = False, by: list[str] | None = None) -> DataFrame:
+    """One row with the repository's kind; one for each repository where ``by`` names its columns."""
+    by = by or []
     has = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
-    flags = profiles.agg(
+    flags = profiles.groupBy(*by).agg(
         has(F.col("role").isin("ml_model", "ml_training", "ml_pipeline")).alias("ml"),
         has(F.col("role") == "router").alias("router"),
         has((F.col("role") == "entry_point") | F.lit(has_entries)).alias("entry"),
@@ -126,7 +127,7 @@ def repo_type(profiles: DataFrame, has_entries: bool = False) -> DataFrame:
         has(F.lower("extension").isin(V.TEMPLATE_EXTENSIONS)).alias("templates"),
     )
     kind = F.when(F.col("ml"), "ml_pipeline").when(F.col("router") & F.col("templates"), "web_app").when(F.col("router") & (F.col("docker") | F.col("config")), "microservice").when(F.col("router"), "web_app").when(F.col("entry"), "cli_tool").otherwise("library")
-    return flags.select(kind.alias("repo_type"))
+    return flags.select(*by, kind.alias("repo_type"))
 
 
 def selection_score(role: Column, central: Column, entry: Column, in_degree: Column, path: Column) -> Column:

@@ -490,9 +490,10 @@ WORDS = ["simple", "HARD", "5", "42", "moderate complexity", "3/5", "complex (hi
 WANT = [1, 5, 5, 9, 3, 3, 5, 3, 7, 3, 1, 1]
 
 
-@query("complexity_words", "SELECT * FROM (VALUES " + ", ".join(f"('{w}', {n})" for w, n in zip(WORDS, WANT, strict=True)) + ") t(word, score)")
+@query("complexity_words", f"SELECT p_partkey AS id, {WANT}[p_partkey % {len(WANT)} + 1]::INTEGER AS score FROM part")
 def complexity_words(spark, d):
-    return spark.createDataFrame([(w,) for w in WORDS], "word string").select("word", S.complexity_score(F.col("word")).alias("score"))
+    word = F.get(F.array(*[F.lit(w) for w in WORDS]), (F.col("id") % len(WORDS)).cast("int"))
+    return A.files(spark, d).select("id", S.complexity_score(word).alias("score"))
 
 
 def _named(c: str, table: dict, other: str) -> str:
@@ -511,13 +512,21 @@ def role_names(spark, d):
     return f.select("id", S.role_name(spoken(ALIASES[0])).alias("role"), S.edge_type(F.upper(pick(ALIASES[1]))).alias("edge_type"), S.node_type(F.upper(pick(ALIASES[2]))).alias("node_type"))
 
 
-@query("nn_param_counts", "SELECT * FROM (VALUES (1, 36928), (2, 640), (3, 36864), (4, NULL), (5, 650), (6, 128), (7, 5120), (8, 24768), (9, 1050624)) t(id, params)")
+@query("nn_param_counts", f"""WITH {FILES} SELECT id, CASE id % 9 WHEN 0 THEN 72 * loc + 8 WHEN 1 THEN 10 * loc WHEN 2 THEN 72 * loc WHEN 4 THEN loc * 10 + 10 WHEN 5 THEN 2 * loc WHEN 6 THEN loc * 16 WHEN 7 THEN 8 * (loc * 4 + 20) WHEN 8 THEN 4 * loc * loc + 4 * loc END::BIGINT AS params FROM files""")
 def nn_param_counts(spark, d):
+    """A layer per file, of nine kinds."""
     from ..operators import networks
 
-    rows = [(1, "Conv2d", {"in_channels": "64", "out_channels": "64", "kernel_size": "3"}), (2, "Conv2d", {"in_channels": "64", "out_channels": "64", "kernel_size": "3", "groups": "64"}), (3, "Conv2d", {"in_channels": "64", "out_channels": "64", "kernel_size": "3", "bias": "False"}), (4, "Conv2d", {"in_channels": "64", "out_channels": "64", "kernel_size": "k"}), (5, "Linear", {"in_features": "64", "out_features": "10"}), (6, "BatchNorm2d", {"num_features": "64"}), (7, "Embedding", {"num_embeddings": "80", "embedding_dim": "64"}), (8, "GRU", {"input_size": "64", "hidden_size": "64"}), (9, "MultiheadAttention", {"embed_dim": "512"})]
-    t = spark.createDataFrame(rows, "id int, type string, params map<string,string>")
-    return t.select("id", networks.parameter_count(F.col("type"), F.col("params")).cast("int").alias("params"))
+    n = F.col("loc").cast("string")
+    kinds = [
+        ("Conv2d", {"in_channels": n, "out_channels": "8", "kernel_size": "3"}), ("Conv2d", {"in_channels": n, "out_channels": n, "kernel_size": "(3, 3)", "groups": n}), ("Conv2d", {"in_channels": n, "out_channels": "8", "kernel_size": "3", "bias": "False"}),
+        ("Conv2d", {"in_channels": n, "out_channels": "8", "kernel_size": "k"}), ("Linear", {"in_features": n, "out_features": "10"}), ("BatchNorm2d", {"num_features": n}), ("Embedding", {"num_embeddings": n, "embedding_dim": "16"}),
+        ("LSTM", {"input_size": n, "hidden_size": "4", "bidirectional": "True", "num_layers": "1"}), ("MultiheadAttention", {"embed_dim": n, "num_heads": "1"}),
+    ]
+    args = [F.create_map(*[x for k, v in p.items() for x in (F.lit(k), v if not isinstance(v, str) else F.lit(v))]) for _, p in kinds]
+    pick = (F.col("id") % len(kinds)).cast("int")
+    rows = A.files(spark, d).select("id", F.get(F.array(*[F.lit(k) for k, _ in kinds]), pick).alias("type"), F.get(F.array(*args), pick).alias("params"))
+    return rows.select("id", networks.parameter_count(F.col("type"), F.col("params")).cast("long").alias("params"))
 
 
 @query("technology_match", f"""WITH {FILES} SELECT id, CASE WHEN contains(lower(name), 'gear') THEN 'Gears' WHEN contains(lower(name), 'e') THEN 'Others' END AS technology FROM files""")
@@ -616,6 +625,19 @@ def kahn_order(spark, d):
     return G.kahn_order(A.dag(spark, d))
 
 
+@query("whole_kahn_order", f"""WITH RECURSIVE {EDGES}, cyc AS (SELECT source AS a, target AS b FROM pairs UNION SELECT a, target FROM cyc JOIN pairs ON b = source),
+lost AS MATERIALIZED (SELECT DISTINCT b AS node FROM cyc WHERE a IN (SELECT a FROM cyc WHERE a = b)), dag AS MATERIALIZED (SELECT source, target FROM pairs WHERE target NOT IN (FROM lost)),
+levels(node, level) USING KEY (node) AS (SELECT node, 0 FROM (SELECT source AS node FROM pairs UNION SELECT target FROM pairs) WHERE node NOT IN (FROM lost)
+  UNION (SELECT o.node, max(f.level) + 1 FROM levels AS f JOIN dag ON f.node = source JOIN recurring.levels AS o ON o.node = target GROUP BY o.node, o.level HAVING max(f.level) + 1 > o.level)){KAHN[len(DAG):]}
+SELECT node, rank FROM ranks UNION ALL SELECT node, (SELECT count(*) FROM ranks) + row_number() OVER (ORDER BY node) FROM lost""")
+def whole_kahn_order(spark, d):
+    """G10, O3 on all edges: what peeling frees, in its order, and then what lies on cycles or behind them, by name."""
+    e = A.edges(spark, d)
+    freed = G.settle(G.kahn_order(e))
+    lost = e.select(F.explode(F.array("source", "target")).alias("node")).distinct().join(freed, "node", "left_anti")
+    return freed.unionByName(G.in_order(lost, ["node"]).select("node", (F.lit(freed.count()) + F.col("place")).cast("long").alias("rank")))
+
+
 @query("cycles_len2_3", f"""WITH {EDGES}
 SELECT 2 AS length, a.source || ',' || a.target AS path FROM pairs a JOIN pairs b ON a.target = b.source AND b.target = a.source WHERE a.source < a.target
 UNION ALL SELECT 3, a.source || ',' || a.target || ',' || b.target FROM pairs a JOIN pairs b ON a.target = b.source JOIN pairs c ON b.target = c.source AND c.target = a.source

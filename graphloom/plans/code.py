@@ -294,9 +294,14 @@ WAYS = {
 }
 
 
-@query("network_forms", "SELECT * FROM (VALUES " + ", ".join(f"('{path}', '{m}', '{kind}', {sum(1 for y in rows[:i] if y[0] == m)}, '{t}')" for path, (_, rows) in WAYS.items() for i, (m, kind, t) in enumerate(rows)) + ") v(path, model, base, pos, type)")
+_WAY_ROWS = ", ".join(f"({n}, '{path}', '{m}', '{kind}', {sum(1 for y in rows[:i] if y[0] == m)}, '{t}')" for n, (path, (_, rows)) in enumerate(WAYS.items()) for i, (m, kind, t) in enumerate(rows))
+
+
+@query("network_forms", f"WITH {FILES} SELECT id || '/' || v.path AS path, model, base, pos::INTEGER AS pos, type FROM files JOIN (VALUES {_WAY_ROWS}) v(n, path, model, base, pos, type) ON id % {len(WAYS)} = n")
 def network_forms(spark, d):
-    f = spark.createDataFrame([(p, c) for p, (c, _) in WAYS.items()], "path string, content string")
+    """A file of one of the forms for each file of the tables."""
+    pick = lambda items: F.get(F.array(*[F.lit(x) for x in items]), (F.col("id") % len(WAYS)).cast("int"))
+    f = A.files(spark, d).select(F.concat(F.col("id").cast("string"), F.lit("/"), pick(list(WAYS))).alias("path"), pick([c for c, _ in WAYS.values()]).alias("content"))
     return Z.models(f).select("path", "model", "base", "pos", "type")
 
 

@@ -142,16 +142,19 @@ def role_summary(spark, d):
     return L.role_summary(roled(spark, d))
 
 
-@query("repo_type", """SELECT source, CASE WHEN source % 5 = 0 THEN 'ml_pipeline' WHEN source % 5 = 1 THEN 'web_app' WHEN source % 5 = 2 THEN 'microservice' WHEN source % 5 = 3 THEN 'cli_tool' ELSE 'library' END AS repo_type FROM (SELECT unnest(range(5)) AS source)""")
+@query("repo_type", f"""WITH {FILES}, r AS (SELECT folder, ['ml_model', 'router', 'leaf', 'config', 'entry_point', 'build', 'leaf'][(id * 7 + loc) % 7 + 1] AS role, language LIKE '%3' AS web, id FROM files WHERE true)
+SELECT folder, CASE WHEN bool_or(role = 'ml_model' AND id % 11 = 0) THEN 'ml_pipeline' WHEN bool_or(role = 'router' AND id % 5 = 0) THEN CASE WHEN bool_or(web AND id % 13 = 0) THEN 'web_app' WHEN bool_or(role = 'build' AND id % 17 = 0) OR bool_or(role = 'config' AND id % 7 = 0) THEN 'microservice' ELSE 'web_app' END
+  WHEN bool_or(role = 'entry_point') THEN 'cli_tool' ELSE 'library' END AS repo_type FROM r GROUP BY folder""")
 def repo_type(spark, d):
-    kinds = [["ml_model", "router"], ["router", "leaf"], ["router", "config"], ["entry_point", "leaf"], ["leaf", "config"]]
-    out = None
-    for n, roles in enumerate(kinds):
-        extension = ".html" if n == 1 else ".py"
-        p = spark.createDataFrame([(r, [], extension) for r in roles], "role string, tags array<string>, extension string")
-        row = L.repo_type(p).select(F.lit(n).cast("long").alias("source"), "repo_type")
-        out = row if out is None else out.unionByName(row)
-    return out
+    """A14 of every folder as a repository; rare roles are thinned out so that all kinds occur."""
+    f = A.files(spark, d)
+    drawn = F.get(F.array(*[F.lit(x) for x in ("ml_model", "router", "leaf", "config", "entry_point", "build", "leaf")]), ((F.col("id") * 7 + F.col("loc")) % 7).cast("int"))
+    rare = {"ml_model": 11, "router": 5, "build": 17, "config": 7}
+    role = F.col("drawn")
+    for name, n in rare.items():
+        role = F.when((F.col("drawn") == name) & (F.col("id") % n != 0), "leaf").otherwise(role)
+    p = f.withColumn("drawn", drawn).select("folder", role.alias("role"), F.array(F.lit("infrastructure")).alias("tags"), F.when(F.col("language").endswith("3") & (F.col("id") % 13 == 0), ".html").otherwise(".py").alias("extension"))
+    return L.repo_type(p, by=["folder"])
 
 
 _tier = {k: str(v[0]) for k, v in V.ROLE_STAGES.items()}
@@ -383,29 +386,22 @@ def edge_highlights(spark, d):
 
 
 ISLANDS = FLOW + """,
-thin AS (SELECT * FROM flow WHERE source % 9 = target % 9),
-ways AS MATERIALIZED (SELECT source AS a, target AS b FROM thin WHERE direction <> 'response' UNION SELECT target, source FROM thin WHERE direction <> 'response'),
+ways AS MATERIALIZED (SELECT source AS a, target AS b FROM flow WHERE direction <> 'response' UNION SELECT target, source FROM flow WHERE direction <> 'response'),
 comp(id, component) USING KEY (id) AS (SELECT id, id FROM nodes UNION (SELECT o.id, min(c.component) FROM recurring.comp AS o JOIN ways ON o.id = ways.a JOIN comp AS c ON c.id = ways.b GROUP BY o.id, o.component HAVING min(c.component) < o.component))"""
 
 
-def _islands(spark, d) -> tuple[DataFrame, DataFrame]:
-    """The flow's edges whose ends agree modulo nine: a view of its own with many islands."""
-    n, e = flow(spark, d)
-    return n, e.where("source % 9 = target % 9")
-
-
 @query("flow_components", f"WITH RECURSIVE {ISLANDS} SELECT id, component FROM comp")
 def flow_components(spark, d):
-    return W.flow_components(*_islands(spark, d))
+    return W.flow_components(*flow(spark, d))
 
 
 @query("flow_bridges", f"""WITH RECURSIVE {ISLANDS},
-n AS (SELECT nodes.*, component, nodes.id IN (SELECT source FROM thin) AS onward, nodes.id IN (SELECT target FROM thin) AS inward FROM nodes JOIN comp ON nodes.id = comp.id),
+n AS (SELECT nodes.*, component, nodes.id IN (SELECT source FROM flow) AS onward, nodes.id IN (SELECT target FROM flow) AS inward FROM nodes JOIN comp ON nodes.id = comp.id),
 c AS (SELECT component, count(*) AS size, max(tier) AS tier, bool_or(contains(lower(label), 'dashboard')) AS last, first(id ORDER BY onward, tier DESC, id) AS out, first(id ORDER BY inward, tier, id) AS into_ FROM n GROUP BY component),
 p AS (SELECT *, row_number() OVER (ORDER BY last, size DESC, tier DESC, component) AS place FROM c)
 SELECT a.out AS source, b.into_ AS target, 'continues' AS label FROM p a JOIN p b ON b.place = a.place + 1""")
 def flow_bridges(spark, d):
-    return W.bridges(*_islands(spark, d))
+    return W.bridges(*flow(spark, d))
 
 
 @query("final_kinds", f"""WITH {FLOW}, r AS (SELECT * FROM flow WHERE direction <> 'response')
