@@ -264,3 +264,15 @@ NN_LEAST_EXTENT = 1 / 64
 #: height from and to, thickness from and to; height where nothing is known; a head's share of the height; depth
 NN_BLOCK = (26.0, 110.0, 6.0, 46.0)
 NN_UNKNOWN_HEIGHT, NN_HEAD, NN_DEPTH = 40.0, 0.12, 14.0
+
+# N14, fixed values: recession of depth, sizes in points of the tallest face, gaps, margins, least faces and depth, greatest depth by height, step of a repeated copy, copies shown
+FIGURE_ANGLE, FIGURE_DEPTH = 30.0, 0.5
+FIGURE_HEIGHT, FIGURE_GAP, FIGURE_LEFT, FIGURE_TOP = 300.0, 104.0, 64.0, 54.0
+FIGURE_LEAST_HEIGHT, FIGURE_LEAST_WIDTH, FIGURE_LEAST_DEPTH, FIGURE_MOST_DEPTH = 118.0, 46.0, 30.0, 0.62
+FIGURE_STEP, FIGURE_COPIES = 22.0, 3
+FIGURE_UNITS = ["units", "filters", "out_channels", "out_features", "hidden_size", "embedding_dim", "num_embeddings"]
+# by what is known of a layer: bounds of height, of depth (one number where it is the same for all) and of width
+FIGURE_SIZES = {
+    "map": ((10, 80), (8, 60), (4, 34)), "matrix": ((10, 80), 16, (4, 34)), "row": ((12, 80), 14, 8),
+    "units": ((26, 80), 16, (5, 26)), "count": ((24, 62), 15, (5, 20)), "none": (22, 13, 5),
+}

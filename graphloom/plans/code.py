@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import degrees as D
 from ..operators import extract as X
+from ..operators import figures as P
 from ..operators import networks as N
 from ..operators import nn_source as Z
 from ..operators import ranking as R
@@ -281,6 +282,17 @@ def network_layers(spark, d):
     return m.select("model", "pos", "id", "type", "category", "extent", "width", "height", "thick", N.parameter_count(F.col("type"), F.col("params")).alias("params"))
 
 
+@query("placed_layers", f"""WITH {FILES}, l AS (SELECT id, (loc * 8)::DOUBLE AS n, unnest([0, 1, 2, 3, 4, 5]) AS pos FROM files),
+s AS (SELECT id, pos, CASE pos WHEN 0 THEN 26 + 54 * least(1, log2(n + 1) / 10) WHEN 1 THEN 24 + 38 * least(1, log2(n / 32 + 1) / 10) WHEN 5 THEN 26 + 54 * log2(11::DOUBLE) / 10 ELSE 22 END AS h,
+  CASE pos WHEN 0 THEN 16 WHEN 1 THEN 15 WHEN 5 THEN 16 ELSE 13 END AS d, CASE pos WHEN 0 THEN 5 + 21 * least(1, log2(n + 1) / 10) WHEN 1 THEN 5 + 15 * least(1, log2(n / 32 + 1) / 10) WHEN 5 THEN 5 + 21 * log2(11::DOUBLE) / 10 ELSE 5 END AS w FROM l),
+k AS (SELECT id, pos, greatest(h * 300.0::DOUBLE / max(h) OVER m, 118) AS h, greatest(w * 300.0::DOUBLE / max(h) OVER m, 46) AS w, least(greatest(d * 300.0::DOUBLE / max(h) OVER m, 30), 186) AS d FROM s WINDOW m AS (PARTITION BY id)),
+b AS (SELECT *, 64 + coalesce(sum(w + d * sqrt(3::DOUBLE) / 4 + 104) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS x, 54 + max(h / 2 + d / 4) OVER (PARTITION BY id) AS y FROM k)
+SELECT 'Net' || id AS model, pos::INTEGER AS pos, round(x, 1) AS "left", round(x + w + d * sqrt(3::DOUBLE) / 4, 1) AS "right", round(y - h / 2 - d / 4, 1) AS top, round(y + h / 2, 1) AS bottom FROM b""")
+def placed_layers(spark, d):
+    m = Z.models(networks(spark, d)).withColumn("param_count", N.parameter_count(F.col("type"), F.col("params"))).withColumn("shape", F.lit(None).cast("array<bigint>"))
+    return P.place(m, ["model"]).select("model", "pos", *(F.round(c, 1).alias(c) for c in ("left", "right", "top", "bottom")))
+
+
 #: other ways to write a model, with the layers each must give
 WAYS = {
     "listed.py": ("from keras.models import Sequential\nfrom keras.layers import Dense, Dropout, Bidirectional, LSTM\nm = Sequential([Bidirectional(LSTM(32)), Dense(64), Dropout(0.5), Dense(6)])\n", [("m", "sequential", "LSTM"), ("m", "sequential", "Dense"), ("m", "sequential", "Dropout"), ("m", "sequential", "Dense")]),

@@ -1,12 +1,13 @@
 """Native face: small fixtures for the rules of scan, extraction, roles, graph, diff and streams."""
 
 import json
+import math
 import os
 import random
 
 import pytest
 from graphloom.functions import scalars as S
-from graphloom.operators import code_metrics, degrees, diff, extract, graph, metrics, networks, nn_source, ranking, retrieval, roles, rollup, tours, visual
+from graphloom.operators import code_metrics, degrees, diff, extract, figures, graph, metrics, networks, nn_source, ranking, retrieval, roles, rollup, tours, visual
 from graphloom.sources import events, files
 from pyspark.sql import functions as F
 
@@ -269,6 +270,25 @@ def test_network_shapes_and_blocks(spark):
     assert col(spark, values, networks.whole_number(F.col("x"))) == [3, 4, 6, None, None, None, 7, None, None, None]
 
 
+def test_blocks_are_placed_in_a_row(spark):
+    rows = [("m", 0, "Conv2d", "c", {"out_channels": "64"}, 100, [64, 112, 7]), ("m", 1, "ReLU", "a", {}, None, None)] + [("m", 2 + i, "Block", "b", {}, 6400, None) for i in range(5)] + [("m", 7, "Dense", "d", {"units": "3"}, None, None), ("m", 8, "Row", "r", {}, 1, [9]), ("m", 9, "Two", "t", {}, 1, [5, 9]), ("z", 0, "ReLU", "a", {}, None, None)]
+    got = figures.place(spark.createDataFrame(rows, "model string, pos int, type string, category string, params map<string,string>, param_count long, shape array<bigint>"), ["model"]).orderBy("model", "pos").collect()
+    log = lambda v, a, b: a + (b - a) * min(1, math.log2(v + 1) / 10)
+    raw = [(log(112, 10, 80), log(7, 8, 60), log(64, 4, 34)), (22, 13, 5), (log(100, 24, 62), 15, log(100, 5, 20)), (log(3, 26, 80), 16, log(3, 5, 26)), (log(9, 12, 80), 14, 8), (log(9, 10, 80), 16, log(5, 4, 34))]
+    k, cos, sin = 300 / max(h for h, _, _ in raw), math.cos(math.pi / 6) / 2, 0.25
+    box = [(max(h * k, 118), min(max(d * k, 30), 186), max(w * k, 46)) for h, d, w in raw]
+    middle, x = 54 + max(h / 2 + d * sin for h, d, _ in box), 64.0
+    assert [(r["type"], r["repeat"]) for r in got] == [("Conv2d", 1), ("ReLU", 1), ("Block", 5), ("Dense", 1), ("Row", 1), ("Two", 1), ("ReLU", 1)]
+    for r, (h, d, w) in zip(got, box, strict=False):
+        ghost = 66 if r["repeat"] > 1 else 0
+        want = (x, x + w + d * cos + ghost, middle - h / 2 - d * sin - ghost * sin * 2, middle + h / 2)
+        assert all(abs(a - b) < 0.011 for a, b in zip((r["left"], r["right"], r["top"], r["bottom"]), want, strict=True)), (r, want)
+        front = [(p["x"], p["y"]) for p in r["faces"]["front"]]
+        assert abs(front[1][0] - front[0][0] - w) < 0.021 and abs(front[0][1] - front[3][1] - h) < 0.021
+        x += w + d * cos + ghost + 104
+    assert got[2]["params"] == 32_000 and got[-1]["left"] == 64.0
+
+
 def test_runs_are_resized(spark):
     layers = [("m", i, t) for i, t in enumerate("aabbbca")]
     got = networks.resized_runs(spark.createDataFrame(layers, "model string, pos long, type string"), spark.createDataFrame([("m", 3, 1), ("m", 4, 9), ("m", 5, 3), ("m", 6, 0), ("x", 0, 5)], "model string, pos long, n int")).orderBy("pos").collect()
