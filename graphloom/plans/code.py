@@ -179,6 +179,23 @@ def code_structures(spark, d):
     return X.fingerprints(bodies(spark, d).where("id % 6 < 2")).select("path", "structure_hash")
 
 
+@query("script_structures", f"""WITH {FILES} SELECT 'b' || id || '.tsx' AS path, md5('./x' || id % 4) AS imports_hash, md5('c' || id % 3 || '|h') AS exports_hash, md5(to_json(['C' || id % 3, 'g', 'h'])) AS structure_hash FROM files""")
+def script_structures(spark, d):
+    """X15 of scripts: a class, an arrow and a function, two of them exported, in comments and strings as well."""
+    num = lambda n: (F.col("id") % n).cast("string")
+    content = F.concat(F.lit("import a from './x"), num(4), F.lit("';\n// export class No {}\nexport class C"), num(3), F.lit(" {}\nexport const h = (a) => a;\nfunction g() { return 1; } /* function no() {} */\n"))
+    f = A.files(spark, d).select(F.concat(F.lit("b"), F.col("id").cast("string"), F.lit(".tsx")).alias("path"), F.lit(".tsx").alias("extension"), content.alias("content"))
+    return X.fingerprints(f).select("path", "imports_hash", "exports_hash", "structure_hash")
+
+
+@query("resolved_php", f"""WITH {SOURCES} SELECT 'web/a/s' || source || '.php' AS path, '../../lib/m' || target || '.php' AS raw, CASE WHEN target % 3 <> 0 THEN 'lib/m' || target || '.php' END AS resolved FROM own""")
+def resolved_php(spark, d):
+    t = F.col("target").cast("string")
+    rows = links(spark, d).select(F.concat(F.lit("web/a/s"), F.col("source").cast("string"), F.lit(".php")).alias("path"), F.concat(F.lit("../../lib/m"), t, F.lit(".php")).alias("raw"), F.col("n").alias("line"), F.lit("include").alias("type"))
+    known = A.files(spark, d).where("id % 3 <> 0").select(F.concat(F.lit("lib/m"), F.col("id").cast("string"), F.lit(".php")).alias("path"))
+    return X.resolve_relative(rows, known).select("path", "raw", "resolved")
+
+
 @query("named_snippets", """WITH t AS (SELECT conv_id, unnest(['a/f' || turn % 4 || '.py', 'b.ts']) AS path, unnest([2 * turn, 2 * turn + 1]) AS pos FROM conversations),
 r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, path ORDER BY pos) > 1 AS again FROM t), s AS (SELECT *, max(again::INT) OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS stop FROM r),
 m AS (SELECT conv_id, path, pos, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS n FROM s WHERE stop = 0 AND path <> 'a/f2.py')
