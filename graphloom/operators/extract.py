@@ -234,12 +234,25 @@ def resolve_js(rows: DataFrame, known: DataFrame, aliases: dict[str, str] | None
     return r.join(hit, "__id", "left").select(*rows.columns, "resolved")
 
 
-def read_aliases(config: str) -> dict[str, str]:
-    """Prefixes of compilerOptions.paths, first target each; comments outside strings go."""
+def aliases(files: DataFrame) -> dict[str, str]:
+    """The aliases of a scanned tree: those of the root's tsconfig.json, or else jsconfig.json, whichever can be read.
+
+    ``files``: path, content; two of them at most are looked at.
+    """
+    found = {r["path"]: r["content"] for r in files.where(F.col("path").isin("tsconfig.json", "jsconfig.json")).select("path", "content").collect()}
+    for name in ("tsconfig.json", "jsconfig.json"):
+        got = read_aliases(found[name]) if found.get(name) is not None else None
+        if got is not None:
+            return got
+    return {}
+
+
+def read_aliases(config: str) -> dict[str, str] | None:
+    """Prefixes of compilerOptions.paths, first target each; comments outside strings go. None for what is no JSON object."""
     try:
         options = json.loads(strip_js(config)).get("compilerOptions", {})
     except (ValueError, AttributeError):
-        return {}
+        return None
     base = str(options.get("baseUrl", ".")).strip("./")
     out = {}
     for k, v in (options.get("paths") or {}).items():

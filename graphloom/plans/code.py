@@ -16,6 +16,7 @@ from ..operators import networks as N
 from ..operators import nn_source as Z
 from ..operators import ranking as R
 from ..operators import roles as L
+from ..sources import files as H
 from . import adapters as A
 from .catalogue import EDGES, FILES, PROFILES, query
 
@@ -130,7 +131,11 @@ def resolved_js(spark, d):
     raw = F.when(kind == 0, F.concat(F.lit("../"), name("target"))).when(kind == 1, F.concat(F.lit("@/"), name("target"))).when(kind == 2, rooted).when(kind == 3, F.concat(F.lit("react"), text(F.col("target")))).otherwise("../../../up")
     rows = links(spark, d).select(F.concat(F.lit("src/"), name("source"), F.lit(".ts")).alias("path"), raw.alias("raw"), F.col("n").alias("line"), F.lit("import").alias("type"))
     known = A.files(spark, d).select(F.concat(F.lit("src/"), name("id"), _pick([".ts", ".jsx", "/index.js"], F.col("id") % 3)).alias("path"))
-    return X.resolve_js(rows, known, X.read_aliases('{/* paths */ "compilerOptions": {"baseUrl": ".", "paths": {"@/*": ["./src/*"]}}} // end')).select("path", "raw", "resolved")
+    # the configuration is among the tree's files: the first cannot be read
+    root = f"{H.shared_folder(spark)}/configured"
+    kept = [("tsconfig.json", "{,}"), ("jsconfig.json", '{/* paths */ "compilerOptions": {"baseUrl": ".", "paths": {"@/*": ["./src/*"]}}} // end'), ("app/tsconfig.json", '{"compilerOptions": {"paths": {"@/*": ["./other/*"]}}}')]
+    H.write_tree(spark.createDataFrame(kept, "path string, content string"), root)
+    return X.resolve_js(rows, known, X.aliases(H.scan(spark, root))).select("path", "raw", "resolved")
 
 
 @query("resolved_relative", f"""WITH {SOURCES} SELECT 'inc/s' || source || ['.c', '.rb', '.java', '.kt'][source % 4 + 1] AS path, ['../lib/m' || target || '.h', '../lib/m' || target, 'lib.M' || target, 'lib.M' || target][source % 4 + 1] AS raw,

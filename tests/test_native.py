@@ -101,6 +101,14 @@ def test_resolvers(spark):
     assert extract.read_aliases('{"$schema": "https://x/y", "compilerOptions": {"baseUrl": ".", "paths": {"@/*": ["./src/*"] /* c */}}}') == {"@/": "src/"}
 
 
+def test_aliases_of_a_tree(spark):
+    ok, other = '{"compilerOptions": {"baseUrl": "web", "paths": {"@/*": ["./src/*"], "none": []}}}', '{"compilerOptions": {}}'
+    tree = lambda *rows: extract.aliases(spark.createDataFrame(list(rows), "path string, content string"))
+    assert tree(("tsconfig.json", ok), ("jsconfig.json", other)) == {"@/": "web/src/"}
+    assert tree(("tsconfig.json", "{"), ("jsconfig.json", ok)) == tree(("tsconfig.json", None), ("jsconfig.json", ok)) == {"@/": "web/src/"}
+    assert tree(("tsconfig.json", other), ("jsconfig.json", ok)) == tree(("a/tsconfig.json", ok)) == {}
+
+
 PYTHON = [("if a: pass", 1, 0), ("if a: pass\nelif b: pass", 2, 0), ("x = a and b and c", 2, 0), ("assert a", 0, 0), ("for i in x:\n  pass\nelse:\n  pass", 1, 0), ("s = 'if and or'", 0, 0), ("y = 1 if a else 2", 1, 0), ("[x for x in y]", 0, 0), ("[x for x in y if a if b]", 2, 0), ("match x:\n    case 1 if a:\n        pass\n    case _:\n        pass", 3, 0), ("def f(:\n  if x and y:\n   'if'", 2, 1), ("async def f():\n  async for a in b: pass\n  assert a or b", 2, 1), ("f = lambda x: x", 0, 0)]
 SCRIPTS = [
     ("p.catch(e)", 0, 0), ("try { f() } catch (e) {} finally {}", 1, 0), ("try {} catch {}", 1, 0), ("function f(a?, b) {}", 0, 1), ("type A<T> = T extends U ? X : Y extends Z ? 1 : 2;", 0, 0), ("const s = `a ${x ? y : z} if`", 1, 0),
