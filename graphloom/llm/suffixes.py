@@ -44,7 +44,7 @@ from .common import materialize_bucketed, text_slices
 LENGTH = 100
 GRAM = 40
 #: text of a block (a task holds some fifteen times as much) and, of all blocks, for a partition
-BLOCK_BYTES, PART_BYTES = 8 << 20, 64 << 20
+BLOCK_BYTES, PART_BYTES = 6 << 20, 64 << 20
 SLICE = 512 << 10
 #: occurrences of a gram from which its starts are dealt by their context, and distances per deal
 HOT, STEP = 4096, 8
