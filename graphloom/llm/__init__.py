@@ -1,4 +1,4 @@
-"""Training-data operators: ten large-corpus building blocks on PySpark.
+"""Training-data operators: thirteen large-corpus building blocks on PySpark.
 
 Nothing outside this subpackage imports it, so it can be removed as a whole.
 """
