@@ -251,7 +251,10 @@ RESULT = [
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score per row.
 
-    A null text is empty: no words, no labels, score 0.  Null and repeated ids are kept,
+    A null text is empty: no words, no labels, score 0.  A text of any length is scanned
+    whole.  Of the method's detections those inside another of at least their priority go;
+    of equal intervals and priorities the first label in order stays; base phrases always
+    stay.  Repeated rows and null and repeated ids are kept, each judged by its own text;
     other columns are ignored, an empty table gives an empty result.
     """
 

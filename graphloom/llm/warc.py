@@ -197,7 +197,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fetch(spark: SparkSession, path: str, page_ids: list[int]) -> DataFrame:
-    """Random access: by the index to the bundles, and there only the frames that hold the asked records."""
+    """Random access: by the index to the bundles, and there only the frames that hold the asked records.
+
+    Ids that the archive lacks give no row, repeated records one each; a payload of any
+    length comes whole.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
