@@ -46,6 +46,17 @@ def suggested(flows: DataFrame, column: str = "json", most_nodes: int = V.FLOW_N
     return nodes, mark_directions(edges, ["flow"])
 
 
+def flow_outcomes(flows: DataFrame, column: str = "json") -> DataFrame:
+    """V4: per flow whether the suggestion holds, and if not why the static flow serves.
+
+    quota_exceeded where none was allowed, llm_failed where no JSON came, and
+    invalid_llm_response where nothing of it holds up.  ``flows``: flow, allowed, ``column``.
+    """
+    held = suggested(flows, column)[0].select("flow").distinct().withColumn("__held", F.lit(True))
+    reason = F.when(~F.coalesce("allowed", F.lit(False)), "quota_exceeded").when(F.try_parse_json(column).isNull(), "llm_failed").when(F.col("__held").isNull(), "invalid_llm_response")
+    return flows.join(held, "flow", "left").select("flow", reason.isNull().alias("is_llm_enriched"), reason.alias("fallback_reason"))
+
+
 def mark_directions(edges: DataFrame, keys: list[str]) -> DataFrame:
     """J11 within ``keys``: an edge whose reverse came before answers it."""
     back = edges.select(*keys, F.col("source").alias("target"), F.col("target").alias("source"), F.col("pos").alias("__p")).groupBy(*keys, "source", "target").agg(F.min("__p").alias("__p"))

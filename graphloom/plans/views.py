@@ -505,6 +505,15 @@ def suggested_flow_nodes(spark, d):
     return W.suggested(_suggestions(spark, d))[0]
 
 
+@query("flow_outcomes", """WITH r AS (SELECT conv_id AS flow, CASE WHEN conv_id % 7 = 2 THEN 'quota_exceeded' WHEN conv_id % 7 = 1 THEN 'llm_failed' WHEN conv_id % 7 = 3 OR count(*) = 1 THEN 'invalid_llm_response' END AS fallback_reason FROM conversations GROUP BY conv_id)
+SELECT flow, fallback_reason IS NULL AS is_llm_enriched, fallback_reason FROM r""")
+def flow_outcomes(spark, d):
+    """V4: suggestions of which some were not allowed, some are cut short and some are no flow."""
+    k = F.col("flow") % 7
+    json = F.when(k == 1, F.expr("left(json, length(json) - 1)")).when(k == 3, "[]").otherwise(F.col("json"))
+    return W.flow_outcomes(_suggestions(spark, d).withColumn("json", json).withColumn("allowed", k != 2))
+
+
 # of all shortest paths the one met first is the smallest, node by node
 @query("shortest_flow_path", f"""WITH RECURSIVE {EDGES}, dag AS MATERIALIZED (SELECT DISTINCT source, target FROM pairs WHERE source < target), s AS (SELECT min(source) AS id FROM dag),
 r(node, depth, path) USING KEY (node) AS (SELECT id, 0, [id] FROM s
