@@ -197,6 +197,28 @@ def test_repeats(spark):
     assert got == {"m": (1, 4, 12), "n": (0, 1, 12)}
 
 
+def dealt_before_python(df):
+    """Whether rows are dealt over all tasks right before they go to Python."""
+    plan = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    return "REPARTITION_BY_NUM" in plan[plan.index("MapInArrow") :]
+
+
+def test_sources_and_models_of_one_file_of_rows_are_read_by_all_tasks(spark):
+    src = "import torch.nn as nn\nclass Net%d(nn.Module):\n    def __init__(self):\n        self.f = nn.Linear(8, 4)\n"
+    found = nn_source.models(spark.createDataFrame([(f"{i}.py", src % (i % 7)) for i in range(40)], "path string, content string").coalesce(1))
+    assert dealt_before_python(found)
+    assert sorted((r["path"], r["model"]) for r in found.collect()) == sorted((f"{i}.py", f"Net{i % 7}") for i in range(40))
+    rows = [(f"m{k}", i, s) for k in range(20) for i, s in enumerate(["p", *["x", "y"] * (k % 3 + 2)])]
+    runs = ranking.label_repeats(spark.createDataFrame(rows[::-1], "model string, pos long, signature string").coalesce(1))
+    assert dealt_before_python(runs)
+    assert sorted(tuple(r) for r in runs.collect()) == sorted((f"m{k}", 1, 2, k % 3 + 2) for k in range(20))
+
+
+def test_walk_is_that_of_ast():
+    tree = nn_source.ast.parse("class A(B):\n    def f(self, *, k=[1, *x]):\n        return {**k, 'a': lambda q: (q, -q)}\n")
+    assert nn_source.walked(tree) == list(nn_source.ast.walk(tree))
+
+
 def test_graph_loops(spark):
     dag = edges_df(spark, [("a", "b"), ("b", "c"), ("a", "c"), ("x", "c")])
     assert {r["node"]: r["tier"] for r in graph.dag_tiers(dag).collect()} == {"a": 0, "x": 0, "b": 1, "c": 2}
