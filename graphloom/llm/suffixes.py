@@ -28,7 +28,7 @@ import pickle
 import zlib
 from array import array
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +43,8 @@ from .common import materialize_bucketed, text_slices
 
 LENGTH = 100
 GRAM = 40
-#: text of a block (a task holds some fifteen times as much) and, of all blocks, for a partition
-BLOCK_BYTES, PART_BYTES = 6 << 20, 64 << 20
+#: text of a block and, of all blocks, for a partition: a task holds some thirty times as much of either
+BLOCK_BYTES, PART_BYTES = 6 << 20, 8 << 20
 SLICE = 512 << 10
 #: occurrences of a gram from which its starts are dealt by their context, and distances per deal
 HOT, STEP = 4096, 8
@@ -338,13 +338,14 @@ def _run(keys: list[bytes], lefts: list[bytes], ids: list[int], blocks: list[int
 class Runs:
     """Runs opened for a merge: what they say is gone, and (string, prefix) and side streams."""
 
-    def __init__(self, packed: list[bytes]) -> None:
-        self.gone: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    def __init__(self, packed: Iterable[bytes]) -> None:
+        #: of each block, starts and numbers of starts by turns, in 32 bits
+        self.gone: dict[int, array] = defaultdict(lambda: array("i"))
         self.strings, self.sides = [], []
         for data in packed:
             coded, lens, lefts, ids, blocks, places, gone = _unpack(data)
             for block, start, n in gone.tolist():
-                self.gone[block].append((start, n))
+                self.gone[block].extend((start, n))
             self.strings.append(decode(*coded))
             self.sides.append(self._side(array("H", lens), lefts, ids, blocks, places))
 
@@ -425,8 +426,8 @@ def _merge_batches(lands: np.ndarray, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """First level: the runs of a batch of blocks for a group of partitions become one for each partition."""
         for _, rows in _runs_of_key(batches, "key"):
-            runs = Runs([r.as_py() for b in rows for r in b.column("run")])
-            gone = [(block, *x) for block, v in runs.gone.items() for x in v]
+            runs = Runs(r.as_py() for b in rows for r in b.column("run"))
+            gone = [(block, *x) for block, v in runs.gone.items() for x in zip(v[::2], v[1::2], strict=True)]
             keys, lefts, ids, blocks, places = [], [], [], [], []
 
             def close() -> pa.RecordBatch:
@@ -458,7 +459,7 @@ def _merge_batches(lands: np.ndarray, length: int):
 
 
 def _merge_runs(length: int, gram: int):
-    def settle(bucket: list[tuple], gone: dict[int, list[tuple[int, int]]]) -> None:
+    def settle(bucket: list[tuple], gone: dict[int, array]) -> None:
         """bucket: (string, prefix with the one before, left, id, block, place), one gram, sorted."""
         # equal on both sides: the earliest stays for comparison, the others go
         best: dict[tuple[bytes, bytes], int] = {}
@@ -469,7 +470,7 @@ def _merge_runs(length: int, gram: int):
                 if order < list(bucket[kept][3:]):
                     best[(string, left)], lose = n, kept
                 e = bucket[lose]
-                gone[e[4]].append((e[5] - len(left), len(string) - NUMBER + len(left) - length + 1))
+                gone[e[4]].extend((e[5] - len(left), len(string) - NUMBER + len(left) - length + 1))
         if len(best) < 2:
             return
         # prefixes between the remaining neighbours: minima over what lies between
@@ -501,12 +502,12 @@ def _merge_runs(length: int, gram: int):
             while bits:
                 top = bits.bit_length()
                 run = (~bits & ((1 << top) - 1)).bit_length()  # bits run..top-1 are set
-                gone[e[4]].append((e[5] - top + 1, top - run))
+                gone[e[4]].extend((e[5] - top + 1, top - run))
                 bits &= (1 << run) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _runs_of_key(batches, "key"):
-            runs = Runs([r.as_py() for b in rows for r in b.column("run")])
+            runs = Runs(r.as_py() for b in rows for r in b.column("run"))
             bucket: list[tuple] = []
             for e in runs.merged():
                 if bucket and e[1] < gram + NUMBER:
@@ -516,7 +517,7 @@ def _merge_runs(length: int, gram: int):
                 bucket.append(e if bucket else (e[0], 0, *e[2:]))
             if len(bucket) > 1:
                 settle(bucket, runs.gone)
-            found = [(block, np.array(x, np.int32).tobytes()) for block, x in runs.gone.items() if x]
+            found = [(block, x.tobytes()) for block, x in runs.gone.items() if x]
             if found:
                 yield _table(found, ["block", "gone"], [pa.int64(), pa.binary()])
 

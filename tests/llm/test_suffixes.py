@@ -106,6 +106,14 @@ def test_on_tables(spark):
     assert got == [(i, *x) for (i, _), x in zip(docs, brute(docs, 100), strict=True)]
 
 
+def test_a_partition_has_little_text_and_gone_starts_take_eight_bytes():
+    # 6 GB by 200 partitions was 32 MB each: a task of four then held over a gigabyte
+    assert suffixes.PART_BYTES <= 8 << 20
+    gone = [(7, i, 1) for i in range(1000)]
+    runs = suffixes.Runs(iter([suffixes._run([b"a"], [b""], [1], [7], [0], gone)]))
+    assert len(runs.gone[7].tobytes()) == 8 * len(gone)
+
+
 def test_merge_orders_and_tells_prefixes():
     rng = random.Random(7)
     runs = [sorted(bytes(rng.choice(b"ab") for _ in range(rng.randrange(12))) for _ in range(rng.randrange(30))) for _ in range(11)]
