@@ -4,7 +4,9 @@ import random
 
 import pytest
 from graphloom import queries as Q  # noqa: F401  registers all queries
+from graphloom.operators import graph
 from graphloom.plans import catalogue
+from pyspark.sql import functions as F
 
 
 @pytest.fixture
@@ -113,3 +115,42 @@ def test_models_of_files_with_ids_over_six_digits(spark, tables):
         path = "f" + str(n).zfill(6)[:6]
         want[n % 10, n % 4] = min(path, want.get((n % 10, n % 4), path))
     assert sorted((r["model"], r["path"]) for r in got) == sorted((f"net{m}", path) for (m, _), path in want.items())
+
+
+@pytest.fixture
+def most_sent(spark):
+    """Runs a frame's query and tells the most rows of any table that was broadcast for it."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    each = lambda seq: (seq.apply(k) for k in range(seq.size()))
+
+    def run(make):
+        bus.waitUntilEmpty()
+        ran = {e.executionId() for e in each(store.executionsList())}
+        make().collect()
+        bus.waitUntilEmpty()
+        rows = []
+        for e in each(store.executionsList()):
+            if e.executionId() in ran or "BroadcastExchange" not in e.physicalPlanDescription():
+                continue
+            told = store.executionMetrics(e.executionId())
+            for node in each(store.planGraph(e.executionId()).allNodes().toSeq()):
+                if node.name() == "BroadcastExchange":
+                    ids = [m.accumulatorId() for m in each(node.metrics()) if m.name() == "number of output rows"]
+                    rows += [int(told.apply(i).replace(",", "")) for i in ids if told.contains(i)]
+        return max(rows, default=0)
+
+    return run
+
+
+#: queries whose tables of a row per file must not go through the driver
+NOT_SENT = ["selected_flags"]
+
+
+@pytest.mark.parametrize("name", NOT_SENT)
+def test_no_table_of_a_row_per_file_is_sent_through_the_driver(spark, tables, most_sent, monkeypatch, name):
+    monkeypatch.setattr(graph, "SENT_ROWS", 40, raising=False)
+    rng = random.Random(11)
+    edges = [(a, b) for a, b in ((rng.randrange(400), rng.randrange(400)) for _ in range(500)) if a != b]
+    d = tables(edges)
+    spark.range(400).select(F.col("id").alias("event_id"), (F.col("id") % 200).alias("user_id")).write.parquet(f"{d}/events.parquet")
+    assert most_sent(lambda: catalogue.QUERIES[name](spark, d)) <= 40
