@@ -154,3 +154,49 @@ def test_no_table_of_a_row_per_file_is_sent_through_the_driver(spark, tables, mo
     d = tables(edges)
     spark.range(400).select(F.col("id").alias("event_id"), (F.col("id") % 200).alias("user_id")).write.parquet(f"{d}/events.parquet")
     assert most_sent(lambda: catalogue.QUERIES[name](spark, d)) <= 40
+
+
+def round_trips(edges):
+    """Files and imports of all simple cycles, found by walking each of them."""
+    near, files, imports = {}, set(), set()
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+
+    def walk(path):
+        for b in near.get(path[-1], ()):
+            if b == path[0]:
+                files.update(path)
+                imports.update(zip(path, [*path[1:], b], strict=True))
+            elif b > path[0] and b not in path:
+                walk([*path, b])
+
+    for root in near:
+        walk([root])
+    return files, imports
+
+
+def cycle_rows(spark, folder):
+    rows = [r for r in catalogue.QUERIES["insights"](spark, folder).collect() if r["kind"].startswith("cycle")]
+    files = {int(r["item"]): r["component"] for r in rows if r["kind"] == "cycle"}
+    imports = {tuple(map(int, r["item"].split(","))): r["component"] for r in rows if r["kind"] == "cycle_import"}
+    assert len(rows) == len(files) + len(imports)
+    return files, imports
+
+
+def test_insights_see_cycles_through_every_import(spark, tables):
+    rng = random.Random(8)
+    # 1's first import leads nowhere, its second and third are on cycles
+    edges = [(1, 2), (1, 3), (3, 1), (1, 4), (4, 5), (5, 1), (5, 6), (1, 3)] + [(20 + i, 20 + (i + 1) % 7) for i in range(7)] + [(22, 1)]
+    edges += [e for e in ((rng.randrange(40, 52), rng.randrange(40, 52)) for _ in range(24)) if e[0] != e[1]]
+    files, imports = cycle_rows(spark, tables(edges))
+    assert (set(files), set(imports)) == round_trips(edges)
+    assert {imports[e] for e in [(1, 3), (3, 1), (1, 4), (4, 5), (5, 1)]} == {1} and (1, 2) not in imports and (5, 6) not in imports
+    assert [files[i] for i in range(20, 27)] == [20] * 7
+    assert all(files[a] == files[b] == c for (a, b), c in imports.items())
+
+
+def test_insights_refuse_no_graph_for_its_cycles(spark, tables):
+    """Sixteen files that all import each other have some 10^12 simple cycles, more than can be listed."""
+    edges = [(a, b) for a in range(1, 17) for b in range(1, 17) if a != b]
+    files, imports = cycle_rows(spark, tables(edges))
+    assert files == dict.fromkeys(range(1, 17), 1) and imports == dict.fromkeys(edges, 1)
